@@ -84,7 +84,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     few = np.flatnonzero((count > 0) & (count < k))
     hashes, rows = h[keep], row[:full][keep]
     if len(few):
-        short = np.array([mix(np.array([(w[first[r] : first[r + 1]] * SEEDS[1 : 1 + count[r]]).sum() + SEEDS[32 + count[r] % 32]], np.uint64))[0] for r in few], np.uint64)
+        short = mix(np.array([(int((w[first[r] : first[r + 1]] * SEEDS[1 : 1 + count[r]]).sum()) + int(SEEDS[32 + count[r] % 32])) % 2**64 for r in few], np.uint64))
         at = np.searchsorted(rows, few)
         hashes, rows = np.insert(hashes, at, short), np.insert(rows, at, few)
     return hashes, np.searchsorted(rows, np.arange(n + 1))

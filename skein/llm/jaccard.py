@@ -3,12 +3,12 @@
 Documents of equal shingle sets are one class. If two sets are similar enough
 they share a token among the first of each, its prefix, under *any* total
 order of all tokens. Under the first order, where frequent tokens come last,
-prefixes are joined, with the bounds on sizes and positions; a candidate pair
-must then share a prefix token under two further, unrelated orders before the
-sets themselves are compared.
+prefixes are joined, with bounds from sizes and from sketches of the sets; a
+candidate pair must then share a prefix token under two further, unrelated
+orders before the sets themselves are compared.
 
 Large groups: in a group (a token, and for frequent tokens a salt) each class
-is first compared with the group's smallest only; what these links connect
+is first compared with a central one only; what these links connect
 needs no further comparison. Only classes of different components that still
 share a token are paired. Thus thousands of near copies cost a comparison
 each, and no pair of texts that might be linked is left out.
@@ -26,11 +26,11 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import connected_components, cut, membership, possibly_in, string_slices
@@ -42,6 +42,7 @@ HEAVY = 1 << 17
 #: Tokens are counted over so many at a time.
 COUNTED = 1 << 22
 SALTS = 32
+SKETCH = 1024
 
 
 def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -56,7 +57,24 @@ def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndar
 
 def digest(x: np.ndarray) -> int:
     """Equal for equal sets."""
-    return int(np.int64(np.uint64(mix(np.array([(mix(x ^ SEEDS[50])).sum() + np.uint64(len(x)) * SEEDS[51]], np.uint64))[0]).astype(np.int64)))
+    total = (int(mix(x ^ SEEDS[50]).sum()) + len(x) * int(SEEDS[51])) % 2**64
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """SKETCH bits: the parities of how many elements fall on each.
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    bits = np.bincount((mix(x ^ SEEDS[54]) >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(n: Column, x: Column, m: Column, y: Column, percent: int) -> Column:
+    """Whether sets of sizes n, m and sketches x, y may be similar; never false for a pair that is."""
+    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH // 64)), F.lit(0))
+    most = F.least(n, m, F.floor((n + m - apart) / 2))
+    return 100 * most >= percent * (n + m - most)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -104,7 +122,7 @@ def similar(a: tuple, b: tuple, percent: int) -> bool:
 
 
 def signatures(documents: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, c) and, with a null c, for each token that a task met repeatedly (token, times)."""
+    """A row for each document (doc_id, n, c, sketch) and, with a null c, for each token that a task met repeatedly (token, times)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,14 +133,14 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
             edge = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
             times = np.diff(np.append(edge, len(x)))
             often = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(x[edge[often]].view(np.int64)), pa.array(times[often]), pa.array([None] * int(often.sum()), pa.int64())], names=["doc_id", "n", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(x[edge[often]].view(np.int64)), pa.array(times[often]), *(pa.nulls(int(often.sum()), t) for t in (pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "n", "c", "sketch"])
 
         seen: set[int] = set()
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 sets = distinct_sets(data, offsets, k)
                 c = [digest(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "n", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(c, pa.int64()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "c", "sketch"])
                 for x, key in zip(sets, c):
                     if len(x) and key not in seen:
                         seen.add(key)
@@ -134,17 +152,17 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
         if held:
             yield tokens()
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, "doc_id bigint, n bigint, c bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, "doc_id bigint, n bigint, c bigint, sketch array<bigint>")
 
 
 def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """token, salt, c, n and position: the prefixes under the first order, of each class once a task."""
+    """token, salt and c: the prefixes under the first order, of each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in string_slices(batch.column(0)):
-                token, salt, c, n, position = [], [], [], [], []
+                token, salt, c = [], [], []
                 for x in distinct_sets(data, offsets, k):
                     key = digest(x)
                     if not len(x) or key in seen:
@@ -155,17 +173,30 @@ def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank
                     token.append(y[:p].view(np.int64))
                     salt.append(np.where(often[:p], 1 + key % SALTS, 0).astype(np.int32))
                     c.append(np.full(p, key))
-                    n.append(np.full(p, len(x), np.int32))
-                    position.append(np.arange(p, dtype=np.int32))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (token, salt, c, n, position)], names=["token", "salt", "c", "n", "position"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (token, salt, c)], names=["token", "salt", "c"])
 
-    return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt int, c bigint, n int, position int")
+    return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt int, c bigint")
 
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs of classes (a, b), those whose sets are similar."""
-    pairs = cut(pairs)
+def wide_sketch(x: np.ndarray) -> np.ndarray:
+    """As sketch, in packed bytes, of 8 to 16 bits an element."""
+    size = 8 << max(3, int(len(x) - 1).bit_length()) if len(x) else 64
+    bits = np.bincount((mix(x ^ SEEDS[55]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two wide sketches differ, the longer folded to the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def with_both(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """a, b, na, nb, x, y: what make gives for the sets of both classes of a pair, in bytes."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c")
     texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(needed, "rep"))
 
@@ -173,23 +204,41 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 sets = distinct_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([digest(x) for x in sets], pa.int64()), *(pa.array([v.tobytes() for v in f], pa.binary()) for f in (sets, [prefixes(x, SEEDS[52], percent) for x in sets], [prefixes(x, SEEDS[53], percent) for x in sets]))],
-                    names=["doc_id", "c", "s", "p", "q"],
-                )
+                arrays = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x).tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=["doc_id", "c", "n", "x"])
 
-    sets = texts.mapInArrow(task, "doc_id bigint, c bigint, s binary, p binary, q binary")
     # A class's representative only: its smallest doc_id, and that row of it whose set is the class's.
-    sets = sets.join(needed.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", F.struct("s", "p", "q").alias("x"))
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("x").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("x").alias("y")), "b")
+    sets = texts.mapInArrow(task, "doc_id bigint, c bigint, n bigint, x binary").join(needed.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"])
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), "x"), "a")
+    return both.join(sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("x").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+
 
+def kept_pairs(both: DataFrame, test: Callable[[int, bytes, int, bytes], bool]) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([tuple(np.frombuffer(r[f], np.uint64) for f in "spq") for r in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([similar(u, v, percent) for u, v in zip(x, y)], pa.bool_())
+            keep = pa.array([test(*r) for r in zip(*(batch.column(i).to_pylist() for i in (2, 4, 3, 5)))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs of classes (a, b), those whose sets are similar.
+
+    Sketches of a byte or two for each element go first, and rule out nearly
+    all pairs that are not; the sets themselves follow for the rest.
+    """
+
+    def may_be(n: int, x: bytes, m: int, y: bytes) -> bool:
+        most = min(n, m, (n + m - differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) // 2)
+        return 100 * most >= percent * (n + m - most)
+
+    def are(n: int, x: bytes, m: int, y: bytes) -> bool:
+        both = [np.frombuffer(v, np.uint64) for v in (x, y)]
+        return similar(*((v, prefixes(v, SEEDS[52], percent), prefixes(v, SEEDS[53], percent)) for v in both), percent)
+
+    likely = cut(kept_pairs(with_both(documents, cut(pairs), classes, k, wide_sketch), may_be))
+    return kept_pairs(with_both(documents, likely, classes, k, lambda x: x), are)
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -200,33 +249,40 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     heavy = got["doc_id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(heavy)
     heavy, rank = heavy[order], 1 + np.log2(np.maximum(1, got["n"].to_numpy(np.float64)))[order].astype(np.int64)
-    classes = cut(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    classes = cut(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
 
-    # Groups of at least two classes; of frequent tokens also what is alone with its salt.
+    # Groups of at least two classes; of frequent tokens also what is alone with its salt. Tokens
+    # with the same classes are one group: their key is what these classes' hashes add up to.
     group = Window.partitionBy("token", "salt")
-    least = F.min(F.struct("c", "n")).over(group)
-    held = postings(documents, k, percent, heavy, rank).withColumns({"first": least, "last": F.max("c").over(group)})
-    held = cut(held.where("first.c != last or salt > 0").select("token", "salt", "c", "n", "position", F.col("first.c").alias("fc"), F.col("first.n").alias("fn")))
-    long_enough = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    # Each class with the smallest of its group, and those of a frequent token with each other's smallest.
-    stars = held.where("c != fc").select("c", "n", "fc", "fn")
-    tops = held.where("salt > 0 and c = fc").select("token", "c", "n").distinct().withColumn("first", F.min(F.struct("c", "n")).over(Window.partitionBy("token")))
-    stars = stars.unionByName(tops.where("c != first.c").select("c", "n", F.col("first.c").alias("fc"), F.col("first.n").alias("fn")))
-    stars = stars.where(long_enough(F.col("n"), F.col("fn"))).select(F.least("c", "fc").alias("a"), F.greatest("c", "fc").alias("b")).distinct()
+    member = F.pmod(F.xxhash64("c"), F.lit(1 << 32))
+    held = postings(documents, k, percent, heavy, rank).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
+    held = held.where("low != high or salt > 0").select(F.when(F.col("salt") > 0, F.col("token")).otherwise(F.xxhash64("sum", "low", "high")).alias("key"), "salt", "c")
+    held = cut(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
+
+    # The centre of a group shares most of its prefix. Each class is compared with the nearest of
+    # the centres of its groups, and the centres of a frequent token with the best of them.
+    sized = classes.select("c", "n", "sketch")
+    shared = held.groupBy("c").agg(F.sum("tokens").alias("shared")).join(classes.select("c", "n"), "c").select("c", (F.col("n") - 5 * F.col("shared")).alias("odd"))
+    with_odd = held.join(shared, "c")
+    least = F.min(F.struct("odd", "c")).over(Window.partitionBy("key", "salt"))
+    centred = with_odd.withColumn("centre", least["c"]).select("key", "salt", "c", "odd", "centre")
+    tops = centred.where("salt > 0 and c = centre").withColumn("top", F.min(F.struct("odd", "c")).over(Window.partitionBy("key")))
+    stars = centred.select("c", "centre").unionByName(tops.select("c", F.col("top.c").alias("centre"))).where("c != centre").distinct()
+    far = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("sketch"), F.col("n2"), F.col("sketch2"), percent))
+    stars = stars.groupBy("c").agg(F.min(F.struct(far.alias("far"), "centre")).alias("x")).select(F.least("c", "x.centre").alias("a"), F.greatest("c", "x.centre").alias("b")).distinct()
     linked = cut(verified(documents, stars, classes, k, percent))
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
-    # What these links leave apart, in the groups of a token.
-    apart = held.select("token", "c", "n", "position").join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    by_token = Window.partitionBy("token")
-    apart = apart.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low != high").drop("low", "high")
-    left, right = apart, apart.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "position", "component")])
-    # The most that two sets can share, given where this token stands in both.
-    most = 1 + F.least(F.col("n") - F.col("position") - 1, F.col("n2") - F.col("position2") - 1) + F.least("position", "position2")
-    possible = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
-    rest = left.join(right, "token").where("c < c2 and component != component2").where(long_enough(F.col("n"), F.col("n2")) & possible)
-    rest = rest.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    # What these links leave apart, in the groups of a key.
+    apart = held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    by_key = Window.partitionBy("key")
+    apart = apart.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low != high").drop("low", "high")
+    apart = cut(apart.join(sized, "c"))
+    second = apart.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "sketch", "component")])
+    rest = apart.join(second, "key").where("c < c2 and component != component2").where(may_be_similar(F.col("n"), F.col("sketch"), F.col("n2"), F.col("sketch2"), percent))
+    rest = rest.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
     more = verified(documents, rest, classes, k, percent)
 
     # Over doc_ids, so that rows of the same document are together.
