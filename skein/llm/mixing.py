@@ -52,7 +52,7 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], m
         if share <= most * n / w or k == len(by):
             break
         left, weight = left - most * n, weight - w
-    return [(s, n, min(most * n, share * w)) for s, n, w in rows]
+    return [(s, n, float(min(most * n, share * w))) for s, n, w in rows]
 
 
 def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", keep: Sequence[str] = ()) -> DataFrame:
