@@ -4,11 +4,12 @@ A rolling hash over the hashes of two neighbouring lines decides where a
 chunk ends, so that a passage is cut at the same places wherever it stands;
 a line of MIN_WORDS words or more is a chunk of its own. A chunk of at least two
 lines, or of MIN_WORDS words, that occurs elsewhere is compared byte by byte with
-its first occurrence (smallest doc_id, then line) and removed if equal. The
-match is then carried on, line by line and byte by byte, through the
-chunks before and after, which catches the ends of a passage that share a
-chunk with other lines. A line is only ever removed in favour of an equal one that stands earlier, so
-that the first copy of everything stays.
+its first occurrence (smallest doc_id, then line) and removed if equal. Every
+two neighbouring lines of SEAM_WORDS words or more are treated like a chunk,
+too: they catch the ends of a passage that share a chunk with other lines,
+and passages too short to hold a whole chunk. A line is only ever removed in
+favour of an equal one that stands earlier, so that the first copy of
+everything stays.
 
 Candidates are found by counting 64-bit chunk hashes; a filter of fixed size
 lets only chunks that may be repeated send their text.
@@ -36,6 +37,7 @@ from skein.llm.hashing import BYTE, SEEDS, mix, span_hashes, words
 
 MIN_LINES = 2
 MIN_WORDS = 50
+SEAM_WORDS = 10
 #: One line in so many ends a chunk.
 MEAN_LINES = 2
 FILTER_BITS = 23
@@ -65,7 +67,12 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     close = np.flatnonzero(stop)
     open_ = np.concatenate([[0], close[:-1] + 1]).astype(int) if len(close) else close
     total = np.concatenate([[0], np.cumsum(count)])
-    # Equal texts, of equal line ends, have equal hashes.
+    # Neighbouring lines of a row that are no chunk by themselves.
+    seam = np.flatnonzero((row[:-1] == row[1:]) & (count[:-1] + count[1:] >= SEAM_WORDS)) if len(row) else close
+    known = np.zeros(len(row) + 1, bool)
+    known[open_[close - open_ == 1]] = True
+    seam = seam[~known[seam]]
+    open_, close = np.concatenate([open_, seam]), np.concatenate([close, seam + 1])
     return {
         "row": row[open_],
         "start": starts[open_],
@@ -129,7 +136,6 @@ def removals(documents: DataFrame) -> DataFrame:
                 s = slot(c["hash"])
                 hit = np.flatnonzero(eligible(c) & ((packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool))
                 raw, row, start, end = data.tobytes(), c["row"], c["start"], c["end"]
-                inside = lambda i, j: 0 <= i < len(row) and row[i] == row[j]
                 take = pa.array(row[hit])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -139,36 +145,15 @@ def removals(documents: DataFrame) -> DataFrame:
                         pa.array(c["line"][hit].astype(np.int32)),
                         pa.array(c["lines"][hit].astype(np.int32)),
                         pa.array([raw[start[j] : end[j]] for j in hit], pa.binary()),
-                        pa.array([raw[start[j - 1] : end[j - 1]] if inside(j - 1, j) else None for j in hit], pa.binary()),
-                        pa.array([raw[start[j + 1] : end[j + 1]] if inside(j + 1, j) else None for j in hit], pa.binary()),
                     ],
-                    names=["hash", "doc_id", "text_hash", "line", "lines", "chunk", "before", "after"],
+                    names=["hash", "doc_id", "text_hash", "line", "lines", "chunk"],
                 )
 
-    found = docs.mapInArrow(texts, "hash bigint, doc_id bigint, text_hash bigint, line int, lines int, chunk binary, before binary, after binary").join(firsts, "hash")
+    found = docs.mapInArrow(texts, "hash bigint, doc_id bigint, text_hash bigint, line int, lines int, chunk binary").join(firsts, "hash")
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    first = found.where(is_first).groupBy("hash").agg(F.max(F.struct("chunk", "before", "after")).alias("f"))
-    same = found.where(~is_first).join(first, "hash").where(F.col("chunk") == F.col("f.chunk"))
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def common(x: list[bytes], y: list[bytes]) -> int:
-            n = 0
-            while n < min(len(x), len(y)) and x[n] == y[n]:
-                n += 1
-            return n
-
-        lines = lambda t: t.split(b"\n") if t is not None else []
-        for batch in batches:
-            r = batch.to_pydict()
-            back = [common(lines(x)[::-1], lines(y)[::-1]) for x, y in zip(r["before"], r["f_before"])]
-            ahead = [common(lines(x), lines(y)) for x, y in zip(r["after"], r["f_after"])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x - n for x, n in zip(r["line"], back)], pa.int32()), pa.array([x + n + m for x, n, m in zip(r["lines"], back, ahead)], pa.int32())],
-                names=["doc_id", "text_hash", "line", "lines"],
-            )
-
-    narrow = same.select("doc_id", "text_hash", "line", "lines", "before", "after", F.col("f.before").alias("f_before"), F.col("f.after").alias("f_after"))
-    return narrow.mapInArrow(extended, "doc_id bigint, text_hash bigint, line int, lines int")
+    first = found.where(is_first).groupBy("hash").agg(F.max("chunk").alias("first_chunk"))
+    same = found.where(~is_first).join(first, "hash").where(F.col("chunk") == F.col("first_chunk"))
+    return same.select("doc_id", "text_hash", "line", "lines")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
