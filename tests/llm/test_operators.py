@@ -1,0 +1,229 @@
+"""The operators against brute force, on small tables with odd rows."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from skein.llm import capfilters, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, tokens, vafile
+from skein.llm.common import string_slices
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id bigint, text string, lang string, source string, n_shingles int"
+rng = random.Random(5)
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def passage(n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = passage(120)
+    near = base.split()
+    near[60] = "changed"
+    shared = "\n".join(passage(30) for _ in range(3))
+    texts = [None, "", " \n", "one two", base, base, " ".join(near), passage(3000), "12 34 ++", "ONE  two"]
+    texts += [passage(40) + "\n" + shared + "\n" + passage(20) for _ in range(3)] + [passage(9) for _ in range(20)]
+    rows = [(i, t, ("en", "de", None)[i % 3], ("b", "a", None, "a", "a")[i % 5], 1) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, base, "en", "a", 1)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_units_encode_like_whole_texts():
+    alphabet = ["a", "é", "×", "'s", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x1c", "1", ".", ",", "#", "word", "日本", "don't"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)] + [None, ""]
+    enc, got = tokens.encoder(PATH), []
+    for a, b, data, offsets in string_slices(pa.array(texts)):
+        ids, at = enc.encode(data, offsets)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(b - a)]
+    assert got == [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
+def test_simple8b_round_trip(n):
+    ids = np.random.default_rng(n).integers(0, 50257, n, dtype=np.uint64)
+    if n:
+        ids[0] = 2**32 - 1
+    assert (simple8b.decode(*simple8b.encode(ids), n) == ids).all()
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    simple8b.write_tokens(docs, PATH, str(tmp_path / "t"), 2)
+    got = sorted(simple8b.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    t = Tokenizer.from_file(PATH)
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
+    start = 0
+    for r, g in zip(rows, got, strict=True):
+        ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32, bytes(g.ids)) == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
+        start += len(ids)
+    simple8b.write_tokens(empty, PATH, str(tmp_path / "e"), 2)
+    assert simple8b.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_packing(docs, empty):
+    got = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), PATH, 1, window=64).toPandas()
+    t = Tokenizer.from_file(PATH)
+    for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        ids, at = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for p in got[got.doc_id == r.doc_id].sort_values("start").itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    sizes = got.groupby("sequence_id").length.sum()
+    assert ((sizes == 64) | (sizes & (sizes - 1) == 0)).all()
+    assert packing.pack(empty, PATH, 1).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[1100] * 50, [1], [], list(range(1, 2048, 7))])
+def test_plan_covers_each_piece_once(lengths):
+    seen = collections.defaultdict(list)
+    for w in packing.plan(np.array(lengths, int), 2048, packing.combinations(64)):
+        assert (n := sum(p[2] for p in w)) == 2048 or n & (n - 1) == 0
+        for i, first, n in w:
+            seen[i].append((first, n))
+    for i, n in enumerate(lengths):
+        assert sum(x[1] for x in seen[i]) == n
+
+
+def test_language_id(docs, empty):
+    model = langid.train(docs.where("doc_id is not null"))
+    got = langid.predict(docs, model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        letters = any(map(str.isalpha, r.text or ""))
+        assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
+    assert langid.predict(empty, model).count() == 0
+    assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
+
+
+def test_language_codes_tell_languages_apart():
+    for k in (2, 4, 6, 9, 40):
+        m = langid.codewords(k)
+        assert min((m[i] != m[j]).sum() for i in range(k) for j in range(i)) >= max(1, m.shape[1] // 5)
+
+
+def test_line_dedup(docs, empty):
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect() if r.doc_id is not None}
+    assert got[4].text is not None and got[5].text == "" and got[10].n_removed == 0
+    assert [got[i].n_removed for i in (11, 12)] == [3, 3]
+    assert got[0].text is None and got[2].text == " \n" and len(got[11].text.split("\n")) == 2
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_jaccard_components(docs, empty):
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    sets = {}
+    for r in rows:
+        w = words((r.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    for r in jaccard.components(docs).collect():
+        if r.doc_id is None:
+            assert r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
+    assert jaccard.keep_one(docs).where("doc_id = 5 or doc_id = 6").count() == 0
+    assert jaccard.components(empty).count() == 0
+
+
+def vectors(spark, n=120, dim=8):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(n, dim)).astype("float32")
+    x[n // 2 :] = x[: n - n // 2] + g.normal(size=(n - n // 2, dim)).astype("float32") * 0.05
+    rows = [(i, [float(v) for v in x[i]], i % 60 % 3) for i in range(n)]
+    rows += [(n, None, 1), (n + 1, [0.0] * dim, 1), (n + 2, [float("nan")] * dim, 1), (n + 3, [None] * dim, 1), (n + 4, rows[0][1], 0), (n + 5, [1.0], 1), (n + 6, rows[1][1], None), (n + 7, [], 1)]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), rows
+
+
+def test_topk(spark):
+    df, rows = vectors(spark)
+    good = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v, _ in rows if v and all(c is not None and c == c for c in v)}
+    want = []
+    for q in [i for i in good if i % 10 == 0]:
+        s = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    got = vafile.topk(df, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert vafile.topk(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_cap_filters(spark):
+    df, rows = vectors(spark)
+    ok = lambda v: bool(v) and all(c is not None and c == c for c in v) and any(v)
+    cos = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
+    want = {i: sum(j != i and k == m and m is not None and ok(v) and ok(u) and len(u) == len(v) and cos(np.array(u, float), np.array(v, float)) >= 0.98 for j, u, k in rows) for i, v, m in rows}
+    got = {r.vec_id: r for r in capfilters.links(df).collect()}
+    assert len(got) == len(rows)
+    found, true = sum(r.n_links for r in got.values()), sum(want.values())
+    assert all(got[i].n_links <= n for i, n in want.items()) and found >= 0.9 * true > 0
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert capfilters.links(df.limit(0)).count() == 0
+
+
+def test_mix(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    by = collections.defaultdict(lambda: [0, 0, 0.0])
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"]
+        by[r.source] = [by[r.source][0] + r.taken, by[r.source][1] + r["size"], r.target]
+    total = sum(v[1] for v in by.values())
+    assert abs(sum(v[2] for v in by.values()) - total) < 1e-6
+    assert all(abs(t - g) <= 1 and g <= 3 * n + 1e-9 for t, n, g in by.values())
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    assert mixing.mix(empty).count() == 0 and mixing.queue(mixing.mix(docs)).count() > 0
+
+
+def test_targets_share_the_excess():
+    t = {s: g for s, _, g in mixing.targets([("b", 100), (None, 100), ("a", 1)], (5, 2, 1))}
+    assert t["a"] == 3 and abs(t["b"] + t[None] - 198) < 1e-9 and t["b"] == 2 * t[None]
+
+
+def test_secrets(spark):
+    key = "AKIA" + "Z9" * 8
+    weak = "Ab1" * 8
+    texts = [None, "", f"é {key} 'token' = \"abcdefgh\"", "token=short password:longenough1", "f" * 40, f"{key} {weak}", f"{weak} alone", f"{key}" + " x" * 400 + f" {weak}", "token=token:abcdefghij"]
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()}
+    assert [(got[i].n_assign, got[i].n_access, got[i].n_hex) for i in range(9)] == [(0, 0, 0), (0, 0, 0), (1, 1, 0), (1, 0, 0), (0, 0, 1), (0, 1, 0), (0, 0, 0), (0, 1, 0), (0, 0, 0)]
+    assert got[2].spans == "access:2:22,assign:24:42" and got[5].spans == "access:0:20,key:21:45"
+    assert got[6].spans == "" and "key" not in got[7].spans
+
+
+def test_surrogates(spark):
+    texts = [None, "", "plain text, 12 apples", "mail A.b@x.org or a.b@X.org, not c@x.org", "call +1 (988) 555-2485 or 988-555-2485", "card 4539578763621486 at 10.1.2.3", "Mr. John Smith met Mrs. Anna Jones and Mr. John Smith"]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id bigint, text string, n_entities int")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert [got[i].text for i in range(3)] == texts[:3] and [got[i].n_entities for i in range(7)] == [0, 0, 0, 3, 2, 2, 3]
+    a, b, c = re.findall(r"\S+@[\w.]+", got[3].text)
+    assert a == b != c and not a.endswith("x.org")
+    x, y = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", got[4].text)
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) != "9885552485" and got[4].text.startswith("call +1 (")
+    card = re.search(r"\d{16}", got[5].text)[0]
+    assert card[0] == "4" and sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(card)) % 10 == 0
+    m = re.match(r"Mr\. (\S+ \S+) met Mrs\. (\S+) (\S+) and Mr\. (\S+ \S+)$", got[6].text)
+    assert m[1] == m[4] != "John Smith" and m[1].split()[0] in pii.MALE_NAMES and m[2] in pii.FEMALE_NAMES
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
