@@ -6,6 +6,8 @@ through tags that are not closed.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skein.functions.text import absolute, decode_redirect, keywords_in, strip_tags, without_parameter
+from skein.functions.text import absolute, decode_redirect, keywords_in, strip_tags, view_count, without_parameter
 
 ITEM = "pos int, title string, url string, content string, metadata map<string,string>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -33,6 +35,13 @@ class Node:
     def text(self) -> str:
         return " ".join("".join(c if isinstance(c, str) else f" {c.text()} " for c in self.children).split())
 
+    def plain(self) -> str:
+        """The text as it stands, without white space around it."""
+        return "".join(c if isinstance(c, str) else c.plain_parts() for c in self.children).strip()
+
+    def plain_parts(self) -> str:
+        return "".join(c if isinstance(c, str) else c.plain_parts() for c in self.children)
+
     def find(self, *path: tuple[str, str]) -> list[Node]:
         """Descendants by (tag, class), either of them empty for any."""
         found = [self]
@@ -115,17 +124,103 @@ def sogou(root: Node) -> list[dict]:
     return out
 
 
+def _attr(nodes: list[Node], *names: str) -> str:
+    """The first of the attributes that the first node has, be it empty."""
+    return next((nodes[0].attrs[n] for n in names if n in nodes[0].attrs), "") if nodes else ""
+
+
+def _plain(nodes: list[Node]) -> str:
+    return nodes[0].plain() if nodes else ""
+
+
+def _joined(nodes: list[Node]) -> str:
+    return " ".join(n.plain() for n in nodes).strip()
+
+
+def bing_images(root: Node) -> list[dict]:
+    """Image, thumbnail, page and description come as JSON in an attribute; those without an image go."""
+    out = []
+    for r in root.find(("ul", "dgControl_list"), ("li", "")):
+        try:
+            known = json.loads(_attr(r.find(("a", "iusc")), "m") or "{}")
+        except ValueError:
+            known = {}
+        of = lambda k: v if isinstance(known, dict) and isinstance(v := known.get(k), str) else ""
+        if not of("murl"):
+            continue
+        form = _joined(r.find(("div", "imgpt"), ("div", ""), ("span", "")))
+        resolution, kind = [*form.split(" · "), ""][:2]
+        source = _joined(r.find(("div", "imgpt"), ("div", "lnkw"), ("a", "")))
+        out.append(_item(_joined(r.find(("div", "infnmpt"), ("a", ""))), of("purl"), of("desc"), thumbnail=of("turl") or of("murl"), image_url=of("murl"), source=source, format=form, resolution=resolution, img_format=kind))
+    return out
+
+
+def bing_videos(root: Node) -> list[dict]:
+    """Views are the text here; html_items makes numbers of them."""
+    out = []
+    for r in root.find(("div", "dmcv")):
+        link = r.find(("a", "title"))
+        if _plain(link) and _attr(link, "href"):
+            seen = {"source": ("span", "mc_vtvc_meta_author"), "views": ("span", "mc_vtvc_meta_views")}
+            duration = _plain(r.find(("span", "mc_vtvc_duration"), ("span", "dur")))
+            out.append(_item(_plain(link), _attr(link, "href"), _plain(r.find(("p", "caption"))), thumbnail=_attr(r.find(("img", "")), "src", "data-src", "data-thumbsrc"), duration=duration, **{k: _plain(r.find(x)) for k, x in seen.items()}))
+    return out
+
+
+def sogou_images(root: Node) -> list[dict]:
+    """A row may have no link; one without an image goes."""
+    out = []
+    for r in root.find(("div", "img-box")):
+        image = r.find(("img", ""))
+        src = _attr(image, "src", "data-src", "data-original")
+        if src:
+            out.append(_item(image[0].attrs["alt"] if "alt" in image[0].attrs else r.plain(), _attr(r.find(("a", "")), "href"), "", thumbnail=src, image_url=src))
+    return out
+
+
+def sogou_videos(root: Node) -> list[dict]:
+    out = []
+    for r in root.find(("div", "video-box")):
+        link = r.find(("h3", ""), ("a", ""))
+        if _plain(link) and _attr(link, "href"):
+            out.append(_item(_plain(link), _attr(link, "href"), _plain(r.find(("p", "desc"))), thumbnail=_attr(r.find(("img", "")), "src", "data-src", "data-original"), duration=_plain(r.find(("span", "duration")))))
+    return out
+
+
+def sogou_wechat(root: Node) -> list[dict]:
+    """Redirects are dropped; published: epoch seconds, which stand in a script."""
+    out = []
+    for r in root.find(("li", "")):
+        link = r.find(("h3", ""), ("a", ""))
+        url = _attr(link, "href")
+        if "sogou_vr_" not in r.attrs.get("id", "") or not _plain(link) or not url or url.startswith("/link?url="):
+            continue
+        times = [m[1] for x in r.find(("script", "")) if (m := re.search(r"timeConvert\('([0-9]+)'\)", x.plain()))]
+        out.append(_item(_plain(link), url, _plain(r.find(("p", "txt-info"))), thumbnail=_attr(r.find(("div", "img-box"), ("a", ""), ("img", "")), "src"), source="WeChat", published=times[-1] if times else ""))
+    return out
+
+
 def links(root: Node) -> list[dict]:
     """Any page: its title, links and first heading."""
     title = _first(root.find(("title", "")))
     return [_item(a.text(), a.attrs.get("href", ""), title) for a in root.find(("a", ""))]
 
 
-PARSERS: dict[str, Callable[[Node], list[dict]]] = {"bing": bing, "bing_news": bing_news, "yandex": yandex, "sogou": sogou, "links": links}
+PARSERS: dict[str, Callable[[Node], list[dict]]] = {
+    f.__name__: f for f in (bing, bing_news, bing_images, bing_videos, yandex, sogou, sogou_images, sogou_videos, sogou_wechat, links)
+}
+# Hosts that relative thumbnails belong to.
+HOSTS = {
+    "bing_news": "https://www.bing.com",
+    "bing_videos": "https://www.bing.com",
+    "sogou_images": "https://pic.sogou.com",
+    "sogou_videos": "https://v.sogou.com",
+    "sogou_wechat": "https://weixin.sogou.com",
+}
 
 
 def html_items(responses: DataFrame, source: str, key: str, body: str = "html") -> DataFrame:
-    """key and the columns of ITEM."""
+    """key and the columns of ITEM; metadata has only what a source tells."""
     parser = PARSERS[source]
     schema = StructType([*responses.select(key).schema.fields, *StructType.fromDDL(ITEM).fields])
 
@@ -140,7 +235,15 @@ def html_items(responses: DataFrame, source: str, key: str, body: str = "html")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in kinds.items())], names=[key, *kinds])
 
     out = responses.select(key, body).mapInArrow(task, schema)
-    return out.withColumn("url", decode_redirect(F.col("url"))) if source == "bing" else out
+    metadata = F.col("metadata")
+    if source == "bing":
+        out = out.withColumn("url", decode_redirect(F.col("url")))
+    if source in HOSTS:
+        out = out.withColumn("metadata", F.transform_values(metadata, lambda k, v: F.when(k == "thumbnail", absolute(v, HOSTS[source])).otherwise(v)))
+    if source == "bing_videos":
+        views = F.transform_values(metadata, lambda k, v: F.when(k == "views", view_count(v).cast("string")).otherwise(v))
+        out = out.withColumn("metadata", F.map_filter(views, lambda k, v: v.isNotNull()))
+    return out
 
 
 def variant(body: Column) -> Column:
