@@ -42,6 +42,8 @@ HEAVY = 1 << 17
 #: Tokens are counted over so many at a time.
 COUNTED = 1 << 22
 SALTS = 32
+#: So many keys of a class are compared to pair two classes once; it affects speed alone.
+FIRST = 16
 SKETCH = 1024
 
 
@@ -70,11 +72,19 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def may_be_similar(n: Column, x: Column, m: Column, y: Column, percent: int) -> Column:
-    """Whether sets of sizes n, m and sketches x, y may be similar; never false for a pair that is."""
-    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH // 64)), F.lit(0))
-    most = F.least(n, m, F.floor((n + m - apart) / 2))
-    return 100 * most >= percent * (n + m - most)
+def sketch_words(x: str = "sketch", to: str = "s") -> list[Column]:
+    """A sketch as columns; a join's condition over array elements is too large a method to be compiled."""
+    return [F.col(x)[i].alias(f"{to}{i}") for i in range(SKETCH // 64)]
+
+
+def bits_apart(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
+
+
+def may_be_similar(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of sizes n, m whose sketches differ in so many bits may be similar; never false for a pair that is."""
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -261,16 +271,16 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     # The centre of a group shares most of its prefix. Each class is compared with the nearest of
     # the centres of its groups, and the centres of a frequent token with the best of them.
-    sized = classes.select("c", "n", "sketch")
+    sized = classes.select("c", "n", *sketch_words())
     shared = held.groupBy("c").agg(F.sum("tokens").alias("shared")).join(classes.select("c", "n"), "c").select("c", (F.col("n") - 5 * F.col("shared")).alias("odd"))
     with_odd = held.join(shared, "c")
     least = F.min(F.struct("odd", "c")).over(Window.partitionBy("key", "salt"))
     centred = with_odd.withColumn("centre", least["c"]).select("key", "salt", "c", "odd", "centre")
     tops = centred.where("salt > 0 and c = centre").withColumn("top", F.min(F.struct("odd", "c")).over(Window.partitionBy("key")))
     stars = centred.select("c", "centre").unionByName(tops.select("c", F.col("top.c").alias("centre"))).where("c != centre").distinct()
-    far = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-    stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("sketch"), F.col("n2"), F.col("sketch2"), percent))
+    far = bits_apart("s", "t")
+    second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), *sketch_words(to="t"))
+    stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("n2"), far, percent))
     stars = stars.groupBy("c").agg(F.min(F.struct(far.alias("far"), "centre")).alias("x")).select(F.least("c", "x.centre").alias("a"), F.greatest("c", "x.centre").alias("b")).distinct()
     linked = cut(verified(documents, stars, classes, k, percent))
     joined = connected_components(linked).withColumnRenamed("node", "c")
@@ -279,9 +289,14 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     apart = held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
     by_key = Window.partitionBy("key")
     apart = apart.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low != high").drop("low", "high")
-    apart = cut(apart.join(sized, "c"))
-    second = apart.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "sketch", "component")])
-    rest = apart.join(second, "key").where("c < c2 and component != component2").where(may_be_similar(F.col("n"), F.col("sketch"), F.col("n2"), F.col("sketch2"), percent))
+    apart = cut(apart.select("c", "key", "component"))
+
+    # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
+    keys = apart.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
+    apart = cut(apart.join(sized, "c").join(keys, "c"))
+    second = apart.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
+    smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
+    rest = apart.join(second, "key").where("c < c2 and component != component2").where(may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)).where(smallest)
     rest = rest.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
     more = verified(documents, rest, classes, k, percent)
 
