@@ -1,9 +1,13 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction made of one codeword for each half of the components,
-both from random spherical codes. A vector passes the filters whose product
-with it exceeds a threshold; they are list-decoded half by half without
-trying all products. Vectors of a label that pass a common filter meet in a
+both from random spherical codes, after a random turn of all vectors. A vector
+passes the filters whose product with it exceeds a threshold, its own, so that
+a given number pass; they are list-decoded half by half without trying all
+products. That number is chosen by trial on random pairs, so that a pair at
+the least cosine meets with probability RECALL at any size of table; the turn
+makes every pair as good as a random one. The codes grow with the largest
+label of vectors of a length. Vectors of a label that pass a common filter meet in a
 bucket, where their cosines are computed in double precision; a pair is
 counted in the smallest filter that both pass.
 
@@ -20,7 +24,7 @@ own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,13 +34,16 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import connected_components, cut
 
-#: Filters that a vector passes, on average and at least.
+#: Of pairs exactly at the least cosine, the share that must pass a common filter, and the pairs it is tried on.
+RECALL = 0.999
+TRIALS = 4000
+#: Filters that a vector passes at least.
 PASSED = 8
-LEAST = 3
 TILE = 1024
 ROWS = 8192
 
 
+@lru_cache(maxsize=4)
 def codes(dim: int, size: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Two random codebooks of unit vectors, for the halves of the components."""
     rng = np.random.default_rng(seed)
@@ -47,25 +54,65 @@ def codes(dim: int, size: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def list_decode(x: np.ndarray, size: int) -> list[np.ndarray]:
+@lru_cache(maxsize=4)
+def turn(dim: int, seed: int = 9) -> np.ndarray:
+    """A random rotation."""
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
+
+
+def list_decode(x: np.ndarray, size: int, passed: int) -> list[np.ndarray]:
     """The numbers, ascending, of the filters that each unit vector passes."""
     n, dim = x.shape
     first, second = codes(dim, size)
+    x = x @ turn(dim)
     a, b = x[:, : first.shape[1]] @ first.T, x[:, first.shape[1] :] @ second.T if dim > 1 else np.zeros((n, size))
-    cap = NormalDist().inv_cdf(1 - PASSED / size**2) * np.sqrt(2 / dim)
-    top_a, top_b = np.sort(a, axis=1)[:, ::-1], np.sort(b, axis=1)[:, ::-1]
-    # The LEAST best sums are among the LEAST best codewords of each half.
-    few = np.sort((top_a[:, :LEAST, None] + top_b[:, None, :LEAST]).reshape(n, -1), axis=1)[:, -LEAST]
-    cap = np.minimum(cap, few - 1e-12)
+    passed, most = min(passed, size**2), min(passed, size)
+    top_a, top_b = (-np.sort(np.partition(-c, most - 1, axis=1)[:, :most], axis=1) for c in (a, b))
     out = []
     for i in range(n):
-        p = np.flatnonzero(a[i] >= cap[i] - top_b[i, 0])
-        q = np.flatnonzero(b[i] >= cap[i] - top_a[i, 0])
-        u, v = np.nonzero(a[i, p][:, None] + b[i, q][None, :] >= cap[i])
+        # The best sums are among the best codewords of each half.
+        cap = np.partition((top_a[i][:, None] + top_b[i][None, :]).ravel(), -passed)[-passed] - 1e-12
+        p = np.flatnonzero(a[i] >= cap - top_b[i, 0])
+        q = np.flatnonzero(b[i] >= cap - top_a[i, 0])
+        u, v = np.nonzero(a[i, p][:, None] + b[i, q][None, :] >= cap)
         out.append(np.sort(p[u] * size + q[v]))
     return out
 
 
+def trial_pairs(dim: int, least: float, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and for each another at the given cosine."""
+    rng = np.random.default_rng(seed)
+    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    x = unit(rng.normal(size=(n, dim)))
+    w = rng.normal(size=(n, dim))
+    w = unit(w - (w * x).sum(axis=1, keepdims=True) * x)
+    return x, least * x + np.sqrt(max(0.0, 1 - least**2)) * w
+
+
+def met(dim: int, size: int, least: float, passed: int, seed: int = 11) -> float:
+    """The share of random pairs at the least cosine that pass a common filter."""
+    x, y = trial_pairs(dim, least, TRIALS, seed)
+    common = 0
+    for low in range(0, TRIALS, 512):
+        both = zip(list_decode(x[low : low + 512], size, passed), list_decode(y[low : low + 512], size, passed))
+        common += sum(len(np.intersect1d(p, q, assume_unique=True)) > 0 for p, q in both)
+    return common / TRIALS
+
+
+@lru_cache(maxsize=4096)
+def enough(dim: int, size: int, least: float) -> int:
+    """The number of filters to pass."""
+    passed = PASSED
+    while passed < size**2 and met(dim, size, least, passed) < RECALL:
+        passed = passed * 3 // 2
+    return min(passed, size**2)
+
+
+def code_size(n: int) -> int:
+    """Codewords of a half for n vectors of a label."""
+    return 1 << max(3, int(np.ceil(np.log2(max(1.0, n / 4)) / 2)))
+
+
 def cosines(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose cosine is at least the given one."""
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
@@ -83,9 +130,10 @@ def links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector:
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).cast("string").alias("label"), F.when(takes_part, F.transform(v, lambda c: c.cast("double"))).alias("v"))
     rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "label", "v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v", "label"))})
     classes = cut(rows.where("v is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "copies", "x.vec_id", "x.label", "x.v"))
-    n = classes.count()
-    size = 1 << max(3, int(np.ceil(np.log2(max(1.0, n / 4)) / 2)))
-    groups = max(1, n * PASSED // ROWS)
+    counts = classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()
+    sizes = {r.dim: code_size(r.most) for r in counts}
+    few = {d: enough(d, size, float(least)) for d, size in sizes.items()}
+    groups = max(1, sum(r.n * few[r.dim] for r in counts) // ROWS)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +144,7 @@ def links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector:
                     take = pa.array(at[low : low + 512])
                     x = np.asarray(values.take(take).flatten(), float).reshape(-1, d)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    found = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), size)
+                    found = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), sizes[int(d)], few[int(d)])
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["vec_id", "label", "copies", "v", "filters"])
 
     passed = classes.select("vec_id", "label", "copies", "v").mapInArrow(passing, "vec_id bigint, label string, copies bigint, v array<double>, filters array<bigint>")

@@ -184,6 +184,19 @@ def test_cap_filters(spark):
     assert capfilters.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 10**5, 10**7])
+def test_cap_filters_meet_at_any_size(n):
+    size = capfilters.code_size(n)
+    assert capfilters.met(64, size, 0.98, capfilters.enough(64, size, 0.98), seed=23) >= 0.997
+
+
+def test_cap_filters_find_pairs_at_the_threshold(spark):
+    x, y = capfilters.trial_pairs(64, 0.9801, 3000)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = capfilters.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert got.where("n_links > 0").count() >= 0.997 * 6000
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
