@@ -7,7 +7,10 @@ lines, or of MIN_WORDS words, that occurs elsewhere is compared byte by byte wit
 its first occurrence (smallest doc_id, then line) and removed if equal. Every
 two neighbouring lines of SEAM_WORDS words or more are treated like a chunk,
 too: they catch the ends of a passage that share a chunk with other lines,
-and passages too short to hold a whole chunk. A line is only ever removed in
+and passages too short to hold a whole chunk. So are every two neighbouring
+lines that have words, with the wordless lines between them, but what is too
+short for the above counts only in a run of repeated lines of SEAM_WORDS words
+in all: thus passages of short lines go whole, and a chance pair stays. A line is only ever removed in
 favour of an equal one that stands earlier, so that the first copy of
 everything stays.
 
@@ -23,6 +26,7 @@ columns are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +45,11 @@ SEAM_WORDS = 10
 #: One line in so many ends a chunk.
 MEAN_LINES = 2
 FILTER_BITS = 23
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each chunk: row, first and last byte (without its line feed), first line, lines, words, hash."""
+    """Of each chunk: row, first and last byte (without its line feed), first line, lines (negative for a short pair), words, hash."""
     n = len(data)
     feeds = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds + 1]))
@@ -72,20 +77,28 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     known = np.zeros(len(row) + 1, bool)
     known[open_[close - open_ == 1]] = True
     seam = seam[~known[seam]]
-    open_, close = np.concatenate([open_, seam]), np.concatenate([close, seam + 1])
+    # Short pairs, and those that stand too far apart for the neighbours above to touch.
+    some = np.flatnonzero(count > 0)
+    i, j = some[:-1], some[1:]
+    done = (j == i + 1) & (count[i] + count[j] >= SEAM_WORDS) | (j <= i + 3) & (np.minimum(count[i], count[j]) >= SEAM_WORDS)
+    chunk_end = np.full(len(row), -1)
+    chunk_end[open_] = close
+    pair = (row[i] == row[j]) & ~done & (chunk_end[i] != j)
+    short = np.concatenate([np.zeros(len(open_) + len(seam), bool), np.ones(pair.sum(), bool)])
+    open_, close = np.concatenate([open_, seam, i[pair]]), np.concatenate([close, seam + 1, j[pair]])
     return {
         "row": row[open_],
         "start": starts[open_],
         "end": ends[close],
         "line": line[open_],
-        "lines": close - open_ + 1,
+        "lines": np.where(short, -1, 1) * (close - open_ + 1),
         "words": total[close + 1] - total[open_],
         "hash": span_hashes(BYTE[data], starts[open_], ends[close]).astype(np.int64),
     }
 
 
 def eligible(c: dict[str, np.ndarray]) -> np.ndarray:
-    return (c["words"] > 0) & ((c["lines"] >= MIN_LINES) | (c["words"] >= MIN_WORDS))
+    return (c["words"] > 0) & ((np.abs(c["lines"]) >= MIN_LINES) | (c["words"] >= MIN_WORDS))
 
 
 def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +169,20 @@ def removals(documents: DataFrame) -> DataFrame:
     return same.select("doc_id", "text_hash", "line", "lines")
 
 
+def kept_lines(lines: list[str], gone: list[dict]) -> np.ndarray:
+    keep, touched = np.ones(len(lines), bool), np.zeros(len(lines) + 2, bool)
+    for x in gone:
+        at = slice(x["line"], x["line"] + abs(x["lines"]))
+        touched[1:-1][at] = True
+        if x["lines"] > 0:
+            keep[at] = False
+    edges = np.flatnonzero(touched[1:] != touched[:-1])
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if keep[a:b].any() and sum(len(WORD.findall(t)) for t in lines[a:b]) >= SEAM_WORDS:
+            keep[a:b] = False
+    return keep
+
+
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """All columns, the text without repeated passages, and n_lines and n_removed."""
     documents = documents.drop("n_lines", "n_removed")
@@ -177,9 +204,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                 texts = column.to_pylist()
                 for i in hit.tolist():
                     lines = texts[i].split("\n")
-                    keep = np.ones(len(lines), bool)
-                    for x in gone[i].as_py():
-                        keep[x["line"] : x["line"] + x["lines"]] = False
+                    keep = kept_lines(lines, gone[i].as_py())
                     removed[i] = len(lines) - keep.sum()
                     texts[i] = "\n".join([t for t, k in zip(lines, keep) if k])
                 column = pa.array(texts, pa.string())

@@ -129,6 +129,18 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_takes_whole_passages_of_short_lines(spark):
+    rows, want = [], []
+    for k in range(30):
+        part = {0: [passage(3) for _ in range(20)], 1: [x for _ in range(7) for x in (passage(9), "", "")][:-2], 2: [passage(1 + i % 4) for i in range(8)]}[k % 3]
+        for copy in range(2):
+            rows.append((2 * k + copy, "\n".join([passage(5), *part, passage(5)])))
+            want.append(copy * len(part))
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i].n_removed for i in range(60)] == want
+    assert all(got[i].text == rows[i][1] for i in range(0, 60, 2)) and len(got[1].text.split("\n")) == 2
+
+
 def test_jaccard_components(docs, empty):
     rows = [r for r in docs.collect() if r.doc_id is not None]
     sets = {}
