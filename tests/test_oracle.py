@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -31,5 +32,19 @@ def test_equal_to_sql(spark, name):
     assert rows(got.where(got.notna(), None)) == rows(want.where(want.notna(), None))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_each_twentieth_vector_is_asked(spark):
+    x = duckdb.sql(f"SELECT vec_id, embedding FROM '{DATA}/embeddings.parquet' ORDER BY vec_id").df()
+    ids, v = x.vec_id.tolist(), np.stack(x.embedding.to_numpy()).astype(float)
+    want = set()
+    for k in range(len(ids)):
+        if ids[k] % 20 == 0:
+            s = np.round(np.clip(v @ v[k], 0, 1), 6)
+            best = sorted((-s[j], ids[j]) for j in range(len(ids)) if j != k and s[j] >= 0.3)[:5]
+            want |= {(ids[k], i) for _, i in best}
+    got = {(r.query_id, r.vec_id) for r in catalogue.queries()["cosine_topk_20"](spark, DATA).collect()}
+    assert got == want and len({q for q, _ in got}) > len(ids) // 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
