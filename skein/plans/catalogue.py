@@ -154,6 +154,12 @@ def url_params(spark, d):
     return t.select("doc_id", text.query_string([("q", COL("q")), ("page", COL("doc_id") % 5)]).alias("qs"))
 
 
+@query("SELECT doc_id, 'q=' || replace(url_encode(text), '+', '%20') || '&page=' || (doc_id % 5) AS qs FROM documents")
+def url_params_whole(spark, d):
+    """The whole text of every document; url_params keeps the plain prefixes of its SQL."""
+    return table(spark, d, "documents").select("doc_id", text.query_string([("q", COL("text")), ("page", COL("doc_id") % 5)]).alias("qs"))
+
+
 _STRINGS = ["site:example.com", "buy shoes", "restaurant near me", "购买笔记本电脑", "news: today", "新闻 头条", "image: cat", "video: dog", "code: rust", "plain words", "é only"]
 _VALUES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_STRINGS)) + ") v(id, q)"
 

@@ -1,6 +1,7 @@
 """Every query that has SQL, against DuckDB on the smallest tables."""
 
 import os
+from urllib.parse import quote
 
 import duckdb
 import numpy as np
@@ -46,5 +47,14 @@ def test_each_twentieth_vector_is_asked(spark):
     assert got == want and len({q for q, _ in got}) > len(ids) // 100
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_url_params_of_whole_texts(spark, tmp_path):
+    odd = [(10**9, "a*b~c d+e%f&g=h/i?é日😀\n'\"-_.!()")]
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: f"q={quote(r.text, safe='')}&page={r.doc_id % 5}" for r in df.collect()}
+    assert {r.doc_id: r.qs for r in catalogue.queries()["url_params_whole"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
