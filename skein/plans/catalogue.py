@@ -354,6 +354,15 @@ def fulltext_search(spark, d):
     return fulltext.search(net, cached, feed, f"{_K1} {_K2}", 0).select("url", r6(COL("score")).alias("score"))
 
 
+@query(_SQL["fulltext_search"].replace(" WHERE doc_id % 3 = 0", ""))
+def fulltext_search_whole(spark, d):
+    """All items come from the network; fulltext_search keeps the third of its SQL."""
+    net = items(spark, d).withColumns({"position": COL("doc_id"), "score": F.lit(0.2)})
+    cached = entries(spark, d).withColumns({"url": F.upper("url"), "score": F.lit(0.1)})
+    feed = feed_items(spark, d).withColumns({"key": COL("feed_url"), "content": F.lit(None).cast("string")})
+    return fulltext.search(net, cached, feed, f"{_K1} {_K2}", 0).select("url", r6(COL("score")).alias("score"))
+
+
 def _feed_sql(keywords, extra=""):
     t = "lower(title) || ' ' || lower(coalesce(description, ''))"
     part = lambda k, w: f"CASE WHEN contains({t}, '{k}') THEN {w}::DOUBLE * (1.0::DOUBLE + ln(CAST((length({t}) - length(replace({t}, '{k}', ''))) / {len(k)} AS DOUBLE))) ELSE 0.0::DOUBLE END"

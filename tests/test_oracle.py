@@ -56,5 +56,12 @@ def test_url_params_of_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.qs for r in catalogue.queries()["url_params_whole"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_fulltext_search_has_every_item(spark):
+    got = [r.url for r in catalogue.queries()["fulltext_search_whole"](spark, DATA).collect()]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("'https://' || source || '.example/' || doc_id AS url")
+    assert {r.url for r in docs.collect()} <= set(got) and len({u.lower() for u in got}) == len(got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
