@@ -223,6 +223,19 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.queue(mixing.mix(docs)).count() > 0
 
 
+def test_mix_takes_what_a_sorted_and_truncated_queue_serves(spark):
+    rows = [(i, passage(rng.randrange(1, 10)), "abbccccccc"[i % 10]) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    line = sorted((r.virtual_finish + p * r.source_size / r.target, r.source, r.doc_id, r["size"]) for r in got for p in range(3))
+    left, served = sum({r.source: r.target for r in got}.values()), collections.Counter()
+    for _, _, i, n in line:
+        served[i] += min(n, max(0, left))
+        left -= n
+    assert left <= 0 and sum(r.taken != served[r.doc_id] for r in got) <= 9
+    for s in "abc":
+        assert abs(sum(r.taken - served[r.doc_id] for r in got if r.source == s)) <= 27
+
+
 def test_targets_share_the_excess():
     t = {s: g for s, _, g in mixing.targets([("b", 100), (None, 100), ("a", 1)], (5, 2, 1))}
     assert t["a"] == 3 and abs(t["b"] + t[None] - 198) < 1e-9 and t["b"] == 2 * t[None]
