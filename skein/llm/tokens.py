@@ -3,7 +3,8 @@
 The pre-tokeniser of a byte-level BPE never lets a piece cross certain places:
 before a space that follows anything and precedes a non-space, between a
 letter and punctuation other than an apostrophe, around a single line feed
-between non-spaces. Texts are cut there into units, equal units are found by
+between non-spaces. Before that the library takes added tokens out of a text
+and goes on with the parts between. Texts are cut at all these places into units, equal units are found by
 64-bit hashes in a table of bounded size that lives as long as the Python
 worker, and only units not met before go through the library.
 """
@@ -11,6 +12,7 @@ worker, and only units not met before go through the library.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -69,7 +71,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The first in the text is taken, of those the longest.
+        added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -126,9 +130,18 @@ class UnitEncoder:
         self.units, self.used = self.units + len(ids), self.used + len(flat)
         self.insert(h, number.astype(np.int32))
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where units begin; each occurrence of an added token is a unit of its own."""
+        if self.added is None or not self.added.search(data):
+            return unit_starts(data, offsets)
+        spans = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in self.added.finditer(data, a, b)]
+        begin, end = np.array(spans, np.int64).reshape(-1, 2).T
+        found = unit_starts(data, np.unique(np.concatenate([offsets, begin, end])))
+        return found[np.searchsorted(begin, found) <= np.searchsorted(end, found, side="right")]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and their offsets in them."""
-        starts = unit_starts(data, offsets)
+        starts = self.starts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         h = span_hashes(BYTE[data], starts, ends) | np.uint64(1)
         if self.units > MOST_UNITS:

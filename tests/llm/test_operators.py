@@ -57,6 +57,18 @@ def test_units_encode_like_whole_texts():
     assert got == [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_added_tokens_encode_as_the_library_does():
+    t = Tokenizer.from_file(PATH)
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    parts = [*added, "<|", "endoftext", "|>", "a", " ", "  ", "\n", ".", "é", "'s", "1"]
+    texts = ["a<|endoftext|>b", "<|endof", "text|>", *["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)], None, ""]
+    enc, got = tokens.encoder(PATH), []
+    for a, b, data, offsets in string_slices(pa.array(texts)):
+        ids, at = enc.encode(data, offsets)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(b - a)]
+    assert added and got == [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
 def test_simple8b_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 50257, n, dtype=np.uint64)
