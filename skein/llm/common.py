@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,54 @@ FILTER_WORDS = 1 << 16
 
 #: Texts are handled in slices of about this many bytes, so that the work
 #: arrays of a task stay small.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+
+_forget: list[Callable[[], None]] = []
+_work: list[str | None] = [None]
+
+
+def forgets(drop: Callable[[], None]) -> Callable[[], None]:
+    """Registers what empties a module's tables in a Python worker."""
+    _forget.append(drop)
+    return drop
+
+
+def begin(work: str) -> None:
+    """Called first in a task. A worker lives on from stage to stage: what it kept for other work goes back to the system."""
+    if _work[0] != work:
+        for drop in _forget:
+            drop()
+        _work[0] = work
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for checkpoints and written tables.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a local session) a
-    temporary folder is used.
+    ``spark.checkpoint.dir`` names it. Where that is unset a local session uses
+    a temporary folder; on a cluster it is an error, as executors would not see it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -111,12 +144,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = after
     labels = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for written tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from skein.llm.common import forgets
+
 _RNG = np.random.default_rng(20240229)
 BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,6 +35,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+@forgets
+def _drop_powers() -> None:
+    for base in _POWERS:
+        _POWERS[base] = np.ones(1, np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,19 +2,26 @@
 
 Documents of equal shingle sets are one class. If two sets are similar enough
 they share a token among the first of each, its prefix, under *any* total
-order of all tokens. Under the first order, where frequent tokens come last,
-prefixes are joined, with bounds from sizes and from sketches of the sets; a
-candidate pair must then share a prefix token under two further, unrelated
-orders before the sets themselves are compared.
+order of all tokens. Three orders are used; in each, frequent tokens come
+last, and tokens of about one frequency by a hash of the order's own. The
+prefixes under the first order are joined. A pair stays a candidate if sizes
+and sketches allow it and it shares a prefix token under the second and the
+third order, too; only then are the sets themselves fetched and compared.
 
 Large groups: in a group (a token, and for frequent tokens a salt) each class
 is first compared with a central one only; what these links connect
 needs no further comparison. Only classes of different components that still
-share a token are paired. Thus thousands of near copies cost a comparison
+share a token are paired. Where more than SPLIT classes do, they are joined by
+that token and a prefix token under the second order instead, so that a common
+token by itself pairs nothing. Thus thousands of near copies cost a comparison
 each, and no pair of texts that might be linked is left out.
 
-Frequent tokens are those met repeatedly within tasks; the list holds the
-HEAVY most frequent and only decides an order: any order gives the same
+Texts are shingled for their digests, for the prefixes under the first order,
+and once more for a table of the sets of all classes that share a token with
+another; all comparisons read that table.
+
+Frequent tokens are those met repeatedly within tasks; the list holds at most
+the HEAVY most frequent and only decides an order: any order gives the same
 result, so its bound affects speed alone.
 
 Edge cases: texts that are null or without words have empty sets and link
@@ -26,22 +33,27 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import connected_components, cut, membership, possibly_in, string_slices
+from skein.llm.common import begin, connected_components, cut, membership, possibly_in, shared_folder, string_slices
 from skein.llm.hashing import SEEDS, mix, shingles
 
 WORDS = 5
 PERCENT = 80
 HEAVY = 1 << 17
 #: Tokens are counted over so many at a time.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
+#: Parts of the group of a frequent token, at least, and documents of a part, about.
 SALTS = 32
+PART = 1024
+#: Above so many classes of a token the second order divides them.
+SPLIT = 64
 #: So many keys of a class are compared to pair two classes once; it affects speed alone.
 FIRST = 16
 SKETCH = 1024
@@ -91,23 +103,21 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def first_order(x: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x with frequent tokens last, and which of them are frequent."""
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)
-        known = np.where(heavy[at] == x, rank[at], 0)
-    else:
-        known = np.zeros(len(x), np.int64)
-    order = np.lexsort((x, known))
-    return x[order], known[order] > 0
+def ranks(x: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How frequent the tokens are: 0, or the binary logarithm of a count and one."""
+    if not len(heavy):
+        return np.zeros(len(x), np.uint64)
+    at = np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)
+    return np.where(heavy[at] == x, rank[at], 0).astype(np.uint64)
 
 
-def prefixes(x: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
-    """The prefix of x under the order that the seed gives, sorted by value."""
+def prefix(x: np.ndarray, known: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """Where in x its prefix under an order (0, 1, 2) is, in no order; known: the ranks."""
     p = prefix_length(len(x), percent)
     if p >= len(x):
-        return x
-    return np.sort(x[np.argpartition(mix(x ^ seed), p - 1)[:p]])
+        return np.arange(len(x))
+    key = (known << np.uint64(58)) | (mix(x ^ SEEDS[51 + order]) >> np.uint64(6))
+    return np.argpartition(key, p - 1)[:p]
 
 
 def meet(x: np.ndarray, y: np.ndarray) -> int:
@@ -121,20 +131,18 @@ def meet(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def similar(a: tuple, b: tuple, percent: int) -> bool:
-    """a, b: (set, prefix under the second order, under the third)."""
-    if percent * max(len(a[0]), len(b[0])) > 100 * min(len(a[0]), len(b[0])):
-        return False
-    if not meet(a[1], b[1]) or not meet(a[2], b[2]):
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
         return False
-    both = meet(a[0], b[0])
-    return 100 * both >= percent * (len(a[0]) + len(b[0]) - both)
+    both = meet(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def signatures(documents: DataFrame, k: int) -> DataFrame:
     """A row for each document (doc_id, n, c, sketch) and, with a null c, for each token that a task met repeatedly (token, times)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("sets")
         held: list[np.ndarray] = []
         size = 0
 
@@ -165,10 +173,29 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, "doc_id bigint, n bigint, c bigint, sketch array<bigint>")
 
 
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, at most HEAVY, ascending, and their ranks; what the driver gets is bounded by that."""
+    counts = cut(rows.where("c is null").groupBy("doc_id").agg(F.sum("n").alias("n")))
+    level = F.floor(8 * F.log2("n")).cast("int")
+    left, least = HEAVY, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counts.where(level >= least).toPandas()
+    heavy = got["doc_id"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(heavy)
+    return heavy[order], 1 + np.log2(got["n"].to_numpy(np.float64))[order].astype(np.int64)
+
+
 def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
     """token, salt and c: the prefixes under the first order, of each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("sets")
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in string_slices(batch.column(0)):
@@ -178,87 +205,72 @@ def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank
                     if not len(x) or key in seen:
                         continue
                     seen.add(key)
-                    p = prefix_length(len(x), percent)
-                    y, often = first_order(x, heavy, rank)
-                    token.append(y[:p].view(np.int64))
-                    salt.append(np.where(often[:p], 1 + key % SALTS, 0).astype(np.int32))
-                    c.append(np.full(p, key))
+                    known = ranks(x, heavy, rank)
+                    at = prefix(x, known, 0, percent)
+                    often = known[at].astype(np.int64)
+                    parts = np.maximum(SALTS, (1 << np.minimum(often, 40)) // PART)
+                    token.append(x[at].view(np.int64))
+                    salt.append(np.where(often > 0, 1 + (key & (2**62 - 1)) % parts, 0))
+                    c.append(np.full(len(at), key))
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (token, salt, c)], names=["token", "salt", "c"])
 
-    return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt int, c bigint")
-
+    return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt bigint, c bigint")
 
-def wide_sketch(x: np.ndarray) -> np.ndarray:
-    """As sketch, in packed bytes, of 8 to 16 bits an element."""
-    size = 8 << max(3, int(len(x) - 1).bit_length()) if len(x) else 64
-    bits = np.bincount((mix(x ^ SEEDS[55]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8))
 
+def set_table(documents: DataFrame, wanted: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """c, n, p2, p3 and x of the classes in wanted (c, rep): prefixes under the other orders, in 32 bits, and the set, in bytes.
 
-def differing(x: np.ndarray, y: np.ndarray) -> int:
-    """In how many bits two wide sketches differ, the longer folded to the shorter."""
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def with_both(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """a, b, na, nb, x, y: what make gives for the sets of both classes of a pair, in bytes."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c")
-    texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(needed, "rep"))
+    A written table, so that a comparison reads the columns it needs.
+    """
+    texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(wanted, "rep"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("sets")
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 sets = distinct_sets(data, offsets, k)
-                arrays = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x).tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=["doc_id", "c", "n", "x"])
+                known = [ranks(x, heavy, rank) for x in sets]
+                orders = [pa.array([x[prefix(x, y, i, percent)].astype(np.uint32).view(np.int32) for x, y in zip(sets, known)], pa.list_(pa.int32())) for i in (1, 2)]
+                arrays = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *orders, pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=["doc_id", "c", "n", "p2", "p3", "x"])
 
-    # A class's representative only: its smallest doc_id, and that row of it whose set is the class's.
-    sets = texts.mapInArrow(task, "doc_id bigint, c bigint, n bigint, x binary").join(needed.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"])
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), "x"), "a")
-    return both.join(sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("x").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+    # A class's smallest doc_id only, and one row of it whose set is the class's.
+    sets = texts.mapInArrow(task, "doc_id bigint, c bigint, n bigint, p2 array<int>, p3 array<int>, x binary")
+    own = sets.join(wanted, "c").where(F.col("doc_id") == F.col("rep")).drop("doc_id", "rep").dropDuplicates(["c"])
+    folder = f"{shared_folder(documents.sparkSession)}/sets-{uuid.uuid4().hex}"
+    own.write.parquet(folder)
+    return documents.sparkSession.read.parquet(folder)
 
 
-def kept_pairs(both: DataFrame, test: Callable[[int, bytes, int, bytes], bool]) -> DataFrame:
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([test(*r) for r in zip(*(batch.column(i).to_pylist() for i in (2, 4, 3, 5)))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+def with_both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of classes (a, b) with columns of the sets of both, those of b with a 2."""
+    needed = possibly_in(sets.select("c", *columns), "c", membership(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c"))
+    first = needed.withColumnRenamed("c", "a")
+    second = needed.select(F.col("c").alias("b"), *[F.col(x).alias(f"{x}2") for x in columns])
+    return pairs.join(first, "a").join(second, "b")
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
+    meeting = F.arrays_overlap("p2", "p22") & F.arrays_overlap("p3", "p32")
+    candidates = cut(with_both(cut(pairs), sets, ["p2", "p3"]).where(meeting).select("a", "b"))
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs of classes (a, b), those whose sets are similar.
-
-    Sketches of a byte or two for each element go first, and rule out nearly
-    all pairs that are not; the sets themselves follow for the rest.
-    """
-
-    def may_be(n: int, x: bytes, m: int, y: bytes) -> bool:
-        most = min(n, m, (n + m - differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) // 2)
-        return 100 * most >= percent * (n + m - most)
-
-    def are(n: int, x: bytes, m: int, y: bytes) -> bool:
-        both = [np.frombuffer(v, np.uint64) for v in (x, y)]
-        return similar(*((v, prefixes(v, SEEDS[52], percent), prefixes(v, SEEDS[53], percent)) for v in both), percent)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("sets")
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    likely = cut(kept_pairs(with_both(documents, cut(pairs), classes, k, wide_sketch), may_be))
-    return kept_pairs(with_both(documents, likely, classes, k, lambda x: x), are)
+    return with_both(candidates, sets, ["x"]).select("a", "b", "x", "x2").mapInArrow(compare, "a bigint, b bigint")
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
     rows = cut(signatures(documents, k))
     signed = rows.where("c is not null")
-    got = rows.where("c is null").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY).toPandas()
-    heavy = got["doc_id"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(heavy)
-    heavy, rank = heavy[order], 1 + np.log2(np.maximum(1, got["n"].to_numpy(np.float64)))[order].astype(np.int64)
+    heavy, rank = frequent(rows)
     classes = cut(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
 
     # Groups of at least two classes; of frequent tokens also what is alone with its salt. Tokens
@@ -268,37 +280,42 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     held = postings(documents, k, percent, heavy, rank).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
     held = held.where("low != high or salt > 0").select(F.when(F.col("salt") > 0, F.col("token")).otherwise(F.xxhash64("sum", "low", "high")).alias("key"), "salt", "c")
     held = cut(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
+    # A frequent token of one class only pairs nothing.
+    lone = held.where("salt > 0").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low = high").select("key")
+    held = cut(held.join(lone, "key", "left_anti"))
+    sets = set_table(documents, held.select("c").distinct().join(classes.select("c", "rep"), "c"), k, percent, heavy, rank)
 
     # The centre of a group shares most of its prefix. Each class is compared with the nearest of
     # the centres of its groups, and the centres of a frequent token with the best of them.
     sized = classes.select("c", "n", *sketch_words())
     shared = held.groupBy("c").agg(F.sum("tokens").alias("shared")).join(classes.select("c", "n"), "c").select("c", (F.col("n") - 5 * F.col("shared")).alias("odd"))
-    with_odd = held.join(shared, "c")
-    least = F.min(F.struct("odd", "c")).over(Window.partitionBy("key", "salt"))
-    centred = with_odd.withColumn("centre", least["c"]).select("key", "salt", "c", "odd", "centre")
-    tops = centred.where("salt > 0 and c = centre").withColumn("top", F.min(F.struct("odd", "c")).over(Window.partitionBy("key")))
-    stars = centred.select("c", "centre").unionByName(tops.select("c", F.col("top.c").alias("centre"))).where("c != centre").distinct()
+    with_odd = cut(held.join(shared, "c").select("key", "salt", "c", "odd"))
+    centres = with_odd.groupBy("key", "salt").agg(F.min(F.struct("odd", "c")).alias("centre"))
+    tops = centres.where("salt > 0")
+    best = tops.groupBy("key").agg(F.min("centre").alias("top"))
+    stars = with_odd.join(centres, ["key", "salt"]).select("c", F.col("centre.c").alias("centre"))
+    stars = stars.unionByName(tops.join(best, "key").select(F.col("centre.c").alias("c"), F.col("top.c").alias("centre"))).where("c != centre").distinct()
     far = bits_apart("s", "t")
     second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), *sketch_words(to="t"))
     stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("n2"), far, percent))
     stars = stars.groupBy("c").agg(F.min(F.struct(far.alias("far"), "centre")).alias("x")).select(F.least("c", "x.centre").alias("a"), F.greatest("c", "x.centre").alias("b")).distinct()
-    linked = cut(verified(documents, stars, classes, k, percent))
+    linked = cut(verified(stars, sets, percent))
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
     # What these links leave apart, in the groups of a key.
-    apart = held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    by_key = Window.partitionBy("key")
-    apart = apart.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low != high").drop("low", "high")
-    apart = cut(apart.select("c", "key", "component"))
+    apart = cut(held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c")))
+    several = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
+    apart = cut(apart.join(several, "key"))
 
     # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
     keys = apart.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
-    apart = cut(apart.join(sized, "c").join(keys, "c"))
-    second = apart.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
-    smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
-    rest = apart.join(second, "key").where("c < c2 and component != component2").where(may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)).where(smallest)
-    rest = rest.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
-    more = verified(documents, rest, classes, k, percent)
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    own = apart.join(sized, "c").join(keys, "c").withColumn("token", F.lit(None).cast("int"))
+    few, many = own.where(F.col("m") <= SPLIT), own.where(F.col("m") > SPLIT)
+    divided = many.drop("token").join(sets.select("c", F.explode("p2").alias("token")), "c")
+    of_two = divided.groupBy("key", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "token")
+    found = [paired(few, ["key"], words, percent), paired(divided.join(of_two, ["key", "token"]), ["key", "token"], words, percent)]
+    more = verified(found[0].unionByName(found[1]).distinct(), sets, percent)
 
     # Over doc_ids, so that rows of the same document are together.
     named = linked.unionByName(more)
@@ -310,6 +327,14 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def paired(rows: DataFrame, by: list[str], words: list[str], percent: int) -> DataFrame:
+    """a, b: classes of different components that agree in the columns by, as far as sizes and sketches allow."""
+    second = rows.select(*by, *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(x).alias(f"t{x[1:]}") for x in words])
+    smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
+    near = may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)
+    return rows.join(second, by).where("c < c2 and component != component2").where(near).where(smallest).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+
+
 def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component: its smallest doc_id; all columns are kept.
 

@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import string_slices
+from skein.llm.common import begin, string_slices
 from skein.llm.hashing import mix
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
-#: The bound of the training sample: rows for each language, and in all.
+#: The bound of the training sample: rows for each language, and in all (one of each language at least).
 ROWS_A_LANGUAGE = 400
 ROWS = 4000
 RIDGE = 1e-3
+#: Rows whose features are held at once.
+AT_ONCE = 512
 #: Scores below it are flagged as ambiguous.
 AMBIGUOUS = 0.45
 
@@ -84,29 +86,42 @@ def codewords(k: int) -> np.ndarray:
     bits, rng, best = int(np.ceil(10 * np.log2(k))), np.random.default_rng(k), (-1, None)
     for _ in range(64):
         m = rng.choice([-1.0, 1.0], (k, bits))
-        far = min((m[i] != m[j]).sum() for i in range(k) for j in range(i)) if k < 200 else 0
-        if far > best[0] and (np.abs(m.sum(axis=0)) < k).all():
+        one = np.abs(m.sum(axis=0)) == k  # says nothing: half of the languages change sides
+        m[: k // 2, one] *= -1
+        far = int((bits - (m @ m.T - 2 * bits * np.eye(k))).min() // 2)
+        if far > best[0]:
             best = (far, m)
     return best[1]
 
 
-def train(documents: DataFrame) -> Model:
+def train(documents: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, most: int = ROWS) -> Model:
     """Fits the classifiers on a sample of labelled rows of bounded size.
 
-    The sample holds, of each language, the rows with the smallest hashes of
-    doc_id and text; only rows with a language are asked for.
+    The sample holds, of each language, the rows_a_language texts with the
+    smallest hashes of doc_id and text, fewer where there are more than
+    most / rows_a_language languages, but one at least; only rows with a
+    language are asked for. A threshold for the hashes, from the count of each
+    language, keeps what is ordered in a task near the size of the sample. A
+    row that is repeated is in the sample once.
     """
-    h = F.xxhash64("doc_id", "text")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = documents.where("lang is not null and text is not null").select("doc_id", "lang", h.alias("h")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= ROWS_A_LANGUAGE).orderBy("n", "lang").limit(ROWS)
-    labelled = documents.where("lang is not null and text is not null").withColumn("_h", h)
-    sample = labelled.join(F.broadcast(chosen.select(F.col("h").alias("_h"))), "_h", "left_semi")
+    labelled = documents.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("_h"))
+    counts = labelled.groupBy("lang").count()
+    of_each = max(1, min(rows_a_language, most // max(1, counts.count())))
+    enough = counts.select(F.col("lang").alias("_lang"), (F.lit(2.0 * of_each + 200) / F.col("count")).alias("_share"))
+    at = F.pmod(F.col("_h"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    few = labelled.join(enough, F.col("lang") == F.col("_lang")).where(at < F.col("_share")).select("lang", "_h")
+    w = Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 32)), "_h")
+    chosen = few.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= of_each).select(F.col("lang").alias("_l"), F.col("_h").alias("_chosen"))
+    sample = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_chosen")), "left_semi").dropDuplicates(["lang", "_h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language")
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(0)):
-                x = features(data, offsets).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], names=["x", "lang"])
+                for low in range(0, b - a, AT_ONCE):
+                    part = offsets[low : min(b - a, low + AT_ONCE) + 1]
+                    x = features(data[part[0] : part[-1]], part - part[0]).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a + low, len(x))], names=["x", "lang"])
 
     got = sorted((r.lang, bytes(r.x)) for r in sample.select("text", "lang").mapInArrow(rows, "x binary, lang string").collect())
     return fit([g[0] for g in got], np.array([np.frombuffer(g[1], np.float16) for g in got], np.float32).reshape(len(got), BUCKETS))
@@ -155,11 +170,12 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None, a
     names = np.array([*model.languages, UNKNOWN], object)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language")
         for batch in batches:
             text = batch.column(columns.index("text"))
             for a, b, data, offsets in string_slices(text, 1 << 20):
-                for low in range(a, b, 512):
-                    high = min(b, low + 512)
+                for low in range(a, b, AT_ONCE):
+                    high = min(b, low + AT_ONCE)
                     cut = offsets[low - a : high - a + 1]
                     letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.slice(low, high - low).to_pylist()], bool)
                     best, score = np.full(high - low, len(model.languages)), np.zeros(high - low)

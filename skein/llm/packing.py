@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import string_slices
+from skein.llm.common import begin, string_slices
 from skein.llm.tokens import encoder
 
 DEPTH = 3
@@ -132,6 +132,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, window: int = 2048)
     bins = window // BIN
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         enc, combos = encoder(tokenizer), combinations(bins)
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple] = []

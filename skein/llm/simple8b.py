@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import string_slices
+from skein.llm.common import begin, string_slices
 from skein.llm.tokens import encoder
 
 BLOCK = 256
@@ -128,6 +128,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int)
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         enc, file, chunk, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 
@@ -153,7 +154,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int)
         if held:
             yield flush()
 
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").orderBy(F.asc_nulls_last("doc_id"), "text")
+    # Ranges of doc_id alone: the sample that finds their bounds must not hold texts.
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "text")
     texts.mapInArrow(chunks, SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 

@@ -16,11 +16,12 @@ import re
 
 import numpy as np
 
+from skein.llm.common import forgets
 from skein.llm.hashing import BYTE, SPACE, span_hashes
 
-TABLE_BITS = 22
+TABLE_BITS = 20
 #: Above this many units the table starts anew.
-MOST_UNITS = 1 << 20
+MOST_UNITS = 1 << 18
 #: Longer units are not kept.
 LONGEST = 64
 
@@ -171,6 +172,9 @@ class UnitEncoder:
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
+forgets(_ENCODERS.clear)
+
+
 def encoder(path: str) -> UnitEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
