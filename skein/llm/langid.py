@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, string_slices
+from skein.llm.common import begin, cut, string_slices
 from skein.llm.hashing import mix
 
 UNKNOWN = "und"
@@ -33,6 +33,8 @@ BUCKETS = 1 << 12
 ROWS_A_LANGUAGE = 400
 ROWS = 4000
 RIDGE = 1e-3
+#: Tables of a row for each language are broadcast up to so many.
+MOST_BROADCAST = 100_000
 #: Rows whose features are held at once.
 AT_ONCE = 512
 #: Scores below it are flagged as ambiguous.
@@ -105,14 +107,16 @@ def train(documents: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, most: in
     row that is repeated is in the sample once.
     """
     labelled = documents.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("_h"))
-    counts = labelled.groupBy("lang").count()
-    of_each = max(1, min(rows_a_language, most // max(1, counts.count())))
+    counts = cut(labelled.groupBy("lang").count())
+    languages = counts.count()
+    of_each = max(1, min(rows_a_language, most // max(1, languages)))
+    small = F.broadcast if languages <= MOST_BROADCAST else (lambda x: x)
     enough = counts.select(F.col("lang").alias("_lang"), (F.lit(2.0 * of_each + 200) / F.col("count")).alias("_share"))
     at = F.pmod(F.col("_h"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    few = labelled.join(enough, F.col("lang") == F.col("_lang")).where(at < F.col("_share")).select("lang", "_h")
+    few = labelled.join(small(enough), F.col("lang") == F.col("_lang")).where(at < F.col("_share")).select("lang", "_h")
     w = Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 32)), "_h")
     chosen = few.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= of_each).select(F.col("lang").alias("_l"), F.col("_h").alias("_chosen"))
-    sample = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_chosen")), "left_semi").dropDuplicates(["lang", "_h"])
+    sample = labelled.join(small(chosen), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_chosen")), "left_semi").dropDuplicates(["lang", "_h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("language")

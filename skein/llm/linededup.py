@@ -1,32 +1,40 @@
 """Removal of repeated multi-line passages by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines decides where a
-chunk ends, so that a passage is cut at the same places wherever it stands;
-a line of MIN_WORDS words or more is a chunk of its own. A chunk of at least two
-lines, or of MIN_WORDS words, that occurs elsewhere is compared byte by byte with
-its first occurrence (smallest doc_id, then line) and removed if equal. Every
-two neighbouring lines of SEAM_WORDS words or more are treated like a chunk,
-too: they catch the ends of a passage that share a chunk with other lines,
-and passages too short to hold a whole chunk. So are every two neighbouring
-lines that have words, with the wordless lines between them, but what is too
-short for the above counts only in a run of repeated lines of SEAM_WORDS words
-in all: thus passages of short lines go whole, and a chance pair stays. A line is only ever removed in
-favour of an equal one that stands earlier, so that the first copy of
-everything stays.
-
-Candidates are found by counting 64-bit chunk hashes; a filter of fixed size
-lets only chunks that may be repeated send their text.
-
-Edge cases: a null or empty text stays as it is; lines without words are no
-passage by themselves; a passage repeated inside one document is removed
-there, too; rows without doc_id are left alone; rows that repeat doc_id and
-text are one document and treated alike; an empty table gives no rows; all
-columns are kept.
+Lines without words are no lines here. A rolling hash over the hashes of two
+neighbouring lines is taken at each line; of the lines that begin within
+WINDOW words of each other the one of the smallest hash begins a chunk, and
+a line of WINDOW words or more is a chunk of its own. So boundaries depend on
+a few lines around only, a passage is cut at the same places wherever it
+stands, and every passage of 50 words holds a whole chunk. Chunks that occur
+repeatedly are compared byte by byte. From an equal chunk on, the lines before
+and after it are compared, too, as far as boundaries may differ between two
+places (CONTEXT words), and go with it if they are equal: so the ends of a
+passage go where they share a chunk with other lines.
+
+What is removed is a run of lines that stands as such in one earlier place, of
+at least two lines and LEAST_WORDS words, or of MIN_WORDS words. A chunk is held
+against its first occurrence (in the order of doc_id, text hash, line) and
+against the one before it. A line is only ever removed in favour of an equal
+one that stands earlier, so that the first copy of everything stays.
+
+One shuffle carries the chunks that may be repeated, those that a filter over
+the counted 64-bit hashes lets through. A task sends the bytes of a chunk
+once, and compares its other copies with those itself; in the shuffle's sorted
+partitions a hash's occurrences go by one at a time, so that the copies of the
+commonest passage are never held together.
+
+Edge cases: a null or empty text stays as it is; lines without words stay,
+but go with the lines around them; a passage repeated inside one document is
+removed there, too; rows without doc_id are left alone; rows that repeat
+doc_id and text are one document and treated alike, rows that repeat a
+doc_id with another text are documents of their own; an empty table gives no
+rows; all columns are kept, but n_lines and n_removed of the caller give way.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,157 +44,239 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import cut, string_slices
+from skein.llm.common import begin, cut, string_slices
 from skein.llm.hashing import BYTE, SEEDS, mix, span_hashes, words
 
 MIN_LINES = 2
 MIN_WORDS = 50
-SEAM_WORDS = 10
-#: One line in so many ends a chunk.
-MEAN_LINES = 2
-FILTER_BITS = 23
+LEAST_WORDS = 10
+WINDOW = 9
+CONTEXT = 3 * WINDOW
+#: Bits of the filter for each repeated hash, and in all: 8 MB at most, whatever the input.
+FILTER_RATIO = 16
+FILTER_BITS = (16, 26)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each chunk: row, first and last byte (without its line feed), first line, lines (negative for a short pair), words, hash."""
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line with words: row, first byte, byte after the last (without its line feed), number in its row, words, words before it in the slice."""
     n = len(data)
     feeds = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds + 1]))
     starts = starts[starts < n]
     row = np.searchsorted(offsets, starts, side="right") - 1
-    # A text that ends with a line feed has an empty last line, which is no span here.
     limit = np.append(starts[1:], n)
-    ends = np.where((limit > starts) & (data[np.maximum(limit - 1, 0)] == 10) if n else limit > starts, limit - 1, limit)
-    h = span_hashes(BYTE[data], starts, ends)
-    first_line = np.searchsorted(row, np.arange(len(offsets) - 1))
-    line = np.arange(len(starts)) - first_line[row]
+    ends = np.where(data[limit - 1] == 10, limit - 1, limit) if n else limit
+    number = np.arange(len(starts)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
     word_starts, _, _ = words(data, offsets)
-    count = np.diff(np.searchsorted(word_starts, np.append(starts, n)))
-    long = count >= MIN_WORDS
-    before = np.concatenate([[np.uint64(0)], h[:-1]])
-    before[line == 0] = 0
-    stop = (mix(h * SEEDS[40] + before * SEEDS[41]) % np.uint64(MEAN_LINES) == 0) | long
-    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-    stop |= last | np.append(long[1:], False) if len(row) else stop
-    close = np.flatnonzero(stop)
-    open_ = np.concatenate([[0], close[:-1] + 1]).astype(int) if len(close) else close
+    before = np.searchsorted(word_starts, np.append(starts, n))
+    count = np.diff(before)
+    some = count > 0
+    return row[some], starts[some], ends[some], number[some], count[some], before[:-1][some]
+
+
+def least_ahead(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each line, the one of the smallest hash among those of its row that begin within WINDOW words from it."""
+    best = np.arange(len(h))
+    for k in range(1, WINDOW):
+        j = np.arange(len(h) - k)
+        near = (row[j] == row[j + k]) & (at[j + k] < at[j] + WINDOW)
+        if not near.any():
+            break
+        better = near & (h[j + k] < h[best[j]])
+        best[j[better]] = j[better] + k
+    return best
+
+
+def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each chunk: row, first and last byte, number of the first line, lines up to the last, words, lines with words, hash."""
+    row, start, end, number, count, at = lines_of(data, offsets)
+    n = len(row)
+    h = span_hashes(BYTE[data], start, end)
+    first = np.ones(n, bool)
+    first[1:] = row[1:] != row[:-1]
+    rolling = h * SEEDS[40]
+    rolling[1:] += np.where(first[1:], np.uint64(0), h[:-1] * SEEDS[41])
+    open_ = first.copy()
+    open_[least_ahead(mix(rolling), row, at)] = True
+    long = count >= WINDOW
+    open_ |= long
+    open_[1:] |= long[:-1]
+    a = np.flatnonzero(open_)
+    b = np.append(a[1:], n) - 1 if n else a
     total = np.concatenate([[0], np.cumsum(count)])
-    # Neighbouring lines of a row that are no chunk by themselves.
-    seam = np.flatnonzero((row[:-1] == row[1:]) & (count[:-1] + count[1:] >= SEAM_WORDS)) if len(row) else close
-    known = np.zeros(len(row) + 1, bool)
-    known[open_[close - open_ == 1]] = True
-    seam = seam[~known[seam]]
-    # Short pairs, and those that stand too far apart for the neighbours above to touch.
-    some = np.flatnonzero(count > 0)
-    i, j = some[:-1], some[1:]
-    done = (j == i + 1) & (count[i] + count[j] >= SEAM_WORDS) | (j <= i + 3) & (np.minimum(count[i], count[j]) >= SEAM_WORDS)
-    chunk_end = np.full(len(row), -1)
-    chunk_end[open_] = close
-    pair = (row[i] == row[j]) & ~done & (chunk_end[i] != j)
-    short = np.concatenate([np.zeros(len(open_) + len(seam), bool), np.ones(pair.sum(), bool)])
-    open_, close = np.concatenate([open_, seam, i[pair]]), np.concatenate([close, seam + 1, j[pair]])
     return {
-        "row": row[open_],
-        "start": starts[open_],
-        "end": ends[close],
-        "line": line[open_],
-        "lines": np.where(short, -1, 1) * (close - open_ + 1),
-        "words": total[close + 1] - total[open_],
-        "hash": span_hashes(BYTE[data], starts[open_], ends[close]).astype(np.int64),
+        "row": row[a],
+        "start": start[a],
+        "end": end[b],
+        "line": number[a],
+        "lines": number[b] - number[a] + 1,
+        "words": total[b + 1] - total[a],
+        "hash": span_hashes(BYTE[data], start[a], end[b]).astype(np.int64),
+        "first": a,
+        "line_row": row,
+        "line_start": start,
+        "line_end": end,
+        "total": total,
     }
 
 
-def eligible(c: dict[str, np.ndarray]) -> np.ndarray:
-    return (c["words"] > 0) & ((np.abs(c["lines"]) >= MIN_LINES) | (c["words"] >= MIN_WORDS))
+def contexts(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the lines before and after each chunk, CONTEXT words at most."""
+    a, row, total, n = c["first"], c["line_row"], c["total"], len(c["line_row"])
+    b = np.append(a[1:], n) - 1 if n else a
+    low = np.maximum(np.searchsorted(total, total[a] - CONTEXT), np.searchsorted(row, row[a]))
+    high = np.minimum(np.searchsorted(total, total[b + 1] + CONTEXT, side="right") - 1, np.searchsorted(row, row[a], side="right"))
+    left, right = low < a, high > b + 1
+    start, end = c["line_start"], c["line_end"]
+    none = np.zeros(len(a), np.int64)
+    return np.where(left, start[low], none), np.where(left, start[a] - 1, none), np.where(right, end[b] + 1, none), np.where(right, end[np.maximum(high - 1, 0)], none)
 
 
 def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("lines")
     for batch in batches:
-        for a, b, data, offsets in string_slices(batch.column(1)):
-            c = chunk_table(data, offsets)
-            ok = eligible(c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c["hash"][ok]), batch.column(0).slice(a, b - a).take(pa.array(c["row"][ok])), pa.array(c["line"][ok].astype(np.int32))],
-                names=["hash", "doc_id", "line"],
-            )
+        for _, _, data, offsets in string_slices(batch.column(0)):
+            h, n = np.unique(chunk_table(data, offsets)["hash"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["hash", "n"])
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (mix(h.astype(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def repeated_filter(keys: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, of which those of repeated hashes are set: 1 MB at any size."""
+def repeated_filter(hashes: DataFrame) -> np.ndarray:
+    """Bits, as bytes, of which those of the hashes are set; more where there are more hashes, within a bound."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], int(FILTER_RATIO * hashes.count()).bit_length()))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        begin("lines")
+        mask = np.zeros(1 << bits, bool)
         for batch in batches:
-            bits[slot(np.asarray(batch.column(0)))] = True
-        packed = np.packbits(bits).view(np.int64)
+            mask[slot(np.asarray(batch.column(0)), bits)] = True
+        packed = np.packbits(mask).view(np.int64)
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["word", "bits"])
 
-    got = keys.select("hash").mapInArrow(words_of, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    packed = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    for r in got:
-        packed[r.word] = r.bits
+    got = hashes.select("hash").mapInArrow(words_of, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    packed = np.zeros((1 << bits) // 64, np.int64)
+    packed[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return packed.view(np.uint8)
 
 
-def removals(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line and lines of the passages to remove."""
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    keys = docs.select("doc_id", "text").mapInArrow(chunk_keys, "hash bigint, doc_id bigint, line int")
-    firsts = keys.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")).where(F.col("first") != F.col("last")).select("hash", "first")
-    firsts = cut(firsts)
-    packed = repeated_filter(firsts)
+FOUND = "hash bigint, check bigint, doc_id bigint, text_hash bigint, line int, lines int, chunk binary, before binary, after binary"
+MATCH = "doc_id bigint, text_hash bigint, line int, lines int, source bigint, source_hash bigint, source_line int"
+
+
+def possible_chunks(docs: DataFrame, packed: np.ndarray) -> DataFrame:
+    """The chunks that the filter lets through, and where they stand.
+
+    chunk: its bytes, null where the task has sent equal ones already.
+    before, after: bytes of the lines around it, where its passage may begin or end.
+    """
+    bits = (len(packed) * 8).bit_length() - 1
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("lines")
+        sent: dict[tuple[int, int], bytes] = {}
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 c = chunk_table(data, offsets)
-                s = slot(c["hash"])
-                hit = np.flatnonzero(eligible(c) & ((packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool))
-                raw, row, start, end = data.tobytes(), c["row"], c["start"], c["end"]
+                s = slot(c["hash"], bits)
+                hit = np.flatnonzero((packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1)
+                raw, row, start, end = data.tobytes(), c["row"], c["start"].tolist(), c["end"].tolist()
+                check = mix(span_hashes(BYTE[data ^ 0x5A], c["start"][hit], c["end"][hit])).astype(np.int64)
+                around = [x[hit].tolist() for x in contexts(c)]
+                chunks = []
+                for j, key in zip(hit.tolist(), zip(c["hash"][hit].tolist(), check.tolist())):
+                    chunk = raw[start[j] : end[j]]
+                    if sent.get(key) == chunk:
+                        chunk = None
+                    elif len(sent) < SENT and key not in sent:
+                        sent[key] = chunk
+                    chunks.append(chunk)
+                before, after = ([raw[x:y] if y > x else None for x, y in zip(*around[i : i + 2])] for i in (0, 2))
                 take = pa.array(row[hit])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c["hash"][hit]),
-                        batch.column(0).slice(a, b - a).take(take),
-                        batch.column(2).slice(a, b - a).take(take),
-                        pa.array(c["line"][hit].astype(np.int32)),
-                        pa.array(c["lines"][hit].astype(np.int32)),
-                        pa.array([raw[start[j] : end[j]] for j in hit], pa.binary()),
-                    ],
-                    names=["hash", "doc_id", "text_hash", "line", "lines", "chunk"],
-                )
-
-    found = docs.mapInArrow(texts, "hash bigint, doc_id bigint, text_hash bigint, line int, lines int, chunk binary").join(firsts, "hash")
-    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    first = found.where(is_first).groupBy("hash").agg(F.max("chunk").alias("first_chunk"))
-    same = found.where(~is_first).join(first, "hash").where(F.col("chunk") == F.col("first_chunk"))
-    return same.select("doc_id", "text_hash", "line", "lines")
+                arrays = [c["hash"][hit], check, batch.column(0).slice(a, b - a).take(take), batch.column(2).slice(a, b - a).take(take), c["line"][hit].astype(np.int32), c["lines"][hit].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in arrays), *(pa.array(x, pa.binary()) for x in (chunks, before, after))], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return docs.mapInArrow(task, FOUND)
+
+
+#: Chunks whose bytes a task keeps to send them once; it affects the size of the shuffle alone.
+SENT = 1 << 16
+
+
+def shared_end(x: bytes | None, y: bytes | None, side: int) -> int:
+    """How many lines the contexts of equal chunks share at the end that touches the chunk (side -1: their last lines)."""
+    if not x or not y:
+        return 0
+    x, y, n = x.split(b"\n")[::side], y.split(b"\n")[::side], 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    return n
+
+
+def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of occurrences sorted by (hash, check, doc_id, text_hash, line): the lines that stand as such at the first and at the one before."""
+    begin("lines")
+    key, first, last, body = None, None, None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if r[:2] != key:
+                key, first, last, body = r[:2], None, None, r[6]
+            elif r[6] is not None:
+                if body is not None and body != r[6]:
+                    continue  # other bytes of the same hashes
+                body = r[6]
+            here = r[2:5]
+            if last is not None and last[2:5] == here:
+                continue  # a repeated row
+            for at in (first, last) if last is not first else (first,):
+                if at is not None:
+                    low, high = shared_end(r[7], at[7], -1), shared_end(r[8], at[8], 1)
+                    out.append((r[2], r[3], r[4] - low, r[5] + low + high, at[2], at[3], at[4] - low))
+            first, last = first or r, r
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()])], names=[x.split()[0] for x in MATCH.split(", ")])
+
+
+def removals(documents: DataFrame) -> DataFrame:
+    """Runs of lines (doc_id, text_hash, line, lines) and the earlier place where they stand, too (source, source_hash, source_line)."""
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    counts = docs.select("text").mapInArrow(chunk_keys, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    packed = repeated_filter(cut(counts.where("n > 1").select("hash")))
+    by = ["hash", "check", "doc_id", "text_hash", "line"]
+    return possible_chunks(docs, packed).repartition("hash", "check").sortWithinPartitions(*by).mapInArrow(matches, MATCH)
 
 
 def kept_lines(lines: list[str], gone: list[dict]) -> np.ndarray:
-    keep, touched = np.ones(len(lines), bool), np.zeros(len(lines) + 2, bool)
+    """Which lines stay; gone: runs of lines and where they stand, too."""
+    n = len(lines)
+    keep, count = np.ones(n, bool), np.array([len(WORD.findall(t)) for t in lines])
+    some = np.append(0, np.cumsum(count > 0))
+    total = np.append(0, np.cumsum(count))
+    places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for x in gone:
-        at = slice(x["line"], x["line"] + abs(x["lines"]))
-        touched[1:-1][at] = True
-        if x["lines"] > 0:
-            keep[at] = False
-    edges = np.flatnonzero(touched[1:] != touched[:-1])
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if keep[a:b].any() and sum(len(WORD.findall(t)) for t in lines[a:b]) >= SEAM_WORDS:
-            keep[a:b] = False
+        places[x["source"], x["source_hash"], x["line"] - x["source_line"]].append((x["line"], x["line"] + x["lines"]))
+    for runs in places.values():
+        runs.sort()
+        a, b = runs[0]
+        for c, d in [*runs[1:], (n + 2, n + 2)]:
+            if c <= b or c <= n and some[c] == some[b]:  # nothing or lines without words between
+                b = max(b, d)
+                continue
+            if total[b] - total[a] >= (LEAST_WORDS if some[b] - some[a] >= MIN_LINES else MIN_WORDS):
+                inside = a + np.flatnonzero(count[a:b])
+                keep[inside[0] : inside[-1] + 1] = False
+            a, b = c, d
     return keep
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """All columns, the text without repeated passages, and n_lines and n_removed."""
     documents = documents.drop("n_lines", "n_removed")
-    gone = removals(documents).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line", "lines")).alias("_gone"))
+    gone = removals(documents).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line", "lines", "source", "source_hash", "source_line")).alias("_gone"))
     # Named so that no column of the caller clashes.
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_gone")
     keyed = documents.withColumn("_text_hash", F.xxhash64("text"))
@@ -195,20 +285,23 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, gone = batch.column(columns.index("text")), batch.column(len(columns))
-            total = pa.compute.add(pa.compute.count_substring(column, "\n"), 1).cast(pa.int64()).fill_null(0)
-            removed = np.zeros(batch.num_rows, np.int64)
-            hit = np.flatnonzero(np.asarray(gone.is_valid()))
-            if len(hit):
-                texts = column.to_pylist()
-                for i in hit.tolist():
-                    lines = texts[i].split("\n")
-                    keep = kept_lines(lines, gone[i].as_py())
-                    removed[i] = len(lines) - keep.sum()
-                    texts[i] = "\n".join([t for t, k in zip(lines, keep) if k])
-                column = pa.array(texts, pa.string())
-            arrays = [column if c == "text" else batch.column(i) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, total, pa.array(removed)], names=[*columns, "n_lines", "n_removed"])
+        begin("lines")
+        for whole in batches:
+            for low, high, _, _ in string_slices(whole.column(columns.index("text")), 1 << 24):
+                batch = whole.slice(low, high - low)
+                column, gone = batch.column(columns.index("text")), batch.column(len(columns))
+                total = pa.compute.add(pa.compute.count_substring(column, "\n"), 1).cast(pa.int64()).fill_null(0)
+                removed = np.zeros(batch.num_rows, np.int64)
+                hit = np.flatnonzero(np.asarray(gone.is_valid()))
+                if len(hit):
+                    texts = column.to_pylist()
+                    for i in hit.tolist():
+                        lines = texts[i].split("\n")
+                        keep = kept_lines(lines, gone[i].as_py())
+                        removed[i] = len(lines) - keep.sum()
+                        texts[i] = "\n".join([t for t, k in zip(lines, keep) if k])
+                    column = pa.array(texts, batch.column(columns.index("text")).type)
+                arrays = [column if c == "text" else batch.column(i) for i, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*arrays, total, pa.array(removed)], names=[*columns, "n_lines", "n_removed"])
 
     return joined.select(*columns, "_gone").mapInArrow(rebuilt, schema)

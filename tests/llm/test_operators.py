@@ -277,3 +277,52 @@ def test_surrogates(spark):
     m = re.match(r"Mr\. (\S+ \S+) met Mrs\. (\S+) (\S+) and Mr\. (\S+ \S+)$", got[6].text)
     assert m[1] == m[4] != "John Smith" and m[1].split()[0] in pii.MALE_NAMES and m[2] in pii.FEMALE_NAMES
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_line_dedup_against_all_places(spark):
+    """Each removed line stands earlier; every passage of 50 words that stands earlier as a whole is gone, shifted or not."""
+    short = [passage(rng.randrange(1, 14)) for _ in range(14)]
+    blocks = [short, [passage(60)], [passage(17) for _ in range(4)], [x for _ in range(9) for x in (passage(7), "")][:-1]]
+    texts, want = [], []
+    for i in range(40):
+        lines, spans = [passage(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 5))], []
+        for block in rng.sample(blocks, rng.randrange(1, 4)):
+            spans.append((len(lines), block))
+            lines += [*block, *(passage(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 4)))]
+        texts.append("\n".join(lines))
+        want.append(spans)
+    texts.append(texts[7])
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (5, "\n".join(["another", *blocks[2]]), "x"), (None, texts[1], "x"), (90, None, "x"), (91, "", "x"), (92, "\n".join([passage(20)] * 4), "x")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_removed string").repartition(5)).collect()
+    by = {(r.doc_id, r.n_lines): r for r in got}
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "n_lines", "n_removed"}
+    seen: list[str] = []
+    for i, t in enumerate(texts):
+        kept, lines = by[i, t.count("\n") + 1].text.split("\n"), t.split("\n")
+        if i < 40:
+            gone = {n for at, block in want[i] if "\n".join(block) in seen for n in range(at, at + len(block))}
+            assert kept == [x for n, x in enumerate(lines) if n not in gone] or i == 5
+            seen += ["\n".join(block) for _, block in want[i]]
+        else:
+            assert kept == [""]
+    assert by[None, texts[1].count("\n") + 1].text == texts[1] and by[92, 4].n_removed == 3
+    assert sorted(r.text == texts[3] or r.n_removed for r in got if r.doc_id == 3)[0] == sorted(r.text == texts[3] or r.n_removed for r in got if r.doc_id == 3)[1]
+    five = [r for r in got if r.doc_id == 5]
+    assert any(r.n_lines == 5 and r.n_removed in (0, 4) for r in five)
+
+
+def test_language_id_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out()
+    model = langid.train(docs.where(~held))
+    got = langid.predict(docs.where(held & F.col("lang").isNotNull() & F.col("text").rlike(r"(?U)\p{L}{3,}")), model)
+    assert got.where("lang = lang_pred").count() >= 0.9 * got.count() > 0
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, passage(20), "a" if i % 3 else "b") for i in range(3000)] + [(1, "same words here", "a")] * 500
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df, rows_a_language=50)
+    assert model.languages == ["a", "b"] and langid.train(df, 50, 1).languages == ["a", "b"]
+    many = langid.codewords(300)
+    assert (many @ many.T - 2 * many.shape[1] * np.eye(300)).max() < many.shape[1]
