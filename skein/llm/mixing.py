@@ -2,10 +2,17 @@
 
 Documents of a source are shuffled by a keyed hash. A pass over a source
 gives each document a virtual finish time: the words of its source up to and
-with it, passes before included, divided by the source's target. The queue is
-served in the order of finish times until the total budget is spent, which is
-at time 1 for every source at once; what a document has got by then is what
-the mix takes of it.
+with it, passes before included, divided by the source's target; each word in it
+has one likewise, so that a very long document does not block its source. The
+queue is served in the global order of finish times (ties: by source, null
+last) and truncated at the total budget, the sum of all sizes; the last
+document that a source is served of is thus taken in part.
+
+The order is cut in two steps. At virtual time 1 every source has been served
+its target, rounded down: all words with a finish time of at most 1 come before
+the cut. What the budget leaves then, less than a word for each source, goes
+to the words that follow, which are few; they are sorted by finish time and
+truncated.
 
 Running sums: a source's hash range is cut into equal buckets, enough of them
 for each to stay small; sums of buckets are combined before the shuffle, and
@@ -13,10 +20,12 @@ only a bucket's documents are ordered in one task, so that a source with a
 third of all rows is spread like any other.
 
 Edge cases: a null or empty text has size 0 and is taken 0 times; a null
-source is a source of its own, last in order; rows that repeat a doc_id are
-documents of their own and share the place in the order; rows without doc_id
-are ordered first; a table without words has targets 0; an empty table gives
-no rows; columns of the caller are not kept unless asked for.
+source is a source of its own, last in order; rows that repeat a doc_id, or
+have none, are documents of their own, in the order of a hash of doc_id and
+text; equal rows tie, and any of them may come first; a table without words
+has targets 0; an empty table gives no rows; columns of the caller are not
+kept unless asked for, whatever their names; where a kept column has the name
+of a result, the result gives way to it.
 """
 
 from __future__ import annotations
@@ -26,10 +35,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut
+
 #: Documents of one bucket of a source, about.
 BUCKET_ROWS = 4096
 SPACES = r"[^\x20\x09-\x0D]+"
 DIGITS = 8
+#: A source by columns without nulls, in order.
+BY = ["no_source", "source_key"]
 
 
 def size_in_words(text: Column) -> Column:
@@ -55,46 +68,71 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], m
     return [(s, n, float(min(most * n, share * w))) for s, n, w in rows]
 
 
+def _numbered(rows: DataFrame, digits: int, sums: DataFrame) -> DataFrame:
+    """up_to: the words of the source up to and with the document, in the order of h."""
+    w = Window.partitionBy(*BY, "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("bucket", F.substring("h", 1, digits)).withColumn("within", F.sum("size").over(w)).join(sums, [*BY, "bucket"]).withColumn("up_to", F.col("before") + F.col("within")).drop("bucket", "before", "within")
+
+
 def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, virtual_finish and keep.
 
     virtual_finish: the time at which the document's first pass ends. The sizes of sources
     (a row for each) are gathered on the driver, as the weights are there.
     """
-    h = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = documents.select("doc_id", "source", size_in_words(F.col("text")).alias("size"), h.alias("h"), *[c for c in keep if c not in ("doc_id", "source")])
-    got = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
+    keep = [c for c in keep if c not in ("doc_id", "source")]
+    rows = documents.select(
+        F.col("doc_id"), F.col("source"), size_in_words(F.col("text")).alias("size"), digest.alias("h"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept")
+    )
+    sizes = cut(rows.drop("kept"))
+    got = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     most_rows = max((r.n for r in got), default=0)
     by_source = targets([(r.source, r["size"]) for r in got], weights, most)
-    plan = documents.sparkSession.createDataFrame([(s, s is None, n, t, int(t)) for s, n, t in by_source], "source string, no_source boolean, source_size bigint, target double, budget bigint")
     # Buckets: equal ranges of the first digits of the hash.
     digits = 1
     while digits < DIGITS and 16**digits * BUCKET_ROWS < most_rows:
         digits += 1
-    rows = rows.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "bucket": F.substring("h", 1, digits)})
-    by = ["no_source", "source_key"]
-    sums = rows.groupBy(*by, "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("words"))
-    w = Window.partitionBy(*by, "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("within", F.sum("size").over(w)).join(sums.select(*by, "bucket", "before"), [*by, "bucket"])
-    plan = plan.withColumn("source_key", F.coalesce("source", F.lit(""))).drop("source")
-    placed = placed.join(F.broadcast(plan) if len(by_source) <= 10_000 else plan, by).withColumn("up_to", F.col("before") + F.col("within"))
-    taken = sum(
-        (F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.lit(p) * F.col("source_size") - (F.col("up_to") - F.col("size")))) for p in range(most)),
-        F.lit(0),
-    )
+    sums = sizes.groupBy(*BY, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
+    sums = cut(sums.withColumn("before", F.sum("words").over(Window.partitionBy(*BY).orderBy("bucket")) - F.col("words")).drop("words"))
+    small = F.broadcast if len(by_source) <= 10_000 else (lambda x: x)
+    plan = documents.sparkSession.createDataFrame([(s or "", s is None, n, t, int(t)) for s, n, t in by_source], "source_key string, no_source boolean, source_size bigint, target double, budget bigint")
+
+    # What each pass gets by time 1.
+    size, start = F.col("size"), lambda p: F.col("up_to") - F.col("size") + p * F.col("source_size")
+    by_one = lambda p: F.greatest(F.lit(0), F.least(size, F.col("budget") - start(p)))
+    head = sum((by_one(F.lit(p)) for p in range(1, most)), by_one(F.lit(0)))
+    numbered = cut(_numbered(sizes, digits, sums).join(small(plan), BY))
+    served = numbered.agg(F.sum(head).alias("n")).first().n or 0
+    left, open_words = sum(n for _, n, _ in by_source) - served, sum(t for _, n, t in by_source if t < most * n)
+    # By this time the queue has served more than is left.
+    until = 1 + 3 * (left + len(by_source)) / open_words if open_words else 1.0
+    passes = numbered.where(size > 0).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumns({"start": start(F.col("p")), "done": by_one(F.col("p"))})
+    passes = passes.withColumn("most", F.least(size, F.ceil(until * F.col("target")) - F.col("start"))).where(F.col("done") < F.col("most"))
+    each = passes.withColumn("end", F.explode(F.sequence(F.col("start") + F.col("done") + 1, F.col("start") + F.col("most"))))
+    each = each.withColumn("finish", F.col("end").cast("double") / F.col("target")).where(F.col("finish") <= until)
+    tail = each.withColumn("place", F.row_number().over(Window.orderBy("finish", *BY, "end"))).where(F.col("place") <= left)
+    tail = cut(tail.groupBy(*BY, F.col("up_to").alias("at")).agg(F.count("*").alias("got")))
+
+    placed = _numbered(rows, digits, sums).join(small(plan), BY) if keep else numbered.withColumn("kept", F.lit(None))
+    tail = tail.select(F.col("no_source").alias("ns"), F.col("source_key").alias("sk"), "at", "got")
+    mine = (F.col("ns") == F.col("no_source")) & (F.col("sk") == F.col("source_key")) & (F.col("at") == F.col("up_to")) & (size > 0)
+    taken = head + F.coalesce("got", F.lit(0))
     finish = F.try_divide(F.col("up_to").cast("double"), F.col("target"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), finish.alias("virtual_finish"), *[c for c in keep if c not in ("doc_id", "source")])
+    out = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": size, "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("bigint"), "virtual_finish": finish}
+    return placed.join(small(tail), mine, "left").select(*(v.alias(c) for c, v in out.items() if c not in keep), *[F.col("kept")[c].alias(c) for c in keep])
 
 
-def queue(mixed: DataFrame, most: int = 3) -> DataFrame:
-    """A row for each time that a document is served, in the order of virtual finish times.
+def queue(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """A row of the columns of documents for each time that it is served, in the order of virtual finish times.
 
-    A last pass of which the budget left less than half is dropped, one of
-    which it left half or more is served whole. The rows are range-sorted.
+    A last pass of which the mix takes less than half is dropped, one of
+    which it takes half or more is served whole. The rows are range-sorted.
     """
+    inner = documents.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in documents.columns]).alias("_row"))
+    mixed = mix(inner, weights, most, keep=["_row"])
     size, taken = F.col("size"), F.col("taken")
     whole = F.when(size > 0, F.floor((2 * taken + size) / (2 * size))).otherwise(0).cast("int")
-    served = mixed.withColumn("_times", whole).where(F.col("_times") > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    served = mixed.withColumn("times", whole).where(F.col("times") > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times"))))
     at = F.col("virtual_finish") + (F.col("pass") - 1) * F.try_divide(F.col("source_size").cast("double"), F.col("target"))
-    return served.withColumn("virtual_finish", at).drop("_times").orderBy("virtual_finish", F.asc_nulls_last("source"), "doc_id")
+    return served.withColumn("at", at).orderBy("at", F.asc_nulls_last("source"), "doc_id").select("_row.*")

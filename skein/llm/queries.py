@@ -47,7 +47,7 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken").withColumn("target", F.col("target").cast("double"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,7 @@ WITH v AS (
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
-  WHERE q.vec_id % 50 = 0
+  FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
@@ -95,7 +94,7 @@ WHERE rank <= 5
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -114,15 +113,25 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, share * w) AS target FROM s, c
 ), u AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS before,
-         CAST(floor(t.target) AS BIGINT) AS budget
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget, row_number() OVER () AS id,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), passes AS (
+  SELECT *, before + p * source_size AS first, greatest(0, least(size, budget - before - p * source_size)) AS head
+  FROM u, (SELECT unnest([0, 1, 2]) AS p)
+), rest AS (
+  SELECT CAST((SELECT sum(size) FROM d) - (SELECT sum(head) FROM passes) AS BIGINT) AS n, (SELECT count(*) FROM t) AS sources,
+         (SELECT sum(target) FROM t WHERE target < 3 * source_size) AS open_words
+), words AS (
+  SELECT id, source, upto, CAST(upto AS DOUBLE) / target AS finish, n
+  FROM (SELECT *, unnest(range(first + head + 1, first + least(size, CAST(ceil((1 + 3 * (n + sources) / open_words) * target) AS BIGINT) - first) + 1)) AS upto
+        FROM passes, rest WHERE head < size)
+), line AS (
+  SELECT id, 1 AS got FROM words QUALIFY row_number() OVER (ORDER BY finish, source NULLS LAST, upto) <= n
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, budget - before)) + greatest(0, least(size, budget - source_size - before))
-            + greatest(0, least(size, budget - 2 * source_size - before)) AS BIGINT) AS taken
-FROM u
+SELECT u.doc_id, u.size, u.source_size, u.target, CAST(a.head + coalesce(b.got, 0) AS BIGINT) AS taken
+FROM u JOIN (SELECT id, sum(head) AS head FROM passes GROUP BY id) a USING (id)
+LEFT JOIN (SELECT id, sum(got) AS got FROM line GROUP BY id) b USING (id)
 """
 
 

@@ -1,109 +1,221 @@
 """Exact top-k inner products over a vector-approximation file.
 
-Vectors are integers: floor(scale * x) of each component. Their approximation
-keeps the cell, STEP values wide, of each component. For a query q and a cell
-with middle m, the score lies within |q|_1 * (STEP - 1) / 2 of q.m, so one
-product with the cells bounds the scores of a tile; exact vectors are then
-read in the order of their bounds until the kth score is certain.
-
-Queries and vectors are cut into tiles by a hash of the vector; each pair of
-a query tile and a vector tile is one task's work, and the k best of the
-tiles are merged. A tile has about TILE vectors, or QUERIES queries, at any
-size of the input.
-
-Edge cases: vectors that are null, empty, or hold null or non-finite components or components
-of 2**40 or more after scaling take no part; only vectors of as many
-components are compared; a query row that is repeated counts once, a
-candidate row that is repeated counts as often, and no candidate has the
-query's own id; ties go to the smaller id; rows without an id take no part;
-an empty table gives no rows; other columns are ignored.
+Vectors are integers: floor(scale * x) of each component, whole numbers kept
+in doubles. The approximation file holds, of each distinct vector, a byte a
+component: the cell it falls in. Of the 256 cells of a component 254 divide
+the range between its outer quantiles, the other two hold what lies outside.
+
+1. Scan: tiles of the file meet tiles of queries. The cells' bounds give, for
+   each query and vector, the least and the greatest score it may have; a
+   vector is left if its greatest is not below the kth greatest of the least.
+2. The tiles' kth bounds are merged, and what they rule out goes.
+3. Exact vectors are read by id in the order of their bounds: first, of each
+   query, the PROBE best by bound; their kth exact score is a bound that rules
+   out nearly all others, and the rest is read.
+
+Equal vectors are one row of the file, with their smallest ids: of more than
+k + 1 ids the others can be no result, so that a vector that a third of all
+rows hold is scored once. All pairs of a tile of queries and a tile of the
+file are work of their own; a tile has a size that doesn't grow with the input.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite
+components take no part; components may be of any finite size, and products
+that a double does not hold exactly are computed in whole numbers; a score
+beyond a long among the results is an error, as in SQL; only
+vectors of as many components are compared; a query id that is repeated asks
+once, with its smallest vector; a candidate row that is repeated counts as
+often, and no candidate has the query's own id; ties go to the smaller id;
+rows without an id take no part; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP = 4
-TILE = 8192
-QUERIES = 4096
-LARGEST = float(2**40)
-
-
-def tile_topk(q: np.ndarray, v: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, vector row and score of the k best of each query in a tile.
-
-    q, v: integers in float64 or objects; own, ids: their ids.
-    """
-    order = np.argsort(ids, kind="stable")
-    v, ids = v[order], ids[order]
-    cells = v // STEP
-    middle = cells * STEP + (STEP - 1) / 2 if v.dtype != object else None
-    found: tuple[list, list, list] = ([], [], [])
-    for low in range(0, len(q), 256):
-        part = q[low : low + 256]
-        if middle is None:
-            bound, slack = part @ v.T, np.zeros(len(part))
-        else:
-            bound, slack = part @ middle.T, np.abs(part).sum(axis=1) * (STEP - 1) / 2
-        for i in range(len(part)):
-            b = np.asarray(bound[i], float)
-            allowed = ids != own[low + i]
-            b = np.where(allowed, b, -np.inf)
-            n = min(k, int(allowed.sum()))
-            if not n:
-                continue
-            # No vector below it can be among the k best: n have at least that score.
-            floor = np.partition(b, len(b) - n)[len(b) - n] - 2 * slack[i] - 1e-6 * max(1.0, slack[i])
-            near = np.flatnonzero(b >= floor)
-            near = near[np.argsort(-b[near], kind="stable")]
-            rows, scores, at, block = [], [], 0, max(32, 4 * k)
-            while at < len(near):
-                if at >= n and b[near[at]] + slack[i] < np.sort(np.concatenate(scores))[-n]:
-                    break
-                take = near[at : at + block]
-                rows.append(take)
-                scores.append(v[take] @ part[i])
-                at += block
-            rows, scores = np.concatenate(rows), np.concatenate(scores)
-            best = np.lexsort((rows, -scores.astype(float) if scores.dtype != object else np.array([-s for s in scores], object)))[:n] if scores.dtype != object else np.array(sorted(range(len(rows)), key=lambda j: (-scores[j], rows[j]))[:n])
-            found[0].append(np.full(len(best), low + i))
-            found[1].append(order[rows[best]])
-            found[2].append(scores[best])
-    if not found[0]:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    return tuple(np.concatenate(x) for x in found)
+from skein.llm.common import begin, cut, shared_folder
+
+CELLS = 256
+#: Vectors of a tile of the file, queries of a tile, and vectors that are bounded at a time.
+TILE = 32768
+QUERIES = 2048
+BLOCK = 1024
+#: Shares of the components that lie outside the inner cells, on either side.
+OUTER = 0.0005
+PROBE = 4
+#: Whole numbers up to here are exact in doubles.
+EXACT = 2.0**53
+
+
+def whole(v: np.ndarray, scale: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(v * scale)
+
+
+def marks(quantiles: list[tuple[float, float, float, float]]) -> np.ndarray:
+    """Per component (rows) the least value of each cell, and the greatest of all at the end; cells hold whole numbers."""
+    out = np.empty((len(quantiles), CELLS + 1))
+    for row, (low, inner_low, inner_high, high) in zip(out, quantiles):
+        row[0], row[CELLS] = low, high
+        row[1:CELLS] = np.ceil(np.linspace(inner_low, inner_high, CELLS - 1))
+    return out
+
+
+def cells_of(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cell of each component."""
+    out = np.empty(v.shape, np.uint8)
+    for c in range(v.shape[1]):
+        out[:, c] = np.clip(np.searchsorted(at[c, :CELLS], v[:, c], side="right") - 1, 0, CELLS - 1)
+    return out
+
+
+def limits(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and half width of each component's cells."""
+    low, high = at[:, :CELLS], np.maximum(at[:, :CELLS], at[:, 1:] - 1)
+    high[:, -1] = np.maximum(at[:, CELLS - 1], at[:, CELLS])
+    middle = low / 2 + high / 2
+    return middle, np.maximum(high - middle, middle - low)
+
+
+def scan(q: np.ndarray, cells: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector, least and greatest score of what a tile may hold of the k best of each query."""
+    middle, half = limits(at)
+    every = np.arange(cells.shape[1])
+    kept: list[list[np.ndarray]] = [[], [], [], []]
+    floor = np.full(len(q), -np.inf)
+    best = np.full((len(q), k + 1), -np.inf)
+    size = np.abs(q)
+    for start in range(0, len(cells), BLOCK):
+        part = cells[start : start + BLOCK]
+        m, w = middle[every, part], half[every, part]
+        with np.errstate(over="ignore", invalid="ignore"):
+            mid, slack = q @ m.T, size @ w.T
+            slack += 1e-9 * (slack + size @ np.abs(m).T)  # rounding
+            low, high = np.nan_to_num(mid - slack, nan=-np.inf), np.nan_to_num(mid + slack, nan=np.inf, posinf=np.inf)
+        # One vector more than k: one of them may be the query itself.
+        best = np.sort(np.concatenate([best, low], axis=1), axis=1)[:, -(k + 1) :]
+        floor = best[:, 0]
+        i, j = np.nonzero(high >= floor[:, None])
+        for x, y in zip(kept, (i, j + start, low[i, j], high[i, j])):
+            x.append(y)
+    i, j, low, high = (np.concatenate(x) if x else np.zeros(0) for x in kept)
+    stay = high >= floor[i.astype(int)]
+    return i[stay].astype(int), j[stay].astype(int), low[stay], high[stay]
+
+
+def scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact products of rows, and which are beyond a long (and stand as the nearest long)."""
+    top = (np.abs(x).max(axis=1) * np.abs(y).max(axis=1) * x.shape[1]) if len(x) else np.zeros(0)
+    out = np.zeros(len(x), np.int64)
+    small = top < EXACT
+    out[small] = np.einsum("ij,ij->i", x[small], y[small]).astype(np.int64)
+    over = np.zeros(len(x), bool)
+    for n in np.flatnonzero(~small):
+        s = sum(int(a) * int(b) for a, b in zip(x[n].tolist(), y[n].tolist()))
+        out[n] = max(-(2**63), min(2**63 - 1, s))
+        over[n] = int(out[n]) != s
+    return out, over
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best."""
-    x = F.transform(F.col(vector), lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    sound = F.forall(F.col(vector), lambda c: F.coalesce((F.abs(c.cast("double")) * abs(scale) < LARGEST) & ~F.isnan(c), F.lit(False)))
+    spark = vectors.sparkSession
+    folder = f"{shared_folder(spark)}/vafile-{uuid.uuid4().hex}"
+    sound = F.forall(F.col(vector), lambda c: F.coalesce((F.abs(c.cast("double")) < float("inf")) & ~F.isnan(c), F.lit(False)))
     good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).where(F.size(vector) > 0)
-    good = good.select(F.col(key).cast("bigint").alias("id"), x.alias("v"), is_query.alias("asked"))
-    queries = good.where("asked").select("id", "v")
-    n, m = (int(d.count()) for d in (good, queries))
+    good = good.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda c: c.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("vectors")
+        for batch in batches:
+            x = batch.column(1)
+            v = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))]), pa.int32()), pa.array(whole(np.asarray(x.flatten(), float), scale) + 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, batch.column(2)], names=["id", "v", "asked"])
+
+    rows = good.mapInArrow(floors, "id bigint, v array<double>, asked boolean").withColumn("dim", F.size("v"))
+    # A vector's ids, the smallest of them, and how often each occurs.
+    counted = rows.groupBy("id", "v", "dim").agg(F.count("*").alias("times"), F.max("asked").alias("asked"))
+    counted.write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    h = [F.xxhash64("v"), F.xxhash64(F.lit(1), "v")]
+    named = rows.select("id", "times", *[x.alias(c) for x, c in zip(h, ("h1", "h2"))])
+    smallest = Window.partitionBy("h1", "h2").orderBy("id")
+    holders = cut(named.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).drop("place"))
+    rows.dropDuplicates(["v"]).select(*[x.alias(c) for x, c in zip(h, ("h1", "h2"))], "v", "dim").write.parquet(f"{folder}/exact")
+    exact = spark.read.parquet(f"{folder}/exact")
+    queries = cut(rows.where("asked").groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select("id", "x.v", "x.dim"))
+
+    # Cells, by component and number of components (a row for each of them comes to the driver).
+    each = exact.select("dim", F.posexplode("v").alias("c", "x")).groupBy("dim", "c")
+    spread = each.agg(F.min("x").alias("low"), F.percentile_approx("x", [OUTER, 1 - OUTER], 2000).alias("inner"), F.max("x").alias("high")).collect()
+    at: dict[int, np.ndarray] = {}
+    for dim in {r.dim for r in spread}:
+        at[dim] = marks([(r.low, r.inner[0], r.inner[1], r.high) for r in sorted((r for r in spread if r.dim == dim), key=lambda r: r.c)])
+
+    def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("vectors")
+        for batch in batches:
+            dims, out = np.asarray(batch.column(3)), [b""] * batch.num_rows
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                c = cells_of(np.asarray(batch.column(2).take(pa.array(own)).flatten(), float).reshape(-1, dim), at[dim])
+                for i, r in zip(own.tolist(), c):
+                    out[i] = r.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], names=["h1", "h2", "dim", "cells"])
+
+    n, m = exact.count(), queries.count()
     tiles, query_tiles = max(1, -(-n // TILE)), max(1, -(-m // QUERIES))
-    h = F.xxhash64("id", "v")
-    queries = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("qt", F.pmod(h, F.lit(query_tiles)).cast("int")).withColumn("vt", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    good = good.select("id", "v").withColumn("vt", F.pmod(h, F.lit(tiles)).cast("int")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))))
-    size = F.size("v").alias("dim")
-
-    def task(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        a, b = np.stack(q.v.to_numpy()).astype(np.int64), np.stack(v.v.to_numpy()).astype(np.int64)
-        exact = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] < 2**52
-        a, b = (x.astype(np.float64 if exact else object) for x in (a, b))
-        i, j, score = tile_topk(a, b, q.id.to_numpy(), v.id.to_numpy(), k)
-        top = 2**63 - 1
-        return pd.DataFrame({"query_id": q.id.to_numpy()[i], "vec_id": v.id.to_numpy()[j], "score": score.astype(np.int64) if exact else np.array([max(-top, min(top, int(s))) for s in score], np.int64)})
+    file = exact.select("h1", "h2", "v", "dim").mapInArrow(approximate, "h1 bigint, h2 bigint, dim int, cells binary")
+    file = file.withColumn("vt", F.pmod("h1", F.lit(tiles)).cast("int")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))))
+    asked = queries.withColumn("qt", F.pmod(F.xxhash64("id"), F.lit(query_tiles)).cast("int")).withColumn("vt", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        begin("vectors")
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": [], "h1": [], "h2": [], "low": [], "high": []}).astype({"query_id": "int64", "h1": "int64", "h2": "int64", "low": float, "high": float})
+        dim = int(q.dim.iloc[0])
+        cells = np.frombuffer(b"".join(c.cells), np.uint8).reshape(-1, dim)
+        out = []
+        for start in range(0, len(q), 256):
+            i, j, low, high = scan(np.stack(q.v.iloc[start : start + 256].to_numpy()).astype(float), cells, at[dim], k)
+            out.append(pd.DataFrame({"query_id": q.id.to_numpy()[start + i], "h1": c.h1.to_numpy()[j], "h2": c.h2.to_numpy()[j], "low": low, "high": high}))
+        return pd.concat(out)
 
     by = ["dim", "qt", "vt"]
-    part = queries.select("*", size).groupBy(by).cogroup(good.select("*", size).groupBy(by)).applyInPandas(task, "query_id bigint, vec_id bigint, score bigint")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = cut(asked.groupBy(by).cogroup(file.groupBy(by)).applyInPandas(meet, "query_id bigint, h1 bigint, h2 bigint, low double, high double"))
+    # The kth bound over all tiles; k + 1, as one of these vectors may be the query's own.
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "h1", "h2"))).where(F.col("place") == k + 1).select("query_id", F.col("low").alias("floor"))
+    left = near.join(first, "query_id", "left").where("floor is null or high >= floor").select("query_id", "h1", "h2", "high")
+    left = cut(left.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "h1", "h2"))))
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("vectors")
+        for batch in batches:
+            dims, out, over = np.asarray(batch.column(3).value_lengths()), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for dim in np.unique(dims).tolist():
+                own = pa.array(np.flatnonzero(dims == dim))
+                x, y = (np.asarray(batch.column(i).take(own).flatten(), float).reshape(-1, dim) for i in (3, 4))
+                out[np.asarray(own)], over[np.asarray(own)] = scores(x, y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out), pa.array(over)], names=["query_id", "h1", "h2", "score", "over"])
+
+    def scored(some: DataFrame) -> DataFrame:
+        read = some.select("query_id", "h1", "h2").join(exact.select("h1", "h2", F.col("v").alias("y")), ["h1", "h2"])
+        both = read.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").select("query_id", "h1", "h2", "x", "y")
+        found = both.mapInArrow(exactly, "query_id bigint, h1 bigint, h2 bigint, score bigint, over boolean").join(holders, ["h1", "h2"]).where("id != query_id")
+        found = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
+        return found.select("query_id", F.col("id").alias("vec_id"), "score", "over", "n")
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "n")
+    probes = cut(scored(left.where(F.col("place") <= PROBE * (k + 1))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+    certain = probes.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+    others = left.where(F.col("place") > PROBE * (k + 1)).join(certain, "query_id", "left").where("kth is null or high >= kth")
+    every = probes.unionByName(scored(others))
+    score = F.when(F.col("over"), F.raise_error(F.lit("a score is beyond a long")).cast("bigint")).otherwise(F.col("score"))
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skein.llm import capfilters, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, tokens, vafile
+from skein.llm import capfilters, jaccard, langid, linededup, mixing, packing, pii, queries, secrets, simple8b, tokens, vafile
 from skein.llm.common import string_slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -232,7 +233,7 @@ def test_mix(docs, empty):
     assert abs(sum(v[2] for v in by.values()) - total) < 1e-6
     assert all(abs(t - g) <= 1 and g <= 3 * n + 1e-9 for t, n, g in by.values())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
-    assert mixing.mix(empty).count() == 0 and mixing.queue(mixing.mix(docs)).count() > 0
+    assert mixing.mix(empty).count() == 0 and mixing.queue(docs).count() > 0
 
 
 def test_mix_takes_what_a_sorted_and_truncated_queue_serves(spark):
@@ -248,6 +249,30 @@ def test_mix_takes_what_a_sorted_and_truncated_queue_serves(spark):
         assert abs(sum(r.taken - served[r.doc_id] for r in got if r.source == s)) <= 27
 
 
+def test_mix_keeps_columns_of_any_name(spark, docs):
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in ("size", "h", "bucket", "taken", "up_to", "kept", "at", "p")])
+    got = mixing.mix(odd, keep=["size", "h", "bucket", "up_to"]).collect()
+    assert all(r["size"] == r.h == r.bucket == r.up_to == 7 for r in got) and sum(r.taken for r in got) == sum(r.taken for r in mixing.mix(docs).collect())
+    assert mixing.queue(odd).columns == odd.columns and mixing.queue(odd).count() == mixing.queue(docs).count()
+    assert mixing.queue(odd.where("text is null")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_exact_topk", "op5_mix_sources"])
+def test_equal_to_sql(spark, docs, name, tmp_path):
+    """Ties, repeated and missing ids, missing sources and large components, by the registered SQL."""
+    v, _ = vectors(spark)
+    big = [(200, [2.0**40] + [0.5] * 7), (210, [1.0, -(2.0**41)] + [1.0] * 6), (220, [1.0] * 8), (221, [1.0] * 8), (222, [1.0] * 8), (220, [1.0] * 8), (250, [0.25] * 8), (None, [1.0] * 8), (300, [3.0] * 8), (300, [2.0] * 8)]
+    v.select("vec_id", "embedding").union(spark.createDataFrame(big, "vec_id bigint, embedding array<float>")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs.select(*docs.columns, F.lit(1).alias("size"), F.lit("x").alias("taken")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want, got = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [sorted(map(repr, map(tuple, x))) for x in (got.select(*want.columns).collect(), want.fetchall())]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_targets_share_the_excess():
     t = {s: g for s, _, g in mixing.targets([("b", 100), (None, 100), ("a", 1)], (5, 2, 1))}
     assert t["a"] == 3 and abs(t["b"] + t[None] - 198) < 1e-9 and t["b"] == 2 * t[None]
