@@ -1,4 +1,14 @@
-"""A corpus pipeline of five stages, each on what the one before kept."""
+"""A corpus pipeline of five stages, each on what the one before kept.
+
+Edge cases, for all stages: an empty table stays empty; rows that repeat a
+doc_id are each decided for, and copies of a row alike; further columns pass
+through whatever their names, also those that the operators give to results.
+
+language_id drops null and empty texts, as they have no letters; line_dedup
+leaves rows without doc_id alone; near_duplicates keeps rows without doc_id,
+and all rows of the doc_id that stays; mix_sources serves a null source as a
+source of its own; pack returns the pieces with a null doc_id as such.
+"""
 
 from __future__ import annotations
 
@@ -15,19 +25,25 @@ from skein.llm.queries import WEIGHTS, tokenizer_path
 LEAST_SCORE = 0.35
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that an operator reads, and the whole row, so that no name clashes."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or of no clear language go."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.predict(_packed(docs), model)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in an earlier one; what has no words left goes."""
-    found = linededup.dedup_lines(docs)
+    rest = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
+    found = linededup.dedup_lines(rest)
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    n_chars = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.where((F.col("n_removed") == 0) | words).select(*n_chars)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return found.where((F.col("n_removed") == 0) | words).select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix serves them, in its order."""
-    keep = [c for c in docs.columns if c not in ("doc_id", "source")]
-    return mixing.queue(mixing.mix(docs, WEIGHTS, keep=keep)).select(*docs.columns)
+    """Documents as often as the mix serves them, in its order; empty ones are served no time."""
+    return mixing.queue(docs, WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
