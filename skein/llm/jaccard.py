@@ -12,13 +12,13 @@ Large groups: in a group (a token, and for frequent tokens a salt) each class
 is first compared with a central one only; what these links connect
 needs no further comparison. Only classes of different components that still
 share a token are paired. Where more than SPLIT classes do, they are joined by
-that token and a prefix token under the second order instead, so that a common
-token by itself pairs nothing. Thus thousands of near copies cost a comparison
+their prefix tokens under the second order instead, so that a token that many
+have by itself pairs nothing. Thus thousands of near copies cost a comparison
 each, and no pair of texts that might be linked is left out.
 
-Texts are shingled for their digests, for the prefixes under the first order,
-and once more for a table of the sets of all classes that share a token with
-another; all comparisons read that table.
+Texts are shingled for their digests and for the prefixes under the first
+order; prefixes under the others and sets are made again of the classes in
+question only, so that sets are never shuffled for pairs ruled out before.
 
 Frequent tokens are those met repeatedly within tasks; the list holds at most
 the HEAVY most frequent and only decides an order: any order gives the same
@@ -33,15 +33,14 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, connected_components, cut, membership, possibly_in, shared_folder, string_slices
+from skein.llm.common import begin, connected_components, cut, membership, possibly_in, string_slices
 from skein.llm.hashing import SEEDS, mix, shingles
 
 WORDS = 5
@@ -52,7 +51,7 @@ COUNTED = 1 << 21
 #: Parts of the group of a frequent token, at least, and documents of a part, about.
 SALTS = 32
 PART = 1024
-#: Above so many classes of a token the second order divides them.
+#: Above so many classes of a token the second order pairs them.
 SPLIT = 64
 #: So many keys of a class are compared to pair two classes once; it affects speed alone.
 FIRST = 16
@@ -84,6 +83,11 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def four_bytes(x: Column) -> Column:
+    """The 32-bit numbers in x, whatever the order of their bytes."""
+    return F.transform(F.regexp_extract_all(F.hex(x), F.lit(".{8}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("bigint"))
+
+
 def sketch_words(x: str = "sketch", to: str = "s") -> list[Column]:
     """A sketch as columns; a join's condition over array elements is too large a method to be compiled."""
     return [F.col(x)[i].alias(f"{to}{i}") for i in range(SKETCH // 64)]
@@ -218,52 +222,56 @@ def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank
     return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt bigint, c bigint")
 
 
-def set_table(documents: DataFrame, wanted: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """c, n, p2, p3 and x of the classes in wanted (c, rep): prefixes under the other orders, in 32 bits, and the set, in bytes.
-
-    A written table, so that a comparison reads the columns it needs.
-    """
+def of_classes(documents: DataFrame, wanted: DataFrame, k: int, schema: str, make: Callable[[np.ndarray], list]) -> DataFrame:
+    """c and what make gives for the set of each class in wanted (c, rep); only documents that may be in wanted are shingled."""
     texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(wanted, "rep"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("sets")
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 sets = distinct_sets(data, offsets, k)
-                known = [ranks(x, heavy, rank) for x in sets]
-                orders = [pa.array([x[prefix(x, y, i, percent)].astype(np.uint32).view(np.int32) for x, y in zip(sets, known)], pa.list_(pa.int32())) for i in (1, 2)]
-                arrays = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *orders, pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=["doc_id", "c", "n", "p2", "p3", "x"])
+                made = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*map(make, sets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([digest(x) for x in sets], pa.int64()), *made], names=["doc_id", "c", *names])
 
     # A class's smallest doc_id only, and one row of it whose set is the class's.
-    sets = texts.mapInArrow(task, "doc_id bigint, c bigint, n bigint, p2 array<int>, p3 array<int>, x binary")
-    own = sets.join(wanted, "c").where(F.col("doc_id") == F.col("rep")).drop("doc_id", "rep").dropDuplicates(["c"])
-    folder = f"{shared_folder(documents.sparkSession)}/sets-{uuid.uuid4().hex}"
-    own.write.parquet(folder)
-    return documents.sparkSession.read.parquet(folder)
+    found = texts.mapInArrow(task, f"doc_id bigint, c bigint, {schema}").join(wanted, "c").where(F.col("doc_id") == F.col("rep"))
+    return found.drop("doc_id", "rep").dropDuplicates(["c"])
 
 
-def with_both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of classes (a, b) with columns of the sets of both, those of b with a 2."""
-    needed = possibly_in(sets.select("c", *columns), "c", membership(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c"))
-    first = needed.withColumnRenamed("c", "a")
-    second = needed.select(F.col("c").alias("b"), *[F.col(x).alias(f"{x}2") for x in columns])
-    return pairs.join(first, "a").join(second, "b")
+def with_both(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) with the columns made for both, those of b with a 2."""
+    columns = [c for c in made.columns if c != "c"]
+    second = made.select(F.col("c").alias("b"), *[F.col(x).alias(f"{x}2") for x in columns])
+    return pairs.join(made.withColumnRenamed("c", "a"), "a").join(second, "b").select("a", "b", *[y for x in columns for y in (x, f"{x}2")])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
-    meeting = F.arrays_overlap("p2", "p22") & F.arrays_overlap("p3", "p32")
-    candidates = cut(with_both(cut(pairs), sets, ["p2", "p3"]).where(meeting).select("a", "b"))
-
+def kept_pairs(both: DataFrame, test: Callable[..., bool]) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("sets")
         for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in both], pa.bool_())
+            keep = pa.array([test(*map(pa.BinaryScalar.as_buffer, r)) for r in zip(*(batch.column(i) for i in range(2, batch.num_columns)))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return with_both(candidates, sets, ["x"]).select("a", "b", "x", "x2").mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list]) -> DataFrame:
+    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
+
+    def wanted(some: DataFrame) -> DataFrame:
+        return cut(some.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c"))
+
+    def may_be(p2: pa.Buffer, q2: pa.Buffer, p3: pa.Buffer, q3: pa.Buffer) -> bool:
+        return all(meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) for p, q in ((p2, q2), (p3, q3)))
+
+    def are(x: pa.Buffer, y: pa.Buffer) -> bool:
+        return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+    pairs = cut(pairs)
+    candidates = cut(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders)), may_be))
+    return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x])), are)
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -283,7 +291,10 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     # A frequent token of one class only pairs nothing.
     lone = held.where("salt > 0").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low = high").select("key")
     held = cut(held.join(lone, "key", "left_anti"))
-    sets = set_table(documents, held.select("c").distinct().join(classes.select("c", "rep"), "c"), k, percent, heavy, rank)
+
+    def orders(x: np.ndarray) -> list[np.ndarray]:
+        known = ranks(x, heavy, rank)
+        return [np.unique(x[prefix(x, known, i, percent)].astype(np.uint32)) for i in (1, 2)]
 
     # The centre of a group shares most of its prefix. Each class is compared with the nearest of
     # the centres of its groups, and the centres of a frequent token with the best of them.
@@ -299,7 +310,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), *sketch_words(to="t"))
     stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("n2"), far, percent))
     stars = stars.groupBy("c").agg(F.min(F.struct(far.alias("far"), "centre")).alias("x")).select(F.least("c", "x.centre").alias("a"), F.greatest("c", "x.centre").alias("b")).distinct()
-    linked = cut(verified(stars, sets, percent))
+    linked = cut(verified(documents, stars, classes, k, percent, orders))
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
     # What these links leave apart, in the groups of a key.
@@ -307,15 +318,14 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     several = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
     apart = cut(apart.join(several, "key"))
 
-    # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
-    keys = apart.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
-    words = [f"s{i}" for i in range(SKETCH // 64)]
-    own = apart.join(sized, "c").join(keys, "c").withColumn("token", F.lit(None).cast("int"))
-    few, many = own.where(F.col("m") <= SPLIT), own.where(F.col("m") > SPLIT)
-    divided = many.drop("token").join(sets.select("c", F.explode("p2").alias("token")), "c")
-    of_two = divided.groupBy("key", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "token")
-    found = [paired(few, ["key"], words, percent), paired(divided.join(of_two, ["key", "token"]), ["key", "token"], words, percent)]
-    more = verified(found[0].unionByName(found[1]).distinct(), sets, percent)
+    few = apart.where(F.col("m") <= SPLIT).select("key", "c", "component")
+    many = cut(apart.where(F.col("m") > SPLIT).select("c", "component").distinct().join(classes.select("c", "rep"), "c"))
+    second = of_classes(documents, many.select("c", "rep"), k, "p2 binary", lambda x: orders(x)[:1])
+    by_second = many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c", "component")
+    of_two = by_second.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    by_second = cut(by_second.join(of_two, "key"))
+    found = paired(few, sized, percent).unionByName(paired(by_second, sized, percent)).distinct()
+    more = verified(documents, found, classes, k, percent, orders)
 
     # Over doc_ids, so that rows of the same document are together.
     named = linked.unionByName(more)
@@ -327,12 +337,17 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def paired(rows: DataFrame, by: list[str], words: list[str], percent: int) -> DataFrame:
-    """a, b: classes of different components that agree in the columns by, as far as sizes and sketches allow."""
-    second = rows.select(*by, *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(x).alias(f"t{x[1:]}") for x in words])
+def paired(rows: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of different components that share a key, as far as sizes and sketches allow."""
+    # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
+    keys = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
+    own = rows.join(sized.join(keys, "c"), "c")
+    second = own.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
     smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
     near = may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)
-    return rows.join(second, by).where("c < c2 and component != component2").where(near).where(smallest).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    # In this form the keys are intersected only for pairs that pass the rest.
+    wanted = F.when((F.col("c") < F.col("c2")) & (F.col("component") != F.col("component2")) & near, smallest).otherwise(F.lit(False))
+    return own.join(second, "key").where(wanted).select(F.col("c").alias("a"), F.col("c2").alias("b"))
 
 
 def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
