@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space (Java's \s is ASCII only).
 SPACE = r"[\s\u0085\p{Z}]+"
-# Entities, in the order of their replacement.
+# Entities that a tag-stripper replaces one after the other, in order.
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "))
+#: All named entities, as "\x1ename\x1ftext\x1e..."; in this form one search finds a name.
+NAMED = "\x1e" + "".join(f"{k[:-1]}\x1f{v}\x1e" for k, v in sorted(html5.items()) if k.endswith(";"))
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # Substrings by intent, in the order of their tests.
 INTENTS = (
     ("navigational", ("site:",), ()),
@@ -38,12 +43,31 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def unescape(text: Column) -> Column:
+def unescape_six(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def _decoded(entity: Column) -> Column:
+    """What an entity stands for; itself if nothing."""
+    name = F.substring(entity, F.lit(2), F.length(entity) - 2)
+    hexed = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.substring(name, F.lit(3), F.length(name))).otherwise(F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16))
+    wide = F.lpad(hexed, 8, "0")
+    sound = (F.conv(hexed, 16, 10).cast("bigint").between(1, 0x10FFFF)) & ~F.conv(hexed, 16, 10).cast("bigint").between(0xD800, 0xDFFF)
+    number = F.when(sound, F.decode(F.unhex(wide), "UTF-32"))
+    table, key = F.lit(NAMED), F.concat(F.lit("\x1e"), name, F.lit("\x1f"))
+    named = F.when(F.contains(table, key), F.substring_index(F.call_function("substring_index", table, key, F.lit(-1)), "\x1e", 1))
+    return F.coalesce(F.when(F.startswith(name, F.lit("#")), number).otherwise(named), entity)
+
+
+def unescape(text: Column) -> Column:
+    """HTML entities decoded, each once."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _decoded)
+    parts = F.zip_with(F.split(text, ENTITY, -1), F.concat(found, F.array(F.lit(""))), lambda gap, e: F.concat(gap, e))
+    return F.when(text.rlike(ENTITY), F.array_join(parts, "")).otherwise(text)
+
+
 def clean_text(text: Column, most: int) -> Column:
     """Collapsed and unescaped; over most *bytes*: its first most - 3 characters and dots."""
     t = unescape(collapse(text))
@@ -127,7 +151,7 @@ def keywords_in(html: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    return collapse(unescape(F.regexp_replace(html, "<[^>]*>", "")))
+    return collapse(unescape_six(F.regexp_replace(html, "<[^>]*>", "")))
 
 
 def collect_text(parts: Column) -> Column:

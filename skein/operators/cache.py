@@ -30,9 +30,56 @@ def get(entries: DataFrame, key: str, now: int, include_stale: bool = False) ->
     return found if include_stale else found.where(~F.col("is_stale"))
 
 
-def put(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """new in place of the entries of its keys."""
-    return entries.join(new.select("key"), "key", "left_anti").unionByName(new)
+class CacheFull(ValueError):
+    """More entries than a store may hold, expired ones not counted."""
+
+
+def put(entries: DataFrame, new: DataFrame, capacity: int | None = None, now: int | None = None) -> DataFrame:
+    """new in place of the entries of its keys; over capacity expired entries go first, and CacheFull is raised if that is not enough."""
+    out = entries.join(new.select("key"), "key", "left_anti").unionByName(new)
+    if capacity is None or out.count() <= capacity:
+        return out
+    out = cleaned(entries, now or 0).join(new.select("key"), "key", "left_anti").unionByName(new)
+    if out.count() > capacity:
+        raise CacheFull(f"more than {capacity} entries")
+    return out
+
+
+def clear(entries: DataFrame) -> DataFrame:
+    return entries.limit(0)
+
+
+def put_metadata(entries: DataFrame, new: DataFrame, kind: str, now: int, ttl: int = YEAR) -> DataFrame:
+    """Entries (key, value, expires_at) with those of new (name, value) under the prefix of the kind, for a year unless told."""
+    named = new.select(F.concat(F.lit(f"{kind}:"), "name").alias("key"), "value", F.lit(now + ttl).cast("bigint").alias("expires_at"))
+    return put(entries, named)
+
+
+def get_metadata(entries: DataFrame, kind: str, now: int) -> DataFrame:
+    """name and value of the unexpired entries of a kind."""
+    prefix = f"{kind}:"
+    own = entries.where(F.startswith("key", F.lit(prefix)) & ~expired(F.col("expires_at"), now))
+    return own.select(F.substring(F.col("key"), F.lit(len(prefix) + 1), F.length("key")).alias("name"), "value")
+
+
+def delete_metadata(entries: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    return delete(entries, names.select(F.concat(F.lit(f"{kind}:"), "name").alias("key")))
+
+
+def pool_stats(names: DataFrame, ttl: int) -> DataFrame:
+    """Total, expired and active rows of resolved names (age, in seconds)."""
+    old = dns_expired(F.col("age"), ttl)
+    return names.agg(F.count("*").alias("total"), F.count_if(old).cast("bigint").alias("expired"), F.count_if(~old).cast("bigint").alias("active"))
+
+
+def connection_hit_rate(log: DataFrame) -> DataFrame:
+    """Share of requests (reused) that met an open connection."""
+    return log.agg(F.count("*").alias("requests"), hit_rate(F.count_if("reused"), F.count_if(~F.col("reused"))).alias("hit_rate"))
+
+
+def item_totals(batches: DataFrame) -> DataFrame:
+    """Batches and items of each query, and the longest batch; batches: query_id, items."""
+    return batches.groupBy("query_id").agg(F.count("*").alias("batches"), F.sum(F.size("items")).cast("bigint").alias("total"), F.max(F.size("items")).alias("longest"))
 
 
 def delete(entries: DataFrame, keys: DataFrame) -> DataFrame:

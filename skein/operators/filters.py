@@ -42,9 +42,13 @@ def has_link(title: Column, url: Column) -> Column:
 
 
 def is_blocked_page(body: Column) -> Column:
-    """A page that asks for a captcha instead of an answer."""
-    low = F.lower(body)
-    return F.contains(low, F.lit("captcha")) | F.contains(low, F.lit("verify you are human"))
+    """A page, or a request for a captcha, instead of a JSON answer."""
+    # How such answers begin, and what they hold.
+    start = F.regexp_replace(body, r"^\s+", "")
+    return F.coalesce(
+        F.startswith(start, F.lit("<")) | F.startswith(start, F.lit("Found")) | F.contains(body, F.lit("wappass.baidu.com")) | F.contains(body, F.lit("captcha")) | F.contains(F.lower(body), F.lit("please verify")),
+        F.lit(False),
+    )
 
 
 def stored_matches(entries: DataFrame, words: list[str], columns: list[str], most: int, now: int, stale: bool = True) -> DataFrame:

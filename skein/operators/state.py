@@ -43,14 +43,39 @@ def fold(calls: DataFrame) -> DataFrame:
     return calls.groupBy("engine").agg(log.alias("log")).select("engine", F.aggregate("log", initial(), step).alias("s")).select("engine", "s.*")
 
 
+# What errors of the network say.
+NETWORK = ("HTTP 错误", "status", "连接", "超时")
+
+
 def pauses(calls: DataFrame) -> DataFrame:
-    """Sources whose last calls of a row of FAILURES failed, with the end of their pause."""
+    """Sources that a network error paused, and until when.
+
+    calls: as for fold, with error. Failures in a row are counted; a failure
+    whose error speaks of the network pauses its source if FAILURES or more are.
+    The last such failure counts. One pass by time, a running count of successes apart.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("engine").orderBy(F.desc("ts"), F.desc("seq"))
-    last = calls.withColumn("n", F.row_number().over(w)).where(F.col("n") <= FAILURES)
-    bad = last.groupBy("engine").agg(F.count_if(F.col("outcome") == "failure").alias("bad"), F.max("ts").alias("ts"))
-    return bad.where(F.col("bad") == FAILURES).select("engine", (F.col("ts") + PAUSE).alias("disabled_until"))
+    w = Window.partitionBy("engine").orderBy("ts", "seq")
+    runs = calls.withColumn("run", F.sum((F.col("outcome") == "success").cast("int")).over(w))
+    in_run = Window.partitionBy("engine", "run").orderBy("ts", "seq")
+    in_a_row = runs.withColumn("row", F.sum((F.col("outcome") != "success").cast("int")).over(in_run))
+    network = F.lit(False)
+    for part in NETWORK:
+        network = network | F.contains(F.coalesce("error", F.lit("")), F.lit(part))
+    hit = (F.col("outcome") == "failure") & network & (F.col("row") >= FAILURES)
+    return in_a_row.where(hit).groupBy("engine").agg((F.max("ts") + PAUSE).alias("disabled_until"))
+
+
+def fold_totals(calls: DataFrame) -> DataFrame:
+    """total, ok and failed of each source: sums, combined before the shuffle, where the whole state is not needed."""
+    is_ = lambda o: F.count_if(F.col("outcome") == o).cast("bigint")
+    return calls.groupBy("engine").agg((is_("success") + is_("failure")).alias("total"), is_("success").alias("ok"), is_("failure").alias("failed"))
+
+
+def retry_delays(attempts: Column, first: float = 1.0) -> Column:
+    """Seconds to wait before each attempt after the first: doubled every time."""
+    return F.when(attempts > 1, F.transform(F.sequence(F.lit(0), attempts - 2), lambda n: first * F.pow(F.lit(2.0), n))).otherwise(F.array().cast("array<double>"))
 
 
 def active(state: DataFrame, now: int) -> DataFrame:

@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.cache import needs_update
+from skein.operators.dedup import merge_feed
+
 #: Fields of an item, and the tags they come from.
 RSS_TAGS = {"title": "title", "link": "link", "description": "description", "author": "author", "pub_date": "pubDate", "guid": "guid"}
 
@@ -29,22 +32,70 @@ def rss_items(feeds: DataFrame) -> DataFrame:
     return items.select("feed_url", "pos", *[tag(F.col("item"), t).alias(f) for f, t in RSS_TAGS.items()])
 
 
-def atom_items(feeds: DataFrame) -> DataFrame:
-    """As rss_items. Line by line: an entry's marks begin lines, a field opens and closes in one line."""
-    def first(lines: Column, name: str) -> Column:
-        open_, close = f"<{name}>", f"</{name}>"
-        hit = F.filter(lines, lambda x: F.contains(x, F.lit(open_)) & F.contains(x, F.lit(close)))
-        return F.when(F.size(hit) > 0, F.substring_index(F.substring_index(F.get(hit, F.lit(0)), open_, -1), close, 1))
+def channels(feeds: DataFrame) -> DataFrame:
+    """feed_url, title, link, description and language of RSS channels, and title and link of Atom feeds."""
+    channel = F.regexp_extract("body", r"(?s)<channel>(.*?)</channel>", 1)
+    rss = feeds.where(kind(F.col("body")) == "rss").select("feed_url", *[tag(channel, t).alias(t) for t in ("title", "link", "description", "language")])
+    outside = F.split(F.regexp_replace("body", r"(?sm)^\s*<entry[ >].*?^\s*</entry>", ""), "\n")
+    lines = F.transform(outside, lambda x: F.trim(x))
+    none = F.lit(None).cast("string")
+    atom = feeds.where(kind(F.col("body")) == "atom").select("feed_url", _of_line(lines, "title", False).alias("title"), _href(lines, ("title",), False).alias("link"), none.alias("description"), none.alias("language"))
+    every = rss.unionByName(atom)
+    return every.withColumns({"title": F.coalesce("title", F.lit("")), "link": F.coalesce("link", F.lit(""))})
+
+
+def _closed(line: Column, name: str) -> Column:
+    return F.contains(line, F.lit(f"<{name}>")) & F.contains(line, F.lit(f"</{name}>"))
+
+
+def _pick(found: Column, last: bool) -> Column:
+    return F.try_element_at(found, F.lit(-1 if last else 1))
+
+
+def _of_line(lines: Column, name: str, last: bool = True, before: tuple[str, ...] = ()) -> Column:
+    """What the last (first) line holds that opens and closes the tag, and none of those before it."""
+    def own(line: Column) -> Column:
+        hit = _closed(line, name)
+        for other in before:
+            hit = hit & ~_closed(line, other)
+        return hit
+
+    line = _pick(F.filter(lines, own), last)
+    return F.substring_index(F.regexp_extract(line, f"(?s)<{name}>(.*)", 1), f"</{name}>", 1)
+
+
+def _href(lines: Column, before: tuple[str, ...], last: bool = True) -> Column:
+    def own(line: Column) -> Column:
+        hit = F.contains(line, F.lit("<link")) & F.contains(line, F.lit("href="))
+        for other in before:
+            hit = hit & ~_closed(line, other)
+        return hit
 
-    entry = F.regexp_extract_all("body", F.lit(r"(?sm)^\s*<entry[^\n]*\n(.*?)^\s*</entry>"), F.lit(1))
+    return F.regexp_extract(_pick(F.filter(lines, own), last), 'href="([^"]*)"', 1)
+
+
+#: Tags of an Atom entry; of those in one line the first counts.
+ATOM_TAGS = ("title", "id", "updated", "content")
+
+
+def atom_items(feeds: DataFrame) -> DataFrame:
+    """As rss_items. Line by line: an entry's marks begin lines, a field opens and closes in one line, its last line counts."""
+    entry = F.regexp_extract_all("body", F.lit(r"(?sm)^\s*<entry[ >][^\n]*\n(.*?)^\s*</entry>"), F.lit(1))
     rows = feeds.where(kind(F.col("body")) == "atom").select("feed_url", F.posexplode(entry).alias("pos", "item"))
-    lines = F.split("item", "\n")
-    link = F.regexp_extract(F.get(F.filter(lines, lambda x: F.contains(x, F.lit("<link")) & F.contains(x, F.lit('href="'))), F.lit(0)), 'href="([^"]*)"', 1)
-    return rows.select("feed_url", "pos", first(lines, "title").alias("title"), link.alias("link"), first(lines, "summary").alias("description"), F.lit(None).cast("string").alias("author"), first(lines, "updated").alias("pub_date"), first(lines, "id").alias("guid"))
+    lines, none = F.transform(F.split("item", "\n"), lambda x: F.trim(x)), F.lit(None).cast("string")
+    of = {t: _of_line(lines, t, before=ATOM_TAGS[:i]) for i, t in enumerate(ATOM_TAGS)}
+    return rows.select(
+        "feed_url", "pos", F.coalesce(of["title"], F.lit("")).alias("title"), F.coalesce(_href(lines, ATOM_TAGS), F.lit("")).alias("link"), none.alias("description"), none.alias("author"),
+        of["updated"].alias("pub_date"), of["id"].alias("guid"), of["content"].alias("content"),
+    )
 
 
-def items(feeds: DataFrame) -> DataFrame:
-    return rss_items(feeds).unionByName(atom_items(feeds))
+def items(feeds: DataFrame, unknown: str = "drop") -> DataFrame:
+    """Items of RSS and Atom bodies; a body of neither format is dropped, or, with unknown="error", an error."""
+    if unknown == "error":
+        body = F.when(kind(F.col("body")).isNull(), F.raise_error(F.lit("unknown feed format")).cast("string")).otherwise(F.col("body"))
+        feeds = feeds.withColumn("body", body)
+    return rss_items(feeds).withColumn("content", F.lit(None).cast("string")).unionByName(atom_items(feeds))
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,3 +112,25 @@ def templates(spark: SparkSession, folder: str) -> DataFrame:
 def template_feeds(templates_: DataFrame, categories: list[str] | None = None) -> DataFrame:
     out = templates_.select("name", "persistent", "interval", F.explode("urls").alias("category", "feed_url"))
     return out.where(F.col("category").isin(categories)) if categories else out
+
+
+def refreshed(stored: DataFrame, meta: DataFrame, answers: DataFrame, now: int) -> DataFrame:
+    """Stored items after a refresh: feeds that are due and have an answer are parsed and merged, all others stay.
+
+    stored: items with expires_at; meta: feed_url, last_updated, update_interval;
+    answers: feed_url, body. Merged: new items, then unexpired old ones not among them.
+    """
+    known = answers.join(meta, "feed_url", "left")
+    due = known.where(needs_update(F.col("last_updated"), F.col("update_interval"), now))
+    expires = due.select("feed_url", (F.lit(now) + F.coalesce("update_interval", F.lit(3600))).cast("bigint").alias("expires_at"))
+    columns = ["feed_url", "pos", "title", "link", "description", "guid", "expires_at"]
+    new = items(due.select("feed_url", "body")).join(expires, "feed_url").select(*columns)
+    names = due.select("feed_url").distinct()
+    old = stored.select(*columns)
+    merged = merge_feed(new, old.join(names, "feed_url", "left_semi"), F.lit(now))
+    return merged.select(*columns, "gen").unionByName(old.join(names, "feed_url", "left_anti").withColumn("gen", F.lit(1)))
+
+
+def template_answers(templates_: DataFrame, answers: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Feeds of templates with their answers, body null where none came; a failed feed counts like any other."""
+    return template_feeds(templates_, categories).join(answers, "feed_url", "left")

@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skein.functions.text import absolute, decode_redirect, keywords_in, strip_tags, view_count, without_parameter
+from skein.functions.text import absolute, decode_redirect, keywords_in, relative_date, strip_tags, unescape_six, view_count, without_parameter
+from skein.operators.filters import NAVIGATION, TITLE_LENGTHS, has_link, is_blocked_page
 
 ITEM = "pos int, title string, url string, content string, metadata map<string,string>"
+# Parts of addresses of articles, in order, and the most results of a page.
+XINHUA_LINKS = ("news.cn", "article")
+XINHUA_MOST = 50
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -27,26 +31,42 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
+        """All descendants in the order of the page; by a stack, as unclosed tags nest without end."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+
+    def fragments(self) -> Iterator[str]:
+        """The texts in it, one by one."""
+        stack: list[Node | str] = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
                 yield c
-                yield from c.walk()
+            else:
+                stack += reversed(c.children)
 
     def text(self) -> str:
-        return " ".join("".join(c if isinstance(c, str) else f" {c.text()} " for c in self.children).split())
+        """Fragments that are not blank, with single spaces."""
+        return " ".join(" ".join(self.fragments()).split())
 
     def plain(self) -> str:
         """The text as it stands, without white space around it."""
-        return "".join(c if isinstance(c, str) else c.plain_parts() for c in self.children).strip()
+        return "".join(self.fragments()).strip()
 
-    def plain_parts(self) -> str:
-        return "".join(c if isinstance(c, str) else c.plain_parts() for c in self.children)
+    def kids(self, tag: str, cls: str = "") -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and c.tag == tag and (not cls or cls in c.classes())]
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
 
     def find(self, *path: tuple[str, str]) -> list[Node]:
-        """Descendants by (tag, class), either of them empty for any."""
+        """Descendants by (tag, classes), either of them empty for any."""
         found = [self]
         for tag, cls in path:
-            found = [n for f in found for n in f.walk() if (not tag or n.tag == tag) and (not cls or cls in n.attrs.get("class", "").split())]
+            found = [n for f in found for n in f.walk() if (not tag or n.tag == tag) and all(c in n.classes() for c in cls.split())]
         return list(dict.fromkeys(found))
 
 
@@ -56,6 +76,8 @@ class Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == self.at.tag and tag in ("p", "li"):  # a paragraph or list item ends where the next begins
+            self.at = self.at.parent
         n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(n)
         if tag not in VOID:
@@ -87,54 +109,94 @@ def _first(nodes: list[Node], attr: str = "") -> str:
     return (nodes[0].attrs.get(attr, "") if attr else nodes[0].text()) if nodes else ""
 
 
+def _attr(nodes: list[Node], *names: str) -> str:
+    """The first of the attributes that the first node has, be it empty."""
+    return next((nodes[0].attrs[n] for n in names if n in nodes[0].attrs), "") if nodes else ""
+
+
+def _plain(nodes: list[Node]) -> str:
+    return nodes[0].plain() if nodes else ""
+
+
+def _joined(nodes: list[Node]) -> str:
+    return " ".join(n.plain() for n in nodes).strip()
+
+
+def _having(root: Node, tag: str, part: str) -> list[Node]:
+    """Descendants whose class attribute holds a string."""
+    return [n for n in root.walk() if n.tag == tag and part in n.attrs.get("class", "")]
+
+
+def _first_text(root: Node, choices: list[list[Node]]) -> str:
+    """The first text that is not empty among the first nodes of the choices."""
+    return next((t for nodes in choices if (t := _plain(nodes))), "")
+
+
 def bing(root: Node) -> list[dict]:
-    """Result rows with a linked heading; the first paragraph that says something."""
+    """Rows of the list of results with a linked heading; the first paragraph that says something."""
     out = []
-    for row in root.find(("li", "b_algo")):
-        link = row.find(("h2", ""), ("a", ""))
-        text = next((p.text() for p in row.find(("p", "")) if p.text() not in ("", "Web")), "")
-        out.append(_item(_first(link), _first(link, "href"), text))
+    for row in (x for ol in root.find(("ol", "")) if ol.attrs.get("id") == "b_results" for x in ol.kids("li", "b_algo")):
+        link = [a for h in row.find(("h2", "")) for a in h.kids("a")]
+        said = (" ".join(f for f in p.fragments() if f.strip()).strip() for p in row.find(("p", "")))
+        if link:
+            out.append(_item(_plain(link), _attr(link, "href"), next((t for t in said if t not in ("", "Web")), "")))
     return out
 
 
 def bing_news(root: Node) -> list[dict]:
-    return [_item(_first(c.find(("a", "title"))), _first(c.find(("a", "title")), "href"), _first(c.find(("div", "snippet"))), thumbnail=_first(c.find(("img", "")), "src"), source=_first(c.find(("div", "source"), ("a", "")))) for c in root.find(("div", "news-card"))]
+    """Cards with a linked heading; date: as the card says it."""
+    out = []
+    for card in root.find(("div", "news-card")):
+        link = card.find(("h3", ""), ("a", ""))
+        if _plain(link) and _attr(link, "href"):
+            told = {c: _plain(card.find(("span", c))) for c in ("source", "date")}
+            out.append(_item(_plain(link), _attr(link, "href"), _plain(card.find(("p", "snippet"))), thumbnail=_attr(card.find(("img", "")), "src", "data-src"), **told))
+    return out
 
 
 def yandex(root: Node) -> list[dict]:
-    """The first row selector that finds anything."""
-    rows = root.find(("li", "serp-item")) or root.find(("div", "serp-item")) or root.find(("div", "organic"))
+    """The first row selector that finds anything; of headings and snippets the first that say something."""
     out = []
-    for r in rows:
-        link = r.find(("a", "link")) or r.find(("h2", ""), ("a", "")) or r.find(("h3", ""), ("a", ""))
-        title = _first(r.find(("h2", ""))) or _first(r.find(("h3", ""))) or _first(link)
-        text = next((t for c in ("text-container", "organic__text", "snippet", "OrganicText") if (t := _first(r.find(("", c))))), "")
-        out.append(_item(title, _first(link, "href"), text))
+    for r in root.find(("li", "serp-item")) or root.find(("div", "serp-item")) or _having(root, "div", "serp-item"):
+        title = _first_text(r, [r.find(("h2", "")), r.find(("h3", "")), r.find(("a", "link"))])
+        said = [r.find(("div", c)) for c in ("text-container", "OrganicTextContentSpan", "text")]
+        out.append(_item(title, _attr(r.find(("a", "")), "href"), _first_text(r, [*said, _having(r, "div", "snippet")])))
     return out
 
 
 def sogou(root: Node) -> list[dict]:
-    """Redirects of the source are dropped."""
+    """Redirects of the source are dropped, and rows without a linked heading."""
     out = []
     for r in root.find(("div", "vrwrap")):
-        link = r.find(("h3", ""), ("a", ""))
-        text = _first(r.find(("div", "text-layout"))) or _first(r.find(("p", "star-wiki")))
-        if not _first(link, "href").startswith("/link?url="):
-            out.append(_item(_first(link), _first(link, "href"), text))
+        link = r.find(("h3", "vr-title"), ("a", ""))
+        url = _attr(link, "href")
+        if _plain(link) and url and not url.startswith("/link?url="):
+            out.append(_item(_plain(link), url, _plain(r.find(("div", "text-layout"), ("p", "star-wiki")) or r.find(("div", "fz-mid space-txt")))))
     return out
 
 
-def _attr(nodes: list[Node], *names: str) -> str:
-    """The first of the attributes that the first node has, be it empty."""
-    return next((nodes[0].attrs[n] for n in names if n in nodes[0].attrs), "") if nodes else ""
-
+def xinhua(root: Node) -> list[dict]:
+    """Links of the first selector that gives a valid one; each address once."""
+    def within(part: str, tag: str = "") -> list[Node]:
+        holders = [n for n in root.walk() if (not tag or n.tag == tag) and part in n.attrs.get("class", "")]
+        return list(dict.fromkeys(a for n in holders for a in n.find(("a", ""))))
 
-def _plain(nodes: list[Node]) -> str:
-    return nodes[0].plain() if nodes else ""
+    every = root.find(("a", ""))
+    choices = [[a for a in every if part in a.attrs.get("href", "")] for part in XINHUA_LINKS]
+    choices += [within("result", "div"), within("item", "div"), root.find(("li", ""), ("a", "")), within("title")]
+    for nodes in choices:
+        out: dict[str, dict] = {}
+        for a in nodes:
+            title, url = a.plain(), a.attrs.get("href", "")
+            if url and url not in out and is_valid(title, url):
+                out[url] = _item(title, url, "")
+        if out:
+            return list(out.values())[:XINHUA_MOST]
+    return []
 
 
-def _joined(nodes: list[Node]) -> str:
-    return " ".join(n.plain() for n in nodes).strip()
+def is_valid(title: str, url: str) -> bool:
+    return TITLE_LENGTHS[0] <= len(title) <= TITLE_LENGTHS[1] and "news.cn" in url and not any(w in title for w in NAVIGATION)
 
 
 def bing_images(root: Node) -> list[dict]:
@@ -207,8 +269,12 @@ def links(root: Node) -> list[dict]:
 
 
 PARSERS: dict[str, Callable[[Node], list[dict]]] = {
-    f.__name__: f for f in (bing, bing_news, bing_images, bing_videos, yandex, sogou, sogou_images, sogou_videos, sogou_wechat, links)
+    f.__name__: f for f in (bing, bing_news, bing_images, bing_videos, yandex, sogou, sogou_images, sogou_videos, sogou_wechat, xinhua, links)
 }
+#: Sources whose rows need a title and an http address.
+WEB = ("bing", "yandex", "baidu")
+# What a page says that has no results.
+NO_RESULTS = {"bing": "There are no results"}
 # Hosts that relative thumbnails belong to.
 HOSTS = {
     "bing_news": "https://www.bing.com",
@@ -219,16 +285,19 @@ HOSTS = {
 }
 
 
-def html_items(responses: DataFrame, source: str, key: str, body: str = "html") -> DataFrame:
-    """key and the columns of ITEM; metadata has only what a source tells."""
-    parser = PARSERS[source]
+def html_items(responses: DataFrame, source: str, key: str, body: str = "html", now: Column | None = None) -> DataFrame:
+    """key and the columns of ITEM; metadata has only what a source tells, pos the place on the page.
+
+    now: the time from which relative dates count back; metadata then has them as published, in epoch seconds.
+    """
+    parser, nothing = PARSERS[source], NO_RESULTS.get(source)
     schema = StructType([*responses.select(key).schema.fields, *StructType.fromDDL(ITEM).fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for i, html in enumerate(batch.column(1).to_pylist()):
-                found = parser(parse(html or ""))
+                found = parser(parse(html or "")) if not html or nothing is None or nothing not in html else []
                 keys += [i] * len(found)
                 rows += [{"pos": n} | x for n, x in enumerate(found)]
             kinds = {"pos": pa.int32(), "title": pa.string(), "url": pa.string(), "content": pa.string(), "metadata": pa.map_(pa.string(), pa.string())}
@@ -240,6 +309,11 @@ def html_items(responses: DataFrame, source: str, key: str, body: str = "html")
         out = out.withColumn("url", decode_redirect(F.col("url")))
     if source in HOSTS:
         out = out.withColumn("metadata", F.transform_values(metadata, lambda k, v: F.when(k == "thumbnail", absolute(v, HOSTS[source])).otherwise(v)))
+    if source in WEB:
+        out = out.where(has_link(F.col("title"), F.col("url")))
+    if source == "bing_news" and now is not None:
+        at = F.unix_timestamp(relative_date(metadata["date"], now)).cast("string")
+        out = out.withColumn("metadata", F.when(at.isNotNull(), F.map_concat("metadata", F.create_map(F.lit("published"), at))).otherwise(metadata))
     if source == "bing_videos":
         views = F.transform_values(metadata, lambda k, v: F.when(k == "views", view_count(v).cast("string")).otherwise(v))
         out = out.withColumn("metadata", F.map_filter(views, lambda k, v: v.isNotNull()))
@@ -254,20 +328,56 @@ def _field(v: Column, *paths: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
 
 
+def _told(**values: Column) -> Column:
+    """A map of what is known."""
+    every = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.coalesce(v, F.lit("")) for v in values.values()]))
+    known = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[v.isNotNull() for v in values.values()]))
+    return F.map_filter(every, lambda k, v: known[k])
+
+
 def json_items(responses: DataFrame, source: str, key: str, body: str = "body") -> DataFrame:
-    """key, pos, title, url, content of JSON answers; a body that is no JSON has none."""
+    """key, pos, title, url, content and metadata of JSON answers; a body that is no JSON, or asks for a captcha, has none."""
+    asked = responses.where(~is_blocked_page(F.col(body))) if source == "baidu" else responses
     v = variant(F.col(body))
     arrays = {"baidu": ("$.feed.entry", "$.results"), "bilibili": ("$.data.result",), "unsplash": ("$.results",), "plugin": ("$.results",)}[source]
-    rows = responses.select(key, F.posexplode(F.coalesce(*[F.try_variant_get(v, a, "array<variant>") for a in arrays])).alias("pos", "v"))
-    x = F.col("v")
+    rows = asked.select(key, F.posexplode(F.coalesce(*[F.try_variant_get(v, a, "array<variant>") for a in arrays])).alias("pos", "v"))
+    x, metadata = F.col("v"), F.create_map().cast("map<string,string>")
     if source == "baidu":
         cols = (_field(x, "$.title"), _field(x, "$.url", "$.link"), _field(x, "$.content", "$.abstract", "$.summary"))
     elif source == "bilibili":
-        cols = (strip_tags(_field(x, "$.title")), absolute(_field(x, "$.arcurl"), "https:"), _field(x, "$.description"))
-        rows = rows.withColumn("keywords", keywords_in(_field(x, "$.title")))
+        cols = (strip_tags(_field(x, "$.title")), _field(x, "$.arcurl"), unescape_six(_field(x, "$.description")))
+        words = keywords_in(_field(x, "$.title"))
+        frame = F.concat(F.lit("https://player.bilibili.com/player.html?aid="), F.coalesce(_field(x, "$.aid"), F.lit("0")), F.lit("&high_quality=1&autoplay=false&danmaku=0"))
+        blank = lambda c: F.coalesce(c, F.lit(""))
+        metadata = _told(
+            thumbnail=absolute(_field(x, "$.pic"), "https:"), author=blank(_field(x, "$.author")), length=blank(_field(x, "$.duration")), iframe_src=frame, published=F.try_variant_get(x, "$.pubdate", "bigint").cast("string"),
+            keywords=F.when(F.size(words) > 0, F.array_join(words, ",")),
+        )
     elif source == "unsplash":
         cols = (F.coalesce(_field(x, "$.alt_description", "$.description"), F.lit("unknown")), without_parameter(_field(x, "$.links.html")), F.coalesce(_field(x, "$.description"), F.lit("")))
+        metadata = _told(
+            thumbnail=without_parameter(_field(x, "$.urls.thumb")), img_src=without_parameter(_field(x, "$.urls.regular")), photographer=F.concat(F.lit("by "), _field(x, "$.user.name")), photographer_url=_field(x, "$.user.links.html"),
+            width=F.try_variant_get(x, "$.width", "bigint").cast("string"), height=F.try_variant_get(x, "$.height", "bigint").cast("string"), color=_field(x, "$.color"),
+        )
     else:
         cols = (_field(x, "$.title"), _field(x, "$.url"), _field(x, "$.snippet", "$.content"))
-    extra = ["keywords"] if source == "bilibili" else []
-    return rows.select(key, "pos", *[F.coalesce(c, F.lit("")).alias(n) for n, c in zip(("title", "url", "content"), cols)], *extra)
+    out = rows.select(key, "pos", *[F.coalesce(c, F.lit("")).alias(n) for n, c in zip(("title", "url", "content"), cols)], metadata.alias("metadata"))
+    if source in WEB:
+        return out.where(has_link(F.col("title"), F.col("url")))
+    return out.where("url != ''" + (" and title != ''" if source == "bilibili" else "")) if source in ("bilibili", "unsplash") else out
+
+
+JSON_SOURCES = ("baidu", "bilibili", "unsplash")
+
+
+def responses_to_items(responses: DataFrame, now: Column | None = None) -> DataFrame:
+    """Items of captured answers (response_id, engine, body), each read as its engine's answers are; other engines have none."""
+    out = None
+    for source in (*PARSERS, *JSON_SOURCES):
+        if source == "links":
+            continue
+        own = responses.where(F.col("engine") == source)
+        made = json_items(own, source, "response_id") if source in JSON_SOURCES else html_items(own, source, "response_id", "body", now)
+        made = made.withColumn("engine_name", F.lit(source)).select("response_id", "engine_name", "pos", "title", "url", "content", "metadata")
+        out = made if out is None else out.unionByName(made)
+    return out

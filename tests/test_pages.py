@@ -40,3 +40,43 @@ def test_items(spark, source):
     rows = html_items(df, source, "page_id").orderBy("page_id", "pos").collect()
     assert [(r.title, r.url, r.content, r.metadata) for r in rows] == want
     assert {r.page_id for r in rows} == {1}
+
+
+def test_unclosed_tags_nest_without_end(spark):
+    page = "<div>" * 3000 + "<b>" * 3000 + '<ol id="b_results"><li class="b_algo"><h2><a href="https://x.example">X</a></h2>' + "<p>" * 1200 + "said"
+    got = html_items(spark.createDataFrame([(1, page)], "page_id bigint, html string"), "bing", "page_id").collect()
+    assert [(r.title, r.url, r.content) for r in got] == [("X", "https://x.example", "said")]
+
+
+def test_no_results_and_unknown_feeds(spark):
+    from skein.sources import feeds
+
+    page = 'There are no results <ol id="b_results"><li class="b_algo"><h2><a href="https://x.example">X</a></h2></ol>'
+    assert html_items(spark.createDataFrame([(1, page)], "page_id bigint, html string"), "bing", "page_id").count() == 0
+    odd = spark.createDataFrame([("a", "neither")], "feed_url string, body string")
+    assert feeds.items(odd).count() == 0
+    with pytest.raises(Exception, match="unknown feed format"):
+        feeds.items(odd, unknown="error").collect()
+
+
+def test_settings(tmp_path):
+    from skein.operators import settings
+
+    (tmp_path / "a.toml").write_text("[x]\ny = 1\n")
+    (tmp_path / "a.json").write_text('{"x": {"y": 1}}')
+    (tmp_path / "a.yaml").write_text("x: 1")
+    assert settings.load(str(tmp_path / "a.toml")) == settings.load(str(tmp_path / "a.json")) == {"x": {"y": 1}}
+    with pytest.raises(ValueError):
+        settings.load(str(tmp_path / "a.yaml"))
+    assert settings.from_environment(["port", "host"], "app", {"APP_PORT": "1"}) == {"port": "1"}
+    assert settings.problems({"a": 1}, [lambda s: None, lambda s: "no b" if "b" not in s else None]) == ["no b"]
+
+
+def test_full_cache(spark):
+    from skein.operators import cache
+
+    e = spark.createDataFrame([("a", 5), ("b", None)], "key string, expires_at bigint")
+    new = spark.createDataFrame([("c", 9), ("d", 9)], "key string, expires_at bigint")
+    with pytest.raises(cache.CacheFull):
+        cache.put(e, new, capacity=2, now=6)
+    assert {r.key for r in cache.put(e, new, capacity=3, now=6).collect()} == {"b", "c", "d"}
