@@ -68,6 +68,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def snug(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """As cut, in as many partitions as its rows need: each task that shuffles it writes files, however few its rows."""
+    df = cut(df)
+    return df.coalesce(max(1, df.count() // rows + 1))
+
+
 def string_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them)."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,7 +125,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     neighbourhood is ever gathered in a task. The number of rounds grows with
     the logarithm of the longest path.
     """
-    e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = snug(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
@@ -137,7 +143,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where("u != v")
             .distinct()
         )
-        e = cut(small)
+        e = snug(small)
         after = mark(e)
         if after == before:
             break

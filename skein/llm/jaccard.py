@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, connected_components, cut, membership, possibly_in, string_slices
+from skein.llm.common import begin, connected_components, cut, membership, possibly_in, snug, string_slices
 from skein.llm.hashing import SEEDS, mix, shingles
 
 WORDS = 5
@@ -54,8 +54,10 @@ PART = 1024
 #: Above so many classes of a token the second order pairs them.
 SPLIT = 64
 #: So many keys of a class are compared to pair two classes once; it affects speed alone.
-FIRST = 16
+FIRST = 6
 SKETCH = 1024
+#: Words of the sketches, folded in two, that pairs of a token are held against first.
+FOLDED = 8
 
 
 def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -93,8 +95,8 @@ def sketch_words(x: str = "sketch", to: str = "s") -> list[Column]:
     return [F.col(x)[i].alias(f"{to}{i}") for i in range(SKETCH // 64)]
 
 
-def bits_apart(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
+def bits_apart(x: str, y: str, words: int = SKETCH // 64) -> Column:
+    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, words)), F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
 
 
 def may_be_similar(n: Column, m: Column, apart: Column, percent: int) -> Column:
@@ -261,7 +263,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
     """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
 
     def wanted(some: DataFrame) -> DataFrame:
-        return cut(some.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c"))
+        return snug(some.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c"))
 
     def may_be(p2: pa.Buffer, q2: pa.Buffer, p3: pa.Buffer, q3: pa.Buffer) -> bool:
         return all(meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) for p, q in ((p2, q2), (p3, q3)))
@@ -269,8 +271,8 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
     def are(x: pa.Buffer, y: pa.Buffer) -> bool:
         return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
-    pairs = cut(pairs)
-    candidates = cut(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders)), may_be))
+    pairs = snug(pairs)
+    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders)), may_be))
     return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x])), are)
 
 
@@ -279,7 +281,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     rows = cut(signatures(documents, k))
     signed = rows.where("c is not null")
     heavy, rank = frequent(rows)
-    classes = cut(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    classes = snug(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
 
     # Groups of at least two classes; of frequent tokens also what is alone with its salt. Tokens
     # with the same classes are one group: their key is what these classes' hashes add up to.
@@ -287,64 +289,67 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     member = F.pmod(F.xxhash64("c"), F.lit(1 << 32))
     held = postings(documents, k, percent, heavy, rank).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
     held = held.where("low != high or salt > 0").select(F.when(F.col("salt") > 0, F.col("token")).otherwise(F.xxhash64("sum", "low", "high")).alias("key"), "salt", "c")
-    held = cut(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
-    # A frequent token of one class only pairs nothing.
-    lone = held.where("salt > 0").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low = high").select("key")
-    held = cut(held.join(lone, "key", "left_anti"))
+    held = snug(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
 
     def orders(x: np.ndarray) -> list[np.ndarray]:
         known = ranks(x, heavy, rank)
         return [np.unique(x[prefix(x, known, i, percent)].astype(np.uint32)) for i in (1, 2)]
 
-    # The centre of a group shares most of its prefix. Each class is compared with the nearest of
-    # the centres of its groups, and the centres of a frequent token with the best of them.
+    # The centre of a group shares most of its prefix. Each class is compared with one centre: the one that it
+    # shares most tokens with, of those of its groups; and the centres of a frequent token with the best of them.
     sized = classes.select("c", "n", *sketch_words())
     shared = held.groupBy("c").agg(F.sum("tokens").alias("shared")).join(classes.select("c", "n"), "c").select("c", (F.col("n") - 5 * F.col("shared")).alias("odd"))
-    with_odd = cut(held.join(shared, "c").select("key", "salt", "c", "odd"))
-    centres = with_odd.groupBy("key", "salt").agg(F.min(F.struct("odd", "c")).alias("centre"))
-    tops = centres.where("salt > 0")
+    in_group = Window.partitionBy("key", "salt")
+    centred = snug(held.join(shared, "c").withColumn("centre", F.min(F.struct("odd", "c")).over(in_group)).select("key", "salt", "c", "tokens", "centre"))
+    tops = centred.where("salt > 0 and c = centre.c").select("key", "tokens", "centre")
     best = tops.groupBy("key").agg(F.min("centre").alias("top"))
-    stars = with_odd.join(centres, ["key", "salt"]).select("c", F.col("centre.c").alias("centre"))
-    stars = stars.unionByName(tops.join(best, "key").select(F.col("centre.c").alias("c"), F.col("top.c").alias("centre"))).where("c != centre").distinct()
-    far = bits_apart("s", "t")
-    second = classes.select(F.col("c").alias("centre"), F.col("n").alias("n2"), *sketch_words(to="t"))
-    stars = stars.join(sized, "c").join(second, "centre").where(may_be_similar(F.col("n"), F.col("n2"), far, percent))
-    stars = stars.groupBy("c").agg(F.min(F.struct(far.alias("far"), "centre")).alias("x")).select(F.least("c", "x.centre").alias("a"), F.greatest("c", "x.centre").alias("b")).distinct()
-    linked = cut(verified(documents, stars, classes, k, percent, orders))
+    near = centred.select("c", "tokens", F.col("centre.c").alias("centre")).unionByName(tops.join(best, "key").select(F.col("centre.c").alias("c"), "tokens", F.col("top.c").alias("centre"))).where("c != centre")
+    near = near.groupBy("c", "centre").agg(F.sum("tokens").alias("tokens")).groupBy("c").agg(F.max(F.struct("tokens", "centre")).alias("x"))
+    stars = snug(near.select("c", F.col("x.centre").alias("centre")))
+    linked = snug(verified(documents, likely(stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sized, percent), classes, k, percent, orders))
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
     # What these links leave apart, in the groups of a key.
-    apart = cut(held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c")))
+    apart = held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
     several = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
-    apart = cut(apart.join(several, "key"))
-
+    apart = snug(apart.join(several, "key"))
+    folded = classes.select("c", "n", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]).alias(f"s{i}") for i in range(FOLDED)])
     few = apart.where(F.col("m") <= SPLIT).select("key", "c", "component")
-    many = cut(apart.where(F.col("m") > SPLIT).select("c", "component").distinct().join(classes.select("c", "rep"), "c"))
+    many = snug(apart.where(F.col("m") > SPLIT).select("c", "component").distinct().join(classes.select("c", "rep"), "c"))
     second = of_classes(documents, many.select("c", "rep"), k, "p2 binary", lambda x: orders(x)[:1])
     by_second = many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c", "component")
     of_two = by_second.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    by_second = cut(by_second.join(of_two, "key"))
-    found = paired(few, sized, percent).unionByName(paired(by_second, sized, percent)).distinct()
-    more = verified(documents, found, classes, k, percent, orders)
+    by_second = snug(by_second.join(of_two, "key"))
+    found = paired(few, folded, percent).unionByName(paired(by_second, folded, percent)).distinct()
+    more = verified(documents, likely(found, sized, percent), classes, k, percent, orders)
+
+    # Classes that a document has rows of are together, too.
+    of_documents = signed.where("doc_id is not null and n > 0").select("doc_id", "c")
+    several = of_documents.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
+    edges = linked.unionByName(more).unionByName(of_documents.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b")).where("a != b"))
+    found = connected_components(edges).join(classes.select(F.col("c").alias("node"), "rep"), "node")
+    smallest = found.groupBy("component").agg(F.min("rep").alias("least"))
+    by_class = classes.select("c", "rep").join(found.join(smallest, "component").select(F.col("node").alias("c"), "least"), "c", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "c").join(by_class.select("c", F.coalesce("least", "rep").alias("component")), "c", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    return out.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+
 
-    # Over doc_ids, so that rows of the same document are together.
-    named = linked.unionByName(more)
-    rep = lambda x: classes.select(F.col("c").alias(x), F.col("rep").alias(f"{x}_doc"))
-    edges = named.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    own = signed.where("doc_id is not null and n > 0").join(classes.select("c", "rep"), "c").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(edges.unionByName(own.distinct()))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+def likely(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of classes, those that sizes and whole sketches allow."""
+    second = sized.select(F.col("c").alias("b"), F.col("n").alias("n2"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
+    both = pairs.join(sized.withColumnRenamed("c", "a"), "a").join(second, "b")
+    return both.where(may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)).select("a", "b")
 
 
 def paired(rows: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes of different components that share a key, as far as sizes and sketches allow."""
+    """a, b: classes of different components that share a key, as far as sizes and folded sketches allow."""
     # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
     keys = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
     own = rows.join(sized.join(keys, "c"), "c")
-    second = own.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
+    second = own.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(FOLDED)])
     smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
-    near = may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)
+    near = may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t", FOLDED), percent)
     # In this form the keys are intersected only for pairs that pass the rest.
     wanted = F.when((F.col("c") < F.col("c2")) & (F.col("component") != F.col("component2")) & near, smallest).otherwise(F.lit(False))
     return own.join(second, "key").where(wanted).select(F.col("c").alias("a"), F.col("c2").alias("b"))
