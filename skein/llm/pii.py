@@ -7,8 +7,13 @@ code); different entities get different ones. Digit strings pass a keyed
 Feistel network, which is one to one; cards keep their first digit and
 whether their check digit is right; letters and names come from a keyed hash,
 and a global check for collisions over all distinct entities, which sends
-only counts to the driver, widens them until there is none. Separators, country code,
-title, gender, script, top-level domain and capitals stay as they are.
+only counts to the driver, widens them until there is none, or fails. A bank
+account number keeps its country, its letters and whether its check digits are
+right. Separators, country code, title, gender, script, top-level domain and
+words all in capitals stay as they are.
+
+A person is named by a title and one or two words; a name without a title, or
+a surname alone beside the full name, is not linked with it.
 
 Texts are rewritten in the row; only distinct entities are shuffled, and
 those are combined first.
@@ -23,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut
+
 # Titles by gender, and names to choose from.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora")
 MALE = ("Mr", "Herr", "Monsieur", "Sr", "Señor")
@@ -49,6 +56,8 @@ ANY = "|".join(PATTERNS.values())
 #: A text without any of these has no entity.
 HINT = r"@|[0-9][0-9\x20().-]{5}|[0-9]\.[0-9]|[A-Z]{2}[0-9]{2}|(?<!\p{L})(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?\x20\p{Lu}"
 ROUNDS = 6
+#: Surrogates are made longer up to so many times, as far as a hash has digits; an error follows.
+MOST_WIDE = 14
 
 
 def _let(value: Column, body) -> Column:
@@ -106,6 +115,15 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(-total, F.lit(10))
 
 
+def _check97(body: Column, country: Column) -> Column:
+    """The two digits that make a bank account number right; letters count as 10 to 35."""
+    def step(acc: Column, i: Column) -> Column:
+        c = F.substring(F.concat(body, country, F.lit("00")), i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    return F.lit(98) - F.aggregate(F.sequence(F.lit(1), F.length(body) + 4), F.lit(0), lambda acc, i: step(acc, i).cast("int"))
+
+
 def _letters(seed: Column, n: int) -> Column:
     return F.translate(F.substring(F.sha2(seed, 256), 1, min(64, n)), "0123456789abcdef", "bcdfghjkmnpqrstv")
 
@@ -174,7 +192,8 @@ def replaced(m: Column, kind: Column, key: str, widen: int) -> Column:
         local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
         name = _letters(F.concat(F.lit(f"{key}|local|"), low), 8 + 4 * widen)
         numbered = F.when(local.rlike(r"\.[0-9]+$"), F.concat(F.lit("."), F.lpad(F.pmod(_number(F.concat(F.lit(f"{key}|tail|"), low), 8), F.lit(100)).cast("string"), 2, "0"))).otherwise("")
-        return F.concat(name, numbered, F.lit("@"), _letters(F.concat(F.lit(f"{key}|domain|"), domain), 6 + 2 * widen), F.lit(".example."), F.substring_index(domain, ".", -1))
+        made = F.concat(name, numbered, F.lit("@"), _letters(F.concat(F.lit(f"{key}|domain|"), domain), 6 + 2 * widen), F.lit(".example."), F.substring_index(domain, ".", -1))
+        return F.when(m == F.upper(m), F.upper(made)).otherwise(made)
 
     def name() -> Column:
         title, rest = F.regexp_extract(m, r"^([^\x20]+)\x20", 1), F.regexp_extract(m, r"\x20(.*)$", 1)
@@ -188,27 +207,40 @@ def replaced(m: Column, kind: Column, key: str, widen: int) -> Column:
         return F.when(rest == F.upper(rest), F.concat(title, F.lit(" "), F.upper(F.concat(given, last)))).otherwise(whole)
 
     def iban() -> Column:
-        return _fill(m, F.concat(F.substring(d, 1, 2), _feistel(key, "iban", F.substring(d, F.lit(3), F.length(d)))))
+        def filled(flat: Column) -> Column:
+            country, told, old = F.substring(flat, 1, 2), F.substring(flat, 3, 2).cast("int"), F.substring(flat, F.lit(5), F.length(flat))
+            rest = _let(_fill(old, _feistel(key, "iban", _digits(old))), lambda new: F.concat(F.lpad(F.pmod(told - _check97(old, country) + _check97(new, country), F.lit(100)).cast("string"), 2, "0"), _digits(new)))
+            return _fill(m, rest)
+
+        return _let(F.regexp_replace(m, r"\x20", ""), filled)
 
     return F.when(kind == "email", email()).when(kind == "name", name()).when(kind == "iban", iban()).when(kind == "ip", ip()).when(kind == "phone", phone()).when(kind == "ssn", _fill(m, _feistel(key, "ssn", d))).otherwise(card())
 
 
-def collisions(documents: DataFrame, key: str, widen: int) -> int:
-    """How many surrogates stand for more than one entity, over all documents."""
+def entities(documents: DataFrame) -> DataFrame:
+    """kind, entity and a form of it, each entity once, over all documents."""
     t = F.col("text")
     found = documents.select("text").where(t.rlike(HINT)).select(F.explode(F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("m")).withColumn("kind", kind_of(F.col("m")))
-    entities = found.withColumn("entity", canonical(F.col("m"), F.col("kind"))).groupBy("kind", "entity").agg(F.min("m").alias("m"))
+    return found.withColumn("entity", canonical(F.col("m"), F.col("kind"))).groupBy("kind", "entity").agg(F.min("m").alias("m"))
+
+
+def collisions(known: DataFrame, key: str, widen: int) -> int:
+    """How many surrogates stand for more than one of the entities."""
     kind = F.col("kind")
-    made = entities.select("kind", canonical(replaced(F.col("m"), kind, key, widen), kind).alias("surrogate"))
+    # Surrogates cost far more than their few bytes tell: dealt to as many tasks as a shuffle has.
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = known.repartition(n, "entity").select("kind", canonical(replaced(F.col("m"), kind, key, widen), kind).alias("surrogate"))
     return made.groupBy("kind", "surrogate").count().where("count > 1").count()
 
 
 def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns, the text with surrogates for personal data, and n_entities."""
     documents = documents.drop("n_entities")
-    widen = 0
-    while widen < 8 and collisions(documents.select(F.col(text).alias("text")), key, widen):
+    known, widen = cut(entities(documents.select(F.col(text).alias("text")))), 0
+    while collisions(known, key, widen):
         widen += 1
+        if widen > MOST_WIDE:
+            raise ValueError("surrogates of different entities stay equal under this key; choose another")
     t = F.col(text)
     has = F.coalesce(t.rlike(HINT), F.lit(False))
     df = documents.withColumns({"_matches": F.when(has, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))), "_gaps": F.when(has, F.split(t, ANY, -1))})
