@@ -12,15 +12,21 @@ account number keeps its country, its letters and whether its check digits are
 right. Separators, country code, title, gender, script, top-level domain and
 words all in capitals stay as they are.
 
-A person is named by a title and one or two words; a name without a title, or
-a surname alone beside the full name, is not linked with it.
+A person is named by a title and one or two words, and then, in the same text,
+by any of these words without the title: "Mr. John Smith", "John Smith", "Mr.
+Smith" and "Smith" get one surname. Surnames are keyed by themselves, given
+names by themselves and the gender that a title in the text tells for them. A
+word that stands alone after a title somewhere in the text counts as a
+surname there.
 
 Texts are rewritten in the row; only distinct entities are shuffled, and
 those are combined first.
 
 Edge cases: a null text stays null; texts without entities are unchanged to
 the byte; repeated rows get equal results; an empty table gives no rows; all
-columns are kept.
+columns are kept whatever their names, but for an n_entities of the caller. A
+text is searched for each word of its own names wherever a capital starts a
+word; a capitalised word that follows a name by chance counts as part of it.
 """
 
 from __future__ import annotations
@@ -41,7 +47,8 @@ SYLLABLES = ("ba", "den", "dor", "fel", "gan", "har", "kel", "lan", "len", "mar"
 CYRILLIC_SYLLABLES = ("ба", "ден", "дор", "фел", "ган", "хар", "кел", "лан", "лен", "мар", "мон", "нор", "ран", "рос", "тал", "вин")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_WORD = r"\p{Lu}[\p{L}'’-]+"
+#: A word of a name, without the ending of a genitive.
+_WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
 # Patterns by kind; the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -53,8 +60,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\x20{_WORD}(?:\x20{_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
+TITLED = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\x20\p{{Lu}}"
 #: A text without any of these has no entity.
-HINT = r"@|[0-9][0-9\x20().-]{5}|[0-9]\.[0-9]|[A-Z]{2}[0-9]{2}|(?<!\p{L})(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?\x20\p{Lu}"
+HINT = r"@|[0-9][0-9\x20().-]{5}|[0-9]\.[0-9]|[A-Z]{2}[0-9]{2}|" + TITLED
 ROUNDS = 6
 #: Surrogates are made longer up to so many times, as far as a hash has digits; an error follows.
 MOST_WIDE = 14
@@ -140,6 +148,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike(title), "name")
+        .when(m.rlike(r"^\p{Lu}[\p{L}'’\x20-]+$"), "bare")
         .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
         .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -153,7 +162,6 @@ def canonical(m: Column, kind: Column) -> Column:
     d = _digits(m)
     return (
         F.when(kind == "email", F.lower(m))
-        .when(kind == "name", F.lower(F.regexp_extract(m, r"\x20(.*)$", 1)))
         .when(kind == "phone", F.when(F.length(d) > 10, F.substring(d, -10, 10)).otherwise(d))
         .when(kind == "iban", F.regexp_replace(m, r"\x20", ""))
         .when(kind == "ip", m)
@@ -195,17 +203,6 @@ def replaced(m: Column, kind: Column, key: str, widen: int) -> Column:
         made = F.concat(name, numbered, F.lit("@"), _letters(F.concat(F.lit(f"{key}|domain|"), domain), 6 + 2 * widen), F.lit(".example."), F.substring_index(domain, ".", -1))
         return F.when(m == F.upper(m), F.upper(made)).otherwise(made)
 
-    def name() -> Column:
-        title, rest = F.regexp_extract(m, r"^([^\x20]+)\x20", 1), F.regexp_extract(m, r"\x20(.*)$", 1)
-        bare = F.regexp_replace(title, r"\.$", "")
-        pick = lambda names: F.element_at(F.array(*map(F.lit, names)), F.pmod(_number(F.concat(F.lit(f"{key}|first|"), F.lower(F.substring_index(rest, " ", 1))), 8), F.lit(len(names))).cast("int") + 1)
-        first = F.when(bare.isin(*FEMALE), pick(FEMALE_NAMES)).when(bare.isin(*MALE), pick(MALE_NAMES)).otherwise(pick(NEUTRAL_NAMES))
-        seed = F.concat(F.lit(f"{key}|last|"), F.lower(rest))  # first names repeat, so that surnames must tell people apart
-        last = F.when(rest.rlike(r"\p{IsCyrillic}"), _syllables(seed, 4 + 2 * widen, CYRILLIC_SYLLABLES)).otherwise(_syllables(seed, 4 + 2 * widen, SYLLABLES))
-        given = F.when(F.contains(rest, F.lit(" ")), F.concat(first, F.lit(" "))).otherwise("")
-        whole = F.concat(title, F.lit(" "), given, last)
-        return F.when(rest == F.upper(rest), F.concat(title, F.lit(" "), F.upper(F.concat(given, last)))).otherwise(whole)
-
     def iban() -> Column:
         def filled(flat: Column) -> Column:
             country, told, old = F.substring(flat, 1, 2), F.substring(flat, 3, 2).cast("int"), F.substring(flat, F.lit(5), F.length(flat))
@@ -214,37 +211,128 @@ def replaced(m: Column, kind: Column, key: str, widen: int) -> Column:
 
         return _let(F.regexp_replace(m, r"\x20", ""), filled)
 
-    return F.when(kind == "email", email()).when(kind == "name", name()).when(kind == "iban", iban()).when(kind == "ip", ip()).when(kind == "phone", phone()).when(kind == "ssn", _fill(m, _feistel(key, "ssn", d))).otherwise(card())
+    return F.when(kind == "email", email()).when(kind == "iban", iban()).when(kind == "ip", ip()).when(kind == "phone", phone()).when(kind == "ssn", _fill(m, _feistel(key, "ssn", d))).otherwise(card())
+
+
+def _rest(m: Column) -> Column:
+    return F.regexp_extract(m, r"\x20(.*)$", 1)
+
+
+def _gender(m: Column) -> Column:
+    """f, m or n, by the title."""
+    title = F.regexp_extract(m, r"^([^\x20.]+)", 1)
+    return F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
+
+
+def _people(df: DataFrame, t: Column) -> DataFrame:
+    """With the names after titles in each text, and their words by place and gender, as columns _pii_*."""
+    found = F.when(t.rlike(TITLED), F.regexp_extract_all(t, F.lit(PATTERNS["name"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_pii_named", F.transform(found, lambda m: F.struct(_gender(m).alias("gender"), F.split(_rest(m), r"\x20").alias("words"))))
+
+    def first(test) -> Column:
+        return F.array_distinct(F.transform(F.filter("_pii_named", test), lambda x: F.lower(x["words"][0])))
+
+    return df.withColumns(
+        {
+            "_pii_words": F.array_distinct(F.flatten(F.transform("_pii_named", lambda x: x["words"]))),
+            "_pii_alone": first(lambda x: F.size(x["words"]) == 1),
+            "_pii_given": first(lambda x: F.size(x["words"]) > 1),
+            "_pii_f": first(lambda x: x["gender"] == "f"),
+            "_pii_m": first(lambda x: x["gender"] == "m"),
+        }
+    )
+
+
+def _role(word: Column, gender: Column) -> Column:
+    """What a word of a name is in its text; gender: what its own title tells."""
+    low = F.lower(word)
+    surname = F.array_contains("_pii_alone", low) | ~F.array_contains("_pii_given", low)
+    told = F.when(gender != "n", gender).when(F.array_contains("_pii_f", low), "f").when(F.array_contains("_pii_m", low), "m").otherwise("n")
+    return F.when(surname, "surname").otherwise(F.concat(F.lit("given_"), told))
+
+
+def _roles(words: Column, gender: Column) -> Column:
+    """(kind, entity, m) for each word after a title; the last is a surname."""
+    def one(w: Column, i: Column) -> Column:
+        kind = F.when(i == F.size(words) - 1, "surname").otherwise(_role(w, gender))
+        return F.struct(kind.alias("kind"), F.lower(w).alias("entity"), w.alias("m"))
+
+    return F.transform(words, one)
+
+
+def _bare_roles(words: Column) -> Column:
+    return F.transform(words, lambda w: F.struct(_role(w, F.lit("n")).alias("kind"), F.lower(w).alias("entity"), w.alias("m")))
+
+
+def _word(w: Column, kind: Column, key: str, widen: int) -> Column:
+    """The surrogate of a word of a name."""
+    low, cyrillic = F.lower(w), w.rlike(r"\p{IsCyrillic}")
+
+    def syllables(seed: Column, n: int) -> Column:
+        return F.when(cyrillic, _syllables(seed, n, CYRILLIC_SYLLABLES)).otherwise(_syllables(seed, n, SYLLABLES))
+
+    def pick(names: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), F.pmod(_number(F.concat(F.lit(f"{key}|first|"), low), 8), F.lit(len(names))).cast("int") + 1)
+
+    given = F.when(cyrillic, _syllables(F.concat(F.lit(f"{key}|first|"), kind, low), 2, CYRILLIC_SYLLABLES)).when(kind == "given_f", pick(FEMALE_NAMES)).when(kind == "given_m", pick(MALE_NAMES)).otherwise(pick(NEUTRAL_NAMES))
+    if widen:  # there are few given names to choose from
+        given = F.concat(given, F.lit("-"), syllables(F.concat(F.lit(f"{key}|second|"), kind, F.lit("|"), low), 2 * widen))
+    made = F.when(kind == "surname", syllables(F.concat(F.lit(f"{key}|last|"), low), 4 + 2 * widen)).otherwise(given)
+    return F.when(w == F.upper(w), F.upper(made)).otherwise(made)
+
+
+def _pattern() -> Column:
+    """All kinds, and the words of the names in the text where they stand without a title."""
+    forms = F.array_distinct(F.flatten(F.transform("_pii_words", lambda w: F.array(w, F.upper(w), F.when(w == F.upper(w), F.initcap(w)).otherwise(w)))))
+    word = F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    bare = F.concat(F.lit(ANY + r"|(?<!\p{L})"), word, F.lit(r"(?:\x20"), word, F.lit("){0,3}"))
+    return F.when(F.size("_pii_words") > 0, bare).otherwise(F.lit(ANY))
 
 
 def entities(documents: DataFrame) -> DataFrame:
     """kind, entity and a form of it, each entity once, over all documents."""
     t = F.col("text")
-    found = documents.select("text").where(t.rlike(HINT)).select(F.explode(F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("m")).withColumn("kind", kind_of(F.col("m")))
-    return found.withColumn("entity", canonical(F.col("m"), F.col("kind"))).groupBy("kind", "entity").agg(F.min("m").alias("m"))
+    df = _people(documents.select("text").where(t.rlike(HINT)), t)
+    matches = F.filter(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: kind_of(m) != "name")
+    plain = F.transform(matches, lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), canonical(m, k).alias("entity"), m.alias("m"))))
+    named = F.flatten(F.transform("_pii_named", lambda x: _roles(x["words"], x["gender"])))
+    found = df.select(F.explode(F.concat(plain, named, _bare_roles(F.col("_pii_words")))).alias("x")).select("x.*")
+    return found.groupBy("kind", "entity").agg(F.min("m").alias("m"))
 
 
 def collisions(known: DataFrame, key: str, widen: int) -> int:
     """How many surrogates stand for more than one of the entities."""
-    kind = F.col("kind")
+    kind, m = F.col("kind"), F.col("m")
     # Surrogates cost far more than their few bytes tell: dealt to as many tasks as a shuffle has.
     n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = known.repartition(n, "entity").select("kind", canonical(replaced(F.col("m"), kind, key, widen), kind).alias("surrogate"))
-    return made.groupBy("kind", "surrogate").count().where("count > 1").count()
+    of_name = (kind == "surname") | F.startswith(kind, F.lit("given"))
+    surrogate = F.when(of_name, F.lower(_word(m, kind, key, widen))).otherwise(canonical(replaced(m, kind, key, widen), kind))
+    return known.repartition(n, "entity").select("kind", surrogate.alias("surrogate")).groupBy("kind", "surrogate").count().where("count > 1").count()
 
 
 def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns, the text with surrogates for personal data, and n_entities."""
     documents = documents.drop("n_entities")
-    known, widen = cut(entities(documents.select(F.col(text).alias("text")))), 0
+    # The whole row, so that no name clashes with those of the work.
+    rows, t = documents.select(F.struct(*documents.columns).alias("_row"), F.col(text).alias("text")), F.col("text")
+    known, widen = cut(entities(rows.select("text"))), 0
     while collisions(known, key, widen):
         widen += 1
         if widen > MOST_WIDE:
             raise ValueError("surrogates of different entities stay equal under this key; choose another")
-    t = F.col(text)
     has = F.coalesce(t.rlike(HINT), F.lit(False))
-    df = documents.withColumns({"_matches": F.when(has, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))), "_gaps": F.when(has, F.split(t, ANY, -1))})
-    new = F.transform("_matches", lambda m: _let(kind_of(m), lambda k: replaced(m, k, key, widen)))
-    joined = F.array_join(F.zip_with("_gaps", F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    out = F.when(F.size("_matches") > 0, joined).otherwise(t)
-    return df.withColumn("n_entities", F.coalesce(F.when(has, F.size("_matches")), F.lit(0)).cast("bigint")).withColumn(text, out).select(*documents.columns, "n_entities")
+    df = _people(rows, t).withColumn("_pii_pattern", _pattern())
+    df = df.withColumns({"_pii_matches": F.when(has, F.regexp_extract_all(t, F.col("_pii_pattern"), F.lit(0))), "_pii_gaps": F.when(has, F.split(t, F.col("_pii_pattern"), -1))})
+
+    def spoken(roles: Column) -> Column:
+        return F.array_join(F.transform(roles, lambda r: _word(r["m"], r["kind"], key, widen)), " ")
+
+    def new(m: Column, kind: Column) -> Column:
+        titled = F.concat(F.regexp_extract(m, r"^([^\x20]+\x20)", 1), spoken(_roles(F.split(_rest(m), r"\x20"), _gender(m))))
+        return F.when(kind == "name", titled).when(kind == "bare", spoken(_bare_roles(F.split(m, r"\x20")))).otherwise(replaced(m, kind, key, widen))
+
+    made = F.transform("_pii_matches", lambda m: _let(kind_of(m), lambda k: new(m, k)))
+    joined = F.array_join(F.zip_with("_pii_gaps", F.concat(made, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+    out = F.when(F.size("_pii_matches") > 0, joined).otherwise(t)
+    n_entities = F.coalesce(F.when(has, F.size("_pii_matches")), F.lit(0)).cast("bigint")
+    return df.select(*(out.alias(c) if c == text else F.col("_row")[c].alias(c) for c in documents.columns), n_entities.alias("n_entities"))

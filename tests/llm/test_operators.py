@@ -379,3 +379,34 @@ def test_secrets_base_against_regular_expressions(spark):
         spans = sorted([*assign, *access, *hexes], key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (len(assign), len(access), len(hexes))
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_surrogates_of_people_hold_through_a_text(spark):
+    texts = [
+        "Mr. John Smith came. John Smith left. Mr. Smith spoke. SMITH's dog, Smithson, John's cat.",
+        "Frau Müller und Herr Müller, Dr. Eva Müller; Eva Müller-Lang; Eva.",
+        "John Smith has no title here.",
+        "Mr. Smith met Mrs. Joan Smith. Joan Smith saw Mr. O'Brien-Lee. O'Brien-Lee went.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id bigint, text string")
+    rows = pii.pseudonymise(df, "k").collect()
+    got = {r.doc_id: r.text for r in rows}
+    m = re.match(r"Mr\. (\S+) (\S+) came\. \1 \2 left\. Mr\. \2 spoke\. (\S+)'s dog, Smithson, \1's cat\.$", got[0])
+    assert m and m[3] == m[2].upper() and {m[1], m[2]}.isdisjoint({"John", "Smith"})
+    n = re.match(r"Frau (\S+) und Herr \1, Dr\. (\S+) \1; \2 \1-Lang; \2\.$", got[1])
+    assert n and n[1] != m[2] and n[2] != "Eva"
+    assert got[2] == texts[2]
+    o = re.match(r"Mr\. (\S+) met Mrs\. (\S+) \1\. \2 \1 saw Mr\. (\S+)\. \3 went\.$", got[3])
+    assert o and o[1] == m[2] and o[2].split("-")[0] in pii.FEMALE_NAMES and o[3] != o[1]
+    assert [r.text for r in rows if r.doc_id == 0] == [got[0]] * 2
+
+
+def test_surrogates_of_many_people_stay_distinct(spark):
+    given, last = ["Ana", "Bea", "Cora", "Dora", "Edda", "Fay", "Gina", "Hana", "Ina", "Jana", "Kaja", "Lea", "Mona", "Nina", "Oda", "Pia", "Ria", "Sina"], ["Adler", "Berg", "Conrad", "Dorn"]
+    people = [f"{g} {x}" for g in given for x in last]
+    df = spark.createDataFrame([(i, f"Mrs. {p} and {p}", i) for i, p in enumerate(people)], "doc_id bigint, text string, _pii_words bigint").repartition(3)
+    got = {r.doc_id: (r.text, r._pii_words) for r in pii.pseudonymise(df, "k").collect()}
+    made = [re.match(r"Mrs\. (\S+ \S+) and \1$", got[i][0])[1].split(" ") for i in range(len(people))]
+    assert len(set(map(tuple, made))) == len(people) and all(got[i][1] == i for i in got)
+    for part in (0, 1):
+        assert len({(p.split(" ")[part], m[part]) for p, m in zip(people, made)}) == len({m[part] for m in made}) == len({p.split(" ")[part] for p in people})
