@@ -7,13 +7,15 @@ a given number pass; they are list-decoded half by half without trying all
 products. That number is chosen by trial on random pairs, so that a pair at
 the least cosine meets with probability RECALL at any size of table; the turn
 makes every pair as good as a random one. The codes grow with the largest
-label of vectors of a length. Vectors of a label that pass a common filter meet in a
-bucket, where their cosines are computed in double precision; a pair is
-counted in the smallest filter that both pass.
+label of vectors of a length, so that few but near vectors meet.
 
-Equal vectors of a label are one class before any of this. A bucket of more
-than TILE classes is cut into tiles, and each pair of tiles is work of its
-own. Of a tile only counts and a spanning forest come out, never its pairs.
+Equal vectors of a label are one class before any of this. First only the
+numbers of classes and filters are counted by filter; vectors are then sent to
+the filters where they meet another. There their cosines are computed in
+double precision; a pair is counted in the smallest filter that both pass. A
+filter of more than TILE classes is cut into tiles, and each pair of tiles is
+work of its own. Of a tile only counts and a spanning forest come out, never
+its pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label or id, link with nothing; vectors of
@@ -39,8 +41,14 @@ RECALL = 0.999
 TRIALS = 4000
 #: Filters that a vector passes at least.
 PASSED = 8
-TILE = 1024
+#: Codewords of a half at most; beyond it more vectors meet in a filter, and no pair is lost.
+CODEWORDS = 1 << 14
+#: Classes of a tile, rows of a task's unit of work, classes of a filter that are compared together with other filters',
+#: and numbers in a work array.
+TILE = 2048
 ROWS = 8192
+FEW = 24
+BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -110,100 +118,178 @@ def enough(dim: int, size: int, least: float) -> int:
 
 def code_size(n: int) -> int:
     """Codewords of a half for n vectors of a label."""
-    return 1 << max(3, int(np.ceil(np.log2(max(1.0, n / 4)) / 2)))
+    return min(CODEWORDS, 1 << max(3, int(np.ceil(np.log2(16 * np.sqrt(max(1.0, n)))))))
 
 
-def cosines(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose cosine is at least the given one."""
-    nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-    i, j = np.nonzero((x / nx[:, None]) @ (y / ny[:, None]).T >= least - 1e-9)
-    exact = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]) >= least
-    return i[exact], j[exact]
+def linked(x: np.ndarray, norms: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosines of the pairs of rows are at least the given one."""
+    return np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= least
+
+
+def met_before(keys: np.ndarray, here: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the pairs of rows meet in a filter before this one, too; keys: filters of a row, padded by the greatest number."""
+    found = np.zeros(len(i), bool)
+    step = max(1, BLOCK // keys.shape[1])
+    for low in range(0, len(i), step):
+        p, q, h = i[low : low + step], j[low : low + step], here[low : low + step]
+        for c in range(keys.shape[1]):
+            own = keys[p, c]
+            found[low : low + step] |= (own < h) & (keys[q] == own[:, None]).any(axis=1)
+    return found
+
+
+def few_pairs(bucket: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring rows, up to most - 1 apart, of a bucket; of two tiles, those across them. Rows are sorted by bucket."""
+    i, j = [], []
+    for d in range(1, most):
+        p = np.flatnonzero(bucket[d:] == bucket[:-d])
+        p = p[(apart[p] < 0) | (apart[p] != apart[p + d])]
+        i.append(p)
+        j.append(p + d)
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, int), np.zeros(0, int))
+
+
+def many_pairs(x: np.ndarray, norms: np.ndarray, keys: np.ndarray, here: int, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of a large filter that meet first here; left and right: rows of the two tiles, the same for one."""
+    one = left is right
+    shared, times = np.unique(keys[left if one else np.concatenate([left, right])], return_counts=True)
+    shared = shared[(times > 1) & (shared < here)]
+    dense = len(shared) * len(right) <= 8 * BLOCK
+    member = lambda at: np.isin(keys[at], shared)
+
+    def marks(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), len(shared)), np.float32)
+        r, c = np.nonzero(member(at))
+        out[r, np.searchsorted(shared, keys[at[r], c])] = 1
+        return out
+
+    other = marks(right) if dense and len(shared) else None
+    unit = x[right] / norms[right, None]
+    i_all, j_all = [], []
+    step = max(1, BLOCK // len(right))
+    for low in range(0, len(left), step):
+        at = left[low : low + step]
+        near = (x[at] / norms[at, None]) @ unit.T
+        near = np.abs(near - least) < 1e-9, near >= least
+        hit = near[0] | near[1]
+        if one:
+            hit &= np.arange(low, low + len(at))[:, None] < np.arange(len(right))[None, :]
+        if other is not None:
+            hit &= marks(at) @ other.T == 0
+        p, q = np.nonzero(hit)
+        close = near[0][p, q]
+        p, q = at[p], right[q]
+        sure = np.ones(len(p), bool)
+        sure[close] = linked(x, norms, p[close], q[close], least)
+        p, q = p[sure], q[sure]
+        if not dense:
+            first = ~met_before(keys, np.full(len(p), here), p, q)
+            p, q = p[first], q[first]
+        i_all.append(p)
+        j_all.append(q)
+    return np.concatenate(i_all), np.concatenate(j_all)
+
+
+def summed(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Of linked pairs of rows: links of each id, and the smallest id that it reaches."""
+    nodes, at = np.unique(ids, return_inverse=True)
+    a, b = at[i], at[j]
+    count = np.zeros(len(nodes), np.int64)
+    np.add.at(count, a, copies[j])
+    np.add.at(count, b, copies[i])
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            break
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+    on = count > 0
+    return pd.DataFrame({"a": nodes[on], "n": count[on], "b": nodes[root[on]]})
+
+
+def compare(x: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Counts and forest of the links of rows (label, key, h, copies, v, keys, own, ti, tj) that share label, key and tiles."""
+    out = []
+    for _, part in x.groupby(x.v.map(len)):
+        part = part.assign(bucket=part.groupby(["label", "key", "ti", "tj"]).ngroup()).sort_values(["bucket", "h"])
+        v = np.stack(part.v.to_numpy()).astype(float)
+        v = v / np.exp2(np.floor(np.log2(np.abs(v).max(axis=1, keepdims=True))))  # exact; keeps squares finite
+        norms = np.sqrt((v * v).sum(axis=1))
+        wide = part["keys"].map(len).max()
+        keys = np.full((len(part), wide), np.iinfo(np.int64).max)
+        for r, k in enumerate(part["keys"]):
+            keys[r, : len(k)] = k
+        bucket, here, own = part.bucket.to_numpy(), part.key.to_numpy(), part.own.to_numpy()
+        apart = np.where(part.ti == part.tj, -1, own)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(starts[1:], len(part))
+        small = np.repeat(ends - starts <= FEW, ends - starts)
+        at = np.flatnonzero(small)
+        i, j = few_pairs(bucket[at], apart[at], FEW)
+        i, j = at[i], at[j]
+        step = max(1, BLOCK // v.shape[1])
+        near = np.concatenate([np.zeros(0, bool), *(linked(v, norms, i[low : low + step], j[low : low + step], least) for low in range(0, len(i), step))])
+        i, j = i[near], j[near]
+        first = ~met_before(keys, here[i], i, j)
+        i_all, j_all = [i[first]], [j[first]]
+        for low, high in zip(starts, ends):
+            if high - low > FEW:
+                rows = np.arange(low, high)
+                left, right = (rows, rows) if apart[low] < 0 else (rows[own[rows] == part.ti.iloc[low]], rows[own[rows] == part.tj.iloc[low]])
+                if len(left) and len(right):
+                    i, j = many_pairs(v, norms, keys, int(here[low]), left, right, least)
+                    i_all.append(i)
+                    j_all.append(j)
+        out.append(summed(part.h.to_numpy(), part.copies.to_numpy(), np.concatenate(i_all), np.concatenate(j_all)))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "n": [], "b": []}).astype("int64")
 
 
 def links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for each row."""
     v = F.col(vector)
+    exact = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
     sound = F.forall(v, lambda c: F.coalesce((F.abs(c.cast("double")) < float("inf")) & ~F.isnan(c), F.lit(False)))
     some = F.exists(v, lambda c: c != 0)
     takes_part = F.coalesce(F.col(label).isNotNull() & F.col(key).isNotNull() & v.isNotNull() & sound & some, F.lit(False))
-    rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).cast("string").alias("label"), F.when(takes_part, F.transform(v, lambda c: c.cast("double"))).alias("v"))
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).cast("string").alias("label"), F.when(takes_part, F.transform(v, lambda c: c.cast(exact))).alias("v"))
     rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "label", "v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v", "label"))})
     classes = cut(rows.where("v is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "copies", "x.vec_id", "x.label", "x.v"))
-    counts = classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()
+    counts = classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect()
     sizes = {r.dim: code_size(r.most) for r in counts}
     few = {d: enough(d, size, float(least)) for d, size in sizes.items()}
-    groups = max(1, sum(r.n * few[r.dim] for r in counts) // ROWS)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, dims = batch.column(3), np.asarray(batch.column(3).value_lengths())
+            values, dims = batch.column(2), np.asarray(batch.column(2).value_lengths())
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                for low in range(0, len(at), 512):
-                    take = pa.array(at[low : low + 512])
+                step = max(1, BLOCK // max(d, sizes[int(d)]))
+                for low in range(0, len(at), step):
+                    take = pa.array(at[low : low + step])
                     x = np.asarray(values.take(take).flatten(), float).reshape(-1, d)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     found = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), sizes[int(d)], few[int(d)])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["vec_id", "label", "copies", "v", "filters"])
-
-    passed = classes.select("vec_id", "label", "copies", "v").mapInArrow(passing, "vec_id bigint, label string, copies bigint, v array<double>, filters array<bigint>")
-    bucket = ["label", "dim", "filter"]
-    spread = passed.withColumn("dim", F.size("v")).withColumn("filter", F.explode("filters"))
-    hot = passed.select("label", F.size("v").alias("dim"), F.explode("filters").alias("filter")).groupBy(bucket).count().where(F.col("count") > TILE).select(*bucket, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    spread = spread.join(hot, bucket, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*bucket, "vec_id", "copies", "v", "filters", "own", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"))
-    spread = spread.withColumn("g", F.pmod(F.xxhash64(*bucket, "ti", "tj"), F.lit(groups)))
-
-    def tile(x: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        f = int(x["filter"].iloc[0])
-        ids, v, copies = x.vec_id.to_numpy(), np.stack(x.v.to_numpy()).astype(float), x.copies.to_numpy()
-        v = v / np.exp2(np.floor(np.log2(np.abs(v).max(axis=1, keepdims=True))))  # exact; keeps squares finite
-        own, ti, tj = x.own.to_numpy(), int(x.ti.iloc[0]), int(x.tj.iloc[0])
-        left, right = np.flatnonzero(own == ti), np.flatnonzero(own == tj)
-        if not len(left) or not len(right):
-            return
-        wide = max(map(len, x.filters))
-        lists = np.array([np.pad(np.asarray(p), (0, wide - len(p)), constant_values=-1) for p in x.filters])
-        count, i_all, j_all = np.zeros(len(x), np.int64), [], []
-        for low in range(0, len(left), 128):
-            i, j = cosines(v[left[low : low + 128]], v[right], least)
-            i, j = left[low + i], right[j]
-            keep = i < j if ti == tj else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            # Whether a smaller filter has this pair, too.
-            before = np.zeros(len(i), bool)
-            for c in range(wide):
-                s = lists[i, c]
-                check = (s >= 0) & (s < f) & ~before
-                before[check] |= (lists[j[check]] == s[check, None]).any(axis=1)
-            i, j = i[~before], j[~before]
-            np.add.at(count, i, copies[j])
-            np.add.at(count, j, copies[i])
-            i_all.append(i)
-            j_all.append(j)
-        i, j = np.concatenate(i_all), np.concatenate(j_all)
-        root = ids.copy()
-        while len(i):
-            low = np.minimum(root[i], root[j])
-            if (root[i] == low).all() and (root[j] == low).all():
-                break
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-        on = count > 0
-        yield ids[on], count[on], root[on]
-
-    def task(x: pd.DataFrame) -> pd.DataFrame:
-        got = [r for _, part in x.groupby(["label", "dim", "filter", "ti", "tj"], sort=True) if len(part) > 1 for r in tile(part)]
-        if not got:
-            return pd.DataFrame({"a": [], "n": [], "b": []}).astype("int64")
-        return pd.DataFrame({c: np.concatenate(y) for c, y in zip("anb", zip(*got))})
-
-    found = cut(spread.groupBy("g").applyInPandas(task, "a bigint, n bigint, b bigint"))
-    components = connected_components(found.select("a", "b"))
-    counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
-    by_class = classes.select("h1", "h2", "copies", F.col("vec_id").alias("node")).join(counts, "node", "left").join(components, "node", "left")
-    by_class = by_class.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(2)), pa.array([int(d)] * len(take), pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["h", "label", "dim", "filters"])
+
+    passed = classes.select(F.col("h1").alias("h"), "label", "v").mapInArrow(passing, "h bigint, label string, dim int, filters array<bigint>")
+    met_in = cut(passed.select("h", F.explode("filters").alias("filter"), "label", "dim").select("h", F.xxhash64("label", "dim", "filter").alias("key")))
+    crowded = met_in.groupBy("key").count().where(F.col("count") > 1).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # As many as the filters passed: a bounded list.
+    live = cut(met_in.join(crowded, "key").groupBy("h").agg(F.sort_array(F.collect_set(F.struct("key", "tiles"))).alias("met")))
+    work = live.agg(F.sum(F.aggregate("met", F.lit(0).cast("bigint"), lambda n, m: n + m["tiles"]))).first()[0] or 0
+    spread = classes.select(F.col("h1").alias("h"), "label", "copies", "v").join(live, "h")
+    spread = spread.withColumn("keys", F.col("met.key")).withColumn("m", F.explode("met")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("m.tiles")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m.tiles") - 1)))
+    spread = spread.select("label", F.col("m.key").alias("key"), "h", "copies", "v", "keys", "own", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"))
+    spread = spread.withColumn("g", F.pmod(F.xxhash64("key", "ti", "tj"), F.lit(work // ROWS + 1)))
+    found = cut(spread.groupBy("g").applyInPandas(lambda x: compare(x, least), "a bigint, n bigint, b bigint"))
+    components = connected_components(found.select("a", "b")).withColumnRenamed("node", "h1")
+    counts = found.groupBy(F.col("a").alias("h1")).agg(F.sum("n").alias("n"))
+    by_class = classes.select("h1", "h2", "copies", "vec_id").join(counts, "h1", "left").join(components, "h1", "left")
+    smallest = by_class.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("smallest"))
+    by_class = by_class.join(smallest, "component", "left").select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("smallest", "vec_id").alias("component"))
     out = rows.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

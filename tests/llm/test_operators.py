@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -223,6 +224,39 @@ def test_cap_filters_find_pairs_at_the_threshold(spark):
     assert got.where("n_links > 0").count() >= 0.997 * 6000
 
 
+@pytest.mark.parametrize("few,block", [(2, 1 << 20), (24, 1 << 20), (3, 40)])
+def test_cap_filters_compare_counts_each_pair_once(monkeypatch, few, block):
+    monkeypatch.setattr(capfilters, "FEW", few)
+    monkeypatch.setattr(capfilters, "BLOCK", block)
+    g = np.random.default_rng(4)
+    x = np.repeat(g.normal(size=(8, 6)), 15, axis=0) + 0.08 * g.normal(size=(120, 6))
+    keys = [sorted(g.choice(9, size=4, replace=False).tolist()) for _ in x]
+    copies = g.integers(1, 4, size=120)
+    rows = [(str(i % 2), k, i, copies[i], x[i].tolist(), keys[i], (i // 2) % 2, ti, tj) for i in range(120) for k in keys[i] for ti, tj in ((0, 0), (0, 1), (1, 1)) if (i // 2) % 2 in (ti, tj)]
+    got = capfilters.compare(pd.DataFrame(rows, columns=["label", "key", "h", "copies", "v", "keys", "own", "ti", "tj"]).sample(frac=1, random_state=1), 0.98)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(i, j) for i in range(120) for j in range(120) if i != j and i % 2 == j % 2 and set(keys[i]) & set(keys[j]) and unit[i] @ unit[j] >= 0.98]
+    want = collections.Counter()
+    for i, j in pairs:
+        want[i] += int(copies[j])
+    assert len(pairs) > 50 and dict(zip(got.a, got.n)) == want
+
+
+@pytest.mark.parametrize("tile", [40, 2048])
+def test_cap_filters_in_hot_groups(spark, monkeypatch, tile):
+    monkeypatch.setattr(capfilters, "TILE", tile)
+    g = np.random.default_rng(3)
+    centre = g.normal(size=(3, 16))
+    x = np.concatenate([centre[0] + 0.12 * g.normal(size=(150, 16)), centre[1] + 0.03 * g.normal(size=(40, 16)), np.repeat(centre[2:], 30, axis=0), g.normal(size=(60, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in capfilters.links(rows).collect()}
+    true = near.sum(axis=1) - 1
+    assert all(got[i].n_links <= n for i, n in enumerate(true)) and sum(r.n_links for r in got.values()) >= 0.99 * true.sum()
+    assert len({got[i].component_id for i in range(150, 190)}) == 1 and got[190].n_links == 29 and got[219].component_id == 190
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
