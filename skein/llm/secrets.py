@@ -4,8 +4,9 @@ Base spans stand by themselves: assignments of secrets, access identifiers,
 long hexadecimal strings. Weak candidates (logins, key-like strings,
 endpoints) are reported only when complementary parts stand within SCOPE code
 points in the same text: a login near a secret, a key near an identifier, an
-endpoint near both. Parts are joined by their intervals inside the row, so
-that nothing is shuffled.
+endpoint near both. Parts are joined by their intervals inside the row, by
+halving in the sorted spans of each kind, so that nothing is shuffled and no
+pairs of spans are formed.
 
 Edge cases: a null text counts as empty; long texts are scanned whole;
 repeated rows are scanned each; an empty table gives no rows; a key that
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.spans import either_case, none, pieces, placed
+from skein.llm.spans import either_case, near, none, pieces, placed
 
 # The kinds, in the order of reports.
 KINDS = ("assign", "access", "hex", "login", "key", "endpoint")
@@ -43,8 +44,11 @@ ENDPOINT = r"""https?://[^\x00-\x20"'<>]+|""" + _named(HOST_WORDS, r"[A-Za-z0-9-
 SCOPE = 256
 
 
-def _near(span: Column, others: Column, scope: int) -> Column:
-    return F.exists(others, lambda o: (o["start"] <= span["end"] + scope) & (o["end"] >= span["start"] - scope))
+def _near(span: Column, kinds: Sequence[str], scope: int) -> Column:
+    found = F.lit(False)
+    for kind in kinds:
+        found = found | near(span, F.col(kind), scope)
+    return found
 
 
 def _spans(text: Column, pattern: str, when: Column | None = None) -> Column:
@@ -60,23 +64,21 @@ def scan(documents: DataFrame, scope: int = SCOPE, keep: Sequence[str] = ("doc_i
     matches, gaps = pieces(t, ASSIGN)
     long = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8)
     df = df.withColumns({"assign": F.when(t.rlike(ASSIGN), placed(matches, gaps, long)).otherwise(none()), "access": _spans(t, ACCESS), "hex": _spans(t, HEX), "login": _spans(t, LOGIN)})
-    base = F.concat("assign", "access", "hex")
     identified = (F.size("access") > 0) | (F.size("login") > 0)
     # Key-like strings have a digit and a letter, and are not reported already.
     matches, gaps = pieces(t, KEY)
     mixed = F.transform(matches, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
     keys = F.when(identified & t.rlike(KEY), placed(matches, gaps, mixed)).otherwise(none())
     df = df.withColumns({"key": keys, "endpoint": _spans(t, ENDPOINT, identified)}).drop("_text")
-    free = F.filter("key", lambda k: ~F.exists(base, lambda b: (b["start"] < k["end"]) & (b["end"] > k["start"])))
-    df = df.withColumn("key", free)
-    secrets, ids = F.concat("assign", "hex", "key"), F.concat("access", "login")
-    return df.withColumns(
-        {
-            "login": F.filter("login", lambda x: _near(x, secrets, scope)),
-            "key": F.filter("key", lambda x: _near(x, ids, scope)),
-            "endpoint": F.filter("endpoint", lambda x: _near(x, secrets, scope) & _near(x, ids, scope)),
-        }
-    )
+    df = df.withColumn("key", F.filter("key", lambda k: ~_near(k, KINDS[:3], -1)))
+    ids = ("access", "login")
+    # What is linked is judged by all candidates of the complementary kinds, whether these are linked or not.
+    linked = {
+        "login": F.filter("login", lambda x: _near(x, ("assign", "hex", "key"), scope)),
+        "key": F.filter("key", lambda x: _near(x, ids, scope)),
+        "endpoint": F.filter("endpoint", lambda x: _near(x, ("assign", "hex", "key"), scope) & _near(x, ids, scope)),
+    }
+    return df.withColumns(linked)
 
 
 def listed(kinds: Sequence[str]) -> Column:

@@ -444,3 +444,29 @@ def test_surrogates_of_many_people_stay_distinct(spark):
     assert len(set(map(tuple, made))) == len(people) and all(got[i][1] == i for i in got)
     for part in (0, 1):
         assert len({(p.split(" ")[part], m[part]) for p, m in zip(people, made)}) == len({m[part] for m in made}) == len({p.split(" ")[part] for p in people})
+
+
+def test_secrets_linked_parts_by_brute_force(spark):
+    g = random.Random(8)
+    parts = ["user=ana.b ", "login: svc_7 ", "password=abcdefgh1 ", "token='x' ", "AKIA" + "B7" * 8 + " ", "0123456789abcdef" * 2 + " ", "Zz9" * 8 + " ", "https://a.example/x ", "host=db.example.org ", "words é 𝄞 "]
+    texts = ["".join(g.choice(parts) + "x" * g.choice((0, 0, 3, 300)) + " " for _ in range(g.randrange(1, 150))) for _ in range(60)]
+    texts.append("user=ana " + " ".join(f"{i:032x}" for i in range(20000)) + " login=bob")
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+
+    def found(pattern, text, ok=lambda m: True):
+        return [m.span() for m in re.finditer(pattern, text) if ok(m)]
+
+    near = lambda a, others, scope: any(s <= a[1] + scope and e >= a[0] - scope for s, e in others)
+    linked = 0
+    for i, t in enumerate(texts[:-1]):
+        assign, access, hexa = found(secrets.ASSIGN, t, lambda m: len(m[2]) >= 8), found(secrets.ACCESS, t), found(secrets.HEX, t)
+        login = found(secrets.LOGIN, t)
+        some = bool(access or login)
+        key = found(secrets.KEY, t, lambda m: some and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and e > m.start() for s, e in assign + access + hexa))
+        ends = found(secrets.ENDPOINT, t) if some else []
+        secret, ids = assign + hexa + key, access + login
+        want = {"assign": assign, "access": access, "hex": hexa, "login": [x for x in login if near(x, secret, 256)], "key": [x for x in key if near(x, ids, 256)], "endpoint": [x for x in ends if near(x, secret, 256) and near(x, ids, 256)]}
+        assert {k: [tuple(s) for s in got[i][k]] for k in secrets.KINDS} == want
+        linked += sum(map(len, list(want.values())[3:]))
+    last = got[len(texts) - 1]
+    assert linked > 100 and len(last.hex) == 20000 and [s.start for s in last.login] == [0, len(texts[-1]) - 9] and last.hex[-1].end == len(texts[-1]) - 10
