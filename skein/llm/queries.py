@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import capfilters, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, vafile
+from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, vafile
 from skein.llm.common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,8 +70,13 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates)
+    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates, op11_importance_resampling)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +140,46 @@ LEFT JOIN (SELECT id, sum(got) AS got FROM line GROUP BY id) b USING (id)
 """
 
 
+#: A table for crc32 by bytes, and the checksum of a string column x by it.
+CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc_table"
+
+
+def _crc32(x: str) -> str:
+    bytes_ = f"list_transform(range(octet_length(encode({x}))), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(crc_table[xor(c, b) % 256 + 1], c >> 8)))"
+
+
+OP11_SQL = rf"""
+WITH crc AS ({CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS id, doc_id, text, TRUE AS corpus FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, text, FALSE FROM benchmark
+), w AS (
+  SELECT id, doc_id, corpus, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM d
+), f AS (
+  SELECT id, corpus, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w
+), b AS (
+  SELECT feature, {_crc32("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), crc
+), n AS (
+  SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM f JOIN b USING (feature) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM n) + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n
+), m AS (
+  SELECT id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE corpus GROUP BY id
+), r AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN m USING (id) WHERE corpus
+), s AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features DESC) AS place,
+         count(*) FILTER (n_words >= 20) OVER () AS fit
+  FROM s
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL, "op11_importance_resampling": OP11_SQL}
