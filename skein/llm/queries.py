@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, vafile
+from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, transducer, vafile
 from skein.llm.common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,8 +75,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates, op11_importance_resampling)
+    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates, op11_importance_resampling, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
