@@ -72,12 +72,12 @@ def running(df: DataFrame, keys: list[str], by: list[Column], sums: dict[str, Co
     if not base:
         return rows.drop("_part", "_row")
     kinds = dict(rows.dtypes)
-    schema = ", ".join(["_p int", *[f"_k{i} {kinds[k]}" for i, k in enumerate(keys)], *[f"_b{i} bigint" for i in range(len(sums))]])
-    on = F.col("_part") == F.col("_p")
+    schema = ", ".join(["_scan_part int", *[f"_scan_key{i} {kinds[k]}" for i, k in enumerate(keys)], *[f"_scan_base{i} bigint" for i in range(len(sums))]])
+    on = F.col("_part") == F.col("_scan_part")
     for i, k in enumerate(keys):
-        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on &= F.col(k).eqNullSafe(F.col(f"_scan_key{i}"))
     joined = rows.join(F.broadcast(spark.createDataFrame(base, schema)), on, "left")
-    more = {k: F.col(k) + F.coalesce(f"_b{i}", F.lit(0)) for i, k in enumerate(sums)}
+    more = {k: F.col(k) + F.coalesce(f"_scan_base{i}", F.lit(0)) for i, k in enumerate(sums)}
     return joined.select(*[more.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("_part", "_row")])
 
 
