@@ -42,6 +42,9 @@ SEED = 7
 #: Longer words are hashed one at a time.
 LONGEST = 48
 
+#: Bytes of a row group of its files: what writer and reader hold at once.
+GROUP_BYTES = 1 << 23
+
 BLOCKS = "doc_ids binary, doc_nulls binary, n_words binary, indptr binary, indices binary, data binary"
 
 #: Bytes of words: digits, small letters (capitals become small) and all bytes above ASCII.
@@ -105,6 +108,10 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
     return np.bincount(row, minlength=n), np.searchsorted(key, np.arange(n + 1) * buckets), key % buckets, count
 
 
+def _index(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 def write_matrix(documents: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """The matrix of all documents, as Parquet files of CSR blocks in folder."""
 
@@ -114,11 +121,11 @@ def write_matrix(documents: DataFrame, folder: str, doc_id: str = "doc_id", text
             for a, b, data, offsets in string_slices(batch.column(1)):
                 n_words, indptr, indices, counts = features(data, offsets, buckets)
                 ids = batch.column(0).slice(a, b - a)
-                cells = (np.asarray(ids.fill_null(0), "<i8"), np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), n_words.astype("<i8"), indptr.astype("<i8"), indices.astype("<u4"), counts.astype("<i8"))
+                cells = (np.asarray(ids.fill_null(0), "<i8"), np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), n_words.astype("<i8"), indptr.astype("<i8"), indices.astype(_index(buckets)), counts.astype("<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(folder)
 
 
 def read_matrix(documents: DataFrame, folder: str) -> DataFrame:
@@ -133,11 +140,8 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for indices, counts in zip(batch.column(0), batch.column(1)):
-                at = np.frombuffer(indices.as_buffer(), "<u4")
-                order = np.argsort(at, kind="stable")  # whole numbers, not the doubles of bincount
-                if len(order):
-                    first = np.flatnonzero(np.diff(at[order], prepend=np.uint32(at[order[0]] + 1)))
-                    total[at[order[first]]] += np.add.reduceat(np.frombuffer(counts.as_buffer(), "<i8")[order], first)
+                at, n = np.frombuffer(indices.as_buffer(), _index(buckets)), np.frombuffer(counts.as_buffer(), "<u4")
+                total += np.bincount(at, n, buckets).astype(np.int64)  # doubles, but exact: a block's counts stay far below 2**53
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
@@ -159,12 +163,13 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
 
     _at, the place in the block, lets equal rows be dealt to several ranges.
     """
+    index = _index(len(gain))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("importance")
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, null, n_words, indptr, indices, counts = (np.frombuffer(r[c], t) for c, t in (("doc_ids", "<i8"), ("doc_nulls", np.uint8), ("n_words", "<i8"), ("indptr", "<i8"), ("indices", "<u4"), ("data", "<i8")))
+            for row in zip(*batch.columns):
+                ids, null, n_words, indptr, indices, counts = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i8", np.uint8, "<i8", "<i8", index, "<u4")))
                 upto = np.concatenate([[0], np.cumsum(gain[indices] * counts)])
                 total = upto[indptr[1:]] - upto[indptr[:-1]]
                 n = n_words + np.maximum(n_words - 1, 0)

@@ -88,6 +88,6 @@ def test_matrix_round_trip(spark, tmp_path):
     importance.write_matrix(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), str(tmp_path / "m"))
     got = {}
     for r in spark.read.parquet(str(tmp_path / "m")).collect():
-        ids, indptr, indices, counts = (np.frombuffer(r[c], t) for c, t in (("doc_ids", "<i8"), ("indptr", "<i8"), ("indices", "<u4"), ("data", "<i8")))
+        ids, indptr, indices, counts = (np.frombuffer(r[c], t) for c, t in (("doc_ids", "<i8"), ("indptr", "<i8"), ("indices", "<u2"), ("data", "<u4")))
         got |= {int(i): Counter(dict(zip(indices[a:b].tolist(), counts[a:b].tolist()))) for i, a, b in zip(ids, indptr, indptr[1:])}
     assert got == {i: Counter(map(bucket, features(t))) for i, t in enumerate(texts)}
