@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, secrets, simple8b, transducer, vafile
+from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, prefixtrie, secrets, simple8b, transducer, vafile
 from skein.llm.common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,12 +75,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turns(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(*prefixtrie.with_shared_heads(turns))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates, op11_importance_resampling, op13_token_counts)
+    found = (op1_language_id, op2_simple8b, op3_line_chunks, op4_exact_topk, op5_mix_sources, op6_pack_nnls, op7_secrets, op8_ngram_jaccard, op9_cap_filters, op10_pii_surrogates, op11_importance_resampling, op12_prefix_trie, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
@@ -185,5 +190,43 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHE
 """
 
 
+OP12_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc
+), r AS (
+  SELECT c.conv_id, t.pos, 0 AS own, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, 1, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+), s AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS n_bytes, list(struct_pack(role := role, text := text)) OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c
+), e AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last, path AS node,
+         CASE WHEN depth > 0 THEN path[:-2] END AS parent
+  FROM s
+), n AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(n_bytes) AS n_bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM e GROUP BY node
+), k AS (
+  SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)
+), u AS (
+  SELECT conv_id, depth, node AS top FROM e
+), below AS (
+  SELECT u.top, sum((m.n_convs - 1) * m.n_bytes) AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves
+  FROM u JOIN (SELECT m.*, conv_id AS owner FROM m) m ON u.conv_id = m.owner AND u.depth <= m.depth GROUP BY u.top
+)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, CAST(m.n_children AS BIGINT) AS n_children,
+       CAST(coalesce(below.n_leaves, 0) AS BIGINT) AS n_leaves, CAST(coalesce(below.saved_tokens, 0) AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m LEFT JOIN m p ON p.node = m.parent LEFT JOIN below ON below.top = m.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL}
