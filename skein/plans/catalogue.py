@@ -589,12 +589,12 @@ def plugin_source(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from skein.plans import more  # noqa: F401 - adds its own
+    from skein.plans import more, stored  # noqa: F401 - add their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from skein.plans import more  # noqa: F401 - adds its own
+    from skein.plans import more, stored  # noqa: F401 - add their own
 
     return dict(_SQL)
