@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = "struct<total:bigint,ok:bigint,failed:bigint,consecutive:bigint,avg_ms:bigint,disabled_until:bigint>"
-#: Minutes of the first pause, and the growth's last power.
+COLUMNS = ("total", "ok", "failed", "consecutive", "avg_ms", "disabled_until")
+SCHEMA = "engine string, " + ", ".join(f"{c} bigint" for c in COLUMNS)
+# Minutes of the first pause and the growth's last power; failures in a row that look
+# like network trouble, and the seconds of their pause.
 BASE_MINUTES, MOST_POWER = 5, 5
-#: Failures in a row that look like network trouble, and the seconds of pause.
 FAILURES, PAUSE = 3, 300
 
 
@@ -16,31 +21,70 @@ def backoff_minutes(consecutive: Column) -> Column:
     return (BASE_MINUTES * F.pow(F.lit(5.0), F.least(consecutive - 1, F.lit(MOST_POWER)))).cast("bigint")
 
 
-def initial() -> Column:
-    return F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("total", "ok", "failed", "consecutive", "avg_ms")], F.lit(None).cast("bigint").alias("disabled_until"))
-
-
-def step(s: Column, call: Column) -> Column:
-    """The state after a call; call: ts (epoch seconds), outcome, response_ms."""
-    success, failure = call["outcome"] == "success", call["outcome"] == "failure"
-    total = s["total"] + F.when(success | failure, 1).otherwise(0)
-    consecutive = F.when(success, 0).otherwise(s["consecutive"] + 1)
-    mean = F.when(total == 1, call["response_ms"]).otherwise(F.floor((s["avg_ms"] * (total - 1) + call["response_ms"]) / F.greatest(total, F.lit(1))))
-    until = F.when(success, F.lit(None)).when(failure, s["disabled_until"]).otherwise(call["ts"] + 60 * backoff_minutes(consecutive))
-    return F.struct(
-        total.cast("bigint").alias("total"),
-        (s["ok"] + success.cast("bigint")).alias("ok"),
-        (s["failed"] + failure.cast("bigint")).alias("failed"),
-        consecutive.cast("bigint").alias("consecutive"),
-        F.when(success, mean).otherwise(s["avg_ms"]).cast("bigint").alias("avg_ms"),
-        until.cast("bigint").alias("disabled_until"),
-    )
-
+def fold_calls(s: tuple, ts: np.ndarray, kind: np.ndarray, ms: np.ndarray) -> tuple:
+    """The state (COLUMNS) after some calls of one source in order; kind: 0 success, 1 failure, 2 no results.
 
-def fold(calls: DataFrame) -> DataFrame:
-    """engine and the columns of STATE; calls: engine, ts, seq, outcome, response_ms."""
-    log = F.array_sort(F.collect_list(F.struct("ts", "seq", "outcome", "response_ms")))
-    return calls.groupBy("engine").agg(log.alias("log")).select("engine", F.aggregate("log", initial(), step).alias("s")).select("engine", "s.*")
+    Counts are sums and runs; only the mean, floored at each success, goes step by step.
+    """
+    total, ok, failed, consecutive, mean, until = s
+    done = np.flatnonzero(kind == 0)
+    answered = total + np.cumsum(kind < 2)
+    for n, x in zip(answered[done].tolist(), ms[done].tolist()):
+        mean = x if n == 1 else (mean * (n - 1) + x) // n
+    # Calls after the last success, and the pause of the last empty one among them.
+    last = int(done[-1]) + 1 if len(done) else 0
+    if len(done):
+        consecutive, until = 0, None
+    empty = np.flatnonzero(kind[last:] == 2)
+    if len(empty):
+        at = int(empty[-1])
+        until = int(ts[last + at]) + 60 * BASE_MINUTES * 5 ** min(consecutive + at, MOST_POWER)
+    return total + int((kind < 2).sum()), ok + len(done), failed + int((kind == 1).sum()), consecutive + len(kind) - last, mean, until
+
+
+def fold(calls: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """engine and COLUMNS after all calls; calls: engine, ts (epoch seconds), seq, outcome, response_ms.
+
+    ``before``: the states that an earlier fold returned; a source in it goes on
+    from its state, so that a log can be folded in batches as it grows. Calls
+    are sorted by source and time and stream through their task; a source's
+    state is all that is kept of it, however many calls it has. (The mean is
+    floored at each step, so that the calls of one source have to be read in order.)
+    """
+    kind = F.when(F.col("outcome") == "success", 0).when(F.col("outcome") == "failure", 1).otherwise(2)
+    empty = [F.lit(None).cast("bigint").alias(c) for c in COLUMNS]
+    rows = calls.select("engine", F.lit(1).alias("_gen"), "ts", "seq", kind.cast("bigint").alias("kind"), F.coalesce("response_ms", F.lit(0)).cast("bigint").alias("ms"), *empty)
+    if before is not None:
+        nothing = [F.lit(0).cast("bigint").alias(c) for c in ("ts", "seq", "kind", "ms")]
+        rows = before.select("engine", F.lit(0).alias("_gen"), *nothing, *[F.col(c).cast("bigint") for c in COLUMNS]).unionByName(rows)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine, state = None, None
+        for batch in batches:
+            done: list[tuple] = []
+            names = batch.column(0).fill_null("").to_pylist()  # with the null flag beside: a null engine is a source, too
+            null = batch.column(0).is_null().to_pylist()
+            gen, ts, kind, ms = (np.asarray(batch.column(i)) for i in (1, 2, 4, 5))
+            held = list(zip(null, names))
+            bounds = [i for i in range(len(held)) if not i or held[i] != held[i - 1]] + [len(held)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if held[a] != engine:
+                    if engine is not None:
+                        done.append((None if engine[0] else engine[1], *state))
+                    engine, state = held[a], (0, 0, 0, 0, 0, None)
+                if gen[a] == 0:
+                    state, a = tuple(batch.column(6 + i)[a].as_py() for i in range(len(COLUMNS))), a + 1
+                state = fold_calls(state, ts[a:b], kind[a:b], ms[a:b])
+            yield _states(done)
+        if engine is not None:
+            yield _states([(None if engine[0] else engine[1], *state)])
+
+    def _states(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * (1 + len(COLUMNS))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if not i else pa.int64()) for i, c in enumerate(columns)], names=["engine", *COLUMNS])
+
+    placed = rows.repartition("engine").sortWithinPartitions(F.asc_nulls_first("engine"), "_gen", "ts", "seq")
+    return placed.select("engine", "_gen", "ts", "seq", "kind", "ms", *COLUMNS).mapInArrow(folded, SCHEMA)
 
 
 # What errors of the network say.
@@ -52,19 +96,19 @@ def pauses(calls: DataFrame) -> DataFrame:
 
     calls: as for fold, with error. Failures in a row are counted; a failure
     whose error speaks of the network pauses its source if FAILURES or more are.
-    The last such failure counts. One pass by time, a running count of successes apart.
+    The last such failure counts; a success ends the pause, so only failures after a source's last one do.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("engine").orderBy("ts", "seq")
-    runs = calls.withColumn("run", F.sum((F.col("outcome") == "success").cast("int")).over(w))
-    in_run = Window.partitionBy("engine", "run").orderBy("ts", "seq")
-    in_a_row = runs.withColumn("row", F.sum((F.col("outcome") != "success").cast("int")).over(in_run))
     network = F.lit(False)
     for part in NETWORK:
         network = network | F.contains(F.coalesce("error", F.lit("")), F.lit(part))
-    hit = (F.col("outcome") == "failure") & network & (F.col("row") >= FAILURES)
-    return in_a_row.where(hit).groupBy("engine").agg((F.max("ts") + PAUSE).alias("disabled_until"))
+    at = F.struct("ts", "seq")
+    last = calls.groupBy("engine").agg(F.max(F.when(F.col("outcome") == "success", at)).alias("_last"))
+    since = calls.where("outcome != 'success'").join(last, "engine").where(F.col("_last").isNull() | (at > F.col("_last")))
+    # The last network failure of a source counts the failures up to it.
+    hit = since.groupBy("engine").agg(F.max(F.when((F.col("outcome") == "failure") & network, at)).alias("_hit"))
+    counted = since.join(hit.where("_hit is not null"), "engine").where(at <= F.col("_hit"))
+    found = counted.groupBy("engine").agg(F.count("*").alias("row"), F.max("_hit.ts").alias("ts"))
+    return found.where(F.col("row") >= FAILURES).select("engine", (F.col("ts") + PAUSE).alias("disabled_until"))
 
 
 def fold_totals(calls: DataFrame) -> DataFrame:

@@ -312,14 +312,15 @@ def retry_schedule(spark, d):
     return spark.range(1, 5).select(COL("id").alias("n"), F.posexplode(state.retry_delays(COL("id").cast("int"))).alias("attempt", "delay"))
 
 
-@query(f"""WITH {CALLS}, e AS (SELECT *, CASE WHEN outcome = 'failure' AND seq % 2 = 0 THEN 'HTTP status 500' WHEN outcome = 'failure' THEN 'parse' ELSE '' END AS error, CASE outcome WHEN 'zero' THEN 'failure' ELSE outcome END AS o FROM calls WHERE outcome <> 'success' OR seq % 3 = 0),
-r AS (SELECT *, sum(CASE o WHEN 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY engine ORDER BY ts, seq) AS run FROM e),
-n AS (SELECT *, sum(CASE o WHEN 'success' THEN 0 ELSE 1 END) OVER (PARTITION BY engine, run ORDER BY ts, seq) AS row FROM r)
-SELECT engine, max(ts) + 300 AS disabled_until FROM n WHERE o = 'failure' AND contains(error, 'status') AND row >= 3 GROUP BY engine""")
+@query(f"""WITH {CALLS}, e AS (SELECT *, CASE WHEN outcome <> 'success' AND seq % 2 = 0 THEN 'HTTP status 500' WHEN outcome <> 'success' THEN 'parse' ELSE '' END AS error FROM calls),
+l AS (SELECT *, coalesce(max(CASE outcome WHEN 'success' THEN n END) OVER (PARTITION BY engine), 0) AS healed FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS n FROM e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS row FROM l WHERE n > healed)
+SELECT engine, max(ts) + 300 AS disabled_until FROM r WHERE contains(error, 'status') AND row >= 3 GROUP BY engine""")
 def engine_network_pauses(spark, d):
-    c = calls(spark, d).where("outcome != 'success' or seq % 3 = 0")
-    error = F.when((COL("outcome") == "failure") & (COL("seq") % 2 == 0), "HTTP status 500").when(COL("outcome") == "failure", "parse").otherwise("")
-    return state.pauses(c.withColumn("error", error).withColumn("outcome", F.when(COL("outcome") == "zero", "failure").otherwise(COL("outcome"))))
+    """Every call counts as a failure that isn't a success; those of even numbers are the network's."""
+    failed = COL("outcome") != "success"
+    error = F.when(failed & (COL("seq") % 2 == 0), "HTTP status 500").when(failed, "parse").otherwise("")
+    return state.pauses(calls(spark, d).withColumns({"error": error, "outcome": F.when(failed, "failure").otherwise("success")}))
 
 
 @query(f"WITH {CALLS} SELECT engine, count(*) FILTER (outcome <> 'zero') AS total, count(*) FILTER (outcome = 'success') AS ok, count(*) FILTER (outcome = 'failure') AS failed FROM calls GROUP BY engine")

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import fulltext, textindex
+from skein.operators import fulltext, state, textindex
 from skein.operators.scan import shared_folder
-from skein.plans.catalogue import _K1, _K2, _SQL, COL, ENTRIES, entries, feed_items, items, query, r6, table, toks
+from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, ENTRIES, calls, entries, feed_items, items, query, r6, table, toks
 
 
 def new_folder(spark, name: str) -> str:
@@ -39,3 +39,16 @@ def fulltext_many(spark, d):
     b = table(spark, d, "benchmark").select(COL("item_id").alias("query_id"), F.explode(F.slice(text.tokenize(COL("text")), 2, 2)).alias("word"))
     b = b.unionByName(spark.createDataFrame([(-1, "zu")], "query_id bigint, word string"))
     return textindex.search(spark, folder, b, ["title", "content", "url"], 50).select("query_id", "doc_id")
+
+
+@query(f"{_FOLD} SELECT engine, total, ok, failed, consecutive, avg_ms, disabled_until FROM last")
+def engine_state_in_batches(spark, d):
+    """The log in three parts by time, each folded onto the states that the parts before it left."""
+    log, at = calls(spark, d), None
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    bounds = [first - 1, first + (last - first) // 5, first + (last - first) // 2, last]
+    for low, high in zip(bounds, bounds[1:]):
+        folder = new_folder(spark, "states")
+        state.fold(log.where((COL("ts") > low) & (COL("ts") <= high)), at).write.parquet(folder)
+        at = spark.read.parquet(folder)
+    return at

@@ -4,36 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.operators.state import BASE_MINUTES, MOST_POWER
-
-OUT = "engine string, total bigint, ok bigint, failed bigint, consecutive bigint, avg_ms bigint, disabled_until bigint"
-STATE = OUT.removeprefix("engine string, ")
-
+from skein.operators.state import COLUMNS, SCHEMA, fold_calls
 
 def engine_state(calls: DataFrame) -> DataFrame:
     """The state of each source after each micro-batch; calls: engine, ts, seq, outcome, response_ms."""
 
+    kinds = {"success": 0, "failure": 1}
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, ok, failed, consecutive, avg, until = state.get if state.exists else (0, 0, 0, 0, 0, None)
-        calls_ = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for c in calls_.itertuples():
-            if c.outcome == "success":
-                total, ok, consecutive, until = total + 1, ok + 1, 0, None
-                avg = int(c.response_ms) if total == 1 else (avg * (total - 1) + int(c.response_ms)) // total
-            elif c.outcome == "failure":
-                total, failed, consecutive = total + 1, failed + 1, consecutive + 1
-            else:
-                consecutive += 1
-                until = int(c.ts) + 60 * BASE_MINUTES * 5 ** min(consecutive - 1, MOST_POWER)
-        state.update((total, ok, failed, consecutive, avg, until))
-        yield pd.DataFrame([(key[0], total, ok, failed, consecutive, avg, until)], columns=[c.split()[0] for c in OUT.split(", ")]).astype({"disabled_until": "Int64"})
-
-    return calls.groupBy("engine").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        c = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        before = state.get if state.exists else (0, 0, 0, 0, 0, None)
+        after = fold_calls(before, c.ts.to_numpy(), c.outcome.map(lambda o: kinds.get(o, 2)).to_numpy(np.int64), c.response_ms.fillna(0).to_numpy(np.int64))
+        state.update(after)
+        yield pd.DataFrame([(key[0], *after)], columns=["engine", *COLUMNS]).astype({"disabled_until": "Int64"})
+
+    return calls.groupBy("engine").applyInPandasWithState(update, SCHEMA, SCHEMA.removeprefix("engine string, "), "update", GroupStateTimeout.NoTimeout)
 
 
 def incremental(items: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str):

@@ -15,3 +15,40 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     got = {tuple(r) for r in spark.table("health").collect()}
     want = {tuple(r) for r in state.fold(df).select("engine", "total", "ok", "failed", "consecutive", "avg_ms", F.col("disabled_until")).collect()}
     assert got == want
+
+
+def test_fold_of_a_source_with_most_calls(spark):
+    """One source holds two thirds; batches, nulls and a source without a name; against a plain loop."""
+    import random
+
+    rng = random.Random(4)
+    calls = [(None if i % 50 == 0 else "hot" if i % 3 else f"e{i % 7}", i // 2, i, rng.choice(("success", "failure", "zero")), rng.choice((None, 0, 17, 90))) for i in range(3000)]
+    want = {}
+    for engine, ts, _, outcome, ms in calls:
+        total, ok, failed, row, mean, until = want.get(engine, (0, 0, 0, 0, 0, None))
+        if outcome == "success":
+            total, ok, row, until = total + 1, ok + 1, 0, None
+            mean = (ms or 0) if total == 1 else (mean * (total - 1) + (ms or 0)) // total
+        elif outcome == "failure":
+            total, failed, row = total + 1, failed + 1, row + 1
+        else:
+            row += 1
+            until = ts + 300 * 5 ** min(row - 1, 5)
+        want[engine] = (total, ok, failed, row, mean, until)
+    df = spark.createDataFrame(calls, "engine string, ts bigint, seq bigint, outcome string, response_ms bigint").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        whole = {r.engine: tuple(r)[1:] for r in state.fold(df).collect()}
+        parts = None
+        for low in range(0, 1500, 400):
+            parts = spark.createDataFrame(state.fold(df.where(F.col("ts").between(low, low + 399)), parts).collect(), state.SCHEMA)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole == want and {r.engine: tuple(r)[1:] for r in parts.collect()} == want
+
+
+def test_a_success_ends_a_pause(spark):
+    log = [("a", 1, "x 超时"), ("a", 2, "HTTP 错误"), ("a", 3, "status"), ("b", 1, "status"), ("b", 2, "status"), ("b", 3, "status"), ("c", 1, "status"), ("c", 2, "other"), ("c", 3, "status"), ("c", 4, "other"), ("d", 1, "status"), ("d", 2, "status")]
+    rows = [(e, t, t, "failure", m) for e, t, m in log] + [("b", 4, 4, "success", None)]
+    df = spark.createDataFrame(rows, "engine string, ts bigint, seq bigint, outcome string, error string")
+    assert {tuple(r) for r in state.pauses(df).collect()} == {("a", 303), ("c", 303)}
