@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,32 +21,37 @@ OTHER_AUTHORITY = 0.70
 MERGED = "aggregated"
 
 
-def bm25(tokens: Column, query: list[str], mean_length: Column) -> Column:
+def _each(words: list[str] | Column, value: Callable[[Column], Column]) -> Column:
+    """The sum of a double over the words of a query, in their order; words: a list, or a column of arrays."""
+    if isinstance(words, Column):
+        return F.aggregate(words, F.lit(0.0), lambda total, w: total + value(w))
+    total = F.lit(0.0)
+    for w in words:
+        total = total + value(F.lit(w))
+    return total
+
+
+def bm25(tokens: Column, query: list[str] | Column, mean_length: Column) -> Column:
     """Without document frequencies; query tokens count as often as they occur; at most 1."""
-    if not query:
-        return F.lit(0.0)
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.try_divide(F.size(tokens).cast("double"), mean_length))
 
-    def one(token: str) -> Column:
+    def one(token: Column) -> Column:
         tf = F.size(F.filter(tokens, lambda x: x == token)).cast("double")
         return tf * F.lit(K1 + 1.0) / (tf + norm)
 
-    total = F.lit(0.0)
-    for token in query:
-        total = total + one(token)
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), total / F.lit(len(query) * (K1 + 1.0))))
+    n = F.size(query) if isinstance(query, Column) else F.lit(len(query))
+    return F.when((F.size(tokens) == 0) | (n == 0), 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(_each(query, one), n * F.lit(K1 + 1.0))))
 
 
-def exact_match(text: Column, query: str) -> Column:
-    low, q = F.lower(text), F.lit(query.lower())
+def exact_match(text: Column, query: str | Column) -> Column:
+    low, q = F.lower(text), F.lower(query) if isinstance(query, Column) else F.lit(query.lower())
     return F.when(low == q, 1.0).when(F.startswith(low, q), 0.8).when(F.contains(low, q), 0.5).otherwise(0.0)
 
 
-def url_relevance(url: Column, query: list[str]) -> Column:
-    if not query:
-        return F.lit(0.0)
-    hits = sum((F.contains(F.lower(url), F.lit(t)).cast("int") for t in query), F.lit(0))
-    return hits.cast("double") / len(query)
+def url_relevance(url: Column, query: list[str] | Column) -> Column:
+    n = F.size(query) if isinstance(query, Column) else F.lit(len(query))
+    hits = _each(query, lambda w: F.contains(F.lower(url), w).cast("double"))
+    return F.when(n == 0, 0.0).otherwise(F.try_divide(hits, n))
 
 
 def position_score(position: Column) -> Column:
@@ -57,7 +64,7 @@ def authority(engine: Column) -> Column:
     return F.coalesce(table[F.lower(engine)], F.lit(OTHER_AUTHORITY))
 
 
-def total(title: Column, title_tokens: Column, title_mean: Column, content: Column, content_tokens: Column, content_mean: Column, url: Column, position: Column, engine: Column, query: str, query_tokens: list[str]) -> Column:
+def total(title: Column, title_tokens: Column, title_mean: Column, content: Column, content_tokens: Column, content_mean: Column, url: Column, position: Column, engine: Column, query: str | Column, query_tokens: list[str] | Column) -> Column:
     t = F.least(F.lit(1.0), 0.7 * bm25(title_tokens, query_tokens, title_mean) + 0.3 * exact_match(title, query))
     c = F.least(F.lit(1.0), 0.8 * bm25(content_tokens, query_tokens, content_mean) + 0.2 * exact_match(content, query))
     w = WEIGHTS

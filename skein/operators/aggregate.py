@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import scoring
 from skein.functions.text import SPACE, clean_text, tokenize
 from skein.operators.dedup import by_raw_url, by_url, round_robin
+from skein.operators.scan import checkpointed, join_unique, numbered, running
 
 
 def standardize(items: DataFrame) -> DataFrame:
@@ -21,15 +22,8 @@ def standardize_results(items: DataFrame) -> DataFrame:
 
 
 def enumerate_items(items: DataFrame) -> DataFrame:
-    """position: the place, from 0, in the order of sources and places.
-
-    Places are numbered within sources; what earlier sources hold is added
-    from a table of one row for each source, so that no window spans all rows.
-    """
-    counts = items.groupBy("engine_ord").agg(F.count("*").alias("_n"))
-    before = counts.select("engine_ord", (F.sum("_n").over(Window.orderBy("engine_ord")) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("engine_ord").orderBy("pos")
-    return items.join(before, "engine_ord").withColumn("position", F.col("_before") + F.row_number().over(w) - 1).drop("_before")
+    """position: the place, from 0, in the order of sources and places; numbered over ranges, no task holds a source."""
+    return numbered(items, [F.asc("engine_ord"), F.asc("pos")], "position").withColumn("position", F.col("position") - 1)
 
 
 def score_results(items: DataFrame, query: str, engine: str | None = scoring.MERGED) -> DataFrame:
@@ -44,8 +38,36 @@ def score_results(items: DataFrame, query: str, engine: str | None = scoring.MER
 
 
 def aggregate_with_scoring(items: DataFrame, query: str) -> DataFrame:
-    """Standardised, without repeated URLs in and across sources, scored; sort by rank_order()."""
-    return score_results(enumerate_items(by_url(standardize_results(items))), query)
+    """Standardised, without repeated URLs in and across sources, scored; sort by rank_order().
+
+    Texts are cut before the one shuffle by URL (the first item of a URL in
+    order is also the first of its source), so that no whole text is shuffled.
+    """
+    return score_results(enumerate_items(by_url(standardize(items))), query)
+
+
+def aggregate_queries(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """As aggregate_with_scoring, for many queries at once; items have a query_id, queries: query_id, query.
+
+    Items whose query isn't among ``queries`` are left out. URLs, positions and means are those of a query.
+    """
+    once = by_url(standardize(items), within=("query_id",))
+    placed = running(once, ["query_id"], [F.asc("engine_ord"), F.asc("pos")], {"position": F.lit(1)})
+    placed = placed.withColumn("position", F.col("position") - 1)
+    sizes = placed.select("query_id", F.size(tokenize(F.col("title"))).alias("t"), F.size(tokenize(F.col("content"))).alias("c"))
+    means = sizes.groupBy("query_id").agg(F.avg("t").alias("_tm"), F.avg("c").alias("_cm"), F.count("*").alias("_rows"))
+    told = queries.select("query_id", F.lower("query").alias("_query"), tokenize(F.col("query")).alias("_words")).dropDuplicates(["query_id"])
+    df = join_unique(placed, checkpointed(means.join(told, "query_id")), ["query_id"], F.col("_rows"))
+    df = df.withColumns({"_t": tokenize(F.col("title")), "_c": tokenize(F.col("content"))})
+    col = F.col
+    score = scoring.total(col("title"), col("_t"), col("_tm"), col("content"), col("_c"), col("_cm"), col("url"), col("position"), F.lit(scoring.MERGED), col("_query"), col("_words"))
+    return df.withColumn("score", score).drop("_t", "_c", "_tm", "_cm", "_query", "_words", "_rows")
+
+
+def best_of_queries(scored: DataFrame, most: int) -> DataFrame:
+    """The first items of each query, by score, then position; cut in every task before the shuffle."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def ranked(items: DataFrame) -> DataFrame:

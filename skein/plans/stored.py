@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import fulltext, state, textindex
+from skein.operators import aggregate, fulltext, state, textindex
 from skein.operators.scan import shared_folder
-from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, ENTRIES, calls, entries, feed_items, items, query, r6, table, toks
+from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, COPIES, ENTRIES, calls, clean, entries, feed_items, items, query, r6, table, toks, with_copies
 
 
 def new_folder(spark, name: str) -> str:
@@ -52,3 +52,39 @@ def engine_state_in_batches(spark, d):
         state.fold(log.where((COL("ts") > low) & (COL("ts") <= high)), at).write.parquet(folder)
         at = spark.read.parquet(folder)
     return at
+
+
+_TF = lambda x, mean: f"list_sum(list_transform(words, lambda w: len(list_filter({x}, lambda y: y = w)) * 2.5::DOUBLE / (len(list_filter({x}, lambda y: y = w)) + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (len({x}) / {mean})))))"
+_BM = lambda x, mean: f"CASE WHEN len({x}) = 0 OR len(words) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({_TF(x, mean)}) / (len(words) * 2.5::DOUBLE)) END"
+_EX = lambda x: f"CASE WHEN lower({x}) = lower(query) THEN 1.0::DOUBLE WHEN starts_with(lower({x}), lower(query)) THEN 0.8::DOUBLE WHEN contains(lower({x}), lower(query)) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+_MANY = f"""WITH {COPIES}, qs AS (SELECT item_id AS query_id, array_to_string(list_slice({toks("text")}, 1, 3), ' ') AS query FROM benchmark),
+std AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS query_id, engine_ord, pos, {clean("title", 200)} AS title, {clean("content", 500)} AS content, CASE WHEN trim(url) = '' THEN '#' ELSE url END AS url FROM copies),
+ded AS (SELECT * FROM std QUALIFY row_number() OVER (PARTITION BY query_id, trim(lower(url)) ORDER BY engine_ord, pos) = 1),
+tok AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY engine_ord, pos) - 1 AS position, {toks("title")} AS t, {toks("content")} AS c FROM ded),
+m AS (SELECT *, avg(len(t)) OVER (PARTITION BY query_id) AS tm, avg(len(c)) OVER (PARTITION BY query_id) AS cm FROM tok),
+j AS (SELECT m.*, query, {toks("query")} AS words FROM m JOIN qs USING (query_id)),
+scored AS (SELECT query_id, doc_id, url, position, greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+    0.4::DOUBLE * least(1.0::DOUBLE, 0.7::DOUBLE * ({_BM("t", "tm")}) + 0.3::DOUBLE * ({_EX("title")}))
+    + 0.3::DOUBLE * least(1.0::DOUBLE, 0.8::DOUBLE * ({_BM("c", "cm")}) + 0.2::DOUBLE * ({_EX("content")}))
+    + 0.1::DOUBLE * CASE WHEN len(words) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(words, lambda w: contains(lower(url), w))) / len(words)::DOUBLE END
+    + 0.15::DOUBLE * 0.7::DOUBLE + 0.05::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + ln(position + 1.0::DOUBLE))))) AS score FROM j)"""
+
+
+def _asked(spark, d):
+    """Items as answers to the queries: three words of each benchmark item."""
+    from skein.functions import text
+
+    b = table(spark, d, "benchmark")
+    asked = with_copies(items(spark, d)).withColumn("query_id", COL("doc_id") % b.count())
+    return aggregate.aggregate_queries(asked, b.select(COL("item_id").alias("query_id"), F.array_join(F.slice(text.tokenize(COL("text")), 1, 3), " ").alias("query")))
+
+
+@query(f"{_MANY} SELECT query_id, doc_id, url, position, round(score, 6) AS score FROM scored")
+def aggregate_many_queries(spark, d):
+    return _asked(spark, d).select("query_id", "doc_id", "url", "position", r6(COL("score")).alias("score"))
+
+
+@query(f"{_MANY} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position) AS rank FROM scored) WHERE rank <= 5")
+def best_of_many_queries(spark, d):
+    scored = _asked(spark, d).withColumn("score", F.round("score", 9))
+    return aggregate.best_of_queries(scored, 5).select("query_id", "doc_id", COL("rank").cast("bigint").alias("rank"))
