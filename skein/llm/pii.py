@@ -12,9 +12,11 @@ account number keeps its country, its letters and whether its check digits are
 right. Separators, country code, title, gender, script, top-level domain and
 words all in capitals stay as they are.
 
-A person is named by a title and one or two words, and then, in the same text,
-by any of these words without the title: "Mr. John Smith", "John Smith", "Mr.
-Smith" and "Smith" get one surname. Surnames are keyed by themselves, given
+A person is named by a title (as listed or in capitals), initials if any, and
+one or two words, and then, in the same text, by any of these words without the
+title: "Mr. John Smith", "John Smith", "Mr. Smith" and "Smith" get one surname.
+A word that the text has in small letters, too, is left where it stands alone
+at the beginning of a sentence. A domain has up to 127 labels. Surnames are keyed by themselves, given
 names by themselves and the gender that a title in the text tells for them. A
 word that stands alone after a title somewhere in the text counts as a
 surname there.
@@ -48,19 +50,22 @@ CYRILLIC_SYLLABLES = ("ба", "ден", "дор", "фел", "ган", "хар",
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A word of a name, without the ending of a genitive.
-_WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
+#: Repeated groups are possessive or bounded throughout: the engine keeps a place on its stack for each round of others.
+_WORD = r"\p{Lu}(?:\p{L}++|['’-](?!s(?!\p{L}))(?=\p{L}))++"
+_INITIALS = r"(?:(?:\p{Lu}\.){1,4}\x20){0,3}"
+_TITLES = "|".join(x for t in FEMALE + MALE + NEUTRAL for x in (t, t.upper()))
 # Patterns by kind; the first that matches at a place counts.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.+-])(?:[0-9]{4}(?:[\x20-]?[0-9]{4}){3}|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\x20{_WORD}(?:\x20{_WORD})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.?\x20{_INITIALS}{_WORD}(?:\x20{_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
-TITLED = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\x20\p{{Lu}}"
+TITLED = rf"(?<!\p{{L}})(?:{_TITLES})\.?\x20\p{{Lu}}"
 #: A text without any of these has no entity.
 HINT = r"@|[0-9][0-9\x20().-]{5}|[0-9]\.[0-9]|[A-Z]{2}[0-9]{2}|" + TITLED
 ROUNDS = 6
@@ -144,7 +149,7 @@ def _syllables(seed: Column, n: int, of: tuple[str, ...]) -> Column:
 
 def kind_of(m: Column) -> Column:
     """The kind of a match, by its own form."""
-    title = rf"^(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\x20"
+    title = rf"^(?:{_TITLES})\.?\x20"
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike(title), "name")
@@ -220,14 +225,19 @@ def _rest(m: Column) -> Column:
 
 def _gender(m: Column) -> Column:
     """f, m or n, by the title."""
-    title = F.regexp_extract(m, r"^([^\x20.]+)", 1)
-    return F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
+    title = F.upper(F.regexp_extract(m, r"^([^\x20.]+)", 1))
+    return F.when(title.isin(*map(str.upper, FEMALE)), "f").when(title.isin(*map(str.upper, MALE)), "m").otherwise("n")
+
+
+def _is_initials(w: Column) -> Column:
+    return F.endswith(w, F.lit("."))
 
 
 def _people(df: DataFrame, t: Column) -> DataFrame:
     """With the names after titles in each text, and their words by place and gender, as columns _pii_*."""
     found = F.when(t.rlike(TITLED), F.regexp_extract_all(t, F.lit(PATTERNS["name"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_pii_named", F.transform(found, lambda m: F.struct(_gender(m).alias("gender"), F.split(_rest(m), r"\x20").alias("words"))))
+    words = lambda m: F.filter(F.split(_rest(m), r"\x20"), lambda w: ~_is_initials(w))
+    df = df.withColumn("_pii_named", F.transform(found, lambda m: F.struct(_gender(m).alias("gender"), words(m).alias("words"))))
 
     def first(test) -> Column:
         return F.array_distinct(F.transform(F.filter("_pii_named", test), lambda x: F.lower(x["words"][0])))
@@ -254,7 +264,7 @@ def _role(word: Column, gender: Column) -> Column:
 def _roles(words: Column, gender: Column) -> Column:
     """(kind, entity, m) for each word after a title; the last is a surname."""
     def one(w: Column, i: Column) -> Column:
-        kind = F.when(i == F.size(words) - 1, "surname").otherwise(_role(w, gender))
+        kind = F.when(_is_initials(w), "initials").when(i == F.size(words) - 1, "surname").otherwise(_role(w, gender))
         return F.struct(kind.alias("kind"), F.lower(w).alias("entity"), w.alias("m"))
 
     return F.transform(words, one)
@@ -277,16 +287,33 @@ def _word(w: Column, kind: Column, key: str, widen: int) -> Column:
     given = F.when(cyrillic, _syllables(F.concat(F.lit(f"{key}|first|"), kind, low), 2, CYRILLIC_SYLLABLES)).when(kind == "given_f", pick(FEMALE_NAMES)).when(kind == "given_m", pick(MALE_NAMES)).otherwise(pick(NEUTRAL_NAMES))
     if widen:  # there are few given names to choose from
         given = F.concat(given, F.lit("-"), syllables(F.concat(F.lit(f"{key}|second|"), kind, F.lit("|"), low), 2 * widen))
-    made = F.when(kind == "surname", syllables(F.concat(F.lit(f"{key}|last|"), low), 4 + 2 * widen)).otherwise(given)
+    letter = lambda x, of: F.substring(F.lit(of), F.pmod(_number(F.concat(F.lit(f"{key}|initial|"), x), 8), F.lit(len(of))).cast("int") + 1, F.lit(1))
+    initials = F.array_join(F.transform(F.filter(F.split(w, r"\."), lambda x: x != ""), lambda x: F.concat(F.when(cyrillic, letter(x, "АБВГДЕЖЗИКЛМНОП")).otherwise(letter(x, "ABCDEFGHIJKLMNOP")), F.lit("."))), "")
+    made = F.when(kind == "initials", initials).when(kind == "surname", syllables(F.concat(F.lit(f"{key}|last|"), low), 4 + 2 * widen)).otherwise(given)
     return F.when(w == F.upper(w), F.upper(made)).otherwise(made)
 
 
-def _pattern() -> Column:
-    """All kinds, and the words of the names in the text where they stand without a title."""
-    forms = F.array_distinct(F.flatten(F.transform("_pii_words", lambda w: F.array(w, F.upper(w), F.when(w == F.upper(w), F.initcap(w)).otherwise(w)))))
-    word = F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
-    bare = F.concat(F.lit(ANY + r"|(?<!\p{L})"), word, F.lit(r"(?:\x20"), word, F.lit("){0,3}"))
-    return F.when(F.size("_pii_words") > 0, bare).otherwise(F.lit(ANY))
+def _pattern(t: Column) -> Column:
+    """All kinds, and the words of the names in the text where they stand without a title.
+
+    A word that the text also has in small letters may begin a sentence as an
+    ordinary word ("Will he come?"): it counts inside a sentence or next to
+    another word of a name only.
+    """
+    ordinary = F.filter("_pii_words", lambda w: F.contains(t, F.lower(w)) & F.regexp_like(t, F.concat(F.lit(r"(?<!\p{L})"), F.lower(w), F.lit(r"(?!\p{L})"))))
+
+    def any_of(words: Column) -> Column:
+        forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.when(w == F.upper(w), F.initcap(w)).otherwise(w)))))
+        return F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+
+    def whole(x: Column) -> Column:
+        free, word = F.array_except("_pii_words", x), any_of(F.col("_pii_words"))
+        several = F.concat(F.lit(ANY + r"|(?<!\p{L})"), word, F.lit(r"(?:\x20"), word, F.lit("){1,3}"))
+        one = F.when(F.size(free) > 0, F.concat(F.lit(r"|(?<!\p{L})"), any_of(free))).otherwise("")
+        inside = F.when(F.size(x) > 0, F.concat(F.lit(r"|(?<=[\p{L}\p{N},;:]\x20)"), any_of(x))).otherwise("")
+        return F.concat(several, one, inside)
+
+    return F.when(F.size("_pii_words") > 0, _let(ordinary, whole)).otherwise(F.lit(ANY))
 
 
 def entities(documents: DataFrame) -> DataFrame:
@@ -295,7 +322,7 @@ def entities(documents: DataFrame) -> DataFrame:
     df = _people(documents.select("text").where(t.rlike(HINT)), t)
     matches = F.filter(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: kind_of(m) != "name")
     plain = F.transform(matches, lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), canonical(m, k).alias("entity"), m.alias("m"))))
-    named = F.flatten(F.transform("_pii_named", lambda x: _roles(x["words"], x["gender"])))
+    named = F.flatten(F.transform("_pii_named", lambda x: _roles(x["words"], x["gender"])))  # initials are no entities
     found = df.select(F.explode(F.concat(plain, named, _bare_roles(F.col("_pii_words")))).alias("x")).select("x.*")
     return found.groupBy("kind", "entity").agg(F.min("m").alias("m"))
 
@@ -321,7 +348,7 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
         if widen > MOST_WIDE:
             raise ValueError("surrogates of different entities stay equal under this key; choose another")
     has = F.coalesce(t.rlike(HINT), F.lit(False))
-    df = _people(rows, t).withColumn("_pii_pattern", _pattern())
+    df = _people(rows, t).withColumn("_pii_pattern", _pattern(t))
     df = df.withColumns({"_pii_matches": F.when(has, F.regexp_extract_all(t, F.col("_pii_pattern"), F.lit(0))), "_pii_gaps": F.when(has, F.split(t, F.col("_pii_pattern"), -1))})
 
     def spoken(roles: Column) -> Column:
