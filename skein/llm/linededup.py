@@ -2,20 +2,27 @@
 
 Lines without words are no lines here. A rolling hash over the hashes of two
 neighbouring lines is taken at each line; of the lines that begin within
-WINDOW words of each other the one of the smallest hash begins a chunk, and
-a line of WINDOW words or more is a chunk of its own. So boundaries depend on
-a few lines around only, a passage is cut at the same places wherever it
-stands, and every passage of 50 words holds a whole chunk. Chunks that occur
-repeatedly are compared byte by byte. From an equal chunk on, the lines before
-and after it are compared, too, as far as boundaries may differ between two
-places (CONTEXT words), and go with it if they are equal: so the ends of a
-passage go where they share a chunk with other lines.
+WINDOW words of each other the one of the smallest hash begins a piece, and
+a line of WINDOW words or more is a piece of its own. So boundaries depend on
+a few lines around only, and a passage is cut at the same places wherever it
+stands. A chunk is a piece and the next one; a piece is a chunk by itself where
+it has several lines, or MIN_WORDS words, or a neighbour of several lines. So a
+passage of two lines or more that are cut from their neighbours is covered by
+chunks, each of which stands whole wherever the passage does; and a chunk's
+first occurrence is a place where its lines stand together, whatever lines
+stand between them elsewhere. Chunks that occur repeatedly are compared byte by
+byte. From an equal chunk on, the lines before and after it are compared, too,
+as far as boundaries may differ between two places (CONTEXT words), and go with
+it if they are equal: so the ends of a passage go where they share a piece with
+other lines.
 
 What is removed is a run of lines that stands as such in one earlier place, of
 at least two lines and LEAST_WORDS words, or of MIN_WORDS words. A chunk is held
 against its first occurrence (in the order of doc_id, text hash, line) and
-against the one before it. A line is only ever removed in favour of an equal
-one that stands earlier, so that the first copy of everything stays.
+against the one before it; a third place counts only for lines at the ends of
+a passage that are part of a longer piece. A line is only ever removed in
+favour of an equal one that stands earlier, so that the first copy of
+everything stays.
 
 One shuffle carries the chunks that may be repeated, those that a filter over
 the counted 64-bit hashes lets through. A task sends the bytes of a chunk
@@ -89,7 +96,7 @@ def least_ahead(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each chunk: row, first and last byte, number of the first line, lines up to the last, words, lines with words, hash."""
+    """Of each chunk: row, first and last byte, number of the first line, lines up to the last, hash; first and last of the lines with words."""
     row, start, end, number, count, at = lines_of(data, offsets)
     n = len(row)
     h = span_hashes(BYTE[data], start, end)
@@ -105,15 +112,24 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     a = np.flatnonzero(open_)
     b = np.append(a[1:], n) - 1 if n else a
     total = np.concatenate([[0], np.cumsum(count)])
+    # Chunks: neighbouring pieces, and single ones that may go alone or with some lines of a neighbour.
+    several = b > a
+    alone = several | (total[b + 1] - total[a] >= MIN_WORDS)
+    alone[1:] |= several[:-1] & (row[a[1:]] == row[a[:-1]])
+    alone[:-1] |= several[1:] & (row[a[1:]] == row[a[:-1]])
+    pair = np.flatnonzero(row[a[1:]] == row[a[:-1]])
+    a, b = np.concatenate([a[alone], a[pair]]), np.concatenate([b[alone], b[pair + 1]])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     return {
         "row": row[a],
         "start": start[a],
         "end": end[b],
         "line": number[a],
         "lines": number[b] - number[a] + 1,
-        "words": total[b + 1] - total[a],
         "hash": span_hashes(BYTE[data], start[a], end[b]).astype(np.int64),
         "first": a,
+        "last": b,
         "line_row": row,
         "line_start": start,
         "line_end": end,
@@ -123,8 +139,7 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def contexts(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges of the lines before and after each chunk, CONTEXT words at most."""
-    a, row, total, n = c["first"], c["line_row"], c["total"], len(c["line_row"])
-    b = np.append(a[1:], n) - 1 if n else a
+    a, b, row, total, n = c["first"], c["last"], c["line_row"], c["total"], len(c["line_row"])
     low = np.maximum(np.searchsorted(total, total[a] - CONTEXT), np.searchsorted(row, row[a]))
     high = np.minimum(np.searchsorted(total, total[b + 1] + CONTEXT, side="right") - 1, np.searchsorted(row, row[a], side="right"))
     left, right = low < a, high > b + 1
