@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import aggregate, fulltext, state, textindex
+from skein.operators import aggregate, fulltext, state, store, textindex
 from skein.operators.scan import shared_folder
 from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, COPIES, ENTRIES, calls, clean, entries, feed_items, items, query, r6, table, toks, with_copies
 
@@ -88,3 +88,37 @@ def aggregate_many_queries(spark, d):
 def best_of_many_queries(spark, d):
     scored = _asked(spark, d).withColumn("score", F.round("score", 9))
     return aggregate.best_of_queries(scored, 5).select("query_id", "doc_id", COL("rank").cast("bigint").alias("rank"))
+
+
+_OPS = """ops AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq, event_type || ':' || event_id AS value,
+  CASE event_type WHEN 'signup' THEN 'put' WHEN 'purchase' THEN 'put' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'get_stale' END ELSE 'get' END AS op,
+  CASE WHEN event_id % 7 > 0 THEN CAST(floor(value * 3600) AS BIGINT) END AS ttl FROM events),
+g AS (SELECT *, max(CASE WHEN op IN ('put', 'delete') THEN n END) OVER (PARTITION BY key ORDER BY n) AS gen FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS n FROM ops)),
+p AS (SELECT key, n AS gen, value AS held, ts AS created_at, ts + ttl AS expires_at FROM g WHERE op = 'put'),
+r AS (SELECT g.*, held, created_at, expires_at, held IS NOT NULL AND (op = 'get_stale' OR expires_at IS NULL OR g.ts < expires_at) AS hit FROM g LEFT JOIN p USING (key, gen)),
+c AS (SELECT *, count(*) FILTER (op = 'get' AND hit) OVER w AS access_count, max(CASE WHEN op = 'get' AND hit THEN ts END) OVER w AS last_access FROM r WINDOW w AS (PARTITION BY key, gen ORDER BY n))"""
+
+
+def store_log(spark, d):
+    """events as operations: signups and purchases put, errors delete or ask for stale values, the others get."""
+    kind, k = COL("event_type"), COL("event_id")
+    op = F.when(kind.isin("signup", "purchase"), "put").when(kind == "error", F.when(k % 3 == 0, "delete").otherwise("get_stale")).otherwise("get")
+    ttl = F.when(k % 7 > 0, F.floor(COL("value") * 3600))
+    return table(spark, d, "events").select(
+        COL("user_id").cast("string").alias("key"), F.unix_timestamp("ts").alias("ts"), k.alias("seq"), op.alias("op"), F.concat(kind, F.lit(":"), k.cast("string")).alias("value"), ttl.alias("ttl")
+    )
+
+
+@query(f"WITH {_OPS} SELECT key, seq, CASE WHEN hit THEN held END AS value, hit AND coalesce(ts >= expires_at, FALSE) AS is_stale, CASE WHEN hit THEN access_count END AS access_count FROM c WHERE op IN ('get', 'get_stale')")
+def store_reads(spark, d):
+    return store.reads(store_log(spark, d)).select("key", "seq", "value", "is_stale", "access_count")
+
+
+@query(f"WITH {_OPS} SELECT key, held AS value, created_at, expires_at, access_count, last_access FROM c JOIN (SELECT key, max(n) AS n FROM c GROUP BY key) USING (key, n) WHERE held IS NOT NULL")
+def store_left(spark, d):
+    return store.left(store_log(spark, d))
+
+
+@query(f"WITH {_OPS} SELECT count(*) FILTER (op = 'get' AND hit) AS hits, count(*) FILTER (op = 'get' AND NOT hit) AS misses, count(*) FILTER (op = 'put') AS writes, count(*) FILTER (op = 'delete') AS deletes FROM c")
+def store_statistics(spark, d):
+    return store.statistics(store_log(spark, d))
