@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,20 +28,57 @@ XINHUA_MOST = 50
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+class Found:
+    """Nodes in the order of the page, looked up as they are asked for."""
+
+    def __init__(self, make: Callable[[], Iterator[Node]]):
+        self._make, self._first = make, next(make(), None)
+
+    def __bool__(self) -> bool:
+        return self._first is not None
+
+    def __getitem__(self, at: int) -> Node:
+        if at or self._first is None:
+            raise IndexError(at)
+        return self._first
+
+    def __iter__(self) -> Iterator[Node]:
+        return self._make()
+
+
+class Page:
+    """The nodes of a page by number, in order, and lists of the numbers that a selector has, each made once."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self._lists: dict[tuple[str, str, str], list[int]] = {}
+
+    def having(self, kind: str, tag: str, what: str) -> list[int]:
+        """Numbers of the nodes of a tag (any if empty) with all of some classes, or a string in the class attribute."""
+        key = (kind, tag, what)
+        if key not in self._lists:
+            of_tag = range(1, len(self.nodes)) if not tag else self._lists.get(("tag", tag, ""))
+            if of_tag is None:
+                of_tag = self._lists["tag", tag, ""] = [n.at for n in self.nodes if n.tag == tag]
+            if kind == "part":
+                self._lists[key] = [i for i in of_tag if what in self.nodes[i].attrs.get("class", "")]
+            else:
+                asked = set(what.split())
+                self._lists[key] = [i for i in of_tag if not asked or asked <= set(self.nodes[i].classes())]
+        return self._lists[key]
+
+
 class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    """An element; its descendants have the numbers from its own to ``end``."""
 
-    def walk(self) -> Iterator[Node]:
-        """All descendants in the order of the page; by a stack, as unclosed tags nest without end."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, page: Page):
+        self.tag, self.attrs, self.parent, self.children, self.page = tag, attrs, parent, [], page
+        self.at = len(page.nodes)
+        self.end = self.at + 1
+        page.nodes.append(self)
 
     def fragments(self) -> Iterator[str]:
-        """The texts in it, one by one."""
+        """The texts in it, one by one; by a stack, as unclosed tags nest without end."""
         stack: list[Node | str] = list(reversed(self.children))
         while stack:
             c = stack.pop()
@@ -62,72 +101,102 @@ class Node:
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def find(self, *path: tuple[str, str]) -> list[Node]:
-        """Descendants by (tag, classes), either of them empty for any."""
-        found = [self]
-        for tag, cls in path:
-            found = [n for f in found for n in f.walk() if (not tag or n.tag == tag) and all(c in n.classes() for c in cls.split())]
-        return list(dict.fromkeys(found))
+    def find(self, *path: tuple[str, str]) -> Found:
+        """Descendants by (tag, classes), either of them empty for any; of a longer path, descendants of the one before."""
+        return Found(lambda: below(self.page, iter([self]), [("class", *p) for p in path]))
+
+    def holding(self, tag: str, part: str, *path: tuple[str, str]) -> Found:
+        """Descendants whose class attribute holds a string, or what a path finds in them."""
+        return Found(lambda: below(self.page, iter([self]), [("part", tag, part), *[("class", *p) for p in path]]))
+
+
+def below(page: Page, found: Iterator[Node], path: list[tuple[str, str, str]]) -> Iterator[Node]:
+    """Nodes of a path of selectors, each once. What one node has covered the nodes in it need not look at again."""
+    for selector in path:
+        found = _step(page, found, page.having(*selector))
+    return found
+
+
+def _step(page: Page, found: Iterator[Node], numbers: list[int]) -> Iterator[Node]:
+    done = 0
+    for f in found:
+        for k in range(bisect_left(numbers, max(f.at + 1, done)), len(numbers)):
+            if numbers[k] >= f.end:
+                break
+            yield page.nodes[numbers[k]]
+        done = max(done, f.end)
 
 
 class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.page = Page()
+        self.root = self.at = Node("", {}, None, self.page)
+        self.open: Counter[str] = Counter()
+
+    def _leave(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.at.end = len(self.page.nodes)
+        self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == self.at.tag and tag in ("p", "li"):  # a paragraph or list item ends where the next begins
-            self.at = self.at.parent
-        n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+            self._leave()
+        n = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.page)
         self.at.children.append(n)
         if tag not in VOID:
             self.at = n
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        while self.open[tag] > 0:  # else there is nothing to close
+            last = self.at.tag == tag
+            self._leave()
+            if last:
+                break
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def finish(self) -> Node:
+        self.close()
+        while self.at is not self.root:
+            self._leave()
+        self.root.end = len(self.page.nodes)
+        return self.root
+
 
 def parse(html: str) -> Node:
     t = Tree()
     t.feed(html)
-    t.close()
-    return t.root
+    return t.finish()
 
 
 def _item(title: str, url: str, content: str, **metadata: str) -> dict:
     return {"title": title, "url": url, "content": content, "metadata": [(k, v) for k, v in metadata.items() if v]}
 
 
-def _first(nodes: list[Node], attr: str = "") -> str:
+Nodes = list | Found
+
+
+def _first(nodes: Nodes, attr: str = "") -> str:
     return (nodes[0].attrs.get(attr, "") if attr else nodes[0].text()) if nodes else ""
 
 
-def _attr(nodes: list[Node], *names: str) -> str:
+def _attr(nodes: Nodes, *names: str) -> str:
     """The first of the attributes that the first node has, be it empty."""
     return next((nodes[0].attrs[n] for n in names if n in nodes[0].attrs), "") if nodes else ""
 
 
-def _plain(nodes: list[Node]) -> str:
+def _plain(nodes: Nodes) -> str:
     return nodes[0].plain() if nodes else ""
 
 
-def _joined(nodes: list[Node]) -> str:
+def _joined(nodes: Nodes) -> str:
     return " ".join(n.plain() for n in nodes).strip()
 
 
-def _having(root: Node, tag: str, part: str) -> list[Node]:
-    """Descendants whose class attribute holds a string."""
-    return [n for n in root.walk() if n.tag == tag and part in n.attrs.get("class", "")]
-
-
-def _first_text(root: Node, choices: list[list[Node]]) -> str:
+def _first_text(choices: list[Nodes]) -> str:
     """The first text that is not empty among the first nodes of the choices."""
     return next((t for nodes in choices if (t := _plain(nodes))), "")
 
@@ -136,7 +205,7 @@ def bing(root: Node) -> list[dict]:
     """Rows of the list of results with a linked heading; the first paragraph that says something."""
     out = []
     for row in (x for ol in root.find(("ol", "")) if ol.attrs.get("id") == "b_results" for x in ol.kids("li", "b_algo")):
-        link = [a for h in row.find(("h2", "")) for a in h.kids("a")]
+        link = next(([a] for h in row.find(("h2", "")) for a in h.kids("a")), [])
         said = (" ".join(f for f in p.fragments() if f.strip()).strip() for p in row.find(("p", "")))
         if link:
             out.append(_item(_plain(link), _attr(link, "href"), next((t for t in said if t not in ("", "Web")), "")))
@@ -157,10 +226,10 @@ def bing_news(root: Node) -> list[dict]:
 def yandex(root: Node) -> list[dict]:
     """The first row selector that finds anything; of headings and snippets the first that say something."""
     out = []
-    for r in root.find(("li", "serp-item")) or root.find(("div", "serp-item")) or _having(root, "div", "serp-item"):
-        title = _first_text(r, [r.find(("h2", "")), r.find(("h3", "")), r.find(("a", "link"))])
+    for r in root.find(("li", "serp-item")) or root.find(("div", "serp-item")) or root.holding("div", "serp-item"):
+        title = _first_text([r.find(("h2", "")), r.find(("h3", "")), r.find(("a", "link"))])
         said = [r.find(("div", c)) for c in ("text-container", "OrganicTextContentSpan", "text")]
-        out.append(_item(title, _attr(r.find(("a", "")), "href"), _first_text(r, [*said, _having(r, "div", "snippet")])))
+        out.append(_item(title, _attr(r.find(("a", "")), "href"), _first_text([*said, r.holding("div", "snippet")])))
     return out
 
 
@@ -177,13 +246,9 @@ def sogou(root: Node) -> list[dict]:
 
 def xinhua(root: Node) -> list[dict]:
     """Links of the first selector that gives a valid one; each address once."""
-    def within(part: str, tag: str = "") -> list[Node]:
-        holders = [n for n in root.walk() if (not tag or n.tag == tag) and part in n.attrs.get("class", "")]
-        return list(dict.fromkeys(a for n in holders for a in n.find(("a", ""))))
-
     every = root.find(("a", ""))
     choices = [[a for a in every if part in a.attrs.get("href", "")] for part in XINHUA_LINKS]
-    choices += [within("result", "div"), within("item", "div"), root.find(("li", ""), ("a", "")), within("title")]
+    choices += [root.holding("div", "result", ("a", "")), root.holding("div", "item", ("a", "")), root.find(("li", ""), ("a", "")), root.holding("", "title", ("a", ""))]
     for nodes in choices:
         out: dict[str, dict] = {}
         for a in nodes:
@@ -285,39 +350,53 @@ HOSTS = {
 }
 
 
-def html_items(responses: DataFrame, source: str, key: str, body: str = "html", now: Column | None = None) -> DataFrame:
-    """key and the columns of ITEM; metadata has only what a source tells, pos the place on the page.
+KINDS = {"pos": pa.int32(), "title": pa.string(), "url": pa.string(), "content": pa.string(), "metadata": pa.map_(pa.string(), pa.string())}
 
-    now: the time from which relative dates count back; metadata then has them as published, in epoch seconds.
-    """
-    parser, nothing = PARSERS[source], NO_RESULTS.get(source)
-    schema = StructType([*responses.select(key).schema.fields, *StructType.fromDDL(ITEM).fields])
+
+def _read(parser: Callable[[Node], list[dict]], nothing: str | None, html: str | None) -> list[dict]:
+    return parser(parse(html or "")) if not html or nothing is None or nothing not in html else []
+
+
+def _parsed(responses: DataFrame, key: str, body: str, reader: Callable[[str, str | None], list[dict]], engine: Column) -> DataFrame:
+    """key, _engine and the columns of ITEM, as the reader of each row's engine finds them: one pass over all rows."""
+    schema = StructType([*responses.select(key).schema.fields, *StructType.fromDDL(f"_engine string, {ITEM}").fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
-            for i, html in enumerate(batch.column(1).to_pylist()):
-                found = parser(parse(html or "")) if not html or nothing is None or nothing not in html else []
+            for i, (name, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = reader(name, html)
                 keys += [i] * len(found)
                 rows += [{"pos": n} | x for n, x in enumerate(found)]
-            kinds = {"pos": pa.int32(), "title": pa.string(), "url": pa.string(), "content": pa.string(), "metadata": pa.map_(pa.string(), pa.string())}
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in kinds.items())], names=[key, *kinds])
-
-    out = responses.select(key, body).mapInArrow(task, schema)
-    metadata = F.col("metadata")
-    if source == "bing":
-        out = out.withColumn("url", decode_redirect(F.col("url")))
-    if source in HOSTS:
-        out = out.withColumn("metadata", F.transform_values(metadata, lambda k, v: F.when(k == "thumbnail", absolute(v, HOSTS[source])).otherwise(v)))
-    if source in WEB:
-        out = out.where(has_link(F.col("title"), F.col("url")))
-    if source == "bing_news" and now is not None:
+            at = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[c] for r in rows], t) for c, t in KINDS.items())], names=[key, "_engine", *KINDS])
+
+    return responses.select(key, engine.alias("_engine"), F.col(body).alias("_body")).mapInArrow(task, schema)
+
+
+def _finished(items: DataFrame, engine: Column, now: Column | None) -> DataFrame:
+    """Addresses decoded and completed, dates and views as numbers, by the engine of each row; rows of web sources need a title and an address."""
+    metadata, url = F.col("metadata"), F.col("url")
+    out = items.withColumn("url", F.when(engine == "bing", decode_redirect(url)).otherwise(url))
+    for source, host in HOSTS.items():
+        whole = F.transform_values(metadata, lambda k, v: F.when(k == "thumbnail", absolute(v, host)).otherwise(v))  # noqa: B023
+        out = out.withColumn("metadata", F.when(engine == source, whole).otherwise(metadata))
+    out = out.where(~engine.isin(*WEB) | has_link(F.col("title"), url))
+    if now is not None:
         at = F.unix_timestamp(relative_date(metadata["date"], now)).cast("string")
-        out = out.withColumn("metadata", F.when(at.isNotNull(), F.map_concat("metadata", F.create_map(F.lit("published"), at))).otherwise(metadata))
-    if source == "bing_videos":
-        views = F.transform_values(metadata, lambda k, v: F.when(k == "views", view_count(v).cast("string")).otherwise(v))
-        out = out.withColumn("metadata", F.map_filter(views, lambda k, v: v.isNotNull()))
-    return out
+        out = out.withColumn("metadata", F.when((engine == "bing_news") & at.isNotNull(), F.map_concat("metadata", F.create_map(F.lit("published"), at))).otherwise(metadata))
+    views = F.transform_values(metadata, lambda k, v: F.when(k == "views", view_count(v).cast("string")).otherwise(v))
+    return out.withColumn("metadata", F.when(engine == "bing_videos", F.map_filter(views, lambda k, v: v.isNotNull())).otherwise(metadata))
+
+
+def html_items(responses: DataFrame, source: str, key: str, body: str = "html", now: Column | None = None) -> DataFrame:
+    """key and the columns of ITEM; metadata has only what a source tells, pos the place on the page.
+
+    now: the time from which relative dates count back; metadata then has them as published, in epoch seconds.
+    """
+    parser, nothing = PARSERS[source], NO_RESULTS.get(source)
+    made = _parsed(responses, key, body, lambda _, html: _read(parser, nothing, html), F.lit(source))
+    return _finished(made, F.lit(source), now).drop("_engine")
 
 
 def variant(body: Column) -> Column:
@@ -335,13 +414,18 @@ def _told(**values: Column) -> Column:
     return F.map_filter(every, lambda k, v: known[k])
 
 
-def json_items(responses: DataFrame, source: str, key: str, body: str = "body") -> DataFrame:
-    """key, pos, title, url, content and metadata of JSON answers; a body that is no JSON, or asks for a captcha, has none."""
-    asked = responses.where(~is_blocked_page(F.col(body))) if source == "baidu" else responses
-    v = variant(F.col(body))
-    arrays = {"baidu": ("$.feed.entry", "$.results"), "bilibili": ("$.data.result",), "unsplash": ("$.results",), "plugin": ("$.results",)}[source]
-    rows = asked.select(key, F.posexplode(F.coalesce(*[F.try_variant_get(v, a, "array<variant>") for a in arrays])).alias("pos", "v"))
-    x, metadata = F.col("v"), F.create_map().cast("map<string,string>")
+#: Where the rows of an answer are; the first that there is counts.
+ROWS = {"baidu": ("$.feed.entry", "$.results"), "bilibili": ("$.data.result",), "unsplash": ("$.results",), "plugin": ("$.results",)}
+JSON_SOURCES = ("baidu", "bilibili", "unsplash")
+
+
+def _json_rows(source: str, v: Column) -> Column:
+    return F.coalesce(*[F.try_variant_get(v, a, "array<variant>") for a in ROWS[source]])
+
+
+def _json_item(source: str, x: Column) -> Column:
+    """A struct of title, url, content and metadata."""
+    metadata = F.create_map().cast("map<string,string>")
     if source == "baidu":
         cols = (_field(x, "$.title"), _field(x, "$.url", "$.link"), _field(x, "$.content", "$.abstract", "$.summary"))
     elif source == "bilibili":
@@ -361,23 +445,47 @@ def json_items(responses: DataFrame, source: str, key: str, body: str = "body")
         )
     else:
         cols = (_field(x, "$.title"), _field(x, "$.url"), _field(x, "$.snippet", "$.content"))
-    out = rows.select(key, "pos", *[F.coalesce(c, F.lit("")).alias(n) for n, c in zip(("title", "url", "content"), cols)], metadata.alias("metadata"))
+    return F.struct(*[F.coalesce(c, F.lit("")).alias(n) for n, c in zip(("title", "url", "content"), cols)], metadata.alias("metadata"))
+
+
+def _json_keeps(source: str, x: Column) -> Column:
     if source in WEB:
-        return out.where(has_link(F.col("title"), F.col("url")))
-    return out.where("url != ''" + (" and title != ''" if source == "bilibili" else "")) if source in ("bilibili", "unsplash") else out
+        return has_link(x["title"], x["url"])
+    if source == "bilibili":
+        return (x["url"] != "") & (x["title"] != "")
+    return x["url"] != "" if source == "unsplash" else F.lit(True)
 
 
-JSON_SOURCES = ("baidu", "bilibili", "unsplash")
+def json_items(responses: DataFrame, source: str, key: str, body: str = "body") -> DataFrame:
+    """key, pos, title, url, content and metadata of JSON answers; a body that is no JSON, or asks for a captcha, has none."""
+    asked = responses.where(~is_blocked_page(F.col(body))) if source == "baidu" else responses
+    rows = asked.select(key, F.posexplode(_json_rows(source, variant(F.col(body)))).alias("pos", "v"))
+    made = rows.select(key, "pos", _json_item(source, F.col("v")).alias("x")).where(_json_keeps(source, F.col("x")))
+    return made.select(key, "pos", "x.*")
 
 
-def responses_to_items(responses: DataFrame, now: Column | None = None) -> DataFrame:
-    """Items of captured answers (response_id, engine, body), each read as its engine's answers are; other engines have none."""
-    out = None
-    for source in (*PARSERS, *JSON_SOURCES):
-        if source == "links":
-            continue
-        own = responses.where(F.col("engine") == source)
-        made = json_items(own, source, "response_id") if source in JSON_SOURCES else html_items(own, source, "response_id", "body", now)
-        made = made.withColumn("engine_name", F.lit(source)).select("response_id", "engine_name", "pos", "title", "url", "content", "metadata")
-        out = made if out is None else out.unionByName(made)
-    return out
+def responses_to_items(responses: DataFrame, now: Column | None = None, sources: Mapping[str, Callable[[str], list[dict]]] | None = None) -> DataFrame:
+    """Items of captured answers (response_id, engine, body), each read as its engine's answers are.
+
+    One pass over the answers that are read in Python (pages, and what
+    ``sources`` of other names parse: see registry), one over JSON answers;
+    each names its engines to the scan. Answers of unknown engines have no items.
+    """
+    own = {k: f for k, f in (sources or {}).items() if k not in PARSERS and k not in JSON_SOURCES}
+    names = [k for k in PARSERS if k != "links"]
+
+    def reader(engine: str, body: str | None) -> list[dict]:
+        if engine in own:
+            return [_item(*(str(r.get(k) or "") for k in ("title", "url", "content")), **{k: str(v) for k, v in (r.get("metadata") or {}).items()}) for r in own[engine](body or "")]
+        return _read(PARSERS[engine], NO_RESULTS.get(engine), body)
+
+    engine = F.col("engine")
+    pages = _finished(_parsed(responses.where(engine.isin(*names, *own)), "response_id", "body", reader, engine), F.col("_engine"), now)
+    columns = ["response_id", "engine_name", "pos", "title", "url", "content", "metadata"]
+    answers = responses.where(engine.isin(*JSON_SOURCES)).where((engine != "baidu") | ~is_blocked_page(F.col("body")))
+    v = variant(F.col("body"))
+    pick = lambda of: F.coalesce(*[F.when(engine == s, of(s)) for s in JSON_SOURCES])
+    rows = answers.select("response_id", "engine", F.posexplode(pick(lambda s: _json_rows(s, v))).alias("pos", "v"))
+    made = rows.withColumn("x", pick(lambda s: _json_item(s, F.col("v")))).where(pick(lambda s: _json_keeps(s, F.col("x"))))
+    told = made.select("response_id", engine.alias("engine_name"), "pos", "x.*")
+    return pages.withColumnRenamed("_engine", "engine_name").select(*columns).unionByName(told.select(*columns))

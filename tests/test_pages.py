@@ -80,3 +80,32 @@ def test_full_cache(spark):
     with pytest.raises(cache.CacheFull):
         cache.put(e, new, capacity=2, now=6)
     assert {r.key for r in cache.put(e, new, capacity=3, now=6).collect()} == {"b", "c", "d"}
+
+
+@pytest.mark.parametrize("source, row", [
+    ("sogou", '<div class="vrwrap"><h3 class="vr-title"><a href="https://x/1">t</a></h3></span>'),
+    ("yandex", '<div class="serp-item"><a class="link" href="https://x/1">t</a>'),
+    ("bing_videos", '<div class="dmcv"><a class="title" href="https://x/1">t</a>'),
+    ("xinhua", '<div class="result"><div class="title"><a href="https://x/1">t</a></b>'),
+])
+def test_pages_are_read_in_time_in_proportion_to_their_size(source, row):
+    """100000 rows, each within the one before: a walk through each row's descendants would take hours."""
+    import time
+
+    from skein.sources import pages
+
+    start = time.process_time()
+    found = pages.PARSERS[source](pages.parse(row * 100_000))
+    assert len(found) == (0 if source == "xinhua" else 100_000) and time.process_time() - start < 60
+
+
+def test_one_pass_over_answers_of_all_engines(spark):
+    from skein.sources.pages import responses_to_items
+
+    df = spark.createDataFrame([(i, s, PAGES[s][0]) for i, s in enumerate(PAGES)] + [(90, "nobody", "<p>"), (91, "own", "a b"), (92, "bing", None)], "response_id bigint, engine string, body string")
+    got = responses_to_items(df, sources={"own": lambda body: [{"title": w, "url": f"https://own/{w}", "metadata": {"n": 1}} for w in body.split()]})
+    rows = {}
+    for r in got.orderBy("response_id", "pos").collect():
+        rows.setdefault(r.response_id, []).append((r.title, r.url, r.content, r.metadata))
+    assert rows == {i: PAGES[s][1] for i, s in enumerate(PAGES)} | {91: [("a", "https://own/a", "", {"n": "1"}), ("b", "https://own/b", "", {"n": "1"})]}
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
