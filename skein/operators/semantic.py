@@ -6,10 +6,10 @@ a query's vector stands in each of its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import cosine, vectorize
+from skein.functions.vectors import DIMENSIONS, let, vectorize
 from skein.operators.dedup import first_by
 
 THRESHOLD, SIMILAR, MOST = 0.7, 5, 50
@@ -30,18 +30,76 @@ def clear_query(stored: DataFrame, query: str) -> DataFrame:
     return stored.where(F.col("query") != query)
 
 
-def similar(stored: DataFrame, asked: DataFrame, threshold: float = THRESHOLD, most: int = SIMILAR) -> DataFrame:
-    """asked, query and similarity of the stored queries next to each asked one (asked: a column of queries, few).
+def _ranks(vectors: DataFrame) -> list[int]:
+    """The place of each bucket in the order of how many vectors have it, rare ones first; a number for each of the DIMENSIONS buckets."""
+    has = vectors.select(F.posexplode("vector").alias("bucket", "w")).where("w != 0").groupBy("bucket").count()
+    count = {r.bucket: r["count"] for r in has.collect()}  # a row a bucket
+    order = sorted(range(DIMENSIONS), key=lambda b: (count.get(b, 0), b))
+    return [order.index(b) for b in range(DIMENSIONS)]
+
+
+def _sparse(vector: Column, ranks: list[int]) -> Column:
+    """rank, w and tail (the length of what is left from this one on) of the buckets that a vector has, by rank."""
+    table = F.array(*map(F.lit, ranks))
+    some = F.array_sort(F.filter(F.transform(vector, lambda w, i: F.struct(F.get(table, i).alias("rank"), w.alias("w"))), lambda x: x["w"] != 0))
+    tail = lambda e, i: F.sqrt(F.aggregate(F.slice(e, i + 1, F.size(e)), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return let(some, lambda e: F.transform(e, lambda x, i: F.struct(x["rank"].alias("rank"), x["w"].alias("w"), tail(e, i).alias("tail"))))
+
 
-    Vectors are compared by their buckets: a product is the sum over the buckets that both have, joined and summed.
+def _keys(e: Column, threshold: float) -> Column:
+    """The keys of which a vector shares one with each other of at least this similarity.
+
+    If two vectors share one bucket only, both have a weight of the threshold or
+    more there. Else let a and b be the first two that they share, by rank: then
+    their product is at most that of the lengths of what each has at a and from
+    b on, so that each of these lengths is the threshold or more.
     """
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.select(name, F.posexplode("vector").alias("bucket", name[0] + "w")).where(F.col(name[0] + "w") != 0)
+    least = threshold - 1e-9
+    alone = F.transform(F.filter(e, lambda x: x["w"] >= least), lambda x: F.struct(x["rank"].alias("a"), F.lit(-1).alias("b")))
+
+    def after(x: Column, i: Column) -> Column:
+        later = F.filter(F.slice(e, i + 2, F.size(e)), lambda y: F.sqrt(x["w"] * x["w"] + y["tail"] * y["tail"]) >= least)
+        return F.transform(later, lambda y: F.struct(x["rank"].alias("a"), y["rank"].alias("b")))
+
+    return F.concat(alone, F.flatten(F.transform(e, after)))
 
-    mine = parts(asked.select("asked").distinct().withColumn("vector", vectorize(F.col("asked"))), "asked")
-    theirs = parts(stored.select("query", "vector").dropDuplicates(["query"]), "query")
-    products = mine.join(theirs, "bucket").groupBy("asked", "query").agg(F.sum(F.col("aw") * F.col("qw")).alias("similarity"))
-    near = products.withColumn("similarity", F.least(F.lit(1.0), F.round("similarity", 9))).where(F.col("similarity") >= threshold)
+
+def keyed(vectors: DataFrame, name: str, ranks: list[int], threshold: float) -> DataFrame:
+    """A row for each key of each distinct vector: e, name (the least that has it), key."""
+    sparse = vectors.select(name, _sparse(F.col("vector"), ranks).alias("e")).groupBy("e").agg(F.min(name).alias(name))
+    return sparse.select(name, "e", F.explode(_keys(F.col("e"), threshold)).alias("key"))
+
+
+def similar(stored: DataFrame, asked: DataFrame, threshold: float = THRESHOLD, most: int = SIMILAR) -> DataFrame:
+    """asked, query and similarity of the stored queries next to each asked one (asked: a column of queries).
+
+    Equal vectors are compared once. Vectors meet by pairs of buckets, rare ones
+    first, that a pair of enough similarity must share (_keys); pairs below it
+    without such a key are never formed. A pair is looked at for the first key
+    that it shares only.
+    """
+    theirs = stored.select("query", "vector").dropDuplicates(["query"])
+    mine = asked.select("asked").distinct().withColumn("vector", vectorize(F.col("asked")))
+    ranks = _ranks(theirs)
+    a, b = keyed(mine, "asked", ranks, threshold), keyed(theirs, "query", ranks, threshold)
+    pairs = a.withColumnRenamed("e", "_a").join(b.withColumnRenamed("e", "_b"), "key")
+    shared = F.array_intersect(F.transform("_a", lambda x: x["rank"]), F.transform("_b", lambda x: x["rank"]))
+    first = F.struct(F.get(shared, F.lit(0)).alias("a"), F.coalesce(F.get(shared, F.lit(1)), F.lit(-1)).alias("b"))
+    weights = F.map_from_entries(F.transform("_b", lambda x: F.struct(x["rank"], x["w"])))
+    product = F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.col("_w")[x["rank"]], F.lit(0.0)))
+    near = pairs.where(F.col("key") == first).withColumn("_w", weights).select("asked", "query", F.least(F.lit(1.0), F.round(product, 9)).alias("similarity"))
+    near = near.where(F.col("similarity") >= threshold)
+
+    def members(df: DataFrame, name: str) -> DataFrame:
+        """name of the distinct vector, and of each that has it."""
+        of = df.select(name, _sparse(F.col("vector"), ranks).alias("e"))
+        return of.join(of.groupBy("e").agg(F.min(name).alias("_rep")), "e").select(F.col("_rep").alias(name), F.col(name).alias(f"_each_{name}"))
+
+    # Of queries of one vector the first ones are enough: all are equally near.
+    w = Window.partitionBy("query").orderBy("_each_query")
+    few = members(theirs, "query").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    near = near.join(few, "query").join(members(mine, "asked"), "asked")
+    near = near.select(F.col("_each_asked").alias("asked"), F.col("_each_query").alias("query"), "similarity")
     order = Window.partitionBy("asked").orderBy(F.desc("similarity"), "query")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

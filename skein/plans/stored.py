@@ -122,3 +122,21 @@ def store_left(spark, d):
 @query(f"WITH {_OPS} SELECT count(*) FILTER (op = 'get' AND hit) AS hits, count(*) FILTER (op = 'get' AND NOT hit) AS misses, count(*) FILTER (op = 'put') AS writes, count(*) FILTER (op = 'delete') AS deletes FROM c")
 def store_statistics(spark, d):
     return store.statistics(store_log(spark, d))
+
+
+_VECTORS = rf"""q AS (SELECT DISTINCT array_to_string(list_slice({toks("text")}, 2, 5), ' ') AS query FROM documents),
+t AS (SELECT query, unnest(list_filter(string_split(query, ' '), lambda w: octet_length(encode(w)) > 1)) AS term FROM q),
+b AS (SELECT query, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 100 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+v AS (SELECT query, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query)) AS w FROM b)"""
+
+
+@query(f"""WITH {_VECTORS}, p AS (SELECT x.query AS asked, y.query AS query, least(1.0::DOUBLE, round(sum(x.w * y.w), 9)) AS similarity FROM v x JOIN v y USING (bucket) GROUP BY 1, 2)
+SELECT asked, query, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, query) AS n FROM p WHERE similarity >= 0.7) WHERE n <= 5""")
+def similar_queries_join(spark, d):
+    """Four words of every document as a query, each asked against all."""
+    from skein.functions import text, vectors
+    from skein.operators import semantic
+
+    q = table(spark, d, "documents").select(F.array_join(F.slice(text.tokenize(COL("text")), 2, 4), " ").alias("query")).distinct()
+    stored = q.withColumn("vector", vectors.vectorize(COL("query")))
+    return semantic.similar(stored, q.select(COL("query").alias("asked"))).select("asked", "query", r6(COL("similarity")).alias("similarity"))
