@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import aggregate, fulltext, state, store, textindex
+from skein.operators import aggregate, answers, fulltext, state, store, textindex
 from skein.operators.scan import shared_folder
-from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, COPIES, ENTRIES, calls, clean, entries, feed_items, items, query, r6, table, toks, with_copies
+from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, COPIES, ENTRIES, ITEMS, calls, clean, entries, feed_items, items, query, r6, table, toks, with_copies
 
 
 def new_folder(spark, name: str) -> str:
@@ -140,3 +140,43 @@ def similar_queries_join(spark, d):
     q = table(spark, d, "documents").select(F.array_join(F.slice(text.tokenize(COL("text")), 2, 4), " ").alias("query")).distinct()
     stored = q.withColumn("vector", vectors.vectorize(COL("query")))
     return semantic.similar(stored, q.select(COL("query").alias("asked"))).select("asked", "query", r6(COL("similarity")).alias("similarity"))
+
+
+_ANSWERED = f"""{ITEMS}, qs AS (SELECT item_id AS query_id, array_to_string(list_slice({toks("text")}, 1, 3), ' ') AS query FROM benchmark),
+docs AS (SELECT *, doc_id % (SELECT count(*) FROM benchmark) AS query_id FROM items),
+ans AS (SELECT query_id, engine_name AS engine, (engine_ord * 7 + query_id) % 11 AS ts, engine_ord AS seq,
+  CASE (engine_ord + query_id) % 9 WHEN 0 THEN 'failure' WHEN 1 THEN 'timeout' ELSE 'success' END AS outcome, (engine_ord + query_id) % 9 = 2 AS empty FROM docs GROUP BY query_id, engine_name, engine_ord),
+used AS (SELECT query_id, engine, row_number() OVER (PARTITION BY query_id ORDER BY ts, seq, engine) - 1 AS engine_ord FROM ans WHERE outcome = 'success' AND NOT empty)"""
+
+
+def answers_of(spark, d):
+    """documents as answers of their sources to the benchmark items: some fail, some come late, some are empty."""
+    n = table(spark, d, "benchmark").count()
+    q, o = COL("query_id"), COL("engine_ord").cast("bigint")
+    docs = items(spark, d).withColumn("query_id", COL("doc_id") % n)
+    each = docs.groupBy("query_id", COL("engine_name").alias("engine"), o.alias("o")).agg(F.sort_array(F.collect_list(F.struct("pos", "title", "url", "content"))).alias("x"))
+    kind, o = (COL("o") + q) % 9, COL("o")
+    outcome = F.when(kind == 0, "failure").when(kind == 1, "timeout").otherwise("success")
+    rows = F.when(kind != 2, F.transform("x", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["content"].alias("content")))).otherwise(F.array())
+    return each.select("query_id", "engine", ((o * 7 + q) % 11).alias("ts"), o.alias("seq"), outcome.alias("outcome"), F.lit(10).cast("bigint").alias("elapsed_ms"), rows.alias("items"))
+
+
+def queries_of(spark, d):
+    from skein.functions import text
+
+    return table(spark, d, "benchmark").select(COL("item_id").alias("query_id"), F.array_join(F.slice(text.tokenize(COL("text")), 1, 3), " ").alias("query"))
+
+
+@query(f"WITH {_ANSWERED} SELECT * FROM used")
+def engines_used(spark, d):
+    return answers.engines_used(answers_of(spark, d))
+
+
+@query(f"WITH {_ANSWERED} SELECT count(DISTINCT query_id) AS total_searches, count(*) FILTER (outcome = 'failure') AS engine_failures, count(*) FILTER (outcome = 'timeout') AS timeouts FROM ans")
+def answer_counters(spark, d):
+    return answers.counters(answers_of(spark, d))
+
+
+@query(_MANY.replace(f"WITH {COPIES}, qs AS (SELECT item_id AS query_id, array_to_string(list_slice({toks('text')}, 1, 3), ' ') AS query FROM benchmark)", f"WITH {_ANSWERED}").replace("doc_id % (SELECT count(*) FROM benchmark) AS query_id, engine_ord, pos", "query_id, used.engine_ord, row_number() OVER (PARTITION BY query_id, engine_name ORDER BY pos) AS pos").replace("FROM copies)", "FROM docs JOIN used USING (query_id) WHERE engine = engine_name)") + " SELECT query_id, url, position, round(score, 6) AS score FROM scored")
+def merged_answers(spark, d):
+    return answers.merged(answers_of(spark, d), queries_of(spark, d)).select("query_id", "url", "position", r6(COL("score")).alias("score"))
