@@ -187,11 +187,14 @@ def refresh_feeds(spark, d):
     return feed_sources.refreshed(stored, meta, feeds.select("feed_url", body.alias("body")), 1000).select("feed_url", "pos", "title", "expires_at")
 
 
-@query("SELECT 'https://t.example/' || c AS feed_url, c AS category, n % 2 = 0 AS answered FROM (VALUES ('a', 0), ('b', 1)) t(c, n)")
+@query("""SELECT 't' || item_id % 3 AS name, 'https://t.example/' || item_id AS feed_url, 'c' || item_id % 4 AS category, item_id % 2 = 0 AS answered FROM benchmark WHERE item_id % 4 IN (1, 2)""")
 def template_feeds(spark, d):
-    t = spark.createDataFrame([("t", True, True, 3600, {c: f"https://t.example/{c}" for c in "abc"})], "name string, persistent boolean, auto_update boolean, interval bigint, urls map<string,string>")
-    answers = spark.createDataFrame([("https://t.example/a", "<rss>")], "feed_url string, body string")
-    return feed_sources.template_answers(t, answers, ["a", "b"]).select("feed_url", "category", COL("body").isNotNull().alias("answered"))
+    """Three templates with a feed for each benchmark item; two of four categories are asked for."""
+    b = table(spark, d, "benchmark").select((COL("item_id") % 3).alias("t"), COL("item_id").alias("i"))
+    one = F.create_map(F.concat(F.lit("c"), (COL("i") % 4).cast("string")), F.concat(F.lit("https://t.example/"), COL("i").cast("string")))
+    t = b.select(F.concat(F.lit("t"), COL("t").cast("string")).alias("name"), F.lit(True).alias("persistent"), F.lit(3600).cast("bigint").alias("update_interval"), one.alias("urls"))
+    answers = b.where("i % 2 = 0").select(F.concat(F.lit("https://t.example/"), COL("i").cast("string")).alias("feed_url"), F.lit("<rss>").alias("body"))
+    return feed_sources.template_answers(t, answers, ["c1", "c2"]).select("name", "feed_url", "category", COL("body").isNotNull().alias("answered"))
 
 
 # ---- stores ----------------------------------------------------------------

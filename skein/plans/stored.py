@@ -180,3 +180,45 @@ def answer_counters(spark, d):
 @query(_MANY.replace(f"WITH {COPIES}, qs AS (SELECT item_id AS query_id, array_to_string(list_slice({toks('text')}, 1, 3), ' ') AS query FROM benchmark)", f"WITH {_ANSWERED}").replace("doc_id % (SELECT count(*) FROM benchmark) AS query_id, engine_ord, pos", "query_id, used.engine_ord, row_number() OVER (PARTITION BY query_id, engine_name ORDER BY pos) AS pos").replace("FROM copies)", "FROM docs JOIN used USING (query_id) WHERE engine = engine_name)") + " SELECT query_id, url, position, round(score, 6) AS score FROM scored")
 def merged_answers(spark, d):
     return answers.merged(answers_of(spark, d), queries_of(spark, d)).select("query_id", "url", "position", r6(COL("score")).alias("score"))
+
+
+_FEEDS = """f AS (SELECT CAST(conv_id AS VARCHAR) AS feed_url, conv_id AS c, conv_id || '-' || turn AS guid, turn, role FROM conversations),
+one AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY turn) - 1 AS place FROM f WHERE turn < 2),
+due AS (SELECT DISTINCT feed_url FROM f WHERE c % 3 = 0 OR feed_url NOT IN (SELECT feed_url FROM one)),
+two AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY gen, place) - 1 AS spot FROM (
+  SELECT feed_url, guid, 'again ' || role AS title, 0 AS gen, row_number() OVER (PARTITION BY feed_url ORDER BY turn) AS place FROM f JOIN due USING (feed_url) WHERE turn >= 1
+  UNION ALL SELECT feed_url, guid, role, 1, place FROM one JOIN due USING (feed_url)) QUALIFY row_number() OVER (PARTITION BY feed_url, guid ORDER BY gen, place) = 1),
+answered AS (SELECT DISTINCT feed_url FROM f WHERE turn >= 1),
+last AS (SELECT feed_url, guid, title, spot AS place FROM two WHERE feed_url IN (SELECT feed_url FROM answered)
+  UNION ALL SELECT feed_url, guid, role, place FROM one WHERE feed_url NOT IN (SELECT feed_url FROM due) OR feed_url NOT IN (SELECT feed_url FROM answered))"""
+
+
+def refreshed_twice(spark, d):
+    """Conversations as feeds, turns as items: the first two at 1000; all but the first at 3000, where one of three is due."""
+    from skein.operators import feedstore
+
+    store = feedstore.temporary(spark, shared_folder(spark))
+    c = table(spark, d, "conversations")
+
+    def answers(rows, title):
+        item = F.concat(F.lit("<item><title>"), title, F.lit("</title><guid>"), COL("conv_id").cast("string"), F.lit("-"), COL("turn").cast("string"), F.lit("</guid></item>"))
+        each = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("x")))), lambda s: s["x"]), "").alias("x"))
+        interval = F.when(COL("conv_id") % 3 == 0, 100).when(COL("conv_id") % 3 == 1, 10000).cast("bigint")
+        body = F.concat(F.lit("<rss><channel><title>feed "), COL("conv_id").cast("string"), F.lit("</title>"), "x", F.lit("</channel></rss>"))
+        return each.select(COL("conv_id").cast("string").alias("feed_url"), body.alias("body"), (COL("conv_id") % 3 < 2).alias("persistent"), interval.alias("update_interval"))
+
+    store.refresh(answers(c.where("turn < 2"), COL("role")), 1000)
+    store.refresh(answers(c.where("turn >= 1"), F.concat(F.lit("again "), COL("role"))), 3000)
+    return store
+
+
+@query(f"WITH {_FEEDS} SELECT * FROM last")
+def feed_store_items(spark, d):
+    return refreshed_twice(spark, d).items().select("feed_url", "guid", "title", "place")
+
+
+@query(f"""WITH {_FEEDS}, n AS (SELECT feed_url, count(*) AS item_count FROM last GROUP BY feed_url)
+SELECT feed_url, 'feed ' || feed_url AS name, CASE WHEN feed_url IN (SELECT feed_url FROM due) AND feed_url IN (SELECT feed_url FROM answered) THEN 3000 ELSE 1000 END::BIGINT AS last_updated,
+  CAST(feed_url AS BIGINT) % 3 < 2 AS persistent, CASE CAST(feed_url AS BIGINT) % 3 WHEN 0 THEN 100 WHEN 1 THEN 10000 END::BIGINT AS update_interval, item_count FROM n""")
+def feed_store_meta(spark, d):
+    return refreshed_twice(spark, d).meta().select("feed_url", "name", "last_updated", "persistent", "update_interval", "item_count")

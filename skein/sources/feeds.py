@@ -98,20 +98,23 @@ def items(feeds: DataFrame, unknown: str = "drop") -> DataFrame:
     return rss_items(feeds).withColumn("content", F.lit(None).cast("string")).unionByName(atom_items(feeds))
 
 
+TEMPLATE = "file string, name string, description string, language string, provider string, version string, persistent boolean, auto_update boolean, update_interval bigint, urls map<string,string>"
+
+
 def templates(spark: SparkSession, folder: str) -> DataFrame:
-    """name, persistent, auto_update, interval and urls by category of ``*.rss.see`` files."""
+    """A row of TEMPLATE for each ``*.rss.see`` file; a file without name, description or feeds is an error."""
     rows = []
     for p in sorted(Path(folder).glob("*.rss.see")):
-        t = tomllib.loads(p.read_text())
-        meta = t.get("meta", t)
-        feeds = {k: str(v) for k, v in (t.get("feeds") or t.get("urls") or {}).items()}
-        rows.append((p.name.removesuffix(".rss.see"), bool(meta.get("persistent", True)), bool(meta.get("auto_update", True)), int(meta.get("interval", 3600)), feeds))
-    return spark.createDataFrame(rows, "name string, persistent boolean, auto_update boolean, interval bigint, urls map<string,string>")
+        t = tomllib.loads(p.read_text(encoding="utf-8"))
+        meta = t["meta"]
+        flags = (meta.get("persistent", True), meta.get("auto_update", True), meta.get("update_interval", 3600))
+        rows.append((p.name.removesuffix(".rss.see"), meta["name"], meta["description"], *(meta.get(k) for k in ("language", "provider", "version")), *flags, dict(t["feeds"])))
+    return spark.createDataFrame(rows, TEMPLATE)
 
 
 def template_feeds(templates_: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    out = templates_.select("name", "persistent", "interval", F.explode("urls").alias("category", "feed_url"))
-    return out.where(F.col("category").isin(categories)) if categories else out
+    out = templates_.select("name", "persistent", "update_interval", F.explode("urls").alias("category", "feed_url"))
+    return out.where(F.col("category").isin(categories)) if categories is not None else out
 
 
 def refreshed(stored: DataFrame, meta: DataFrame, answers: DataFrame, now: int) -> DataFrame:
