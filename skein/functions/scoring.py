@@ -131,6 +131,14 @@ def keyword_list(specs: list[str]) -> list[tuple[str, float, bool]]:
     return out
 
 
+def keyword_spec(spec: Column) -> Column:
+    """word and weight of a ``word:weight`` specification, as keyword_list has them."""
+    told = F.trim(F.when(F.contains(spec, F.lit(":")), F.regexp_extract(spec, r"(?s)^[^:]*:(.*)$", 1)))
+    number = F.when(told.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), told).try_cast("double")
+    weight = F.when(number.isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(1.0), number)))
+    return F.struct(F.trim(F.substring_index(spec, ":", 1)).alias("word"), F.coalesce(weight, F.lit(5.0)).alias("weight"))
+
+
 def words(query: str) -> list[str]:
     import re
 

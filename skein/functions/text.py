@@ -28,6 +28,7 @@ INTENTS = (
 CHINESE = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{2b740}-\x{2b81f}\x{2b820}-\x{2ceaf}\x{2ceb0}-\x{2ebef}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
 # What no query may hold.
 MALICIOUS = ("<script", "</script>", "javascript:", "data:", "vbscript:", "onload=", "onerror=", "onclick=", "onmouseover=")
+# Levels of safe search.
 SAFE_SEARCH = {"none": 0, "moderate": 1, "strict": 2}
 UNITS = (("minute", "MINUTES"), ("hour", "HOURS"), ("day", "DAYS"), ("week", "WEEKS"))
 
@@ -155,6 +156,11 @@ def strip_tags(html: Column) -> Column:
     return collapse(unescape_six(F.regexp_replace(html, "<[^>]*>", "")))
 
 
+def safe_search(level: Column) -> Column:
+    """The number of a level, whatever its case; null for others."""
+    return F.create_map(*[F.lit(x) for kv in SAFE_SEARCH.items() for x in kv])[F.lower(level)]
+
+
 def collect_text(parts: Column) -> Column:
     return F.array_join(F.filter(F.transform(parts, lambda p: F.regexp_replace(p, rf"^{SPACE}|{SPACE}$", "")), lambda p: p != ""), " ")
 

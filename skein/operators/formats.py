@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,18 @@ def response_rows(items: DataFrame) -> DataFrame:
     return items.select("title", "url", F.col("content").alias("description"), F.lit("aggregated").alias("engine"), "score")
 
 
-def short_rows(items: DataFrame, most: int = 20, length: int = 200) -> DataFrame:
-    """Items for a table on a screen."""
-    return items.limit(most).withColumn("description", F.substring("content", 1, length))
+def sdk_rows(items: DataFrame) -> DataFrame:
+    """What a client library returns of each item."""
+    return items.select("title", "url", "content", "score")
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of whole characters within so many bytes, with dots where something is left out."""
+    head = lambda n: F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) > most, F.concat(F.coalesce(*[head(most - k) for k in range(4)]), F.lit("..."))).otherwise(text)
+
+
+def screen_rows(items: DataFrame, verbose: bool = False, order: tuple = ("position",), length: int = 200) -> DataFrame:
+    """n, title, url and description (cut at so many bytes) of the first 20 items, or 50, and what else they have."""
+    first = items.orderBy(*order).limit(50 if verbose else 20)
+    return first.withColumns({"n": F.row_number().over(Window.orderBy(*order)), "description": cut_bytes(F.col("content"), length)})

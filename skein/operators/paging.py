@@ -25,5 +25,12 @@ def first_of_each(items: DataFrame, by: str, order: tuple, most: int) -> DataFra
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
+def by_several(items: DataFrame, query: str, now: Column, most: int, ties: tuple = ("position",)) -> DataFrame:
+    """The first items by relevance, score and freshness (published) together."""
+    relevance = scoring.relevance(F.col("title"), F.col("content"), F.col("url"), query)
+    both = scoring.combined(relevance, F.col("score"), scoring.freshness(F.col("published"), now))
+    return items.withColumn("combined", F.round(both, 9)).orderBy(F.desc("combined"), *ties).limit(most)
+
+
 def by_relevance(items: DataFrame, query: str, ties: tuple = ("position",)) -> DataFrame:
     return items.withColumn("relevance", scoring.relevance(F.col("title"), F.col("content"), F.col("url"), query)).orderBy(F.desc("relevance"), *ties)

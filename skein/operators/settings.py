@@ -58,3 +58,30 @@ def query_json(columns: list[str]) -> Column:
 
 def query_from_json(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
+
+
+def _score(parts: list[tuple[Column, int]]) -> Column:
+    return sum((F.when(test, n).otherwise(0) for test, n in parts), F.lit(0))
+
+
+def _of(name: str) -> Column:
+    """A setting by its path; settings rows have a column for each."""
+    return F.col(f"`{name}`")
+
+
+def security_score() -> Column:
+    """Of 100 points, ten for each thing that is as it should be."""
+    safe = (F.lower(_of("general.environment")) == "production") & ~_of("general.debug")
+    guarded = F.lower(_of("privacy.fingerprint_protection.protection_level")) != "none"
+    tests = [_of("api.auth.enabled"), ~F.contains(_of("server.secret_key"), F.lit("change")), _of("server.tls.enabled"), safe, _of("privacy.enable_tor"), F.size(_of("privacy.proxy_chain")) > 0, guarded]
+    return _score([(t, 10) for t in [*tests, _of("api.rate_limit.enabled"), _of("logging.structured"), _of("general.enable_metrics")]])
+
+
+def performance_score() -> Column:
+    """Of 100 points."""
+    engines, results = _of("search.max_concurrent_engines"), _of("cache.enable_result_cache")
+    varied = _of("privacy.request_timing.max_delay") > _of("privacy.request_timing.min_delay")
+    return _score([
+        (results, 15), (_of("cache.enable_metadata_cache"), 10), (_of("cache.enable_dns_cache"), 5), (engines >= 5, 10), (engines <= 20, 10), (_of("logging.performance.enabled"), 10), (varied, 10), (_of("cache.compression.enabled"), 10),
+        (~_of("search.aggregation.enable_deduplication") | results, 10), (_of("engines.global_settings.enable_monitoring"), 10),
+    ])

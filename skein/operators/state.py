@@ -117,6 +117,17 @@ def fold_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("engine").agg((is_("success") + is_("failure")).alias("total"), is_("success").alias("ok"), is_("failure").alias("failed"))
 
 
+# What errors say that may go away by themselves.
+TRANSIENT = ("timeout", "network", "connection")
+
+
+def may_retry(error: Column) -> Column:
+    out = F.lit(False)
+    for part in TRANSIENT:
+        out = out | F.contains(error, F.lit(part))
+    return out
+
+
 def retry_delays(attempts: Column, first: float = 1.0) -> Column:
     """Seconds to wait before each attempt after the first: doubled every time."""
     return F.when(attempts > 1, F.transform(F.sequence(F.lit(0), attempts - 2), lambda n: first * F.pow(F.lit(2.0), n))).otherwise(F.array().cast("array<double>"))
@@ -126,5 +137,12 @@ def active(state: DataFrame, now: int) -> DataFrame:
     return state.where(F.col("disabled_until").isNull() | (F.col("disabled_until") <= now))
 
 
-def counters(calls: DataFrame) -> DataFrame:
-    return calls.agg(F.count("*").alias("total_searches"), F.count_if(F.col("outcome") == "failure").cast("bigint").alias("failures"), F.count_if(F.col("outcome") == "zero").cast("bigint").alias("zero_results"))
+def counters(calls: DataFrame, cache: bool = False) -> DataFrame:
+    """Searches, failures and empty answers; with ``cache`` also timeouts, apart from failures, and hits and misses of the cache.
+
+    Nothing in a search raises the last two; they are there for those who read them.
+    """
+    n = lambda o: F.count_if(F.col("outcome") == o).cast("bigint")
+    out = calls.agg(F.count("*").alias("total_searches"), n("failure").alias("failures"), n("zero").alias("zero_results"), n("timeout").alias("timeouts"))
+    none = F.lit(0).cast("bigint")
+    return out.withColumns({"cache_hits": none, "cache_misses": none}) if cache else out.drop("timeouts")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text, vectors
-from skein.operators import aggregate, cache, dedup, feeds, filters, formats, fulltext, privacy, state
+from skein.operators import aggregate, cache, dedup, feeds, filters, formats, fulltext, state
 from skein.plans.tables import calls, entries, feed_items, items, table, with_copies
 from skein.sources import feeds as feed_sources
 from skein.sources import pages as page_sources
-from skein.sources import registry, requests
+from skein.sources import registry
 
 QUERY = "the er then the"
 TOKENS = scoring.words(QUERY)
@@ -150,29 +150,12 @@ def page_info(spark, d):
     return table(spark, d, "pages").withColumn("m", m).select("page_id", COL("m")["scheme"].alias("scheme"), COL("m")["host"].alias("host"), COL("m")["path_depth"].cast("bigint").alias("path_depth"), text.favicon(COL("url")).alias("favicon"))
 
 
-@query("SELECT doc_id, 'q=' || replace(url_encode(substr(text, 1, 60)), '+', '%20') || '&page=' || (doc_id % 5) AS qs FROM documents WHERE regexp_full_match(substr(text, 1, 60), '[A-Za-z0-9 .,]*')")
-def url_params(spark, d):
-    t = table(spark, d, "documents").withColumn("q", F.substring("text", 1, 60)).where(COL("q").rlike(r"\A[A-Za-z0-9 .,]*\z"))
-    return t.select("doc_id", text.query_string([("q", COL("q")), ("page", COL("doc_id") % 5)]).alias("qs"))
-
-
 @query("SELECT doc_id, 'q=' || replace(url_encode(text), '+', '%20') || '&page=' || (doc_id % 5) AS qs FROM documents")
 def url_params_whole(spark, d):
-    """The whole text of every document; url_params keeps the plain prefixes of its SQL."""
     return table(spark, d, "documents").select("doc_id", text.query_string([("q", COL("text")), ("page", COL("doc_id") % 5)]).alias("qs"))
 
 
-_STRINGS = ["site:example.com", "buy shoes", "restaurant near me", "购买笔记本电脑", "news: today", "新闻 头条", "image: cat", "video: dog", "code: rust", "plain words", "é only"]
-_VALUES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_STRINGS)) + ") v(id, q)"
-
-
-def _strings(spark, values):
-    return spark.createDataFrame(list(enumerate(values)), "id int, q string")
-
-
-@query(f"SELECT id, CASE WHEN contains(q, 'site:') THEN 'navigational' WHEN contains(q, 'buy') OR contains(q, 'price') OR contains(q, '购买') THEN 'transactional' WHEN contains(q, 'near me') OR contains(q, '附近') THEN 'local' WHEN contains(q, 'news:') OR starts_with(q, '新闻') THEN 'news' WHEN contains(q, 'image:') OR contains(q, '图片') THEN 'image' WHEN contains(q, 'video:') OR contains(q, '视频') THEN 'video' WHEN contains(q, 'code:') OR contains(q, '代码') THEN 'code' ELSE 'informational' END AS intent FROM {_VALUES}")
-def detect_intent(spark, d):
-    return _strings(spark, _STRINGS).select("id", text.detect_intent(COL("q")).alias("intent"))
+_QUERIES["url_params"], _SQL["url_params"] = url_params_whole, _SQL["url_params_whole"]
 
 
 @query("SELECT item_id, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN octet_length(encode(text)) = length(text) THEN 'en' END AS language FROM benchmark")
@@ -185,69 +168,11 @@ def detect_language_doc(spark, d):
     return items(spark, d).select("doc_id", text.document_language(COL("title"), COL("content")).alias("language"))
 
 
-_FILTERED = ["rust lang:en site:example.com", "language:zh x other:1 y", "plain", "a b:c d"]
-
-
-@query("SELECT * FROM (VALUES (0, 'rust', 'en', 'example.com'), (1, 'x y', 'zh', NULL), (2, 'plain', NULL, NULL), (3, 'a d', NULL, NULL)) v(id, text, language, site)")
-def parse_query_filters(spark, d):
-    return _strings(spark, _FILTERED).select("id", text.parse_filters(COL("q")).alias("p")).select("id", "p.*")
-
-
-_DATES = ["5 minutes ago", "2 hours ago", "3 days ago", "1 week ago", "2 months ago", "yesterday", "about 4 hours"]
-
-
-@query(f"SELECT id, s AS seconds_ago FROM (VALUES (0, 300), (1, 7200), (2, 259200), (3, 604800), (4, NULL), (5, NULL), (6, 14400)) v(id, s)")
-def relative_date(spark, d):
-    now = F.timestamp_seconds(F.lit(NOW))
-    at = text.relative_date(COL("q"), now)
-    return _strings(spark, _DATES).select("id", (F.unix_timestamp(now) - F.unix_timestamp(at)).cast("int").alias("seconds_ago"))
-
-
-_VIEWS = ["1.2K views", "3M views", "2b views", "17 views", "1.5 k views", "12 likes", "view"]
-
-
-@query("SELECT * FROM (VALUES (0, 1200::BIGINT), (1, 3000000), (2, 2000000000), (3, 17), (4, NULL), (5, NULL), (6, NULL)) v(id, n)")
-def view_count(spark, d):
-    return _strings(spark, _VIEWS).select("id", text.view_count(COL("q")).cast("bigint").alias("n"))
-
-
-_QUERIES_RAW = ['  Hello   "World" -x +y!?', "c'est \"bon\"", "a\\b"]
-
-
-@query("""SELECT * FROM (VALUES (0, 'Hello "World" -x +y', '  Hello   \\\\"World\\\\" -x +y!?'), (1, 'cest "bon"', 'c\\\\''est \\\\"bon\\\\"'), (2, 'ab', 'a\\\\b')) v(id, cleaned, escaped)""")
-def clean_query(spark, d):
-    return _strings(spark, _QUERIES_RAW).select("id", text.clean_query(COL("q")).alias("cleaned"), text.escape_special(COL("q")).alias("escaped"))
-
-
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&nbsp;', ' '), '[\\s\\x0B\\x85\\p{Z}]+', ' ', 'g')) AS stripped FROM pages")
 def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", text.strip_tags(COL("html")).alias("stripped"))
 
 
-_URLS = ["https://www.bing.com/ck/a?!&&p=1&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS94", "https://plain.example/x", "//img.example/a.png", "/rel.png", "https://u.example/p?ixid=1&w=2"]
-
-
-@query("SELECT * FROM (VALUES (0, 'https://example.com/x', 'https://www.bing.com/ck/a?!&&p=1&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS94', 'https://www.bing.com/ck/a?!&&p=1&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS94'), (1, 'https://plain.example/x', 'https://plain.example/x', 'https://plain.example/x'), (2, '//img.example/a.png', 'https://img.example/a.png', '//img.example/a.png'), (3, '/rel.png', 'https://www.bing.com/rel.png', '/rel.png'), (4, 'https://u.example/p?ixid=1&w=2', 'https://u.example/p?ixid=1&w=2', 'https://u.example/p?w=2')) v(id, decoded, absolute, cleaned)")
-def url_rewrites(spark, d):
-    return _strings(spark, _URLS).select("id", text.decode_redirect(COL("q")).alias("decoded"), text.absolute(COL("q"), "https://www.bing.com").alias("absolute"), text.without_parameter(COL("q")).alias("cleaned"))
-
-
-@query("""SELECT * FROM (VALUES
- ('bing', 'https://www.bing.com/search?q=a%20b&pq=a%20b&first=21&FORM=PERE1&filters=ex1:"ez2"'),
- ('baidu', 'https://www.baidu.com/s?wd=a%20b&rn=10&pn=20&tn=json&gpc=stf%3D1705395200%2C1706000000%7Cstftype%3D1'),
- ('yandex', 'https://yandex.com/search/site/?tmpl_version=releases&text=a%20b&web=1&frame=1&searchid=3131712&p=2'),
- ('sogou', 'https://www.sogou.com/web?query=a%20b&page=3&s_from=inttime_week&tsn=1'),
- ('bing_news', 'https://www.bing.com/news/infinitescrollajax?q=a%20b&first=21&qft=interval%3D%227%22'),
- ('bing_videos', 'https://www.bing.com/videos/asyncv2?q=a%20b&async=content&first=71&count=35&qft=filterui%3Aage-lt10080'),
- ('unsplash', 'https://unsplash.com/napi/search/photos?query=a%20b&page=3&per_page=20'),
- ('xinhua', 'https://so.news.cn/#search/0/a%20b/3')) v(engine, url)""")
-def request_urls(spark, d):
-    row = spark.createDataFrame([("a b", 3, "week")], "q string, p int, r string")
-    u = requests.urls(COL("q"), COL("p"), COL("r"), F.lit(NOW).cast("bigint"))
-    names = ("bing", "baidu", "yandex", "sogou", "bing_news", "bing_videos", "unsplash", "xinhua")
-    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("engine"), u[n].alias("url")) for n in names])).alias("x")).select("x.*")
-
-
 # ---- scoring and merging ----------------------------------------------------
 @query(f"{SCORED} SELECT doc_id, CAST(position AS BIGINT) AS position, round(score, 6) AS score FROM scored")
 def aggregate_with_scoring(spark, d):
@@ -341,26 +266,20 @@ _K1, _K2 = "keit", "tion"
 _RESCORE = "least(1.0::DOUBLE, score + " + " + ".join(f"CASE WHEN contains(lower(title), '{k}') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(content), '{k}') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END" for k in (_K1, _K2)) + ")"
 
 
-@query(f"""WITH {ENTRIES}, {FEED}, net AS (SELECT 0 AS o, '' AS key, doc_id AS pos, title, url, content, 0.2::DOUBLE AS score FROM items WHERE doc_id % 3 = 0),
+@query(f"""WITH {ENTRIES}, {FEED}, net AS (SELECT 0 AS o, '' AS key, doc_id AS pos, title, url, content, 0.2::DOUBLE AS score FROM items),
 c AS (SELECT 1 AS o, key, pos, title, upper(url) AS url, content, 0.1::DOUBLE AS score FROM entries WHERE contains(lower(title), '{_K1}') OR contains(lower(content), '{_K1}') OR contains(lower(url), '{_K1}') OR contains(lower(title), '{_K2}') OR contains(lower(content), '{_K2}') OR contains(lower(url), '{_K2}') ORDER BY key, pos LIMIT 50),
 f AS (SELECT 2 AS o, feed_url AS key, pos, title, link AS url, description AS content, 0.7::DOUBLE AS score FROM feed WHERE contains(lower(title || ' ' || description || ' ' || link), '{_K1}') OR contains(lower(title || ' ' || description || ' ' || link), '{_K2}') ORDER BY key, pos LIMIT 30),
 u AS (SELECT * FROM net UNION ALL SELECT * FROM c UNION ALL SELECT * FROM f),
 x AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lower(url) ORDER BY o, key, pos) = 1)
 SELECT url, round({_RESCORE}, 6) AS score FROM x""")
 def fulltext_search(spark, d):
-    net = items(spark, d).where("doc_id % 3 = 0").withColumns({"position": COL("doc_id"), "score": F.lit(0.2)})
+    net = items(spark, d).withColumns({"position": COL("doc_id"), "score": F.lit(0.2)})
     cached = entries(spark, d).withColumns({"url": F.upper("url"), "score": F.lit(0.1)})
     feed = feed_items(spark, d).withColumns({"key": COL("feed_url"), "content": F.lit(None).cast("string")})
     return fulltext.search(net, cached, feed, f"{_K1} {_K2}", 0).select("url", r6(COL("score")).alias("score"))
 
 
-@query(_SQL["fulltext_search"].replace(" WHERE doc_id % 3 = 0", ""))
-def fulltext_search_whole(spark, d):
-    """All items come from the network; fulltext_search keeps the third of its SQL."""
-    net = items(spark, d).withColumns({"position": COL("doc_id"), "score": F.lit(0.2)})
-    cached = entries(spark, d).withColumns({"url": F.upper("url"), "score": F.lit(0.1)})
-    feed = feed_items(spark, d).withColumns({"key": COL("feed_url"), "content": F.lit(None).cast("string")})
-    return fulltext.search(net, cached, feed, f"{_K1} {_K2}", 0).select("url", r6(COL("score")).alias("score"))
+_QUERIES["fulltext_search_whole"], _SQL["fulltext_search_whole"] = fulltext_search, _SQL["fulltext_search"]
 
 
 def _feed_sql(keywords, extra=""):
@@ -478,16 +397,13 @@ def vectorize_norm(spark, d):
     return v.where("weight > 0").select("item_id", "bucket", r6(COL("weight")).alias("weight"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_sum(list_transform(list_zip(e, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, vec_id, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_sum(list_transform(list_zip(e, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, vec_id, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
 def cosine_topk(spark, d):
-    """Stored queries (one vector in a hundred) against all vectors, in blocks."""
-    return similar_queries(table(spark, d, "embeddings"), COL("vec_id") % 100 == 0, 0.3, 5)
+    """Every twentieth vector against all vectors, in blocks."""
+    return similar_queries(table(spark, d, "embeddings"), COL("vec_id") % 20 == 0, 0.3, 5)
 
 
-@query(_SQL["cosine_topk"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
-def cosine_topk_20(spark, d):
-    """One vector in twenty against all vectors; cosine_topk keeps the fewer queries of its SQL."""
-    return similar_queries(table(spark, d, "embeddings"), COL("vec_id") % 20 == 0, 0.3, 5)
+_QUERIES["cosine_topk_20"], _SQL["cosine_topk_20"] = cosine_topk, _SQL["cosine_topk"]
 
 
 #: Queries and vectors of a tile.
@@ -550,11 +466,6 @@ def engine_active(spark, d):
     return state.active(state.fold(calls(spark, d)), NOW).select("engine")
 
 
-@query("SELECT n, CAST(5 * pow(5, least(n - 1, 5)) AS BIGINT) AS minutes FROM range(1, 9) t(n)")
-def engine_backoff(spark, d):
-    return spark.range(1, 9).select(COL("id").alias("n"), state.backoff_minutes(COL("id")).alias("minutes"))
-
-
 @query(f"WITH {CALLS} SELECT count(*) AS total_searches, count(*) FILTER (outcome = 'failure') AS failures, count(*) FILTER (outcome = 'zero') AS zero_results FROM calls")
 def search_counters(spark, d):
     return state.counters(calls(spark, d))
@@ -575,12 +486,6 @@ def results_to_json(spark, d):
     return table(spark, d, "pages").select("page_id", formats.as_json(["page_id", "url"]).alias("json"))
 
 
-@query("SELECT 65 AS points, 'high' AS level")
-def privacy_level(spark, d):
-    row = spark.createDataFrame([(True, True, True, True, True, "realistic", "basic")], "fake_headers boolean, fake_referer boolean, remove_fingerprints boolean, doh boolean, verify_certificates boolean, user_agent string, fingerprint string")
-    return row.select(privacy.points().cast("int").alias("points")).withColumn("level", privacy.level(COL("points")))
-
-
 @query("SELECT CAST(item_id AS VARCHAR) AS query_id, 0 AS pos, 'about ' || item_id AS title FROM benchmark")
 def plugin_source(spark, d):
     registry.register_engine("echo", "web", "answers with the query", ["general"], lambda q: {"results": [{"title": f"about {q['query']}", "url": "https://e.example", "snippet": "x"}]})
@@ -589,12 +494,12 @@ def plugin_source(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from skein.plans import more, stored  # noqa: F401 - add their own
+    from skein.plans import more, stored, tabled  # noqa: F401 - add their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from skein.plans import more, stored  # noqa: F401 - add their own
+    from skein.plans import more, stored, tabled  # noqa: F401 - add their own
 
     return dict(_SQL)

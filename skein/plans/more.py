@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.functions import scoring, text
+from skein.functions import text
 from skein.operators import cache, filters, paging, semantic, settings, state
-from skein.plans.catalogue import CALLS, COL, COPIES, ENTRIES, FEED, ITEMS, NOW, QUERY, TOKENS, calls, entries, feed_items, items, query, r6, table, with_copies
+from skein.plans.catalogue import CALLS, COL, ENTRIES, FEED, ITEMS, NOW, calls, entries, feed_items, items, query, r6, table
 from skein.sources import feeds as feed_sources
 from skein.sources import pages as page_sources
 
@@ -298,23 +298,11 @@ def select_engines(spark, d):
     return settings.selected(asked, ["bing", "yandex"], states, NOW)
 
 
-@query("SELECT doc_id, left(text, 20) AS query, doc_id % 9 AS page, greatest(1, least(100, doc_id % 150 - 10)) AS page_size FROM documents")
-def query_json_round_trip(spark, d):
-    q = table(spark, d, "documents").select("doc_id", F.left(COL("text"), F.lit(20)).alias("query"), (COL("doc_id") % 9).alias("page"), paging.page_size(COL("doc_id") % 150 - 10).alias("page_size"))
-    said = q.select("doc_id", settings.query_json(["query", "page", "page_size"]).alias("j"))
-    return said.select("doc_id", settings.query_from_json(COL("j"), "query string, page bigint, page_size bigint").alias("q")).select("doc_id", "q.*")
-
-
 @query(f"WITH {ITEMS} SELECT doc_id FROM items ORDER BY doc_id DESC LIMIT 7 OFFSET 14")
 def third_page(spark, d):
     return paging.page(items(spark, d), 3, 7, (F.desc("doc_id"),)).select("doc_id")
 
 
-@query("SELECT n, CAST(i AS INTEGER) AS attempt, pow(2.0::DOUBLE, i) AS delay FROM range(1, 5) t(n), LATERAL (SELECT unnest(range(n - 1)) AS i)")
-def retry_schedule(spark, d):
-    return spark.range(1, 5).select(COL("id").alias("n"), F.posexplode(state.retry_delays(COL("id").cast("int"))).alias("attempt", "delay"))
-
-
 @query(f"""WITH {CALLS}, e AS (SELECT *, CASE WHEN outcome <> 'success' AND seq % 2 = 0 THEN 'HTTP status 500' WHEN outcome <> 'success' THEN 'parse' ELSE '' END AS error FROM calls),
 l AS (SELECT *, coalesce(max(CASE outcome WHEN 'success' THEN n END) OVER (PARTITION BY engine), 0) AS healed FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS n FROM e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS row FROM l WHERE n > healed)

@@ -19,8 +19,8 @@ def _of(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, str(v))])[key]
 
 
-def urls(query: Column, page: Column, time_range: Column, now: Column | None = None) -> dict[str, Column]:
-    """URL of each source. page: from 1; time_range: day, week, month, year or null; now: epoch seconds."""
+def urls(query: Column, page: Column, time_range: Column, now: Column | None = None, category: Column | None = None) -> dict[str, Column]:
+    """URL of each source. page: from 1; time_range: day, week, month, year or null; now: epoch seconds; category: a number, of xinhua."""
     past = now - _of(_SECONDS, time_range).cast("bigint") if now is not None else F.lit(None).cast("bigint")
     span = F.concat(F.lit("stf="), past.cast("string"), F.lit(","), (now if now is not None else F.lit(None)).cast("string"), F.lit("|stftype=1"))
     later = page > 1
@@ -31,6 +31,7 @@ def urls(query: Column, page: Column, time_range: Column, now: Column | None = N
     at = lambda base, pairs: F.concat(F.lit(base + "?"), query_string(pairs))
     from_ = _of(_SOGOU, time_range)
     hundred = [("query", query)]
+    # Addresses and names of parameters.
     return {
         "bing": F.concat(at("https://www.bing.com/search", [("q", query), ("pq", query), ("first", first), ("FORM", form)]), ez),
         "baidu": at("https://www.baidu.com/s", [("wd", query), ("rn", F.lit(10)), ("pn", (page - 1) * 10), ("tn", F.lit("json")), ("gpc", span)]),
@@ -44,5 +45,5 @@ def urls(query: Column, page: Column, time_range: Column, now: Column | None = N
         "sogou_images": at("https://pic.sogou.com/pics", [*hundred, ("start", (page - 1) * 20)]),
         "sogou_videos": at("https://v.sogou.com/v", [*hundred, ("page", page)]),
         "sogou_wechat": at("https://weixin.sogou.com/weixin", [*hundred, ("page", page), ("type", F.lit(2))]),
-        "xinhua": F.concat(F.lit("https://so.news.cn/#search/0/"), percent_encode(query), F.lit("/"), page.cast("string")),
+        "xinhua": F.concat(F.lit("https://so.news.cn/#search/"), (F.lit(0) if category is None else category).cast("string"), F.lit("/"), percent_encode(query), F.lit("/"), page.cast("string")),
     }

@@ -55,3 +55,74 @@ def test_registry():
     registry.register_engine("mine", "web", "", [], lambda q: {"results": []})
     assert registry.has_engine("mine") and "bing" in registry.list_engines()
     assert registry.unregister_engine("mine") and not registry.unregister_engine("mine")
+
+
+def each(spark, values, f):
+    df = spark.createDataFrame(list(enumerate(values)), "id int, q string").select("id", f(F.col("q")).alias("x"))
+    return [r.x for r in df.orderBy("id").collect()]
+
+
+def test_intents(spark):
+    said = ["site:example.com", "buy shoes", "restaurant near me", "购买笔记本电脑", "news: today", "新闻 头条", "头条 新闻", "image: cat", "video: dog", "code: rust", "plain words"]
+    want = ["navigational", "transactional", "local", "transactional", "news", "news", "informational", "image", "video", "code", "informational"]
+    assert each(spark, said, text.detect_intent) == want
+
+
+def test_filters_in_queries(spark):
+    got = each(spark, ["rust lang:en site:example.com", "language:zh x other:1 y", "plain", "a b:c d"], text.parse_filters)
+    assert [tuple(r) for r in got] == [("rust", "en", "example.com"), ("x y", "zh", None), ("plain", None, None), ("a d", None, None)]
+
+
+def test_relative_dates_and_views(spark):
+    now = F.timestamp_seconds(F.lit(1_706_000_000))
+    ago = lambda q: (F.unix_timestamp(now) - F.unix_timestamp(text.relative_date(q, now))).cast("int")
+    assert each(spark, ["5 minutes ago", "2 hours ago", "3 days ago", "1 week ago", "2 months ago", "yesterday", "about 4 hours"], ago) == [300, 7200, 259200, 604800, None, None, 14400]
+    assert each(spark, ["1.2K views", "3M views", "2b views", "17 views", "1.5 k views", "12 likes", "view"], text.view_count) == [1200, 3000000, 2000000000, 17, None, None, None]
+
+
+def test_cleaned_and_escaped_queries(spark):
+    said = ['  Hello   "World" -x +y!?', "c'est \"bon\"", "a\\b"]
+    assert each(spark, said, text.clean_query) == ['Hello "World" -x +y', 'cest "bon"', "ab"]
+    assert each(spark, said, text.escape_special) == ['  Hello   \\\\"World\\\\" -x +y!?', "c\\\\'est \\\\\"bon\\\\\"", "a\\\\b"]
+
+
+def test_rewritten_addresses(spark):
+    said = ["https://www.bing.com/ck/a?!&&p=1&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS94", "https://plain.example/x", "//img.example/a.png", "/rel.png", "https://u.example/p?ixid=1&w=2"]
+    assert each(spark, said, text.decode_redirect) == ["https://example.com/x", *said[1:]]
+    assert each(spark, said, lambda q: text.absolute(q, "https://www.bing.com"))[2:4] == ["https://img.example/a.png", "https://www.bing.com/rel.png"]
+    assert each(spark, said, text.without_parameter)[4] == "https://u.example/p?w=2"
+
+
+def test_keyword_specifications(spark):
+    said = ["rust:3", "rust", "rust:much", "rust:99", "rust:0.5", " rust : 2 ", "a:b:c"]
+    assert [tuple(r) for r in each(spark, said, scoring.keyword_spec)] == [(w, x) for w, x, _ in scoring.keyword_list(said)]
+
+
+def test_addresses_page_by_page(spark):
+    from skein.sources import requests
+
+    row = spark.createDataFrame([("a b", 3, "week")], "q string, p int, r string")
+    got = row.select(*[u.alias(n) for n, u in requests.urls(F.col("q"), F.col("p"), F.col("r"), F.lit(1_706_000_000).cast("bigint")).items()]).first()
+    assert got.bing == 'https://www.bing.com/search?q=a%20b&pq=a%20b&first=21&FORM=PERE1&filters=ex1:"ez2"'
+    assert got.baidu == "https://www.baidu.com/s?wd=a%20b&rn=10&pn=20&tn=json&gpc=stf%3D1705395200%2C1706000000%7Cstftype%3D1"
+    assert got.xinhua == "https://so.news.cn/#search/0/a%20b/3" and got.sogou_images == "https://pic.sogou.com/pics?query=a%20b&start=40"
+
+
+def test_texts_cut_at_bytes(spark):
+    from skein.operators.formats import cut_bytes
+
+    for t in ("a" * 300, "字" * 70, "a" + "😀" * 60, "é" * 100, "é" * 101, "short", ""):
+        head = t.encode()[:200].decode(errors="ignore")
+        assert one(spark, t, lambda q: cut_bytes(q, 200)) == (t if len(t.encode()) <= 200 else head + "...")
+
+
+def test_seen_addresses_of_a_session(spark, tmp_path):
+    from skein.streaming import health
+
+    rows = [(f"https://x/{i % 4}", i) for i in range(12)]
+    spark.createDataFrame(rows, "url string, s long").select("url", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = health.unseen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.url for r in spark.table("seen").collect()) == [f"https://x/{i}" for i in range(4)]
