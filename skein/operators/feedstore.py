@@ -14,8 +14,6 @@ feed has expired. The merged feed expires TTL seconds after the refresh.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +104,3 @@ class FeedStore:
         asked = checkpointed(feeds.template_feeds(templates, categories).select("feed_url", F.lit(True).alias("persistent"), "update_interval").join(answers, "feed_url", "left"))
         self.refresh(asked, now)
         return asked.count()
-
-
-def temporary(spark: SparkSession, folder: str) -> FeedStore:
-    return FeedStore(spark, f"{folder}/feeds-{uuid.uuid4().hex}")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from skein.operators import aggregate, answers, fulltext, state, store, textindex
-from skein.operators.scan import shared_folder
+from skein.operators.scan import work_folder
 from skein.plans.catalogue import _FOLD, _K1, _K2, _SQL, COL, COPIES, ENTRIES, ITEMS, calls, clean, entries, feed_items, items, query, r6, table, toks, with_copies
 
 
 def new_folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark, name)}/{name}"
 
 
 @query(_SQL["fulltext_search_whole"])
@@ -197,7 +195,7 @@ def refreshed_twice(spark, d):
     """Conversations as feeds, turns as items: the first two at 1000; all but the first at 3000, where one of three is due."""
     from skein.operators import feedstore
 
-    store = feedstore.temporary(spark, shared_folder(spark))
+    store = feedstore.FeedStore(spark, work_folder(spark, "feeds"))
     c = table(spark, d, "conversations")
 
     def answers(rows, title):
