@@ -12,38 +12,40 @@ source of its own; pack returns the pieces with a null doc_id as such.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import jaccard, langid, linededup, mixing, packing
-from skein.llm.common import shared_folder, table
+from skein.llm.common import table
 from skein.llm.queries import WEIGHTS, tokenizer_path
+from skein.operators.scan import work_folder
 
 #: Documents below this score are taken to be of no known language.
 LEAST_SCORE = 0.35
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The columns that an operator reads, and the whole row, so that no name clashes."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """The columns that an operator reads, and the others in one, so that no name clashes and no text is sent twice."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    known = {"doc_id": F.col("doc_id"), "text": F.col("text")} | made
+    return packed.select(*[known.get(c, F.col("_row")[c]).alias(c) for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or of no clear language go."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
     found = langid.predict(_packed(docs), model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    return _unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in an earlier one; what has no words left goes."""
-    rest = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
-    found = linededup.dedup_lines(rest)
+    found = linededup.dedup_lines(_packed(docs))
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return found.where((F.col("n_removed") == 0) | words).select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return _unpacked(found.where((F.col("n_removed") == 0) | words), docs.columns, n_chars=F.length("text").cast("bigint"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

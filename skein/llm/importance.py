@@ -22,7 +22,6 @@ every gain that of an unseen bucket; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, shared_folder, string_slices
+from skein.llm.common import begin, string_slices
 from skein.llm.hashing import LOWER
-from skein.operators.scan import numbered
+from skein.operators.scan import numbered, work_folder
 
 BUCKETS = 10_000
 LEAST_WORDS = 20
@@ -192,7 +191,7 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = PERCENT, le
     Of the documents with least_words or more, percent of a hundred are drawn,
     by score, ties to the smaller doc_id.
     """
-    folder = f"{shared_folder(documents.sparkSession)}/importance-{uuid.uuid4().hex}"
+    folder = work_folder(documents.sparkSession, "importance")
     write_matrix(documents, f"{folder}/documents", buckets=buckets)
     write_matrix(target.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), f"{folder}/target", buckets=buckets)
     matrix = read_matrix(documents, f"{folder}/documents")

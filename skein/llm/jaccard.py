@@ -360,5 +360,5 @@ def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
 
     Rows without doc_id stay. Of rows that repeat a doc_id all stay or go.
     """
-    stay = components(documents, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(stay, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = components(documents, k, percent).where("doc_id != component_id").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti")

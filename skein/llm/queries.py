@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import capfilters, importance, jaccard, langid, linededup, mixing, packing, pii, prefixtrie, secrets, simple8b, transducer, vafile
-from skein.llm.common import shared_folder, table
+from skein.llm.common import table
+from skein.operators.scan import work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 PII_KEY = "skein-demonstration-key"
@@ -31,7 +31,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark, 'tokens')}/files"
     simple8b.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), folder, end_id=2)
     return simple8b.read_tokens(spark, folder, with_ids=False).drop("ids")
 

@@ -31,7 +31,6 @@ are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, cut, shared_folder
+from skein.llm.common import begin, cut
+from skein.operators.scan import work_folder
 
 CELLS = 256
 #: Vectors of a tile of the file, queries of a tile, and vectors that are bounded at a time.
@@ -127,7 +127,7 @@ def scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best."""
     spark = vectors.sparkSession
-    folder = f"{shared_folder(spark)}/vafile-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "vafile")
     sound = F.forall(F.col(vector), lambda c: F.coalesce((F.abs(c.cast("double")) < float("inf")) & ~F.isnan(c), F.lit(False)))
     good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).where(F.size(vector) > 0)
     good = good.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda c: c.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asked"))
