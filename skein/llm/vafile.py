@@ -43,9 +43,12 @@ from skein.llm.common import begin, cut
 from skein.operators.scan import work_folder
 
 CELLS = 256
-#: Vectors of a tile of the file, queries of a tile, and vectors that are bounded at a time.
-TILE = 32768
-QUERIES = 2048
+#: Vectors of a tile of the file (fewer where that gives no work to all tasks, but LEAST), and queries of a tile. Each tile of
+#: the file is copied for every tile of queries, and these for every tile of the file: the larger, the less is shuffled.
+TILE = 1 << 18
+LEAST = 1 << 13
+QUERIES = 1 << 14
+#: Vectors that are bounded at a time.
 BLOCK = 1024
 #: Shares of the components that lie outside the inner cells, on either side.
 OUTER = 0.0005
@@ -55,8 +58,10 @@ EXACT = 2.0**53
 
 
 def whole(v: np.ndarray, scale: float) -> np.ndarray:
+    """Beyond the doubles: the greatest of them, of which any multiple but 0 is beyond a long, too."""
+    top = np.finfo(float).max
     with np.errstate(over="ignore"):
-        return np.floor(v * scale)
+        return np.clip(np.floor(v * scale), -top, top)
 
 
 def marks(quantiles: list[tuple[float, float, float, float]]) -> np.ndarray:
@@ -64,7 +69,7 @@ def marks(quantiles: list[tuple[float, float, float, float]]) -> np.ndarray:
     out = np.empty((len(quantiles), CELLS + 1))
     for row, (low, inner_low, inner_high, high) in zip(out, quantiles):
         row[0], row[CELLS] = low, high
-        row[1:CELLS] = np.ceil(np.linspace(inner_low, inner_high, CELLS - 1))
+        row[1:CELLS] = np.ceil(2 * np.linspace(inner_low / 2, inner_high / 2, CELLS - 1))  # halves: the range may be beyond the doubles
     return out
 
 
@@ -171,7 +176,8 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], names=["h1", "h2", "dim", "cells"])
 
     n, m = exact.count(), queries.count()
-    tiles, query_tiles = max(1, -(-n // TILE)), max(1, -(-m // QUERIES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles, query_tiles = max(1, -(-n // TILE), min(tasks, -(-n // LEAST))), max(1, -(-m // QUERIES))
     file = exact.select("h1", "h2", "v", "dim").mapInArrow(approximate, "h1 bigint, h2 bigint, dim int, cells binary")
     file = file.withColumn("vt", F.pmod("h1", F.lit(tiles)).cast("int")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))))
     asked = queries.withColumn("qt", F.pmod(F.xxhash64("id"), F.lit(query_tiles)).cast("int")).withColumn("vt", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
