@@ -86,9 +86,14 @@ def terms(text: Column) -> Column:
     return F.filter(bare, lambda x: F.octet_length(x) > 1)
 
 
-def term_frequency(tokens: Column) -> Column:
-    """Token to count."""
-    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(tokens)), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)))))
+def term_counts(tokens: Column) -> Column:
+    """(term, n) of each token, sorted; tokens are sorted once, and runs of equal ones measured."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("n")))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
 
 
 def normalize_url(url: Column) -> Column:

@@ -36,13 +36,15 @@ class CacheFull(ValueError):
 
 def put(entries: DataFrame, new: DataFrame, capacity: int | None = None, now: int | None = None) -> DataFrame:
     """new in place of the entries of its keys; over capacity expired entries go first, and CacheFull is raised if that is not enough."""
-    out = entries.join(new.select("key"), "key", "left_anti").unionByName(new)
-    if capacity is None or out.count() <= capacity:
-        return out
-    out = cleaned(entries, now or 0).join(new.select("key"), "key", "left_anti").unionByName(new)
-    if out.count() > capacity:
+    others = entries.join(new.select("key"), "key", "left_anti")
+    if capacity is None:
+        return others.unionByName(new)
+    # One look at what stays, one at what comes.
+    n = others.agg(F.count("*").alias("all"), F.count_if(~expired(F.col("expires_at"), now or 0)).alias("live")).first()
+    room = capacity - new.count()
+    if n.live > room:
         raise CacheFull(f"more than {capacity} entries")
-    return out
+    return (others if n["all"] <= room else cleaned(others, now or 0)).unionByName(new)
 
 
 def clear(entries: DataFrame) -> DataFrame:

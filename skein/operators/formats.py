@@ -38,6 +38,11 @@ def sdk_rows(items: DataFrame) -> DataFrame:
     return items.select("title", "url", "content", "score")
 
 
+def described(items: DataFrame, length: int = 200) -> DataFrame:
+    """title, url, the beginning of the content as description, and score."""
+    return items.select("title", "url", F.substring("content", 1, length).alias("description"), "score")
+
+
 def cut_bytes(text: Column, most: int) -> Column:
     """The longest beginning of whole characters within so many bytes, with dots where something is left out."""
     head = lambda n: F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text, vectors
-from skein.operators import aggregate, cache, dedup, feeds, filters, formats, fulltext, state
+from skein.operators import aggregate, cache, dedup, feeds, filters, formats, fulltext, nearest, state
 from skein.plans.tables import calls, entries, feed_items, items, table, with_copies
 from skein.sources import feeds as feed_sources
 from skein.sources import pages as page_sources
@@ -95,10 +95,9 @@ def tokenize_counts(spark, d):
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY token")
 def term_frequency(spark, d):
-    # In order, a token's first place in a document is known in the row: one shuffle, of sums by token.
-    t = table(spark, d, "documents").select(F.sort_array(text.tokenize(COL("text"))).alias("t"))
-    marked = t.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("token"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).alias("first")))).alias("x"))
-    return marked.groupBy("x.token").agg(F.count("*").alias("n"), F.sum("x.first").alias("docs"))
+    # A document's tokens are counted in its row, so that a row a distinct token is made; one shuffle, of sums by token.
+    t = table(spark, d, "documents").select(F.explode(text.term_counts(text.tokenize(COL("text")))).alias("x"))
+    return t.groupBy(COL("x.term").alias("token")).agg(F.sum("x.n").alias("n"), F.count("*").alias("docs"))
 
 
 @query(rf"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(lower(text), '{SP}'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: octet_length(encode(w)) > 1)) AS BIGINT) AS n_terms FROM documents")
@@ -340,7 +339,8 @@ def html_title_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a ")).cast("bigint").alias("n_links"))
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, trim(replace(replace(replace(t[i], '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, u[i] AS url FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM l)""")
 def html_items(spark, d):
     return page_sources.html_items(table(spark, d, "pages"), "links", "page_id").select("page_id", "pos", "title", "url")
 
@@ -400,50 +400,12 @@ def vectorize_norm(spark, d):
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_sum(list_transform(list_zip(e, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, vec_id, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
 def cosine_topk(spark, d):
     """Every twentieth vector against all vectors, in blocks."""
-    return similar_queries(table(spark, d, "embeddings"), COL("vec_id") % 20 == 0, 0.3, 5)
+    return nearest.nearest(table(spark, d, "embeddings"), COL("vec_id") % 20 == 0, 0.3, 5)
 
 
 _QUERIES["cosine_topk_20"], _SQL["cosine_topk_20"] = cosine_topk, _SQL["cosine_topk"]
 
 
-#: Queries and vectors of a tile.
-ASKED, STORED = 2048, 16384
-
-
-def similar_queries(stored: DataFrame, asked, least: float, most: int) -> DataFrame:
-    """Each pair of a tile of queries and a tile of vectors is work of its own, and gives the best of each query only."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import Window
-
-    rows = stored.select("vec_id", "embedding").where("embedding is not null")
-    q = rows.where(asked).select(COL("vec_id").alias("query_id"), COL("embedding").alias("e"))
-    tiles, query_tiles = (max(1, -(-x.count() // size)) for x, size in ((rows, STORED), (q, ASKED)))
-    q = q.withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(query_tiles))).withColumn("vt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))).withColumn("dim", F.size("e"))
-    v = rows.withColumn("vt", F.pmod(F.xxhash64("vec_id"), F.lit(tiles))).withColumn("qt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_tiles - 1).cast("bigint")))).withColumn("dim", F.size("embedding"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})]
-        if len(a) and len(b):
-            y, ids = np.stack(b.embedding.to_numpy()).astype(float), b.vec_id.to_numpy()
-            for low in range(0, len(a), 64):
-                x, own = np.stack(a.e.iloc[low : low + 64].to_numpy()).astype(float), a.query_id.to_numpy()[low : low + 64]
-                near = x @ y.T
-                for i in range(len(own)):
-                    s = np.where(ids == own[i], -np.inf, near[i])
-                    kth = np.partition(s, -most)[-most] if len(s) > most else -np.inf
-                    at = np.flatnonzero(s >= min(max(least, kth), 1.0) - 1e-5)
-                    score = np.zeros(len(at))
-                    for d in range(x.shape[1]):  # in the order of the components, as SQL sums
-                        score += x[i, d] * y[at, d]
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at], "score": np.clip(score, 0.0, 1.0)}))
-        return pd.concat(out)
-
-    found = q.groupBy("dim", "qt", "vt").cogroup(v.groupBy("dim", "qt", "vt")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-    found = found.withColumn("score", r6(COL("score"))).where(COL("score") >= least)
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(COL("n") <= most).drop("n")
-
-
 _FOLD = f"""WITH RECURSIVE {CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS n FROM calls),
 f(engine, n, total, ok, failed, consecutive, avg_ms, disabled_until) AS (
   SELECT DISTINCT engine, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM calls
@@ -488,9 +450,11 @@ def results_to_json(spark, d):
 
 @query("SELECT CAST(item_id AS VARCHAR) AS query_id, 0 AS pos, 'about ' || item_id AS title FROM benchmark")
 def plugin_source(spark, d):
-    registry.register_engine("echo", "web", "answers with the query", ["general"], lambda q: {"results": [{"title": f"about {q['query']}", "url": "https://e.example", "snippet": "x"}]})
+    def echo(q):
+        return {"results": [{"title": f"about {q['query']}", "url": "https://e.example", "snippet": "x"}]}
+
     n = COL("item_id").cast("string")
-    return registry.run_plugin(spark, "echo", table(spark, d, "benchmark").select(n.alias("query_id"), n.alias("query"))).select("query_id", "pos", "title")
+    return registry.run_callback(echo, table(spark, d, "benchmark").select(n.alias("query_id"), n.alias("query"))).select("query_id", "pos", "title")
 
 
 def queries() -> dict[str, Query]:

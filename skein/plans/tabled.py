@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.functions import scoring, text
+from skein.functions import scoring, text, vectors
 from skein.operators import cache, feeds, formats, paging, privacy, settings, state
 from skein.plans.catalogue import _FOLD, CALLS, COL, FEED, ITEMS, NOW, SP, calls, feed_items, items, query, r6, table
 from skein.sources import feeds as feed_sources
@@ -269,3 +269,22 @@ def best_by_several_factors(spark, d):
     published = F.when(k % 4 != 0, F.timestamp_seconds(F.lit(NOW) - (k % 500) * 86400))
     rows = items(spark, d).withColumns({"score": (k % 10) / 10.0, "published": published})
     return paging.by_several(rows, "the", F.timestamp_seconds(F.lit(NOW)), 30, ties=("doc_id",)).select("doc_id", r6(COL("combined")).alias("combined"))
+
+
+@query(f"WITH {ITEMS} SELECT title, url, left(content, 150) AS description, score FROM items")
+def described_rows(spark, d):
+    return formats.described(items(spark, d), 150)
+
+
+_TERMS_OF = rf"list_filter(list_transform(regexp_split_to_array(lower(text), '{SP}'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: octet_length(encode(w)) > 1)"
+
+
+@query(f"""WITH t AS (SELECT item_id, unnest({_TERMS_OF}) AS t FROM benchmark), b AS (SELECT item_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 100 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+v AS (SELECT item_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS w FROM b)
+SELECT x.item_id, y.item_id AS other, round(least(1.0::DOUBLE, sum(x.w * y.w)), 6) AS similarity FROM v x JOIN v y ON y.item_id = x.item_id + 1 AND x.bucket = y.bucket GROUP BY ALL HAVING round(least(1.0::DOUBLE, sum(x.w * y.w)), 6) > 0""")
+def similarity_to_next(spark, d):
+    """Each benchmark item and the next one."""
+    v = table(spark, d, "benchmark").select("item_id", vectors.vectorize(COL("text")).alias("v"))
+    after = v.select((COL("item_id") - 1).alias("item_id"), COL("item_id").alias("other"), COL("v").alias("w"))
+    near = v.join(after, "item_id").select("item_id", "other", r6(vectors.cosine(COL("v"), COL("w"))).alias("similarity"))
+    return near.where("similarity > 0")

@@ -456,9 +456,16 @@ def _json_keeps(source: str, x: Column) -> Column:
     return x["url"] != "" if source == "unsplash" else F.lit(True)
 
 
-def json_items(responses: DataFrame, source: str, key: str, body: str = "body") -> DataFrame:
-    """key, pos, title, url, content and metadata of JSON answers; a body that is no JSON, or asks for a captcha, has none."""
-    asked = responses.where(~is_blocked_page(F.col(body))) if source == "baidu" else responses
+def json_items(responses: DataFrame, source: str, key: str, body: str = "body", blocked: str = "drop") -> DataFrame:
+    """key, pos, title, url, content and metadata of JSON answers; a body that is no JSON, or asks for a captcha, has none.
+
+    blocked="error": a captcha or a page in place of an answer is an error.
+    """
+    asked, stops = responses, is_blocked_page(F.col(body))
+    if blocked == "error":
+        asked = responses.withColumn(body, F.when(stops, F.raise_error(F.lit("the source asks for a captcha")).cast("string")).otherwise(F.col(body)))
+    elif source == "baidu":
+        asked = responses.where(~stops)
     rows = asked.select(key, F.posexplode(_json_rows(source, variant(F.col(body)))).alias("pos", "v"))
     made = rows.select(key, "pos", _json_item(source, F.col("v")).alias("x")).where(_json_keeps(source, F.col("x")))
     return made.select(key, "pos", "x.*")

@@ -120,10 +120,13 @@ def responses_to_items(responses: DataFrame, now: Column | None = None, package:
 
 
 def run_plugin(spark: SparkSession, name: str, queries: DataFrame) -> DataFrame:
-    """Items of a plugin for each row (query_id, query), called on the executors."""
-    import pandas as pd
+    """Items of a registered plugin for each row (query_id, query)."""
+    return run_callback(_PLUGINS[name].callback, queries)
+
 
-    callback = _PLUGINS[name].callback
+def run_callback(callback: Callable[[dict], dict], queries: DataFrame) -> DataFrame:
+    """Items that a callback gives for each row (query_id, query), called on the executors."""
+    import pandas as pd
 
     def task(frames):
         for frame in frames:

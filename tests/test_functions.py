@@ -126,3 +126,29 @@ def test_seen_addresses_of_a_session(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.url for r in spark.table("seen").collect()) == [f"https://x/{i}" for i in range(4)]
+
+
+def test_answers_that_ask_for_a_captcha(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, '{"results":[{"title":"T","url":"http://x"}]}'), (2, "<html>captcha</html>")], "response_id int, body string")
+    assert [r.response_id for r in pages.json_items(df, "baidu", "response_id").collect()] == [1]
+    with pytest.raises(Exception, match="asks for a captcha"):
+        pages.json_items(df, "baidu", "response_id", blocked="error").collect()
+
+
+def test_nearest_in_tiles_of_any_size(spark, monkeypatch):
+    import numpy as np
+    from skein.operators import nearest
+
+    monkeypatch.setattr(nearest, "ASKED", 7)
+    monkeypatch.setattr(nearest, "STORED", 11)
+    v = np.random.default_rng(5).normal(size=(60, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 3 == 0, 0.2, 4).orderBy("query_id", F.desc("score"), "vec_id").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    s = np.round(np.clip(v @ v.T, 0, 1), 6)
+    want = {i: [(j, s[i, j]) for j in sorted((j for j in range(60) if j != i and s[i, j] >= 0.2), key=lambda j: (-s[i, j], j))[:4]] for i in range(0, 60, 3)}
+    assert {k: [j for j, _ in x] for k, x in got.items()} == {k: [j for j, _ in x] for k, x in want.items() if x}
