@@ -36,9 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import cut
+from skein.operators.scan import join_unique, numbered, running
 
 #: Documents of one bucket of a source, about.
 BUCKET_ROWS = 4096
+#: Tables of a row a source are broadcast up to so many.
+FEW_SOURCES = 10_000
 SPACES = r"[^\x20\x09-\x0D]+"
 DIGITS = 8
 #: A source by columns without nulls, in order.
@@ -68,6 +71,31 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], m
     return [(s, n, float(min(most * n, share * w))) for s, n, w in rows]
 
 
+def plans(sources: DataFrame, weights: Sequence[float], most: int = 3) -> DataFrame:
+    """The columns of sources (BY, source_size, rows) with target, as targets has it, and budget, a whole number.
+
+    Sources are numbered, and sizes and weights summed up, over ranges: any number of sources will do.
+    """
+    n = len(weights)
+    turn = F.pmod(F.col("_turn") - 1, F.lit(n)).cast("int")
+    known = numbered(sources, [F.asc(c) for c in BY], "_turn").withColumn("_turn", turn)
+    known = known.withColumn("_weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("_turn")))
+    known = known.withColumn("_stop", most * F.col("source_size") / F.col("_weight"))
+    order = ["_stop", *BY]
+    upto = cut(running(known, [], [F.asc(c) for c in order], {"_words": F.col("source_size")} | {f"_turn{i}": (F.col("_turn") == i).cast("int") for i in range(n)}))
+    weighed = lambda row: sum((float(w) * row(f"_turn{i}") for i, w in enumerate(weights)), F.lit(0.0))
+    all_ = upto.agg(F.sum("source_size").alias("words"), *[F.count_if(F.col("_turn") == i).alias(f"_turn{i}") for i in range(n)]).first()
+    # What is left to share, and the weights to share it by, before each source in the order in which they stop.
+    left = F.lit(float(all_.words or 0)) - most * (F.col("_words") - F.col("source_size"))
+    weight = weighed(lambda c: F.lit(float(all_[c]))) - weighed(F.col) + F.col("_weight")
+    shared = upto.withColumn("_share", F.try_divide(left, weight))
+    place = F.struct(*order)
+    found = shared.agg(F.min_by(F.when(F.col("_share") <= F.col("_stop"), F.col("_share")), F.when(F.col("_share") <= F.col("_stop"), place)).alias("first"), F.max_by("_share", place).alias("last")).first()
+    share = found.first if found.first is not None else found.last if found.last is not None else 0.0
+    target = F.least(most * F.col("source_size").cast("double"), F.lit(share) * F.col("_weight"))
+    return upto.select(*BY, "source_size", "rows", target.alias("target"), F.floor(target).cast("bigint").alias("budget"))
+
+
 def _numbered(rows: DataFrame, digits: int, sums: DataFrame) -> DataFrame:
     """up_to: the words of the source up to and with the document, in the order of h."""
     w = Window.partitionBy(*BY, "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,8 +105,7 @@ def _numbered(rows: DataFrame, digits: int, sums: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, virtual_finish and keep.
 
-    virtual_finish: the time at which the document's first pass ends. The sizes of sources
-    (a row for each) are gathered on the driver, as the weights are there.
+    virtual_finish: the time at which the document's first pass ends.
     """
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
     keep = [c for c in keep if c not in ("doc_id", "source")]
@@ -86,41 +113,45 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
         F.col("doc_id"), F.col("source"), size_in_words(F.col("text")).alias("size"), digest.alias("h"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept")
     )
     sizes = cut(rows.drop("kept"))
-    got = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    most_rows = max((r.n for r in got), default=0)
-    by_source = targets([(r.source, r["size"]) for r in got], weights, most)
+    plan = cut(plans(sizes.groupBy(*BY).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most))
+    told = plan.agg(F.count("*").alias("sources"), F.max("rows").alias("rows"), F.sum("source_size").alias("words"), F.sum(F.when(F.col("target") < most * F.col("source_size"), F.col("target"))).alias("open")).first()
     # Buckets: equal ranges of the first digits of the hash.
     digits = 1
-    while digits < DIGITS and 16**digits * BUCKET_ROWS < most_rows:
+    while digits < DIGITS and 16**digits * BUCKET_ROWS < (told.rows or 0):
         digits += 1
     sums = sizes.groupBy(*BY, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
     sums = cut(sums.withColumn("before", F.sum("words").over(Window.partitionBy(*BY).orderBy("bucket")) - F.col("words")).drop("words"))
-    small = F.broadcast if len(by_source) <= 10_000 else (lambda x: x)
-    plan = documents.sparkSession.createDataFrame([(s or "", s is None, n, t, int(t)) for s, n, t in by_source], "source_key string, no_source boolean, source_size bigint, target double, budget bigint")
+
+    def planned(some: DataFrame) -> DataFrame:
+        """With the plan of each row's source: few sources are broadcast, else those that many rows have."""
+        if told.sources <= FEW_SOURCES:
+            return some.join(F.broadcast(plan.drop("rows")), BY)
+        return join_unique(cut(some), plan, BY, F.col("rows")).drop("rows")
 
     # What each pass gets by time 1.
     size, start = F.col("size"), lambda p: F.col("up_to") - F.col("size") + p * F.col("source_size")
     by_one = lambda p: F.greatest(F.lit(0), F.least(size, F.col("budget") - start(p)))
     head = sum((by_one(F.lit(p)) for p in range(1, most)), by_one(F.lit(0)))
-    numbered = cut(_numbered(sizes, digits, sums).join(small(plan), BY))
-    served = numbered.agg(F.sum(head).alias("n")).first().n or 0
-    left, open_words = sum(n for _, n, _ in by_source) - served, sum(t for _, n, t in by_source if t < most * n)
+    timed = cut(planned(_numbered(sizes, digits, sums)))
+    served = timed.agg(F.sum(head).alias("n")).first().n or 0
+    left = (told.words or 0) - served
     # By this time the queue has served more than is left.
-    until = 1 + 3 * (left + len(by_source)) / open_words if open_words else 1.0
-    passes = numbered.where(size > 0).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumns({"start": start(F.col("p")), "done": by_one(F.col("p"))})
+    until = 1 + 3 * (left + told.sources) / told.open if told.open else 1.0
+    passes = timed.where(size > 0).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumns({"start": start(F.col("p")), "done": by_one(F.col("p"))})
     passes = passes.withColumn("most", F.least(size, F.ceil(until * F.col("target")) - F.col("start"))).where(F.col("done") < F.col("most"))
     each = passes.withColumn("end", F.explode(F.sequence(F.col("start") + F.col("done") + 1, F.col("start") + F.col("most"))))
     each = each.withColumn("finish", F.col("end").cast("double") / F.col("target")).where(F.col("finish") <= until)
-    tail = each.withColumn("place", F.row_number().over(Window.orderBy("finish", *BY, "end"))).where(F.col("place") <= left)
+    tail = numbered(each, [F.asc("finish"), *map(F.asc, BY), F.asc("end")], "place").where(F.col("place") <= left)
     tail = cut(tail.groupBy(*BY, F.col("up_to").alias("at")).agg(F.count("*").alias("got")))
 
-    placed = _numbered(rows, digits, sums).join(small(plan), BY) if keep else numbered.withColumn("kept", F.lit(None))
+    placed = planned(_numbered(rows, digits, sums)) if keep else timed.withColumn("kept", F.lit(None))
     tail = tail.select(F.col("no_source").alias("ns"), F.col("source_key").alias("sk"), "at", "got")
     mine = (F.col("ns") == F.col("no_source")) & (F.col("sk") == F.col("source_key")) & (F.col("at") == F.col("up_to")) & (size > 0)
     taken = head + F.coalesce("got", F.lit(0))
     finish = F.try_divide(F.col("up_to").cast("double"), F.col("target"))
     out = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": size, "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("bigint"), "virtual_finish": finish}
-    return placed.join(small(tail), mine, "left").select(*(v.alias(c) for c, v in out.items() if c not in keep), *[F.col("kept")[c].alias(c) for c in keep])
+    # The tail has less than a word for each source.
+    return placed.join(F.broadcast(tail) if told.sources <= FEW_SOURCES else tail, mine, "left").select(*(v.alias(c) for c, v in out.items() if c not in keep), *[F.col("kept")[c].alias(c) for c in keep])
 
 
 def queue(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
