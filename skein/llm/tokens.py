@@ -19,9 +19,9 @@ import numpy as np
 from skein.llm.common import forgets
 from skein.llm.hashing import BYTE, SPACE, span_hashes
 
-TABLE_BITS = 20
-#: Above this many units the table starts anew.
-MOST_UNITS = 1 << 18
+TABLE_BITS = 21
+#: Above this many units those stay that were met again since the last such time.
+MOST_UNITS = 1 << 20
 #: Longer units are not kept.
 LONGEST = 64
 
@@ -83,8 +83,24 @@ class UnitEncoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
+        self.again = np.zeros(1 << 16, bool)
         self.units = self.used = 0
 
+    def shrink(self) -> None:
+        """Drops the units that were not met again; all, where that is few."""
+        slots = np.flatnonzero(self.keys)
+        number = self.value[slots]
+        keep = self.again[number]
+        h, number = self.keys[slots[keep]], number[keep]
+        if 2 * len(h) > MOST_UNITS:
+            self.clear()
+            return
+        start, count = self.start[number], self.count[number]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])]
+        self.clear()
+        self._add(h, ids, count)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the known units, -1 for others."""
         mask = np.int64((1 << TABLE_BITS) - 1)
@@ -120,15 +136,18 @@ class UnitEncoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for e in ids for x in e), np.uint32, int(count.sum()))
+        self._add(h, flat, count)
+
+    def _add(self, h: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.units + len(ids) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        number = np.arange(self.units, self.units + len(ids))
+        while self.units + len(count) > len(self.start):
+            self.start, self.count, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.again))
+        number = np.arange(self.units, self.units + len(count))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.count[number] = count
+        self.count[number], self.again[number] = count, False
         self.start[number] = self.used + np.cumsum(count) - count
-        self.units, self.used = self.units + len(ids), self.used + len(flat)
+        self.units, self.used = self.units + len(count), self.used + len(flat)
         self.insert(h, number.astype(np.int32))
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -146,9 +165,10 @@ class UnitEncoder:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         h = span_hashes(BYTE[data], starts, ends) | np.uint64(1)
         if self.units > MOST_UNITS:
-            self.clear()
+            self.shrink()
         number = self.find(h)
         new = np.flatnonzero(number < 0)
+        self.again[number[number >= 0]] = True
         if len(new):
             _, first = np.unique(h[new], return_index=True)
             first = new[first]

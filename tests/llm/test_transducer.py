@@ -89,3 +89,19 @@ def test_other_tokenizers_are_refused(tmp_path):
         (tmp_path / "t.json").write_text(json.dumps(spec | change))
         with pytest.raises(ValueError):
             transducer.TokenCounter(str(tmp_path / "t.json"))
+
+
+def test_units_that_are_met_again_stay(monkeypatch):
+    """The table of units is made small many times over; ids stay those of the library."""
+    from skein.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_UNITS", 120)
+    texts = [t for kind in ("parts", "letters") for t in TEXTS[kind][:500]] + ["the same words again " * 20] * 50
+    encoder = tokens.UnitEncoder(PATH)
+    got, most = [], 0
+    for i in range(0, len(texts), 40):
+        for a, b, data, offsets in string_slices(pa.array(texts[i : i + 40])):
+            ids, at = encoder.encode(data, offsets)
+            got += [ids[at[k] : at[k + 1]].tolist() for k in range(b - a)]
+        most = max(most, encoder.units)
+    assert got == [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)] and most > 120 > encoder.units > 0
