@@ -1,6 +1,7 @@
 """Exact set-similarity join on word shingles by multiple global orders.
 
-Documents of equal shingle sets are one class. If two sets are similar enough
+Documents of equal shingle sets are one class, found by digests: where sets of
+one digest differ in size or sketch, they go by another digest. If two sets are similar enough
 they share a token among the first of each, its prefix, under *any* total
 order of all tokens. Three orders are used; in each, frequent tokens come
 last, and tokens of about one frequency by a hash of the order's own. The
@@ -34,6 +35,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ SALTS = 32
 PART = 1024
 #: Above so many classes of a token the second order pairs them.
 SPLIT = 64
+#: Digests that different sets share, which are told apart at once: more are told in further rounds.
+MOST_CLASHES = 10_000
 #: So many keys of a class are compared to pair two classes once; it affects speed alone.
 FIRST = 6
 SKETCH = 1024
@@ -70,12 +74,29 @@ def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndar
     return out
 
 
-def digest(x: np.ndarray) -> int:
-    """Equal for equal sets."""
-    total = (int(mix(x ^ SEEDS[50]).sum()) + len(x) * int(SEEDS[51])) % 2**64
+def _digest(x: np.ndarray, seed: int) -> int:
+    total = (int(mix(x ^ SEEDS[seed]).sum()) + len(x) * int(SEEDS[51])) % 2**64
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+@dataclass(frozen=True)
+class Digest:
+    """The number of a set's class: equal for equal sets.
+
+    bits: those of the first digest that count. apart: first digests that
+    different sets were found to have; such sets go by a second one.
+    """
+
+    bits: int = 64
+    apart: frozenset[int] = frozenset()
+
+    def __call__(self, x: np.ndarray) -> int:
+        first = _digest(x, 50)
+        if self.bits < 64:
+            first &= (1 << self.bits) - 1
+        return _digest(x, 58) if first in self.apart else first
+
+
 def sketch(x: np.ndarray) -> np.ndarray:
     """SKETCH bits: the parities of how many elements fall on each.
 
@@ -144,7 +165,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def signatures(documents: DataFrame, k: int) -> DataFrame:
+def signatures(documents: DataFrame, k: int, digest: Digest) -> DataFrame:
     """A row for each document (doc_id, n, c, sketch) and, with a null c, for each token that a task met repeatedly (token, times)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +218,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return heavy[order], 1 + np.log2(got["n"].to_numpy(np.float64))[order].astype(np.int64)
 
 
-def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
+def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray, digest: Digest) -> DataFrame:
     """token, salt and c: the prefixes under the first order, of each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +245,7 @@ def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank
     return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt bigint, c bigint")
 
 
-def of_classes(documents: DataFrame, wanted: DataFrame, k: int, schema: str, make: Callable[[np.ndarray], list]) -> DataFrame:
+def of_classes(documents: DataFrame, wanted: DataFrame, k: int, schema: str, make: Callable[[np.ndarray], list], digest: Digest) -> DataFrame:
     """c and what make gives for the set of each class in wanted (c, rep); only documents that may be in wanted are shingled."""
     texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(wanted, "rep"))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -259,7 +280,7 @@ def kept_pairs(both: DataFrame, test: Callable[..., bool]) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list]) -> DataFrame:
+def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list], digest: Digest) -> DataFrame:
     """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
 
     def wanted(some: DataFrame) -> DataFrame:
@@ -272,22 +293,32 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
         return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
     pairs = snug(pairs)
-    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders)), may_be))
-    return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x])), are)
+    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders, digest)), may_be))
+    return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x], digest)), are)
 
 
-def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
-    rows = cut(signatures(documents, k))
-    signed = rows.where("c is not null")
+    digest = Digest(bits)
+    while True:
+        rows = cut(signatures(documents, k, digest))
+        signed = rows.where("c is not null")
+        both = [f(F.struct("n", "sketch")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))]
+        classes = signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), *both)
+        classes = snug(classes.select("c", "rep", "high.n", "high.sketch", (F.col("low") != F.col("high")).alias("clash")))
+        # Different sets of one digest: they have different sizes or sketches. None or a few, at any size of table.
+        clashes = classes.where("clash").select("c").take(MOST_CLASHES)
+        if not clashes:
+            break
+        digest = Digest(bits, digest.apart | {r.c for r in clashes})
     heavy, rank = frequent(rows)
-    classes = snug(signed.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    classes = classes.drop("clash")
 
     # Groups of at least two classes; of frequent tokens also what is alone with its salt. Tokens
     # with the same classes are one group: their key is what these classes' hashes add up to.
     group = Window.partitionBy("token", "salt")
     member = F.pmod(F.xxhash64("c"), F.lit(1 << 32))
-    held = postings(documents, k, percent, heavy, rank).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
+    held = postings(documents, k, percent, heavy, rank, digest).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
     held = held.where("low != high or salt > 0").select(F.when(F.col("salt") > 0, F.col("token")).otherwise(F.xxhash64("sum", "low", "high")).alias("key"), "salt", "c")
     held = snug(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
 
@@ -306,7 +337,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     near = centred.select("c", "tokens", F.col("centre.c").alias("centre")).unionByName(tops.join(best, "key").select(F.col("centre.c").alias("c"), "tokens", F.col("top.c").alias("centre"))).where("c != centre")
     near = near.groupBy("c", "centre").agg(F.sum("tokens").alias("tokens")).groupBy("c").agg(F.max(F.struct("tokens", "centre")).alias("x"))
     stars = snug(near.select("c", F.col("x.centre").alias("centre")))
-    linked = snug(verified(documents, likely(stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sized, percent), classes, k, percent, orders))
+    linked = snug(verified(documents, likely(stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sized, percent), classes, k, percent, orders, digest))
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
     # What these links leave apart, in the groups of a key.
@@ -316,12 +347,12 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     folded = classes.select("c", "n", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]).alias(f"s{i}") for i in range(FOLDED)])
     few = apart.where(F.col("m") <= SPLIT).select("key", "c", "component")
     many = snug(apart.where(F.col("m") > SPLIT).select("c", "component").distinct().join(classes.select("c", "rep"), "c"))
-    second = of_classes(documents, many.select("c", "rep"), k, "p2 binary", lambda x: orders(x)[:1])
+    second = of_classes(documents, many.select("c", "rep"), k, "p2 binary", lambda x: orders(x)[:1], digest)
     by_second = many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c", "component")
     of_two = by_second.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     by_second = snug(by_second.join(of_two, "key"))
     found = paired(few, folded, percent).unionByName(paired(by_second, folded, percent)).distinct()
-    more = verified(documents, likely(found, sized, percent), classes, k, percent, orders)
+    more = verified(documents, likely(found, sized, percent), classes, k, percent, orders, digest)
 
     # Classes that a document has rows of are together, too.
     of_documents = signed.where("doc_id is not null and n > 0").select("doc_id", "c")
