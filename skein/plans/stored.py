@@ -43,7 +43,7 @@ def fulltext_many(spark, d):
 def engine_state_in_batches(spark, d):
     """The log in three parts by time, each folded onto the states that the parts before it left."""
     log, at = calls(spark, d), None
-    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    first, last = (x or 0 for x in log.agg(F.min("ts"), F.max("ts")).first())
     bounds = [first - 1, first + (last - first) // 5, first + (last - first) // 2, last]
     for low, high in zip(bounds, bounds[1:]):
         folder = new_folder(spark, "states")
