@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect its garbage, as spark.cleaner.periodicGC.interval does.
+
+    Shuffle files of steps that are done are removed when nothing refers to
+    them any more, and a driver that has little to do may not look for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def snug(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """As cut, in as many partitions as its rows need: each task that shuffles it writes files, however few its rows."""
     df = cut(df)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import begin, connected_components, cut, membership, possibly_in, snug, string_slices
+from skein.llm.common import begin, connected_components, cut, membership, possibly_in, snug, string_slices, sweep
 from skein.llm.hashing import SEEDS, mix, shingles
 
 WORDS = 5
@@ -293,6 +293,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
         return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
     pairs = snug(pairs)
+    sweep(documents.sparkSession)
     candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders, digest)), may_be))
     return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x], digest)), are)
 
@@ -321,6 +322,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     held = postings(documents, k, percent, heavy, rank, digest).withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group), "sum": F.sum(member).over(group)})
     held = held.where("low != high or salt > 0").select(F.when(F.col("salt") > 0, F.col("token")).otherwise(F.xxhash64("sum", "low", "high")).alias("key"), "salt", "c")
     held = snug(held.groupBy("key", "salt", "c").agg(F.count("*").alias("tokens")))
+    sweep(documents.sparkSession)
 
     def orders(x: np.ndarray) -> list[np.ndarray]:
         known = ranks(x, heavy, rank)
@@ -338,6 +340,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     near = near.groupBy("c", "centre").agg(F.sum("tokens").alias("tokens")).groupBy("c").agg(F.max(F.struct("tokens", "centre")).alias("x"))
     stars = snug(near.select("c", F.col("x.centre").alias("centre")))
     linked = snug(verified(documents, likely(stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sized, percent), classes, k, percent, orders, digest))
+    sweep(documents.sparkSession)
     joined = connected_components(linked).withColumnRenamed("node", "c")
 
     # What these links leave apart, in the groups of a key.
@@ -354,6 +357,8 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     found = paired(few, folded, percent).unionByName(paired(by_second, folded, percent)).distinct()
     more = verified(documents, likely(found, sized, percent), classes, k, percent, orders, digest)
 
+    more = snug(more)
+    sweep(documents.sparkSession)
     # Classes that a document has rows of are together, too.
     of_documents = signed.where("doc_id is not null and n > 0").select("doc_id", "c")
     several = of_documents.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
