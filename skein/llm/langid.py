@@ -9,8 +9,9 @@ Edge cases: a null text or one without letters is ``und`` with score 0; an
 empty text likewise; rows without doc_id are predicted as any other and, as
 they have no crc32, never used in training; without labelled rows every text
 is ``und``; with one language every text with letters is of it; ties go to
-the language that comes first; repeated rows get equal predictions; other
-columns are ignored, or kept where asked for.
+the language that comes first; repeated rows get equal languages, and scores
+that are equal in their first six digits (products of single precision depend
+on the place in a batch); other columns are ignored, or kept where asked for.
 """
 
 from __future__ import annotations
