@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scoring, text, vectors
 from skein.operators import cache, feeds, formats, paging, privacy, settings, state
-from skein.plans.catalogue import _FOLD, CALLS, COL, FEED, ITEMS, NOW, SP, calls, feed_items, items, query, r6, table
+from skein.plans.catalogue import _FOLD, CALLS, COL, FEED, ITEMS, KEYWORDS, NOW, REQUIRED, SP, calls, feed_items, items, query, r6, table
 from skein.sources import feeds as feed_sources
 from skein.sources import requests
 from skein.sources.base import Abilities, Source
@@ -288,3 +288,14 @@ def similarity_to_next(spark, d):
     after = v.select((COL("item_id") - 1).alias("item_id"), COL("item_id").alias("other"), COL("v").alias("w"))
     near = v.join(after, "item_id").select("item_id", "other", r6(vectors.cosine(COL("v"), COL("w"))).alias("similarity"))
     return near.where("similarity > 0")
+
+
+_HITS = lambda words: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(t, '{w}') THEN '{w}' END" for w, _, _ in words) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""WITH {FEED}, t AS (SELECT guid, lower(title) || ' ' || lower(coalesce(description, '')) AS t FROM feed)
+SELECT guid, {_HITS(KEYWORDS)} AS any_of, CASE WHEN contains(t, '{REQUIRED[0][0]}') THEN {_HITS(REQUIRED)} ELSE '' END AS required FROM t""")
+def matched_keywords(spark, d):
+    """Which keywords each feed item has, and which where one of them is required."""
+    found = lambda words: F.array_join(scoring.feed_score(COL("title"), COL("description"), words)[1], ",")
+    return feed_items(spark, d).select("guid", found(KEYWORDS).alias("any_of"), found(REQUIRED).alias("required"))
