@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import DIMENSIONS, let, vectorize
 from skein.operators.dedup import first_by
+from skein.operators.scan import checkpointed
 
 THRESHOLD, SIMILAR, MOST = 0.7, 5, 50
+#: Vectors of up to so many buckets are looked up by sets of these; a vector has up to 2 ** SHORT.
+SHORT = 6
 
 
 def stored_rows(items: DataFrame) -> DataFrame:
@@ -70,16 +73,12 @@ def keyed(vectors: DataFrame, name: str, ranks: list[int], threshold: float) ->
     return sparse.select(name, "e", F.explode(_keys(F.col("e"), threshold)).alias("key"))
 
 
-def similar(stored: DataFrame, asked: DataFrame, threshold: float = THRESHOLD, most: int = SIMILAR) -> DataFrame:
-    """asked, query and similarity of the stored queries next to each asked one (asked: a column of queries).
+def _near_by_keys(theirs: DataFrame, mine: DataFrame, threshold: float, most: int) -> DataFrame:
+    """asked, query and similarity of all pairs by the keys of two buckets; of queries of one vector the first ones.
 
-    Equal vectors are compared once. Vectors meet by pairs of buckets, rare ones
-    first, that a pair of enough similarity must share (_keys); pairs below it
-    without such a key are never formed. A pair is looked at for the first key
-    that it shares only.
+    Pairs below the threshold without such a key are never formed. A pair is
+    looked at for the first key that it shares only.
     """
-    theirs = stored.select("query", "vector").dropDuplicates(["query"])
-    mine = asked.select("asked").distinct().withColumn("vector", vectorize(F.col("asked")))
     ranks = _ranks(theirs)
     a, b = keyed(mine, "asked", ranks, threshold), keyed(theirs, "query", ranks, threshold)
     pairs = a.withColumnRenamed("e", "_a").join(b.withColumnRenamed("e", "_b"), "key")
@@ -99,9 +98,81 @@ def similar(stored: DataFrame, asked: DataFrame, threshold: float = THRESHOLD, m
     w = Window.partitionBy("query").orderBy("_each_query")
     few = members(theirs, "query").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
     near = near.join(few, "query").join(members(mine, "asked"), "asked")
-    near = near.select(F.col("_each_asked").alias("asked"), F.col("_each_query").alias("query"), "similarity")
-    order = Window.partitionBy("asked").orderBy(F.desc("similarity"), "query")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return near.select(F.col("_each_asked").alias("asked"), F.col("_each_query").alias("query"), "similarity")
+
+
+def _weights(vector: Column) -> Column:
+    """bucket and w of the buckets that a vector has."""
+    return F.filter(F.transform(vector, lambda w, i: F.struct(i.alias("bucket"), w.alias("w"))), lambda x: x["w"] != 0)
+
+
+def _parts(e: Column, threshold: float, both: bool) -> Column:
+    """buckets, weights and strong of the subsets of a vector's buckets of which a near vector may share no more.
+
+    If two vectors share just these, their similarity is at most the product of
+    the lengths of what each has in them. So both are of the threshold at
+    least, and one of them, the strong one, of its root. strong tells it of
+    this vector, or, where ``both``, of the other one, as far as it has to be.
+    """
+    slack = 1e-6
+
+    def part(m: Column) -> Column:
+        some = F.filter(e, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)
+        square = F.aggregate(some, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
+        return F.struct(F.transform(some, lambda x: x["bucket"]).alias("buckets"), F.transform(some, lambda x: x["w"]).alias("weights"), square.alias("square"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(e)) - 1), part), lambda p: p["square"] >= threshold**2 - slack)
+    strong = lambda p: p["square"] >= threshold - slack
+    told = lambda p, flag: F.struct(p["buckets"].alias("buckets"), p["weights"].alias("weights"), flag.alias("strong"))
+    if not both:
+        return F.transform(parts, lambda p: told(p, strong(p)))
+    return F.concat(F.transform(parts, lambda p: told(p, F.lit(True))), F.transform(F.filter(parts, strong), lambda p: told(p, F.lit(False))))
+
+
+def _first(df: DataFrame, by: list[str], order: list[Column | str], most: int, name: str = "_n") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
+
+
+def _near_by_parts(theirs: DataFrame, mine: DataFrame, threshold: float, most: int) -> DataFrame:
+    """asked, query and similarity of the first ``most`` of each asked one; vectors (e) of at most SHORT buckets.
+
+    A near query shares a set of buckets with the asked one. Of all stored
+    queries with the same weights in that set the first ``most`` are enough:
+    each of them is at least as near as any other. So the stored side keeps
+    that many a set and weights, and each asked vector looks up its own sets;
+    pairs of all near vectors are never formed. Where a pair shares more
+    buckets than a set, the larger set tells its similarity.
+    """
+    held = _first(theirs, ["e"], ["query"], most).select("query", F.explode(_parts(F.col("e"), threshold, False)).alias("p")).select("query", "p.*")
+    lists = _first(held, ["buckets", "strong", "weights"], ["query"], most).groupBy("buckets", "strong", "weights").agg(F.collect_list("query").alias("queries"))
+    vectors = checkpointed(mine.select("e").distinct().withColumn("id", F.monotonically_increasing_id()))
+    sets = vectors.select("id", F.explode(_parts(F.col("e"), threshold, True)).alias("p")).select("id", "p.buckets", "p.strong", F.col("p.weights").alias("own"))
+    product = F.aggregate(F.zip_with("own", "weights", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    found = sets.join(lists, ["buckets", "strong"]).select("id", F.least(F.lit(1.0), F.round(product, 9)).alias("similarity"), "queries").where(F.col("similarity") >= threshold)
+    each = found.repartition("id").select("id", "similarity", F.explode("queries").alias("query")).groupBy("id", "query").agg(F.max("similarity").alias("similarity"))
+    near = _first(each, ["id"], [F.desc("similarity"), "query"], most).drop("_n")
+    return mine.join(vectors, "e").select("asked", "id").join(near, "id").select("asked", "query", "similarity")
+
+
+def similar(stored: DataFrame, asked: DataFrame, threshold: float = THRESHOLD, most: int = SIMILAR) -> DataFrame:
+    """asked, query and similarity of the stored queries next to each asked one (asked: a column of queries).
+
+    Equal vectors are compared once. Vectors of at most SHORT buckets meet by
+    the sets of buckets that they share (_near_by_parts), in work that grows
+    with the queries; where one has more, by pairs of buckets, rare ones
+    first, that a pair of enough similarity must share (_keys).
+    """
+    theirs = stored.select("query", "vector").dropDuplicates(["query"])
+    mine = asked.select("asked").distinct().withColumn("vector", vectorize(F.col("asked")))
+    b, a = (checkpointed(x.select(name, _weights(F.col("vector")).alias("e")).where(F.size("e") > 0)) for x, name in ((theirs, "query"), (mine, "asked")))
+    long = F.size("e") > SHORT
+    near = _near_by_parts(b.where(~long), a.where(~long), threshold, most)
+    wide = F.size(_weights(F.col("vector"))) > SHORT
+    if a.where(long).take(1):
+        near = near.unionByName(_near_by_keys(theirs, mine.where(wide), threshold, most))
+    if b.where(long).take(1):
+        near = near.unionByName(_near_by_keys(theirs.where(wide), mine.where(~wide), threshold, most))
+    return _first(near, ["asked"], [F.desc("similarity"), "query"], most, "rank")
 
 
 def get(stored: DataFrame, asked: DataFrame, engine: str, most: int = MOST) -> DataFrame:

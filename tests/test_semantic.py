@@ -37,3 +37,31 @@ def test_no_key_holds_many_vectors(spark):
     most = keys.groupBy("key").count().agg(F.max("count")).first()[0]
     bucket = stored.select(F.posexplode("vector")).where("col != 0").groupBy("pos").count().agg(F.max("count")).first()[0]
     assert most < 0.05 * 3000 and most < bucket / 4
+
+
+@pytest.mark.parametrize("short", [2, 6])
+def test_first_of_each_with_short_and_long_vectors(spark, monkeypatch, short):
+    monkeypatch.setattr(semantic, "SHORT", short)
+    words = [f"t{i}" for i in range(10)]
+    queries = sorted({" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 4, 4, 5, 8, 9]))) for _ in range(250)})
+    stored = spark.createDataFrame([(q,) for q in queries], "query string").withColumn("vector", vectors.vectorize(F.col("query")))
+    rows = {r.query: r.vector for r in stored.collect()}
+    got = {(r.asked, r.rank): (r.query, r.similarity) for r in semantic.similar(stored, stored.select(F.col("query").alias("asked")), 0.7, 5).collect()}
+    want = {}
+    for a in queries:
+        near = sorted((-round(min(1.0, sum(x * y for x, y in zip(rows[a], rows[b]))), 9), b) for b in queries)
+        want |= {(a, i + 1): (q, -s) for i, (s, q) in enumerate(near[:5]) if -s >= 0.7}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [v[1] for _, v in sorted(got.items())] == pytest.approx([v[1] for _, v in sorted(want.items())])
+
+
+def test_rows_grow_with_the_queries_not_their_pairs(spark):
+    """Queries of four words out of few: nearly all pairs share three buckets with hundreds of others."""
+    words = [f"w{i}" for i in range(12)]
+    made = sorted({" ".join(rng.sample(words, 4)) for _ in range(1500)})
+    stored = spark.createDataFrame([(q,) for q in made], "query string").withColumn("vector", vectors.vectorize(F.col("query")))
+    weights = semantic.checkpointed(stored.select("query", semantic._weights(F.col("vector")).alias("e")))
+    parts = weights.select("query", F.explode(semantic._parts(F.col("e"), 0.7, False)).alias("p"))
+    assert parts.count() <= 11 * len(made)
+    got = semantic.similar(stored, stored.select(F.col("query").alias("asked")))
+    assert got.count() == 5 * len(made)
