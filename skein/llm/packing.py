@@ -35,6 +35,8 @@ from skein.llm.tokens import encoder
 DEPTH = 3
 BIN = 32
 BLOCK_IDS = 1 << 22
+#: Bytes of text encoded at once: the work arrays take some 60 times as much.
+SLICE = 1 << 18
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -140,10 +142,11 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, window: int = 2048)
         def flush() -> pa.RecordBatch:
             nonlocal sequence, held
             doc: list[int | None] = [d for h in held for d in h[0]]
-            ids = np.concatenate([h[1] for h in held]).astype("<u4")
+            ids = np.concatenate([h[1] for h in held]).astype("<u4", copy=False)
             count = np.concatenate([h[2] for h in held])
+            held = []
             at = np.cumsum(count) - count
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids).cast("B")
             rows: list[tuple] = []
 
             def put(d: int, start: int, length: int, offset: int) -> None:
@@ -162,13 +165,12 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, window: int = 2048)
                     put(int(short[i]), int(base[i]) + first, length, offset)
                     offset += length
                 sequence += 1
-            held = []
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         size = 0
         for batch in batches:
             keys = batch.column(0)
-            for a, b, data, offsets in string_slices(batch.column(1), 1 << 20):
+            for a, b, data, offsets in string_slices(batch.column(1), SLICE):
                 ids, bounds = enc.encode(data, offsets)
                 held.append((keys.slice(a, b - a).to_pylist(), np.insert(ids, bounds[1:], end_id).astype(np.uint32), np.diff(bounds) + 1))
                 size += len(ids) + b - a

@@ -24,6 +24,8 @@ TABLE_BITS = 21
 MOST_UNITS = 1 << 20
 #: Longer units are not kept.
 LONGEST = 64
+#: New units given to the library at once: what it returns takes over a kilobyte a unit.
+LEARNT = 1 << 12
 
 _ASCII = np.arange(256)
 _LETTER = np.zeros(256, bool)
@@ -132,11 +134,13 @@ class UnitEncoder:
 
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
         raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(count.sum()))
-        self._add(h, flat, count)
+        for k in range(0, len(h), LEARNT):
+            some = slice(k, k + LEARNT)
+            texts = [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for e in ids for x in e), np.uint32, int(count.sum()))
+            self._add(h[some], flat, count)
 
     def _add(self, h: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
