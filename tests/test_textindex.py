@@ -39,3 +39,22 @@ def test_a_search_reads_its_own_trigrams_only(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan  # only folders of the word's trigrams are read
     assert [r.word for r in found.collect()] == ["e 199"]
+
+
+def test_ranges_end_where_words_have_enough(spark, tmp_path, monkeypatch):
+    """The first entries of frequent, rare and short words over ranges of any length; each text is fetched once a range."""
+    monkeypatch.setattr(textindex, "FIRST", 64)
+    monkeypatch.setattr(textindex, "WIDER", 2)
+    rows = [(f"{i:05d}", 0, f"common {'rare' if i % 211 == 5 else ''} no{i}", "zu" if i % 300 == 7 else None) for i in range(1000)]
+    folder = str(tmp_path / "i")
+    textindex.build(spark.createDataFrame(rows, "key string, pos int, title string, content string").repartition(7), ["title", "content"], folder)
+    seen, real = [], textindex._holding
+    monkeypatch.setattr(textindex, "_holding", lambda s, f, words, c, low=0, high=None: seen.append(sorted(r.word for r in words.collect())) or real(s, f, words, c, low, high))
+    asked = spark.createDataFrame([(1, "common"), (2, "Rare"), (3, "zu"), (4, "common"), (4, "rare"), (5, "no99"), (6, "none such")], "query_id int, word string")
+    got = {}
+    for r in textindex.search(spark, folder, asked, ["title", "content"], 4).collect():
+        got.setdefault(r.query_id, []).append(r.key)
+    hold = lambda w: [k for k, _, t, c in rows if w in t or w in (c or "")]
+    want = {1: hold("common")[:4], 2: hold("rare")[:4], 3: hold("zu")[:4], 4: hold("common")[:4], 5: hold("no99")[:4]}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert "common" in seen[0] and all("common" not in s for s in seen[1:])
