@@ -134,7 +134,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star steps: every step is a minimum per
     node (combined before the shuffle) and a join back, so that no
     neighbourhood is ever gathered in a task. The number of rounds grows with
-    the logarithm of the longest path.
+    the logarithm of the longest path. Edges that snug leaves in one partition
+    need no exchange: a round of these is one task, whatever the shuffle partitions.
     """
     e = snug(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
 
@@ -143,12 +144,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     before = mark(e)
     while before[0]:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Edges of one partition stay there: told so after each join, Spark plans no exchange. For that the two directions are exploded, too.
+        alone = e.rdd.getNumPartitions() == 1
+        stay = (lambda x: x.coalesce(1)) if alone else (lambda x: x)
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = stay(both.where(F.col("v") > F.col("u")).join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            stay(large.join(least, "u"))
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u != v")
