@@ -144,20 +144,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     before = mark(e)
     while before[0]:
-        # Edges of one partition stay there: told so after each join, Spark plans no exchange. For that the two directions are exploded, too.
+        # Edges of one partition stay there: told so after each join, Spark plans no exchange.
         alone = e.rdd.getNumPartitions() == 1
         stay = (lambda x: x.coalesce(1)) if alone else (lambda x: x)
-        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stay(both.where(F.col("v") > F.col("u")).join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # All edges lead down (u > v): a node's least neighbour is among those it leads to, or it is least itself.
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = stay(e.join(low, "v", "left")).select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            stay(large.join(least, "u"))
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u != v")
-            .distinct()
-        )
+        others = stay(large.join(least, "u")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = stay(others.unionByName(least.withColumnRenamed("m", "v"))).distinct()
         e = snug(small)
         after = mark(e)
         if after == before:

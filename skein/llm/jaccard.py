@@ -14,8 +14,11 @@ is first compared with a central one only; what these links connect
 needs no further comparison. Only classes of different components that still
 share a token are paired. Where more than SPLIT classes do, they are joined by
 their prefix tokens under the second order instead, so that a token that many
-have by itself pairs nothing. Thus thousands of near copies cost a comparison
-each, and no pair of texts that might be linked is left out.
+have by itself pairs nothing. Where more than CROWD share one of these, too,
+each is first linked with the nearest of a few of its group, in rounds; only
+classes that this leaves apart are paired, all of them. Thus thousands of near
+copies cost a comparison each, and no pair of texts that might be linked is
+left out.
 
 Texts are shingled for their digests and for the prefixes under the first
 order; prefixes under the others and sets are made again of the classes in
@@ -57,6 +60,9 @@ PART = 1024
 SPLIT = 64
 #: Digests that different sets share, which are told apart at once: more are told in further rounds.
 MOST_CLASHES = 10_000
+#: Above so many classes of a token under the second order, each is linked with the nearest of some MIDDLES of them before those left apart are paired.
+CROWD = 256
+MIDDLES = 16
 #: So many keys of a class are compared to pair two classes once; it affects speed alone.
 FIRST = 6
 SKETCH = 1024
@@ -280,8 +286,8 @@ def kept_pairs(both: DataFrame, test: Callable[..., bool]) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list], digest: Digest) -> DataFrame:
-    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders get their sets."""
+def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list] | None, digest: Digest) -> DataFrame:
+    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders, if given, get their sets."""
 
     def wanted(some: DataFrame) -> DataFrame:
         return snug(some.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c"))
@@ -294,7 +300,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int,
 
     pairs = snug(pairs)
     sweep(documents.sparkSession)
-    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders, digest)), may_be))
+    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders, digest)), may_be)) if orders else pairs
     return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x], digest)), are)
 
 
@@ -341,19 +347,28 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     stars = snug(near.select("c", F.col("x.centre").alias("centre")))
     linked = snug(verified(documents, likely(stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sized, percent), classes, k, percent, orders, digest))
     sweep(documents.sparkSession)
-    joined = connected_components(linked).withColumnRenamed("node", "c")
+    joined = snug(connected_components(linked).withColumnRenamed("node", "c"))
 
     # What these links leave apart, in the groups of a key.
-    apart = held.select("key", "c").distinct().join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    several = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
-    apart = snug(apart.join(several, "key"))
+    apart = labelled(held.select("key", "c").distinct(), joined)
     folded = classes.select("c", "n", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]).alias(f"s{i}") for i in range(FOLDED)])
-    few = apart.where(F.col("m") <= SPLIT).select("key", "c", "component")
-    many = snug(apart.where(F.col("m") > SPLIT).select("c", "component").distinct().join(classes.select("c", "rep"), "c"))
-    second = of_classes(documents, many.select("c", "rep"), k, "p2 binary", lambda x: orders(x)[:1], digest)
-    by_second = many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c", "component")
-    of_two = by_second.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    by_second = snug(by_second.join(of_two, "key"))
+    many = snug(apart.where(F.col("m") > SPLIT).select("c").distinct().join(classes.select("c", "rep"), "c"))
+    second = of_classes(documents, many, k, "p2 binary", lambda x: orders(x)[:1], digest)
+    by_second = labelled(many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c"), joined)
+
+    # Families of near copies that their centres leave apart: one link a class and round, not one for each pair of near
+    # classes. A round follows while they halve the components; whatever is still apart after the last is paired below.
+    left = parts(by_second)
+    while left:
+        near = likely(nearest(by_second.where(F.col("m") > CROWD), folded, percent), sized, percent)
+        near = snug(verified(documents, near, classes, k, percent, None, digest))
+        joined = snug(connected_components(joined.where("c != component").select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(near)).withColumnRenamed("node", "c"))
+        by_second = labelled(by_second.select("key", "c"), joined)
+        sweep(documents.sparkSession)
+        before, left = left, parts(by_second)
+        if 2 * left > before:
+            break
+    few = apart.where(F.col("m") <= SPLIT).drop("component").join(joined, "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     found = paired(few, folded, percent).unionByName(paired(by_second, folded, percent)).distinct()
     more = verified(documents, likely(found, sized, percent), classes, k, percent, orders, digest)
 
@@ -362,7 +377,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     # Classes that a document has rows of are together, too.
     of_documents = signed.where("doc_id is not null and n > 0").select("doc_id", "c")
     several = of_documents.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
-    edges = linked.unionByName(more).unionByName(of_documents.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b")).where("a != b"))
+    edges = joined.where("c != component").select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(of_documents.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b")).where("a != b"))
     found = connected_components(edges).join(classes.select(F.col("c").alias("node"), "rep"), "node")
     smallest = found.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = classes.select("c", "rep").join(found.join(smallest, "component").select(F.col("node").alias("c"), "least"), "c", "left")
@@ -378,6 +393,32 @@ def likely(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return both.where(may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)).select("a", "b")
 
 
+def labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """key, c and component of rows (key, c) whose key different components have, and m: how many rows have it."""
+    rows = rows.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
+    return snug(rows.join(several, "key"))
+
+
+def parts(rows: DataFrame) -> int:
+    """How many components the classes of crowded keys have."""
+    return rows.where(F.col("m") > CROWD).select("component").distinct().count()
+
+
+def nearest(rows: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """a, b: each class with the nearest, by folded sketches, of some MIDDLES classes of each of its keys, where components differ.
+
+    At most a pair a class; others that may be similar are left for paired.
+    """
+    own = rows.join(sized, "c")
+    some = own.where(F.pmod(F.xxhash64("key", "component", "c"), F.col("m")) < MIDDLES)
+    some = some.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(FOLDED)])
+    apart = bits_apart("s", "t", FOLDED)
+    met = own.join(some, "key").where((F.col("component") != F.col("component2")) & may_be_similar(F.col("n"), F.col("n2"), apart, percent))
+    best = met.groupBy("c").agg(F.min(F.struct(apart.alias("apart"), "c2")).alias("x"))
+    return best.select(F.least("c", "x.c2").alias("a"), F.greatest("c", "x.c2").alias("b")).distinct()
+
+
 def paired(rows: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different components that share a key, as far as sizes and folded sketches allow."""
     # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.

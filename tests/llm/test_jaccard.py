@@ -47,3 +47,29 @@ def test_digests():
     plain = jaccard.Digest()
     apart = jaccard.Digest(apart=frozenset([plain(x)]))
     assert plain(x) == plain(x.copy()) != plain(y) and apart(x) != plain(x) and apart(y) == plain(y) and jaccard.Digest(3)(x) in range(8)
+
+
+def test_links_of_near_copies_grow_with_them(spark, monkeypatch):
+    """Each text is near to 45 others, but not to all: a few links a text are made, not one for each pair."""
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(5, 130, 5):
+        for j in range(5, i, 5):
+            w = list(base)
+            w[i], w[j] = f"x{i}", f"x{j}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    texts += [text(150) for _ in range(20)]
+    texts += [" ".join(["other", *t.split()[:-1]]) for t in texts[-5:]]
+    made, components = [], jaccard.connected_components
+
+    def counted(edges):
+        made.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(jaccard, "CROWD", 64, raising=False)
+    monkeypatch.setattr(jaccard, "connected_components", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()}
+    assert got == {i: (146, 0 if i < 300 else i if i < 320 else i - 5) for i in range(325)}
+    assert max(made) < 4 * len(texts), made
