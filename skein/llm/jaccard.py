@@ -6,8 +6,9 @@ they share a token among the first of each, its prefix, under *any* total
 order of all tokens. Three orders are used; in each, frequent tokens come
 last, and tokens of about one frequency by a hash of the order's own. The
 prefixes under the first order are joined. A pair stays a candidate if sizes
-and sketches allow it and it shares a prefix token under the second and the
-third order, too; only then are the sets themselves fetched and compared.
+and sketches allow it, first those of one size, then wider ones that grow with
+the set. Only then are the two texts brought together, shingled again, and
+compared: by their prefixes under the second and the third order, and whole.
 
 Large groups: in a group (a token, and for frequent tokens a salt) each class
 is first compared with a central one only; what these links connect
@@ -22,7 +23,8 @@ left out.
 
 Texts are shingled for their digests and for the prefixes under the first
 order; prefixes under the others and sets are made again of the classes in
-question only, so that sets are never shuffled for pairs ruled out before.
+question only. Sets are never shuffled: they are hashes, which no codec makes
+smaller, while a text is packed to about a third of them.
 
 Frequent tokens are those met repeatedly within tasks; the list holds at most
 the HEAVY most frequent and only decides an order: any order gives the same
@@ -37,8 +39,10 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +121,25 @@ def four_bytes(x: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.hex(x), F.lit(".{8}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("bigint"))
 
 
+def wide_sketch(x: np.ndarray) -> np.ndarray:
+    """The size of a set, then a sketch of two to four bits an element, SKETCH at least."""
+    size = max(SKETCH, 1 << (2 * len(x)).bit_length())
+    bits = np.bincount((mix(x ^ SEEDS[57]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.concatenate([np.array([len(x)], np.uint64), np.packbits(bits.astype(np.uint8)).view(np.uint64)])
+
+
+def wide_may_be_similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """As may_be_similar, of wide sketches; the longer is folded to the length of the other."""
+    n, m, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
+    if percent * max(n, m) > 100 * min(n, m):
+        return False
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * (n + m)
+
+
 def sketch_words(x: str = "sketch", to: str = "s") -> list[Column]:
     """A sketch as columns; a join's condition over array elements is too large a method to be compiled."""
     return [F.col(x)[i].alias(f"{to}{i}") for i in range(SKETCH // 64)]
@@ -225,14 +248,18 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray, digest: Digest) -> DataFrame:
-    """token, salt and c: the prefixes under the first order, of each class once a task."""
+    """salt, token and c: the prefixes under the first order, of each class once a task.
+
+    In this order a row's hashes stand together, and all else in it is alike in
+    most rows: a shuffle's codec finds it in one run.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("sets")
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in string_slices(batch.column(0)):
-                token, salt, c = [], [], []
+                salt, token, c = [], [], []
                 for x in distinct_sets(data, offsets, k):
                     key = digest(x)
                     if not len(x) or key in seen:
@@ -246,62 +273,76 @@ def postings(documents: DataFrame, k: int, percent: int, heavy: np.ndarray, rank
                     salt.append(np.where(often > 0, 1 + (key & (2**62 - 1)) % parts, 0))
                     c.append(np.full(len(at), key))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (token, salt, c)], names=["token", "salt", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (salt, token, c)], names=["salt", "token", "c"])
 
-    return documents.where("doc_id is not null").select("text").mapInArrow(task, "token bigint, salt bigint, c bigint")
+    return documents.where("doc_id is not null").select("text").mapInArrow(task, "salt bigint, token bigint, c bigint")
 
 
-def of_classes(documents: DataFrame, wanted: DataFrame, k: int, schema: str, make: Callable[[np.ndarray], list], digest: Digest) -> DataFrame:
-    """c and what make gives for the set of each class in wanted (c, rep); only documents that may be in wanted are shingled."""
+def of_classes(documents: DataFrame, wanted: DataFrame, k: int, name: str, make: Callable[[np.ndarray, np.ndarray], bytes], digest: Digest) -> DataFrame:
+    """c and, named so, what make gives for the set and the text of each class in wanted (c, rep); only documents that may be in wanted are shingled."""
     texts = possibly_in(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", membership(wanted, "rep"))
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("sets")
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1)):
                 sets = distinct_sets(data, offsets, k)
-                made = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*map(make, sets))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([digest(x) for x in sets], pa.int64()), *made], names=["doc_id", "c", *names])
+                made = pa.array([make(x, data[i:j]) for x, i, j in zip(sets, offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([digest(x) for x in sets], pa.int64()), made], names=["doc_id", "c", name])
 
-    # A class's smallest doc_id only, and one row of it whose set is the class's.
-    found = texts.mapInArrow(task, f"doc_id bigint, c bigint, {schema}").join(wanted, "c").where(F.col("doc_id") == F.col("rep"))
+    # A class's smallest doc_id only, and one row of it whose set is the class's. A merge join by c alone (as an equality,
+    # that of the documents would be one of its keys) leaves the rows where the distinct ones and the pairs want them, so
+    # that they are dealt once.
+    found = texts.mapInArrow(task, f"doc_id bigint, c bigint, {name} binary").join(wanted.hint("merge"), "c").where(F.col("doc_id").bitwiseXOR(F.col("rep")) == 0)
     return found.drop("doc_id", "rep").dropDuplicates(["c"])
 
 
-def with_both(pairs: DataFrame, made: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) with the columns made for both, those of b with a 2."""
-    columns = [c for c in made.columns if c != "c"]
-    second = made.select(F.col("c").alias("b"), *[F.col(x).alias(f"{x}2") for x in columns])
-    return pairs.join(made.withColumnRenamed("c", "a"), "a").join(second, "b").select("a", "b", *[y for x in columns for y in (x, f"{x}2")])
+def with_both(pairs: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    """Pairs of classes (a, b) with the column made for both, that of b with a 2."""
+    first = made.select(F.col("c").alias("a"), F.col(name).alias(f"{name}1"))
+    second = made.select(F.col("c").alias("b"), F.col(name).alias(f"{name}2"))
+    return pairs.hint("merge").join(first, "a").hint("merge").join(second, "b").select("a", "b", f"{name}1", f"{name}2")
 
 
-def kept_pairs(both: DataFrame, test: Callable[..., bool]) -> DataFrame:
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("sets")
-        for batch in batches:
-            keep = pa.array([test(*map(pa.BinaryScalar.as_buffer, r)) for r in zip(*(batch.column(i) for i in range(2, batch.num_columns)))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.mapInArrow(compare, "a bigint, b bigint")
+def compared(batches: Iterator[pa.RecordBatch], test: Callable[[pa.Buffer, pa.Buffer], bool]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, and two binary columns), a and b where the test of the two holds."""
+    begin("sets")
+    for batch in batches:
+        keep = pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list] | None, digest: Digest) -> DataFrame:
-    """Of pairs of classes (a, b), those whose sets are similar; only pairs that meet under the other orders, if given, get their sets."""
+def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, orders: Callable[[np.ndarray], list[np.ndarray]], digest: Digest, wide: bool = True) -> DataFrame:
+    """Of pairs of classes (a, b), those whose sets are similar; wide: only pairs that wide sketches allow get their texts."""
 
     def wanted(some: DataFrame) -> DataFrame:
         return snug(some.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c"))
 
-    def may_be(p2: pa.Buffer, q2: pa.Buffer, p3: pa.Buffer, q3: pa.Buffer) -> bool:
-        return all(meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) for p, q in ((p2, q2), (p3, q3)))
+    def may_be(x: pa.Buffer, y: pa.Buffer) -> bool:
+        return wide_may_be_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
-    def are(x: pa.Buffer, y: pa.Buffer) -> bool:
-        return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+    def similar_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs come by their b: of each two texts one is often that of the pair before.
+        @lru_cache(maxsize=2)
+        def of_text(x: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+            data = np.frombuffer(zlib.decompress(x), np.uint8)
+            found = distinct_sets(data, np.array([0, len(data)]), k)[0]
+            return found, orders(found)
+
+        def are(x: pa.Buffer, y: pa.Buffer) -> bool:
+            (one, firsts), (other, seconds) = of_text(x.to_pybytes()), of_text(y.to_pybytes())
+            return all(map(meet, firsts, seconds)) and similar(one, other, percent)
+
+        return compared(batches, are)
 
     pairs = snug(pairs)
     sweep(documents.sparkSession)
-    candidates = snug(kept_pairs(with_both(pairs, of_classes(documents, wanted(pairs), k, "p2 binary, p3 binary", orders, digest)), may_be)) if orders else pairs
-    return kept_pairs(with_both(candidates, of_classes(documents, wanted(candidates), k, "x binary", lambda x: [x], digest)), are)
+    candidates = pairs
+    if wide:
+        sketches = of_classes(documents, wanted(pairs), k, "w", lambda x, _: wide_sketch(x).tobytes(), digest)
+        candidates = snug(with_both(pairs, sketches, "w").mapInArrow(lambda batches: compared(batches, may_be), "a bigint, b bigint"))
+    texts = of_classes(documents, wanted(candidates), k, "t", lambda _, text: zlib.compress(text, 1), digest)
+    return with_both(candidates, texts, "t").mapInArrow(similar_texts, "a bigint, b bigint")
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int = 64) -> DataFrame:
@@ -320,6 +361,7 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
         digest = Digest(bits, digest.apart | {r.c for r in clashes})
     heavy, rank = frequent(rows)
     classes = classes.drop("clash")
+    sweep(documents.sparkSession)
 
     # Groups of at least two classes; of frequent tokens also what is alone with its salt. Tokens
     # with the same classes are one group: their key is what these classes' hashes add up to.
@@ -353,15 +395,17 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
     apart = labelled(held.select("key", "c").distinct(), joined)
     folded = classes.select("c", "n", *[F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]).alias(f"s{i}") for i in range(FOLDED)])
     many = snug(apart.where(F.col("m") > SPLIT).select("c").distinct().join(classes.select("c", "rep"), "c"))
-    second = of_classes(documents, many, k, "p2 binary", lambda x: orders(x)[:1], digest)
+    second = of_classes(documents, many, k, "p2", lambda x, _: orders(x)[0].tobytes(), digest)
     by_second = labelled(many.join(second, "c").select(F.explode(four_bytes(F.col("p2"))).alias("key"), "c"), joined)
 
     # Families of near copies that their centres leave apart: one link a class and round, not one for each pair of near
     # classes. A round follows while they halve the components; whatever is still apart after the last is paired below.
     left = parts(by_second)
     while left:
-        near = likely(nearest(by_second.where(F.col("m") > CROWD), folded, percent), sized, percent)
-        near = snug(verified(documents, near, classes, k, percent, None, digest))
+        crowded = by_second.where(F.col("m") > CROWD)
+        some = membership(crowded, "c")
+        near = likely(nearest(crowded, possibly_in(folded, "c", some), percent), possibly_in(sized, "c", some), percent)
+        near = snug(verified(documents, near, classes, k, percent, orders, digest, wide=False))
         joined = snug(connected_components(joined.where("c != component").select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(near)).withColumnRenamed("node", "c"))
         by_second = labelled(by_second.select("key", "c"), joined)
         sweep(documents.sparkSession)
@@ -388,9 +432,9 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, bit
 
 def likely(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """Of pairs of classes, those that sizes and whole sketches allow."""
-    second = sized.select(F.col("c").alias("b"), F.col("n").alias("n2"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH // 64)])
-    both = pairs.join(sized.withColumnRenamed("c", "a"), "a").join(second, "b")
-    return both.where(may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t"), percent)).select("a", "b")
+    # All columns renamed on both sides: the same exchange then serves both.
+    first, second = (sized.select(F.col("c").alias(c), F.col("n").alias(n), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(SKETCH // 64)]) for c, n, s in (("a", "n1", "u"), ("b", "n2", "t")))
+    return pairs.join(first, "a").join(second, "b").where(may_be_similar(F.col("n1"), F.col("n2"), bits_apart("u", "t"), percent)).select("a", "b")
 
 
 def labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -424,12 +468,13 @@ def paired(rows: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     # A pair is made at the smallest key that both have, as far as the FIRST smallest keys of each tell.
     keys = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
     own = rows.join(sized.join(keys, "c"), "c")
-    second = own.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "keys")], *[F.col(f"s{i}").alias(f"t{i}") for i in range(FOLDED)])
-    smallest = F.coalesce(F.array_min(F.array_intersect("keys", "keys2")), F.col("key")) >= F.col("key")
-    near = may_be_similar(F.col("n"), F.col("n2"), bits_apart("s", "t", FOLDED), percent)
+    # All columns renamed on both sides: the same exchange then serves both.
+    first, second = (own.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "component", "keys")], *[F.col(f"s{j}").alias(f"{s}{j}") for j in range(FOLDED)]) for i, s in ((1, "u"), (2, "t")))
+    smallest = F.coalesce(F.array_min(F.array_intersect("keys1", "keys2")), F.col("key")) >= F.col("key")
+    near = may_be_similar(F.col("n1"), F.col("n2"), bits_apart("u", "t", FOLDED), percent)
     # In this form the keys are intersected only for pairs that pass the rest.
-    wanted = F.when((F.col("c") < F.col("c2")) & (F.col("component") != F.col("component2")) & near, smallest).otherwise(F.lit(False))
-    return own.join(second, "key").where(wanted).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    wanted = F.when((F.col("c1") < F.col("c2")) & (F.col("component1") != F.col("component2")) & near, smallest).otherwise(F.lit(False))
+    return first.join(second, "key").where(wanted).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
 
 
 def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -73,3 +73,43 @@ def test_links_of_near_copies_grow_with_them(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()}
     assert got == {i: (146, 0 if i < 300 else i if i < 320 else i - 5) for i in range(325)}
     assert max(made) < 4 * len(texts), made
+
+
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_sets_are_not_shuffled(spark):
+    """Long near copies, and long texts that share half their words in one place: less goes over than two times all sets."""
+    texts = []
+    for _ in range(30):
+        base = text(3000).split()
+        near = list(base)
+        near[500] = near[2000] = "other"
+        texts += [" ".join(base), " ".join(near), " ".join([*base[:2000], *text(1000).split()])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).checkpoint()
+    before = shuffled(spark)
+    got = {r.doc_id: r.component_id for r in jaccard.components(df).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(90)}
+    assert shuffled(spark) - before < 2 * 90 * 2996 * 8
+
+
+def test_wide_sketches_leave_out_no_similar_pair():
+    """Sets at the limit pass, whatever the lengths of their sketches; most of those a little beyond it don't."""
+    passed = 0
+    for n in (1, 2, 5, 100, 127, 128, 1000, 1023, 1025, 4100, 5000):
+        for _ in range(5):
+            x = np.array(rng.sample(range(1 << 40), 2 * n), np.uint64)
+            both = -(-80 * n // 100)
+            for y in (np.append(x[:both], []), x[: n + n // 4], np.append(x[n - 8 * n // 9 : n], x[n : n + n // 9])):
+                y = np.unique(y.astype(np.uint64))
+                if jaccard.similar(np.unique(x[:n]), y, 80):
+                    for a, b in ((x[:n], y), (y, x[:n])):
+                        assert jaccard.wide_may_be_similar(jaccard.wide_sketch(a), jaccard.wide_sketch(b), 80)
+            if n >= 1000:
+                far = np.append(x[: n * 8 // 10], x[n : n + n * 2 // 10])
+                passed += jaccard.wide_may_be_similar(jaccard.wide_sketch(x[:n]), jaccard.wide_sketch(far), 80)
+    assert passed == 0
