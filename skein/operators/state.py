@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("total", "ok", "failed", "consecutive", "avg_ms", "disabled_until")
@@ -89,26 +89,58 @@ def fold(calls: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 # What errors of the network say.
 NETWORK = ("HTTP 错误", "status", "连接", "超时")
+# Calls of a source are put in order by as many seconds; results do not depend on it.
+SLICE = 7 * 86400
 
 
-def pauses(calls: DataFrame) -> DataFrame:
-    """Sources that a network error paused, and until when.
+def pause_log(calls: DataFrame) -> DataFrame:
+    """Every pause that network errors brought: engine, disabled_until, failures, re_enabled_at, temporarily_disabled.
 
     calls: as for fold, with error. Failures in a row are counted; a failure
-    whose error speaks of the network pauses its source if FAILURES or more are.
-    The last such failure counts; a success ends the pause, so only failures after a source's last one do.
+    whose error speaks of the network pauses its source if FAILURES or more are,
+    anew each time, until PAUSE seconds after the last such one. A success ends
+    the row and its pause: re_enabled_at is its time, failures the length of the
+    row. A pause that no success has ended is temporarily_disabled.
+
+    Calls are put in order by source and SLICE seconds. A slice gives one piece
+    a row; rows that lie within it and pause nothing are left there, the others'
+    pieces are put together by source. Calls without a time come last.
     """
     network = F.lit(False)
     for part in NETWORK:
         network = network | F.contains(F.coalesce("error", F.lit("")), F.lit(part))
-    at = F.struct("ts", "seq")
-    last = calls.groupBy("engine").agg(F.max(F.when(F.col("outcome") == "success", at)).alias("_last"))
-    since = calls.where("outcome != 'success'").join(last, "engine").where(F.col("_last").isNull() | (at > F.col("_last")))
-    # The last network failure of a source counts the failures up to it.
-    hit = since.groupBy("engine").agg(F.max(F.when((F.col("outcome") == "failure") & network, at)).alias("_hit"))
-    counted = since.join(hit.where("_hit is not null"), "engine").where(at <= F.col("_hit"))
-    found = counted.groupBy("engine").agg(F.count("*").alias("row"), F.max("_hit.ts").alias("ts"))
-    return found.where(F.col("row") >= FAILURES).select("engine", (F.col("ts") + PAUSE).alias("disabled_until"))
+    is_ = lambda o: F.coalesce(F.col("outcome") == o, F.lit(False))
+    known = calls.where("outcome is not null").select("engine", "ts", "seq", is_("success").alias("_ok"), (is_("failure") & network).alias("_network"))
+    ok, cut, before = F.col("_ok"), F.col("_network"), (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("engine", "_slice").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("seq"), "_ok", "_network")
+    placed = known.withColumn("_slice", F.floor(F.col("ts") / SLICE)).withColumn("_n", F.row_number().over(inside))
+    # A success belongs to the row that it ends.
+    rows = placed.withColumn("_healed", F.max(F.when(ok, F.col("_n"))).over(inside.rowsBetween(*before)))
+    pieces = rows.groupBy("engine", "_slice", "_healed").agg(
+        F.count_if(~ok).alias("failures"),
+        F.max(F.when(cut, F.col("_n") - F.coalesce("_healed", F.lit(0)))).alias("_last"),
+        F.max(F.when(cut, F.col("ts"))).alias("_at"),
+        F.max(F.when(ok, F.col("ts"))).alias("re_enabled_at"),
+        F.bool_or(ok).alias("_ended"),
+    )
+    left = pieces.where(F.col("_healed").isNull() | ~F.col("_ended") | (F.col("_last") >= FAILURES))
+    along = F.asc_nulls_last("_slice"), F.asc_nulls_first("_healed")
+    upto = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(*along).rowsBetween(*before)), F.lit(0))
+    joined = left.withColumn("_row", upto(F.col("_ended").cast("int"), "engine"))
+    hit = F.coalesce(upto(F.col("failures"), "engine", "_row") + F.col("_last") >= FAILURES, F.lit(False))
+    found = joined.withColumn("_hit", hit).groupBy("engine", "_row").agg(
+        (F.max(F.when(F.col("_hit"), F.col("_at"))) + PAUSE).alias("disabled_until"),
+        F.sum("failures").alias("failures"),
+        F.max("re_enabled_at").alias("re_enabled_at"),
+        (~F.bool_or("_ended")).alias("temporarily_disabled"),
+        F.bool_or("_hit").alias("_paused"),
+    )
+    return found.where("_paused").drop("_row", "_paused")
+
+
+def pauses(calls: DataFrame) -> DataFrame:
+    """Sources that a network error paused, and until when: the pauses of pause_log that no success has ended."""
+    return pause_log(calls).where("temporarily_disabled").select("engine", "disabled_until")
 
 
 def fold_totals(calls: DataFrame) -> DataFrame:

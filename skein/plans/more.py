@@ -304,14 +304,15 @@ def third_page(spark, d):
 
 
 @query(f"""WITH {CALLS}, e AS (SELECT *, CASE WHEN outcome <> 'success' AND seq % 2 = 0 THEN 'HTTP status 500' WHEN outcome <> 'success' THEN 'parse' ELSE '' END AS error FROM calls),
-l AS (SELECT *, coalesce(max(CASE outcome WHEN 'success' THEN n END) OVER (PARTITION BY engine), 0) AS healed FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS n FROM e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq) AS row FROM l WHERE n > healed)
-SELECT engine, max(ts) + 300 AS disabled_until FROM r WHERE contains(error, 'status') AND row >= 3 GROUP BY engine""")
+o AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, seq, outcome = 'success') AS n FROM e),
+r AS (SELECT *, coalesce(max(CASE outcome WHEN 'success' THEN n END) OVER (PARTITION BY engine ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS healed FROM o)
+SELECT engine, max(ts) FILTER (contains(error, 'status') AND n - healed >= 3) + 300 AS disabled_until, count(*) FILTER (outcome <> 'success') AS failures, max(ts) FILTER (outcome = 'success') AS re_enabled_at, bool_and(outcome <> 'success') AS temporarily_disabled
+FROM r GROUP BY engine, healed HAVING count(*) FILTER (contains(error, 'status') AND n - healed >= 3) > 0""")
 def engine_network_pauses(spark, d):
-    """Every call counts as a failure that isn't a success; those of even numbers are the network's."""
+    """Every pause, and what ended it. Every call counts as a failure that isn't a success; those of even numbers are the network's."""
     failed = COL("outcome") != "success"
     error = F.when(failed & (COL("seq") % 2 == 0), "HTTP status 500").when(failed, "parse").otherwise("")
-    return state.pauses(calls(spark, d).withColumns({"error": error, "outcome": F.when(failed, "failure").otherwise("success")}))
+    return state.pause_log(calls(spark, d).withColumns({"error": error, "outcome": F.when(failed, "failure").otherwise("success")}))
 
 
 @query(f"WITH {CALLS} SELECT engine, count(*) FILTER (outcome <> 'zero') AS total, count(*) FILTER (outcome = 'success') AS ok, count(*) FILTER (outcome = 'failure') AS failed FROM calls GROUP BY engine")

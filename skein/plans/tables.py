@@ -29,7 +29,7 @@ def with_copies(df: DataFrame) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "zero").otherwise("success")
-    return e.select(F.col("user_id").cast("string").alias("engine"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.floor(F.col("value") * 100).alias("response_ms"))
+    return e.select(F.col("user_id").cast("string").alias("engine"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("ts"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.floor(F.col("value") * 100).alias("response_ms"))
 
 
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
